@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from costgrain.llm import simhash
+from costgrain.llm import minhash, simhash
 
 QUERIES = {
     "op9_simhash": simhash.op9,
+    "op10_one_permutation_minhash": minhash.op10,
 }
 
 ORACLES: dict[str, str] = {}
