@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from costgrain.llm import minhash, quality, simhash, toxicity
+from costgrain.llm import brown, minhash, quality, simhash, toxicity
 
 QUERIES = {
     "op5_bradley_terry_quality": quality.op5,
     "op7_noisy_channel_toxicity": toxicity.op7,
+    "op8_brown_classes": brown.op8,
     "op9_simhash": simhash.op9,
     "op10_one_permutation_minhash": minhash.op10,
 }
