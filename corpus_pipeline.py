@@ -1,25 +1,46 @@
 """A training-data pipeline from the corpus operators.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` applies
-them in order to the documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+and read again as the next one's ``docs``. All but the last keep the columns of
+documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costgrain.llm import simhash
+from costgrain.llm import mixing, packing, quality, simhash, toxicity
 from costgrain.llm.common import cut, table
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that the quality ranking rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents predicted toxic go."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
+    """Operator 9: one document of each group of near-duplicates stays."""
     return simhash.keep_first(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: the stretches of documents that the mix takes, repeats included."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: length bucket, batch and slot of every stretch."""
+    return packing.pack(docs)
+
+
+STAGES = [("good_quality", good_quality), ("not_toxic", not_toxic), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
 
-#: Models and hashes decide most stages; SQL can't express them.
+#: Models, hashes and permutations decide the stages; SQL can't express them.
 ORACLE_SQL = None
 
 

@@ -68,17 +68,17 @@ def apart(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
 
 
-def with_offsets(df: DataFrame, groups: list[str], order: list[str], totals: dict[str, Column], chunks: int) -> DataFrame:
+def with_offsets(df: DataFrame, groups: list[str], order: list[str], totals: dict[str, Column], chunks: int, chunk: Column | None = None) -> DataFrame:
     """Add exclusive running totals within each group, without a task per group.
 
     ``totals`` maps each new column to the quantity it sums. A group is cut into
-    ``chunks`` by a hash of ``order``; chunk sums are added up over the few
+    ``chunks`` by a hash of ``order``, or by the number ``chunk``; chunk sums are added up over the few
     chunks, rows only inside their own chunk, so a group that holds most rows is
     spread like any other. The order is by (chunk, ``order``): fixed, but
     scattered. ``groups`` must hold no nulls; rows that tie in all of ``order``
     should be equal in whatever is summed.
     """
-    chunked = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
+    chunked = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)) if chunk is None else chunk)
     keys = [*groups, "_chunk"]
     sums = chunked.groupBy(*keys).agg(*(F.sum(v).alias(f"_sum_{k}") for k, v in totals.items()))
     before = W.partitionBy(*groups).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
