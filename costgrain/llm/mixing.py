@@ -105,10 +105,11 @@ def with_sizes(docs: DataFrame) -> DataFrame:
 
 
 def located(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, list[dict]]:
-    """``docs`` with src (number of the source), size (words) and at (words of the
-    source before it), and what is known of each source: its name, size, number
-    of blocks, target and slots."""
+    """doc_id, source, text (and _row) of ``docs`` with src (number of the source),
+    _size (words), _hash (of the text) and _at (words of the source before it);
+    and what is known of each source: name, size, number of blocks, target, slots."""
     sized = docs if {"_size", "_hash"} <= {*docs.columns} else with_sizes(docs)
+    sized = sized.select(*(c for c in ("doc_id", "source", "text", "_row", "_size", "_hash") if c in sized.columns))
     found = sized.groupBy(F.col("source").cast("string")).agg(F.sum("_size"), F.count("*")).collect()  # one row a source
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [int(r[1]) for r in found]
@@ -193,13 +194,15 @@ def mixed_documents(docs: DataFrame, block: int = 1024) -> DataFrame:
     """The mix as documents: a row for each stretch of a document in each slot,
     with the columns of ``docs``; its text is the words of the stretch, and
     n_chars, where there is such a column, their code points."""
-    mixed, rows, _ = mix(docs, block)
+    plain = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long"), "source", F.col("text").cast("string"))
+    mixed, rows, _ = mix(plain, block)
     stretches = mixed.groupBy("src", "_at").agg(F.collect_list(F.struct("shard", "place", "begin", "words")).alias("_parts"))  # as many as the document has blocks, PASSES times at most
     whole = rows.where("_size > 0").join(stretches, ["src", "_at"])
-    split = whole.withColumn("_words", F.split(F.regexp_replace("text", rf"^{SPACE}+|{SPACE}+$", ""), f"{SPACE}+"))
-    each = split.select("*", F.explode("_parts").alias("_part")).drop("_parts")
+    split = whole.select("_row", "_parts", F.split(F.regexp_replace("text", rf"^{SPACE}+|{SPACE}+$", ""), f"{SPACE}+").alias("_words"))
+    each = split.select("_row", "_words", F.explode("_parts").alias("_part"))
     text = F.array_join(F.slice("_words", (F.col("_part.begin") + 1).cast("int"), F.col("_part.words").cast("int")), " ")
-    out = each.withColumn("text", text)
+    drawn = each.select("_row", text.alias("_text"))
+    made = {"text": F.col("_text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return drawn.select(*(made[c].alias(c) if c in made else F.col("_row")[c].alias(c) for c in docs.columns))

@@ -134,12 +134,13 @@ def rewrite(placed: DataFrame, moves: list[tuple[int, int, int]], folder: str) -
     return changed
 
 
-def sized(docs: DataFrame, old_shards: int = OLD) -> DataFrame:
+def sized(docs: DataFrame, old_shards: int = OLD, whole: bool = False) -> DataFrame:
     """(doc_id, text_crc32, size, old) of documents; null texts have no bytes.
 
-    Size is the bytes of the text and 8. The old layout deals texts by checksum."""
+    Size is the bytes of the text and 8. The old layout deals texts by checksum.
+    ``whole`` adds the document itself as ``row``, to be written later."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select(F.col("doc_id").cast("long"), F.crc32(text.cast("binary")).alias("text_crc32"), (F.octet_length(text) + 8).cast("long").alias("size"))
+    out = docs.select(F.col("doc_id").cast("long"), F.crc32(text.cast("binary")).alias("text_crc32"), (F.octet_length(text) + 8).cast("long").alias("size"), *([F.struct(*docs.columns).alias("row")] if whole else []))
     return out.withColumn("old", (F.col("text_crc32") % old_shards).cast("int"))
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from costgrain.llm.common import apart, batch_of, cut, text_bytes
 from costgrain.llm.components import components
@@ -186,9 +187,8 @@ def op9(spark, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest
     doc_id. Of rows that repeat a doc_id one stays; rows without one all stay."""
-    from pyspark.sql import Window as W
-
     first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     same = W.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    plain = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    kept = plain.join(first, "doc_id", "left_semi").withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns)).unionByName(docs.where("doc_id is null"))
