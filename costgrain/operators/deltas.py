@@ -97,9 +97,10 @@ def repair_snapshots(events: DataFrame) -> DataFrame:
     return marked.withColumns(out).drop("_when", "_nth", *(f"_{t}" for t in TOKENS))
 
 
-def sticky(records: DataFrame, partition: list[str], order: list[str], columns: list[str], ends: Column) -> DataFrame:
-    """Carry the last known value of ``columns`` forward; rows marked ``ends`` clear what follows them."""
+def sticky(records: DataFrame, partition: list[str], order: list[str], columns: list[str], ends: Column, own: bool = False) -> DataFrame:
+    """Carry the last known value of ``columns`` forward; rows marked ``ends`` clear
+    it for what follows them, and with ``own`` for themselves too."""
     w = W.partitionBy(*partition).orderBy(*order)
-    cut = F.coalesce(F.sum(ends.cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cut = F.coalesce(F.sum(ends.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0 if own else -1)), F.lit(0))
     inside = W.partitionBy(*partition, "_cut").orderBy(*order)
     return records.withColumn("_cut", cut).withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns}).drop("_cut")
