@@ -55,10 +55,16 @@ def integrity(events: DataFrame, sessions: DataFrame) -> DataFrame:
 def turns_of_hooks(hooks: DataFrame, key: list[str], order: str) -> DataFrame:
     """Turns that prompts open, each with the stop that ends it (``ended_by``), if any.
 
-    A stop ends the latest turn that is open; a prompt before it leaves the older
-    turn open, and later stops find that one first only if it is the latest.
-    With one open turn at a time, this is the next hook if it is a stop.
+    A stop ends the latest turn that is open; one that finds none does nothing.
+    Prompts and stops pair like brackets: the depth is the running sum of opens
+    less closes, never below zero, and in each depth they take turns.
     """
     w = W.partitionBy(*key).orderBy(order)
-    stop = F.lead("kind").over(w).isin("Stop", "StopFailure")
-    return hooks.withColumn("ended_by", F.when(stop, F.lead(order).over(w))).where("kind = 'UserPromptSubmit'")
+    opens = F.col("kind") == "UserPromptSubmit"
+    closes = F.col("kind").isin("Stop", "StopFailure")
+    some = hooks.where(opens | closes).withColumn("_sum", F.sum(F.when(opens, 1).otherwise(-1)).over(w))
+    deep = some.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w)))
+    level = deep.withColumn("_level", F.when(opens, F.col("_depth")).otherwise(F.lag("_depth", 1, 0).over(w)))
+    pair = W.partitionBy(*key, "_level").orderBy(order)
+    ended = F.when(F.lead("kind").over(pair).isin("Stop", "StopFailure"), F.lead(order).over(pair))
+    return level.withColumn("ended_by", ended).where(opens).drop("_sum", "_depth", "_level")

@@ -433,7 +433,14 @@ def integrity_checks(spark, sf_dir):
     return integrity(t.ledger(spark, sf_dir), t.sessions(spark, sf_dir).where("session not like '%7'"))
 
 
-@query("SELECT user_id, event_id AS turn, lead_end AS ended_by FROM (SELECT *, CASE WHEN next_type = 'purchase' THEN next_id END AS lead_end FROM (SELECT *, lead(event_type) OVER w AS next_type, lead(event_id) OVER w AS next_id FROM events WHERE event_type IN ('view', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY event_id))) WHERE event_type = 'view'")
+@query(
+    """WITH h AS (SELECT user_id, event_id, event_type = 'view' AS opens FROM events WHERE event_type IN ('view', 'purchase')),
+s AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER w AS total FROM h WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+d AS (SELECT *, total - least(0, min(total) OVER w) AS depth FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+l AS (SELECT *, CASE WHEN opens THEN depth ELSE coalesce(lag(depth) OVER w, 0) END AS level FROM d WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+p AS (SELECT *, lead(opens) OVER w AS next_opens, lead(event_id) OVER w AS next_id FROM l WINDOW w AS (PARTITION BY user_id, level ORDER BY event_id))
+SELECT user_id, event_id AS turn, CASE WHEN NOT next_opens THEN next_id END AS ended_by FROM p WHERE opens"""
+)
 def hook_session_state(spark, sf_dir):
     """Prompts open turns; a stop ends the last open one."""
     from costgrain.operators.upkeep import turns_of_hooks

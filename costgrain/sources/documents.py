@@ -139,8 +139,11 @@ def telemetry(payloads: DataFrame, adapter: str = "claude") -> DataFrame:
     both = F.concat(F.coalesce("rec.attributes", empty), F.coalesce("outer", empty))
     known = records.withColumn("all", F.filter(both, lambda a: a["key"].isNotNull() & text(a["value"]).isNotNull()))
 
+    def of(key):
+        return text(F.get(F.filter("all", lambda a: a["key"] == key), 0)["value"])
+
     def field(*keys):
-        return F.coalesce(*(text(F.get(F.filter("all", lambda a, k=k: a["key"] == k), 0)["value"]) for k in keys))
+        return F.coalesce(*(of(k) for k in keys))
 
     def number(key):
         v = field(key)
