@@ -221,12 +221,12 @@ def dup_requests(spark, sf_dir):
 _LIFE = "('final_request_counter', 'subagent_stop', 'subagent_lifecycle_counter')"
 
 
-@query(
-    f"""WITH {t.LEDGER}, act AS (SELECT * FROM ledger WHERE superseded_by IS NULL)
-SELECT session, turn_id FROM act WHERE source_kind IN {_LIFE} GROUP BY ALL HAVING count(*) > 1
+_DUPLICATES = f"""SELECT session, turn_id FROM act WHERE source_kind IN {_LIFE} GROUP BY ALL HAVING count(*) > 1
 UNION SELECT a.session, a.turn_id FROM act a JOIN act b ON a.session = b.session AND ((a.turn_id IS NOT NULL AND a.turn_id = b.turn_id) OR (a.request_id IS NOT NULL AND a.request_id = b.request_id))
 WHERE a.source_kind IN {_LIFE} AND b.source_kind NOT IN ('final_request_counter', 'subagent_stop', 'subagent_lifecycle_counter', 'hermes_snapshot_delta', 'snapshot_delta')"""
-)
+
+
+@query(f"WITH {t.LEDGER}, act AS (SELECT * FROM ledger WHERE superseded_by IS NULL) {_DUPLICATES}")
 def dup_lifecycle(spark, sf_dir):
     return usage.duplicate_lifecycle(t.ledger(spark, sf_dir))
 
@@ -521,3 +521,89 @@ def confusion_matrix(spark, sf_dir):
     d = t.read(spark, sf_dir, "documents")
     made = F.when(F.col("doc_id") % 10 == 0, F.lit(None)).when(F.contains("text", F.lit("!!")) | F.contains("text", F.lit("|")), 0).otherwise(1)
     return confusion(t.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("expected")), d.select(F.col("doc_id").alias("id"), made.alias("predicted")).where("predicted is not null"))
+
+
+# Projects.
+
+
+@query(
+    """WITH s AS (SELECT 's' || CAST(c_custkey AS VARCHAR) AS session, CASE WHEN c_custkey % 11 > 0 THEN '/w/' || CAST(c_nationkey AS VARCHAR) || '/' || CAST(c_custkey AS VARCHAR) END AS cwd, CASE WHEN c_custkey % 13 = 0 THEN 'told' END AS override_key, CASE WHEN c_custkey % 17 = 0 THEN 'known' END AS verified_key, c_nationkey AS n, c_custkey AS c FROM customer)
+SELECT session, CASE WHEN override_key IS NOT NULL THEN override_key WHEN verified_key IS NOT NULL THEN verified_key WHEN cwd IS NULL THEN 'personal-unassigned' WHEN c % 10 = 0 THEN 'c' || CAST(c AS VARCHAR) WHEN n < 12 THEN 'n' || CAST(n AS VARCHAR) ELSE cwd END AS project_id,
+CASE WHEN override_key IS NOT NULL THEN 'override' WHEN verified_key IS NOT NULL THEN 'verified' WHEN cwd IS NULL THEN 'inbox' WHEN c % 10 = 0 THEN 'config' WHEN n < 12 THEN 'git' ELSE 'cwd' END AS method FROM s"""
+)
+def project_resolution(spark, sf_dir):
+    from costgrain.operators.projects import resolve
+
+    c = t.read(spark, sf_dir, "customer")
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    cwd = F.concat(F.lit("/w/"), nation.cast("string"), F.lit("/"), key.cast("string"))
+    sessions = c.select(F.concat(F.lit("s"), key.cast("string")).alias("session"), F.when(key % 11 > 0, cwd).alias("cwd"), F.when(key % 13 == 0, "told").alias("override_key"), F.when(key % 17 == 0, "known").alias("verified_key"))
+    own = c.where("c_custkey % 10 = 0").select(cwd.alias("path"), F.concat(F.lit("c"), key.cast("string")).alias("project_id"), F.lit("config").alias("root_type"), F.lit(True).alias("active"))
+    nations = t.read(spark, sf_dir, "nation").select(F.concat(F.lit("/w/"), F.col("n_nationkey").cast("string")).alias("path"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("project_id"), F.lit("git").alias("root_type"), (F.col("n_nationkey") < 12).alias("active"))
+    return resolve(sessions, own.unionByName(nations)).select("session", "project_id", "method")
+
+
+@query("SELECT user_id AS project_id, event_type AS path, arg_max(event_id % 3 > 0, event_id) AS active, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events GROUP BY ALL")
+def project_roots(spark, sf_dir):
+    from costgrain.operators.projects import current_roots
+
+    n = F.col("event_id")
+    changes = t.read(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), F.col("event_type").alias("path"), n.alias("at"), n.alias("n"), (n % 3 > 0).alias("active"), F.lit("cwd").alias("root_type"))
+    return current_roots(changes).drop("root_type")
+
+
+@query(
+    f"""WITH {t.ITEMS}, v AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS id, CASE o_orderkey % 3 WHEN 0 THEN 'title' ELSE 'parent_id' END AS field, CASE o_orderkey % 3 WHEN 0 THEN 'T' || CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'n' || CAST(o_orderkey % 25 AS VARCHAR) ELSE 'c' || CAST(o_custkey AS VARCHAR) END AS value, o_orderkey AS version FROM orders),
+l AS (SELECT id, field, arg_max(value, version) AS value FROM v WHERE NOT (field = 'parent_id' AND value = id) GROUP BY ALL)
+SELECT i.id, coalesce(a.value, i.title) AS title, coalesce(b.value, i.parent_id) AS parent_id FROM items i LEFT JOIN l a ON a.id = i.id AND a.field = 'title' LEFT JOIN l b ON b.id = i.id AND b.field = 'parent_id'"""
+)
+def item_versions(spark, sf_dir):
+    from costgrain.operators.projects import current_items
+
+    k, me = F.col("o_orderkey"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    value = F.when(k % 3 == 0, F.concat(F.lit("T"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("n"), (k % 25).cast("string"))).otherwise(me)
+    versions = t.read(spark, sf_dir, "orders").select(me.alias("id"), F.when(k % 3 == 0, "title").otherwise("parent_id").alias("field"), value.alias("value"), k.alias("version"))
+    items = t.items(spark, sf_dir).withColumn("type", F.lit("task"))
+    return current_items(items, versions).select("id", "title", "parent_id")
+
+
+@query(
+    f"""WITH {t.LEDGER}, {t.ANOMALIES}, act AS (SELECT * FROM ledger WHERE superseded_by IS NULL),
+r AS (SELECT request_id FROM act WHERE request_id IS NOT NULL AND source_kind NOT IN ('hermes_snapshot_delta', 'snapshot_delta') GROUP BY request_id HAVING count(*) > 1),
+l AS ({_DUPLICATES})
+SELECT (SELECT count(DISTINCT session) FROM ledger) AS sessions, (SELECT count(*) FROM r) AS duplicate_requests, (SELECT count(*) FROM l) AS duplicate_lifecycle,
+(SELECT count(*) FROM anomalies WHERE resolved_at IS NULL) AS open_anomalies, 'verified: child tokens included in parent (no double-counting)' AS subagents"""
+)
+def reconcile_report(spark, sf_dir):
+    from costgrain.operators.projects import reconcile
+
+    name = "subagent_tokens_already_in_parent"
+    known = spark.createDataFrame([(name, "unknown", None, "2024-01-01"), (name, "available", ' {"already_in_parent": true}', "2024-01-02")], "capability string, state string, detail string, checked_at string")
+    return reconcile(t.ledger(spark, sf_dir), t.anomalies(spark, sf_dir), known)
+
+
+@query(f"WITH {t.LEDGER}, {t.SPANS}, {t.ITEMS} SELECT (SELECT count(DISTINCT group_id) FROM attributions WHERE work_item_id = 'n3') AS groups, (SELECT count(DISTINCT span_id) FROM attributions WHERE work_item_id = 'n3') AS spans, (SELECT count(*) FROM items WHERE parent_id = 'n3') AS children, (SELECT count(*) FROM orders WHERE o_custkey % 25 = 3) AS notes")
+def merge_plan(spark, sf_dir):
+    from costgrain.operators.projects import merge_plan as plan
+
+    notes = t.read(spark, sf_dir, "orders").select(F.concat(F.lit("n"), (F.col("o_custkey") % 25).cast("string")).alias("work_item_id"))
+    return plan(t.attributions(spark, sf_dir), t.items(spark, sf_dir), notes, "n3")
+
+
+@query(f"WITH {t.LEDGER}, {t.SPANS} SELECT span_id FROM spans WHERE source_offset % 4 = 0 AND span_id NOT IN (SELECT span_id FROM attributions WHERE work_item_id = 'n3')")
+def split_check(spark, sf_dir):
+    from costgrain.operators.projects import missing_spans
+
+    return missing_spans(t.attributions(spark, sf_dir), t.spans(spark, sf_dir).where("source_offset % 4 = 0"), "n3")
+
+
+_LEAK_SQL = "contains(x, 'CANARY_SECRET') OR contains(x, 'sk-proj-') OR contains(x, 'ghp_')"
+
+
+@query(f"SELECT 'pages' AS \"table\", 'html' AS \"column\", CAST(page_id AS VARCHAR) AS id FROM (SELECT page_id, html || CASE WHEN page_id % 9 = 0 THEN 'sk-proj-x' ELSE '' END AS x FROM pages) WHERE {_LEAK_SQL} UNION ALL SELECT 'pages', 'url', CAST(page_id AS VARCHAR) FROM (SELECT page_id, url || CASE WHEN page_id % 8 = 0 THEN 'ghp_' ELSE '' END AS x FROM pages) WHERE {_LEAK_SQL}")
+def leak_tables(spark, sf_dir):
+    from costgrain.operators.projects import leaks_in
+
+    tail = lambda c, n, s: F.concat(c, F.when(F.col("page_id") % n == 0, s).otherwise(""))
+    pages = t.read(spark, sf_dir, "pages").select("page_id", tail(F.col("html"), 9, "sk-proj-x").alias("html"), tail(F.col("url"), 8, "ghp_").alias("url"))
+    return leaks_in({"pages": (pages, "page_id", ["html", "url", "no_such_column"])})
