@@ -55,6 +55,13 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [t or b"" for t in column.cast(kind).to_pylist()]
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, so that few texts are unpacked at a time."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def batch_of(schema: pa.Schema, *columns: Iterable) -> pa.RecordBatch:
     """A record batch from lists or arrays in the order of ``schema``."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]

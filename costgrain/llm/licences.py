@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costgrain.llm.common import batch_of, table, text_bytes
+from costgrain.llm.common import batch_of, small, table, text_bytes
 
 #: Rare words under which a template is filed.
 RARE = 2
@@ -81,7 +81,7 @@ def document_frequencies(docs: DataFrame) -> dict[bytes, int]:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter()
-        for b in batches:
+        for b in small(batches):
             for text in text_bytes(b.column(0)):
                 seen.update(wanted.intersection(words_of(text)))
         yield batch_of(schema, list(seen.keys()), list(seen.values()))
@@ -146,7 +146,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
         return len(words), len(base), min(starts, default=None), max(starts, default=None), joined(x for _, x in base), joined(index.templates[k].label for k, _, _ in found), max((s for _, _, s in found), default=0.0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = [one(t) for t in text_bytes(b.column(1))]
             yield batch_of(schema, b.column(0), *(list(c) for c in (zip(*rows, strict=True) if rows else [()] * 7)))
 

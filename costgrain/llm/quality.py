@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costgrain.llm.common import batch_of, in_training, table, text_bytes
+from costgrain.llm.common import batch_of, in_training, small, table, text_bytes
 from costgrain.llm.labelled import logistic, sample, sigmoid
 
 CUT = 0.7
@@ -105,7 +105,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Ranking:
     schema = pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield batch_of(schema, b.column(0), b.column(1), [features(t) for t in text_bytes(b.column(2))])
 
     rows = sample(docs, labels, "quality").mapInArrow(scan, "label int, doc_id long, x array<double>").toPandas()
@@ -126,7 +126,7 @@ def score(docs: DataFrame, model: Ranking) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield batch_of(schema, b.column(0), _scores(model, text_bytes(b.column(1))))
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -138,7 +138,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, where = learn(docs, labels), docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array(_scores(model, text_bytes(b.column(where))) >= CUT, pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)

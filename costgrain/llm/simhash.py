@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from costgrain.llm.common import apart, batch_of, cut, text_bytes
+from costgrain.llm.common import apart, batch_of, cut, small, text_bytes
 from costgrain.llm.components import components
 
 SHINGLE = 4
@@ -65,7 +65,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield batch_of(schema, b.column(0), [fingerprint(t) for t in text_bytes(b.column(1))])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, fp long")

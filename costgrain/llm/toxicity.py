@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costgrain.llm.common import batch_of, in_training, table, text_bytes
+from costgrain.llm.common import batch_of, in_training, small, table, text_bytes
 from costgrain.llm.labelled import logistic, sample, sigmoid
 
 CUT = 0.3
@@ -36,6 +36,8 @@ STARTS = (4, 5, 6, 7)
 #: A lexicon entry has these many toxic documents, likelihood ratio and log odds at least.
 LEAST_DOCS, LEAST_RATIO, LEAST_ODDS = 5, 18.0, 1.2
 LEXICON = 20_000
+#: Bytes whose trigrams are worked out at a time.
+PIECE = 1 << 20
 
 _DISGUISED = re.compile(
     r"(?<!\S)(?:[^\W\d_][ .\-_*]+){3,}[^\W\d_](?![^\W_])"  # letters set apart
@@ -65,9 +67,11 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_CODES**3, np.int64)
-        for b in batches:
-            c = _LETTER[np.frombuffer(b"  " + b"  ".join(text_bytes(b.column(0))) + b"  ", np.uint8)]
-            total += np.bincount((c[:-2] * _CODES + c[1:-1]) * _CODES + c[2:], minlength=_CODES**3)
+        for b in small(batches):
+            raw = np.frombuffer(b"  " + b"  ".join(text_bytes(b.column(0))) + b"  ", np.uint8)
+            for a in range(0, len(raw) - 2, PIECE):
+                c = _LETTER[raw[a : a + PIECE + 2]]
+                total += np.bincount((c[:-2] * _CODES + c[1:-1]) * _CODES + c[2:], minlength=_CODES**3)
         some = np.flatnonzero(total)
         yield batch_of(schema, pa.array(some, pa.int32()), pa.array(total[some]))
 
@@ -183,7 +187,7 @@ def _lexicon(marked: DataFrame, decoder: Decoder) -> dict[str, float]:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter(), Counter()
-        for b in batches:
+        for b in small(batches):
             for label, text in zip(b.column(0).to_pylist(), _strings(b.column(2)), strict=True):
                 seen[label].update({p for w in finds(text, decoder) for p in _parts(w)})
                 seen[label][""] += 1
@@ -218,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Toxicity:
     schema = pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield batch_of(schema, b.column(0), b.column(1), [blank.features(t) for t in _strings(b.column(2))])
 
     rows = marked.mapInArrow(scan, "label int, doc_id long, x array<double>").toPandas().sort_values(["doc_id", "label"], kind="stable")
@@ -237,7 +241,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield batch_of(schema, b.column(0), model.score(_strings(b.column(1))))
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -249,7 +253,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, where = learn(docs, labels), docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array(model.score(_strings(b.column(where))) < CUT, pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)
