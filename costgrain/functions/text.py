@@ -115,3 +115,29 @@ def leaks(text: Column) -> Column:
     """True for text that holds a secret or a raw payload."""
     raw = has_any(ascii_lower(text), PAYLOADS) & ~F.contains(text, F.lit(STORAGE_MODE))
     return has_any(text, LEAKS) | raw
+
+
+def scrub(message: Column, raw: Column) -> Column:
+    """An error message without the words of the line it is about, at most 300 characters.
+
+    Words of four and more characters, less the signs around them, that stand in
+    the line become a mark."""
+    tokens = F.filter(F.split(raw, r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 4)
+
+    def clean(known: Column) -> Column:
+        def one(word: Column) -> Column:
+            core = F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+            return F.when((F.length(core) >= 4) & F.array_contains(known, core), "[redacted]").otherwise(word)
+
+        words = F.filter(F.split(message, r"\s+"), lambda w: w != "")
+        return F.array_join(F.transform(words, one), " ")
+
+    out = F.transform(F.array(tokens), clean)[0]
+    return F.when(F.length(out) > 300, F.concat(F.substring(out, 1, 300), F.lit("…[truncated]"))).otherwise(out)
+
+
+def model_name(blob: Column, family: str = "gemini") -> Column:
+    """The first name of a model family in a text, without a trailing -control; null for none."""
+    found = F.regexp_extract(blob, family + r"-[A-Za-z0-9.\-]*", 0)
+    bare = F.regexp_replace(found, r"(-control)+$", "")
+    return F.when(bare != "", bare)

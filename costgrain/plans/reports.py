@@ -90,3 +90,16 @@ def write_lines(lines: DataFrame, folder: str, header: str | None = None) -> Non
     else:
         out = lines.orderBy("place")
     out.select("line").write.mode("overwrite").text(folder)
+
+
+def write_html(nodes: DataFrame, folder: str, title: str, disclaimer: str) -> None:
+    """The tree as a page: one table, rows in tree order, title and disclaimer escaped."""
+    from html import escape
+
+    head = f"<!doctype html><html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><p>{escape(disclaimer)}</p><table>"
+    rows = html_rows(nodes)
+    ends = [(0, head), (2, "</table></body></html>")]
+    place = rows.schema["place"].dataType
+    around = nodes.sparkSession.createDataFrame(ends, "f int, line string").select("f", F.lit(None).cast(place).alias("place"), "line")
+    page = around.unionByName(rows.select(F.lit(1).alias("f"), "place", "line")).orderBy("f", "place")
+    page.select("line").write.mode("overwrite").text(folder)
