@@ -40,13 +40,17 @@ LEXICON = 20_000
 PIECE = 1 << 20
 
 _DISGUISED = re.compile(
-    r"(?<!\S)(?:[^\W\d_][ .\-_*]+){3,}[^\W\d_](?![^\W_])"  # letters set apart
-    r"|\S*[^\W\d_][0-9@$!|+€£]+[^\W\d_]\S*"  # signs inside a word
-    r"|(?<!\S)[0-9@$€£][^\W\d_]{2,}\S*"  # or before it
-    r"|\S*([^\W\d_])\1\1\S*"  # letters repeated
-    r"|\S*[^\W\d_](?:[.\-_*~][^\W\d_]){2,}\S*"  # gaps inside a word
+    r"[^\W\d_][0-9@$!|+€£]+[^\W\d_]"  # signs inside a word
+    r"|^[0-9@$€£][^\W\d_]{2}"  # or before it
+    r"|([^\W\d_])\1\1"  # letters repeated
+    r"|[^\W\d_](?:[.\-_*~][^\W\d_]){2}"  # gaps inside a word
 )
-_EDGES = re.compile(r"^[^\w@$€£]+|(?:[^\w]|_)+$")
+_TRIPLE = re.compile(r"(.)\1\1")
+#: What may stand around a word and belongs to none; signs for letters only after it.
+_AROUND = ".,;:!?\"'()[]{}<>#%&*-_~`|/\\=+^…«»„“”’"
+_AFTER = _AROUND + "@$€£"
+#: So many letters set apart by blanks are one word.
+_APART = 4
 _WORDS = re.compile(r"[^\W\d_]+")
 _CODES = 28
 _LETTER = np.full(256, 27, np.int64)
@@ -96,9 +100,10 @@ class Decoder:
 
     model: np.ndarray
     known: dict[str, str] = field(default_factory=dict)
+    tokens: dict[str, tuple] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"model": self.model, "known": {}}
+        return {"model": self.model, "known": {}, "tokens": {}}
 
     def decode(self, span: str) -> str:
         """The likeliest letters of a span, in lower case."""
@@ -133,18 +138,49 @@ class Decoder:
             out.append(letter)
         return "".join(reversed(out))
 
-    def restore(self, text: str) -> str:
-        """The text in lower case with its disguised spans decoded."""
+    def token(self, shown: str) -> str:
+        """A token in lower case, decoded where it looks disguised."""
+        core = shown.strip(_AROUND).rstrip(_AFTER)
+        return self.decode(core) if _DISGUISED.search(core) else shown
 
-        def one(match: re.Match) -> str:
-            return self.decode(_EDGES.sub("", match[0]))
+    def apart(self, tokens: list[str]) -> list[str]:
+        """Decoded runs of letters that stand apart."""
+        if len(tokens) < _APART:
+            return []
+        single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], single, [0]))))
+        runs = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= _APART]
+        return [self.decode(" ".join(tokens[a:b])) for a, b in runs if "".join(tokens[a:b]).isalpha()]
 
-        return _DISGUISED.sub(one, text.lower())
+    def restore(self, text: str) -> str:
+        """The text in lower case with its disguised tokens decoded, and runs of
+        letters that stand apart put at its end."""
+        low = text.lower()
+        return re.sub(r"\S+", lambda m: self.token(m[0]), low) + "".join(f" {w}" for w in self.apart(low.split()))
 
 
 def finds(text: str, decoder: Decoder) -> set[str]:
     """The different words of the restored text."""
-    return set(_WORDS.findall(decoder.restore(text)))
+    low = text.lower()
+    tokens = low.split()
+    different = set(tokens)
+    words = set(filter(str.isalpha, different))
+    other = different - words
+    raw = np.frombuffer(low.encode(), np.uint8)
+    if ((raw[2:] == raw[1:-1]) & (raw[2:] == raw[:-2]) & (raw[2:] > 96)).any():
+        long = set(filter(_TRIPLE.search, words))
+        words -= long
+        other |= long
+    plain, known = [], decoder.tokens
+    for t in other:
+        if (found := known.get(t)) is None:
+            if len(known) > 50_000:
+                known.clear()
+            found = known[t] = tuple(_WORDS.findall(decoder.token(t)))
+        plain += found
+    words.update(plain)
+    words.update(decoder.apart(tokens))
+    return words
 
 
 def _parts(word: str) -> set[str]:
