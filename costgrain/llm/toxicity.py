@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,26 +23,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costgrain.llm.common import batch_of, in_training, small, table, text_bytes
-from costgrain.llm.labelled import logistic, sample, sigmoid
+from costgrain.llm.labelled import chosen, logistic, sample, sigmoid
 
 CUT = 0.3
 #: Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 #: Signs that may stand between letters and mean nothing.
 GAPS = " .-_*~'"
-#: Natural logarithms of the channel: a sign for a letter, a letter doubled, a gap.
-SIGN_COST, REPEAT_COST, GAP_COST = -1.5, -0.7, -0.1
+#: Natural logarithms of the channel: a sign for a letter, a letter repeated in a run
+#: of three and more, one that is only double, a gap.
+SIGN_COST, REPEAT_COST, DOUBLE_COST, GAP_COST = -1.5, -0.7, -3.0, -0.1
 #: Word beginnings of these many letters are features beside whole words.
 STARTS = (4, 5, 6, 7)
 #: A lexicon entry has these many toxic documents, likelihood ratio and log odds at least.
 LEAST_DOCS, LEAST_RATIO, LEAST_ODDS = 5, 18.0, 1.2
 LEXICON = 20_000
+#: Likelihood ratio from which a find is strong; columns of the regression.
+STRONG, WIDTH = 60.0, 7
 #: Bytes whose trigrams are worked out at a time.
 PIECE = 1 << 20
 
 _DISGUISED = re.compile(
     r"[^\W\d_][0-9@$!|+€£]+[^\W\d_]"  # signs inside a word
-    r"|^[0-9@$€£][^\W\d_]{2}"  # or before it
+    r"|^[0-9@$€£]{1,2}[^\W\d_]{2}"  # or before it
+    r"|[0-9@$€£][^\W\d_]{1,2}[0-9@$€£]"  # or around letters
     r"|([^\W\d_])\1\1"  # letters repeated
     r"|[^\W\d_](?:[.\-_*~][^\W\d_]){2}"  # gaps inside a word
 )
@@ -113,10 +118,18 @@ class Decoder:
             found = self.known[span] = self._search(span) if len(span) <= 400 else span
         return found
 
+    @staticmethod
+    def _repeats(span: str) -> list[float]:
+        """What it costs each character to repeat the letter before it."""
+        solid = [c for c in span if c not in GAPS]
+        runs = [len(list(g)) for _, g in groupby(solid)]
+        costs = iter([REPEAT_COST if n > 2 else DOUBLE_COST for n in runs for _ in range(n)])
+        return [0.0 if c in GAPS else next(costs) for c in span]
+
     def _search(self, span: str) -> str:
         # A state is the last two codes and the last letter read; it holds the best way there.
         states: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}
-        for read in span:
+        for read, repeat in zip(span, self._repeats(span), strict=True):
             means = [(read, 0.0)] if read.isalpha() else [(x, SIGN_COST) for x in SIGNS.get(read, "")]
             gap = read in GAPS or not means
             reached: dict[tuple[int, int, str], tuple[float, tuple]] = {}
@@ -126,7 +139,7 @@ class Decoder:
                     c = code(letter)
                     options.append(((b, c, letter), value + cost + self.model[a, b, c], (way, letter)))
                     if letter == last:
-                        options.append(((a, b, last), value + cost + REPEAT_COST, way))
+                        options.append(((a, b, last), value + cost + repeat, way))
                 for state, v, w in options:
                     if state not in reached or v > reached[state][0]:
                         reached[state] = (v, w)
@@ -192,33 +205,42 @@ class Toxicity:
     """Decoder, lexicon of log odds, and the regression on a document's finds."""
 
     decoder: Decoder
-    lexicon: dict[str, float]
+    lexicon: dict[str, tuple[float, bool]]
     weights: np.ndarray
 
     def __post_init__(self):
         object.__setattr__(self, "heads", {w[:4] for w in self.lexicon})
 
     def features(self, text: str) -> list[float]:
-        """Finds of a document: the strongest, their sum, number, and share."""
-        words, lexicon, heads, odds = finds(text, self.decoder), self.lexicon, self.heads, []
+        """Finds of a document: the strongest two, numbers of strong and weak ones, share of words."""
+        words, lexicon, heads, odds, strong = finds(text, self.decoder), self.lexicon, self.heads, [], 0
         for w in words:
             if w[:4] in heads:
-                best = max((lexicon[p] for p in _parts(w) if p in lexicon), default=0.0)
-                if best:
-                    odds.append(best)
+                found = [lexicon[p] for p in _parts(w) if p in lexicon]
+                if found:
+                    odds.append(max(x for x, _ in found))
+                    strong += any(x for _, x in found)
         top = sorted(odds, reverse=True)
-        return [1.0, top[0] if top else 0.0, top[1] if len(top) > 1 else 0.0, float(np.log1p(sum(odds))), float(np.log1p(len(odds))), float(np.log1p(100 * len(odds) / max(1, len(words))))]
+        share = 100 * len(top) / max(1, len(words))
+        return [1.0, top[0] if top else 0.0, top[1] if len(top) > 1 else 0.0, float(strong > 0), float(np.log1p(strong)), float(np.log1p(len(top) - strong)), float(np.log1p(share)) * (strong == 0)]
 
     def score(self, texts: list[str]) -> np.ndarray:
-        return sigmoid(np.array([self.features(t) for t in texts], float).reshape(-1, 6) @ self.weights)
+        return sigmoid(np.array([self.features(t) for t in texts], float).reshape(-1, WIDTH) @ self.weights)
 
 
 def _strings(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def _lexicon(marked: DataFrame, decoder: Decoder) -> dict[str, float]:
-    """Log odds of the words and word beginnings that mark labelled toxic documents."""
+def _lexicon(marked: DataFrame, decoder: Decoder, toxic: int, clean: int) -> dict[str, tuple[float, bool]]:
+    """Log odds, and whether they are sure, of the words and word beginnings that mark labelled toxic documents.
+
+    ``toxic`` and ``clean`` say how many labels of each kind there are. What is
+    too rare, or hardly commoner in toxic documents, stays with Spark; of the
+    rest at most LEXICON parts with the greatest likelihood ratios come back.
+    """
+    if not toxic or not clean:
+        return {}
     schema = pa.schema([("part", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,25 +248,17 @@ def _lexicon(marked: DataFrame, decoder: Decoder) -> dict[str, float]:
         for b in small(batches):
             for label, text in zip(b.column(0).to_pylist(), _strings(b.column(2)), strict=True):
                 seen[label].update({p for w in finds(text, decoder) for p in _parts(w)})
-                seen[label][""] += 1
         parts = list(seen[0].keys() | seen[1].keys())
         yield batch_of(schema, parts, [seen[1][p] for p in parts], [seen[0][p] for p in parts])
 
     counts = marked.mapInArrow(scan, "part string, toxic long, clean long").groupBy("part").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    often = counts.where((F.col("a") >= LEAST_DOCS) | (F.col("part") == ""))
-    rows = often.orderBy(F.desc("a"), "part").limit(20 * LEXICON).toPandas()  # two counts of parts that LEAST_DOCS sampled documents share
-    whole = rows[rows["part"] == ""]
-    if whole.empty or not int(whole["a"].iloc[0]) or not int(whole["b"].iloc[0]):
-        return {}
-    toxic, clean = float(whole["a"].iloc[0]), float(whole["b"].iloc[0])
-    rows = rows[rows["part"] != ""]
-    a, b = rows["a"].to_numpy(float), rows["b"].to_numpy(float)
-    odds = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    odds = F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))
     share = (a + b) / (toxic + clean)
-    ratio = 2 * (a * np.log(a / (toxic * share)) + b * np.log(np.maximum(b, 1e-9) / (clean * share)))
-    rows = rows.assign(odds=odds, ratio=ratio)[(odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO)]
-    rows = rows.sort_values(["ratio", "part"], ascending=[False, True]).head(LEXICON)
-    return dict(zip(rows["part"], rows["odds"].tolist(), strict=True))
+    ratio = 2 * (a * F.log(a / (toxic * share)) + F.when(b > 0, b * F.log(b / (clean * share))).otherwise(0.0))
+    told = counts.where(F.col("a") >= LEAST_DOCS).select("part", odds.alias("odds"), ratio.alias("ratio"))
+    best = told.where((F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "part").limit(LEXICON)
+    return {r["part"]: (r["odds"], r["ratio"] >= STRONG) for r in best.collect()}
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Toxicity:
@@ -254,7 +268,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Toxicity:
     the same for all."""
     decoder = Decoder(language_model(trigram_counts(docs)))
     marked = sample(docs, labels, "toxic")
-    blank = Toxicity(decoder, _lexicon(marked, decoder), np.zeros(6))
+    kinds = dict(map(tuple, chosen(labels, "toxic").groupBy("label").count().collect()))
+    blank = Toxicity(decoder, _lexicon(marked, decoder, kinds.get(1, 0), kinds.get(0, 0)), np.zeros(WIDTH))
     schema = pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Toxicity:
 
     rows = marked.mapInArrow(scan, "label int, doc_id long, x array<double>").toPandas().sort_values(["doc_id", "label"], kind="stable")
     if rows.empty:
-        return Toxicity(decoder, {}, np.array([-5.0, 0, 0, 0, 0, 0]))
+        return Toxicity(decoder, {}, np.array([-5.0] + [0.0] * (WIDTH - 1)))
     x, y = np.array(rows["x"].tolist(), float), rows["label"].to_numpy(float)
     return Toxicity(decoder, blank.lexicon, logistic(x, y, ridge=1e-4))
 
