@@ -27,6 +27,8 @@ SHARDS = 64
 SEED = 4
 #: Weights of sources by code point, null last, over and over.
 WEIGHTS = (5, 2, 1)
+#: Up to so many sources documents meet their numbers by a broadcast.
+FEW_SOURCES = 10_000
 #: Slots that one row of the plan gives at a time.
 STRETCH = 4096
 
@@ -121,6 +123,7 @@ def located(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, list[dict]]
         sources.append({"name": r[0], "size": size, "blocks": blocks, "target": float(aim), "slots": slots})
     number = [(s["name"], k) for k, s in enumerate(sources) if s["name"] is not None]
     known = docs.sparkSession.createDataFrame(number, "_name string, src int")
+    known = F.broadcast(known) if len(number) <= FEW_SOURCES else known
     with_src = sized.join(known, F.col("source").cast("string") == F.col("_name"), "left").drop("_name")
     with_src = with_src.withColumn("src", F.coalesce("src", F.lit(max(0, len(sources) - 1))))
     count = sum(r[2] for r in found)
@@ -172,7 +175,9 @@ def mix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, list
     null sources are one source, the last. An empty table gives an empty mix.
     """
     rows, sources = located(docs, block)
-    return slots(docs.sparkSession, sources).join(pieces(rows, block), ["src", "block"]), rows, sources
+    # The slots grow with the input, but Spark takes them for as few as the rows of the plan: they are not to be broadcast.
+    drawn = slots(docs.sparkSession, sources).hint("merge")
+    return drawn.join(pieces(rows, block), ["src", "block"]), rows, sources
 
 
 def taken(mixed: DataFrame, rows: DataFrame) -> DataFrame:
