@@ -24,7 +24,7 @@ BITS = 4
 #: Tries of the densification before it goes over all filled bins by priority.
 TRIES = 8
 #: Documents a bucket of the ordered table holds, and how many buckets there are at most.
-PER_BUCKET = 2_000
+PER_BUCKET = 500
 MOST_BUCKETS = 8_192
 QUANTILES = 64
 
