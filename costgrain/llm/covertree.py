@@ -1,10 +1,11 @@
 """Operator 2: exact top-k inner products by dual-tree search over cover trees.
 
-Queries and data are cut into groups of near vectors, and a cell of the search
-holds one group of queries and one stripe of data. In a cell both sides are
-indexed as cover trees: every node has a centre, a radius that covers its
-vectors, and children whose centres are far from each other. Pairs of nodes are
-visited from the likeliest down. The inner product of any query within rq of q
+Queries are dealt into groups and data into stripes by a hash of the id, so that
+no cell is larger than another however vectors crowd, and a cell of the search
+holds one group and one stripe. In a cell both sides are indexed as cover trees:
+every node has a centre, a radius that covers its vectors, and children whose
+centres are far from each other. Pairs of nodes are visited from the likeliest
+down. The inner product of any query within rq of q
 and vector within rp of p is at most q.p + rq |p| + rp |q| + rq rp; where that is
 below the worst kth score of the query node, the pair is pruned. The cells'
 results for a query are merged by rank.

@@ -40,8 +40,8 @@ LEAST_DOCS, LEAST_RATIO, LEAST_ODDS = 5, 18.0, 1.2
 LEXICON = 20_000
 #: Likelihood ratio from which a find is strong; columns of the regression.
 STRONG, WIDTH = 60.0, 7
-#: Bytes whose trigrams are worked out at a time.
-PIECE = 1 << 20
+#: Bytes whose trigrams are worked out at a time, and characters of a span that are decoded at a time.
+PIECE, SPAN = 1 << 20, 400
 
 _DISGUISED = re.compile(
     r"[^\W\d_][0-9@$!|+€£]+[^\W\d_]"  # signs inside a word
@@ -111,11 +111,13 @@ class Decoder:
         return {"model": self.model, "known": {}, "tokens": {}}
 
     def decode(self, span: str) -> str:
-        """The likeliest letters of a span, in lower case."""
+        """The likeliest letters of a span, in lower case; a long span is decoded piece by piece."""
+        if len(span) > SPAN:
+            return "".join(self.decode(span[a : a + SPAN]) for a in range(0, len(span), SPAN))
         if (found := self.known.get(span)) is None:
             if len(self.known) > 50_000:
                 self.known.clear()
-            found = self.known[span] = self._search(span) if len(span) <= 400 else span
+            found = self.known[span] = self._search(span)
         return found
 
     @staticmethod

@@ -28,6 +28,12 @@ def test_plain_text_stays(decoder):
     assert decoder.restore("") == ""
 
 
+def test_long_spans_are_decoded_whole(decoder):
+    long = "1d10t" * 400
+    assert decoder.decode(long) == "".join(decoder.decode(long[a : a + toxicity.SPAN]) for a in range(0, len(long), toxicity.SPAN))
+    assert decoder.restore(f"you {long} there").count("idiot") > 390
+
+
 def test_viterbi_finds_the_likeliest(decoder):
     """What is found is among the best of every way through the lattice of a span."""
     m = decoder.model
