@@ -1,9 +1,11 @@
 """Operator 8: class-based n-gram scoring with Brown's exchange clustering.
 
-The documents that teach give a count to every word. Words fall into types: the
-commonest ones stand for themselves, all others share a type with the words of
-the same ending. Exchange clustering moves one type at a time to the class that
-raises the likelihood of the class bigrams most, until nothing moves. A text's
+The documents that teach give a count to every word. Words fall into types: all
+that are seen ``LEAST`` times stand for themselves, rarer ones share a type with
+the rare words of the same ending. Exchange clustering moves types to the class
+that raises the likelihood of the class bigrams most: the commonest one at a time,
+then all in rounds, until a round gains next to nothing. Bigrams of types
+stay with Spark; only counts of class bigrams come to the driver. A text's
 probability is the product over its tokens of P(class | class before) and
 P(word | class), both smoothed so that nothing is impossible.
 
@@ -15,7 +17,6 @@ the texts and each share's vocabulary, and nothing large is broadcast.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -32,9 +33,15 @@ from costgrain.llm.common import batch_of, cut, in_training, small, table, text_
 #: The token that ends every text. No word is empty, so this is none of them.
 END = b""
 MODULUS, HELD_OUT = 7, 2
-#: Types of their own for so many of the commonest words; endings share the others.
-COMMON, ENDINGS = 254, 128
+#: Words that teach so often are types of their own; rarer ones share a type by their last letters.
+LEAST, ENDING = 20, 3
 CLASSES = 32
+#: The commonest types that are clustered first, on the driver.
+HEAD = 382
+#: Natural logarithm of the likelihood, for each token, that a round has to gain for another one.
+LEAST_GAIN = 1e-3
+#: Up to so many types meet their classes by a broadcast.
+FEW_TYPES = 500_000
 #: Bytes of text in a share, about, and how many shares there are at least.
 SHARE_BYTES, LEAST_SHARES = 16 << 20, 64
 #: Class bigrams added to each row, for each class, in the proportion of the classes; and
@@ -47,18 +54,9 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-@dataclass(frozen=True)
-class Types:
-    """Which of the types a word is of: its rank among the common ones, or that of its ending."""
-
-    common: dict[bytes, int]
-
-    def __len__(self) -> int:
-        return len(self.common) + ENDINGS
-
-    def of(self, word: bytes) -> int:
-        found = self.common.get(word)
-        return len(self.common) + zlib.crc32(word[-3:]) % ENDINGS if found is None else found
+def _type(word: Column, count: Column) -> Column:
+    """The type of a word by its count: a hash of the word itself, or of its ending where it is rare."""
+    return F.when(count >= LEAST, F.xxhash64(F.lit(1), word)).otherwise(F.xxhash64(F.lit(0), F.right(word.cast("string"), F.lit(ENDING))))
 
 
 def _shares(docs: DataFrame) -> DataFrame:
@@ -100,34 +98,37 @@ def _vocabularies(shares: DataFrame) -> DataFrame:
     return shares.sortWithinPartitions("share").mapInArrow(scan, "share int, word binary, n long")
 
 
-def _bigrams(docs: DataFrame, types: Types) -> np.ndarray:
-    """Counts of adjacent types in the texts that teach; row of the last type: the start of a text.
+def _counted(shares: DataFrame) -> DataFrame:
+    """(share, word, n, c, t): the words of the shares with their count in all that teaches, and their type; cut off."""
+    counted = cut(_vocabularies(shares).withColumn("c", F.sum("n").over(W.partitionBy("word"))))
+    return counted.withColumn("t", _type(F.col("word"), F.col("c")))
 
-    Each task adds up its own; at most the square of the types reaches the driver."""
-    size = len(types)
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, of, known = np.zeros((size + 1) * size, np.int64), types.of, {}
-        for b in small(batches):
-            for text in text_bytes(b.column(0)):
-                row = []
-                for w in tokens(text):
-                    if (t := known.get(w)) is None:
-                        t = known[w] = of(w)
-                    row.append(t)
-                seen = np.array([size, *row])
-                np.add.at(total, seen[:-1] * size + seen[1:], 1)
-                if len(known) > 300_000:
-                    known.clear()
-        some = np.flatnonzero(total)
-        yield batch_of(schema, pa.array(some), pa.array(total[some]))
-
-    teach = docs.where(in_training(F.col("doc_id"), MODULUS, HELD_OUT)).select(F.col("text").cast("string"))
-    rows = teach.mapInArrow(scan, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    cells = np.zeros((size + 1) * size, np.int64)
-    cells[rows["pair"].to_numpy(int)] = rows["n"].to_numpy(int)
-    return cells.reshape(size + 1, size)
+def _bigrams(shares: DataFrame, by_share: DataFrame) -> DataFrame:
+    """(a, b, n): counts of adjacent types in the texts that teach, cut off; a is null at the start of a text."""
+
+    def one_share(texts: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
+        types, number = np.unique(vocabulary["t"].to_numpy(np.int64), return_inverse=True)
+        at = dict(zip(map(bytes, vocabulary["word"]), number.tolist(), strict=True))
+        size, pairs, left, waiting = len(types), [], [], 0
+        for text in texts["text"]:
+            k = np.fromiter(map(at.__getitem__, tokens(text.encode())), np.int64)
+            left.append(np.append(size, k[:-1]) * size + k)
+            waiting += len(k)
+            if waiting > 2_000_000:
+                pairs.append(np.unique(np.concatenate(left), return_counts=True))
+                left, waiting = [], 0
+        pairs += [np.unique(np.concatenate(left), return_counts=True)] if left else []
+        cell, n = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        first = cell // max(1, size)
+        a = pd.arrays.IntegerArray(np.append(types, 0)[first], first == size)
+        return pd.DataFrame({"a": a, "b": types[cell % max(1, size)], "n": n})
+
+    teach = shares.where("learn").select("share", "text").groupBy("share")
+    found = teach.cogroup(by_share.where("n > 0").select("share", "word", "t").groupBy("share")).applyInPandas(one_share, "a long, b long, n long")
+    # Written as lists, which take a third of the room; a list has a number for each type at most.
+    lists = found.repartition("a").groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("a").agg(F.collect_list("b").alias("b"), F.collect_list("n").alias("n"))
+    return cut(lists).select("a", F.explode(F.arrays_zip("b", "n")).alias("x")).select("a", "x.b", "x.n")
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 20) -> np.ndarray:
@@ -174,43 +175,175 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 20) -> n
     return of
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def best_moves(table: np.ndarray, row: np.ndarray, column: np.ndarray, own: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best class of each of many types, the others staying, and what the likelihood gains.
+
+    ``table`` counts class bigrams; ``row`` and ``column`` how often classes come after
+    and before each type, ``own`` how often it follows itself. A home below 0: in no class yet.
+    """
+    classes, out, gains = len(table), np.zeros(len(home), np.int64), np.zeros(len(home))
+    for at in range(0, len(home), 500):
+        here = slice(at, at + 500)
+        h, o, many = home[here], own[here].astype(float), np.arange(len(home[here]))
+        r, c, settled = row[here].astype(float), column[here].astype(float), h >= 0
+        k, g = many[settled], h[settled]
+        r[k, g] -= o[k]
+        c[k, g] -= o[k]
+        rest = np.repeat(table[None].astype(float), len(h), axis=0)
+        rest[k, g] -= r[k]
+        rest[k, :, g] -= c[k]
+        rest[k, g, g] -= o[k]
+        before, d = _xlogx(rest), np.arange(classes)
+        after = _xlogx(rest + r[:, None, :]) - before
+        below = _xlogx(rest + c[:, :, None]) - before
+        value = after.sum(axis=2) - after[:, d, d] + below.sum(axis=1) - below[:, d, d]
+        value += _xlogx(rest[:, d, d] + r + c + o[:, None]) - before[:, d, d]
+        rows, columns = rest.sum(axis=2) + c, rest.sum(axis=1) + r
+        value -= _xlogx(rows + (r.sum(axis=1) + o)[:, None]) - _xlogx(rows) + _xlogx(columns + (c.sum(axis=1) + o)[:, None]) - _xlogx(columns)
+        best = value.argmax(axis=1)
+        out[here] = best
+        gains[here] = value[many, best] - np.where(settled, value[many, np.maximum(h, 0)], -np.inf)
+    return out, gains
+
+
+def _likelihood(table: np.ndarray) -> float:
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def _few(classes: DataFrame, types: int) -> DataFrame:
+    return F.broadcast(classes) if types <= FEW_TYPES else classes
+
+
+def _class_table(bigrams: DataFrame, classes: DataFrame, types: int) -> np.ndarray:
+    """Counts of class bigrams among the types that have a class; last row: at the start."""
+    small_one = _few(classes, types)
+    met = bigrams.join(small_one.toDF("b", "d"), "b").join(small_one.toDF("a", "c"), "a", "left").where("a is null or c is not null")
+    out = np.zeros((CLASSES + 1, CLASSES))
+    for c, d, n in met.groupBy("c", "d").agg(F.sum("n")).collect():  # the square of the classes
+        out[CLASSES if c is None else c, d] += n
+    return out
+
+
+def _proposed(bigrams: DataFrame, classes: DataFrame, homes: DataFrame, types: int, table: np.ndarray) -> DataFrame:
+    """(t, home, best, gain) of every type of ``homes`` (t, c), by its neighbours that have a class."""
+    small_one, own, at_home = _few(classes, types), 2 * CLASSES, 2 * CLASSES + 1
+    pairs = bigrams.where("a is not null")
+    others = pairs.where("a <> b")
+    after = others.join(small_one.toDF("b", "c"), "b").select(F.col("a").alias("t"), F.col("c").alias("slot"), "n")
+    before = others.join(small_one.toDF("a", "c"), "a").select(F.col("b").alias("t"), (F.col("c") + CLASSES).alias("slot"), "n")
+    selves = pairs.where("a = b").select(F.col("a").alias("t"), F.lit(own).alias("slot"), "n")
+    counts = after.unionByName(before).unionByName(selves).groupBy("t", "slot").agg(F.sum("n").alias("n"))
+    seated = homes.select("t", F.lit(at_home).alias("slot"), F.col("c").cast("long").alias("n"))
+    schema = pa.schema([("t", pa.int64()), ("home", pa.int32()), ("best", pa.int32()), ("gain", pa.float64())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)) for b in batches]
+        if not got:
+            return
+        t, slot, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        known, number = np.unique(t, return_inverse=True)
+        cells = np.zeros((len(known), at_home + 1))
+        cells[:, at_home] = -2  # not among the homes
+        cells[number, slot] = n
+        cells, known = (x[cells[:, at_home] > -2] for x in (cells, known))
+        home, self_ = cells[:, at_home].astype(np.int64), cells[:, own]
+        row, column, k = cells[:, :CLASSES].copy(), cells[:, CLASSES:own].copy(), np.flatnonzero(home >= 0)
+        row[k, home[k]] += self_[k]
+        column[k, home[k]] += self_[k]
+        best, gain = best_moves(table, row, column, self_, home)
+        for a in range(0, len(known), 10_000):
+            yield batch_of(schema, *(x[a : a + 10_000] for x in (known, home.astype(np.int32), best.astype(np.int32), gain)))
+
+    return counts.unionByName(seated).repartition("t").mapInArrow(scan, "t long, home int, best int, gain double")
+
+
+def cluster(bigrams: DataFrame, types: DataFrame, rounds: int = 20) -> tuple[DataFrame, np.ndarray]:
+    """(t, c) of all types (t, n), and the counts of class bigrams; both tables are to be cut off before.
+
+    The commonest HEAD types are clustered on the driver, the others join the class that
+    suits them best among these. Then rounds move a part of all types, each to
+    the class that is best while the others stay. A round that lowers the likelihood is
+    undone and the next moves a part a quarter as large; it ends when a round gains
+    less than LEAST_GAIN a token.
+    """
+    spark = bigrams.sparkSession
+    heads = [r[0] for r in types.orderBy(F.desc("n"), "t").limit(HEAD).collect()]
+    at = {t: k for k, t in enumerate(heads)}
+    among = np.zeros((len(heads) + 1, len(heads)))
+    table = spark.createDataFrame([(t,) for t in heads], "t long")  # HEAD rows
+    inside = bigrams.join(F.broadcast(table.toDF("a")), "a").join(F.broadcast(table.toDF("b")), "b")
+    for a, b, n in inside.select("a", "b", "n").collect():  # the square of HEAD
+        among[at[a], at[b]] = n
+    of = exchange(among)
+    seats = spark.createDataFrame(list(zip(heads, of.tolist(), strict=True)), "t long, c int")
+    count = types.count()
+    member = np.eye(CLASSES)[of]
+    rest = types.join(F.broadcast(seats), "t", "left_anti").select("t", F.lit(-1).alias("c"))
+    joined = _proposed(bigrams, seats, rest, 0, member.T @ among[:-1] @ member)
+    classes = cut(seats.unionByName(joined.select("t", F.col("best").alias("c"))))
+    counts = _class_table(bigrams, classes, count)
+    value, part, tokens_ = _likelihood(counts[:-1]), 2, max(1.0, counts.sum())
+    for k in range(rounds):
+        spark.sparkContext._jvm.System.gc()  # Spark drops what rounds before have shuffled only when their plans are collected
+        moves = _proposed(bigrams, classes, classes, count, counts[:-1])
+        turn = (F.pmod(F.xxhash64("t", F.lit(k)), F.lit(part)) == 0) & (F.col("gain") > 1e-6)
+        tried = cut(moves.select("t", F.when(turn, F.col("best")).otherwise(F.col("home")).alias("c")))
+        counts_tried = _class_table(bigrams, tried, count)
+        gained = _likelihood(counts_tried[:-1]) - value
+        if gained > 0:
+            classes, counts, value = tried, counts_tried, value + gained
+        elif part < 32:
+            part *= 4
+            continue
+        if gained < LEAST_GAIN * tokens_:
+            break
+    return classes, counts
+
+
 @dataclass(frozen=True)
 class ClassModel:
     """What scoring needs beside the counts of words; logarithms are to base 10."""
 
-    types: Types
-    of_type: np.ndarray  # class of each type
+    classes: DataFrame | None  # (t, c): class of each type; stays with Spark
+    spare: int  # class of words whose ending was never seen
     follow: np.ndarray  # log P(class | class before); last row: at the start
     weight: np.ndarray  # log of what a class's counts add up to, smoothed
     total: int  # tokens that teach
     different: int  # different ones
 
+    def __getstate__(self):
+        return self.__dict__ | {"classes": None}
+
+    def emitted(self, where: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P(word | class), and base log probability of words of these classes and counts."""
+        return np.log10(counts + 1.0) - self.weight[where], np.log10((counts + 1.0) / (self.total + self.different + 1.0))
+
     def known(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, log10 P(word | class), and base log probability of words."""
-        of = self.types.of
-        where = self.of_type[np.fromiter(map(of, words), int, len(words))]
-        return where, np.log10(counts + 1.0) - self.weight[where], np.log10((counts + 1.0) / (self.total + self.different + 1.0))
+        """Class, log10 P(word | class), and base log probability of a few words."""
+        rows = [(k, bytearray(w), int(n)) for k, (w, n) in enumerate(zip(words, counts, strict=True))]
+        asked = self.classes.sparkSession.createDataFrame(rows, "k int, word binary, n long").withColumn("t", _type(F.col("word"), F.col("n")))
+        where = np.array([r[1] for r in sorted(map(tuple, asked.join(self.classes, "t", "left").select("k", F.coalesce("c", F.lit(self.spare))).collect()))], int)
+        return where, *self.emitted(where, counts)
 
 
-def _model(words: DataFrame, docs: DataFrame) -> ClassModel:
+def _model(words: DataFrame, docs: DataFrame, by_share: DataFrame | None = None) -> ClassModel:
     """Cluster and estimate from (word, n) of the words that teach."""
     row = words.agg(F.count("*"), F.sum("n")).first()
-    common = [bytes(r[0]) for r in words.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
-    types = Types({w: k for k, w in enumerate(common)})
-    bigrams = _bigrams(docs, types)
-    of = exchange(bigrams)
-    member = np.eye(CLASSES)[of]
-    pairs = np.vstack((member.T @ bigrams[:-1] @ member, bigrams[-1:] @ member))
-    ending = F.pmod(F.crc32(F.expr("substring(word, -least(3, length(word)), 3)")), F.lit(ENDINGS)).alias("t")
-    rare = words.where(~F.col("word").isin([F.lit(w) for w in common])) if common else words
-    of_ending = dict(map(tuple, rare.groupBy(ending).agg(F.count("*")).collect()))
-    kinds = np.ones(len(types))
-    kinds[len(common) :] = [of_ending.get(k, 0) for k in range(ENDINGS)]
+    shares = _shares(docs)
+    bigrams = _bigrams(shares, _counted(shares) if by_share is None else by_share)
+    types = cut(words.select(_type(F.col("word"), F.col("n")).alias("t"), "n").groupBy("t").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")))
+    classes, pairs = cluster(bigrams, types)
+    seen, more = np.zeros(CLASSES), np.zeros(CLASSES)
+    for c, n, kinds in types.join(classes, "t").groupBy("c").agg(F.sum("n"), F.sum("kinds")).collect():  # one row a class
+        seen[c], more[c] = n, kinds
     # Add-one smoothing gives each class as much more as it has different words, here and in what follows what.
-    seen, more = bigrams.sum(axis=0) @ member, kinds @ member
     mass = seen + more + 1e-9
     pairs = pairs * (mass / np.maximum(seen, 1)) + TRANSITION * CLASSES * mass / mass.sum()
-    return ClassModel(types, of, np.log10(pairs / pairs.sum(axis=1, keepdims=True)), np.log10(seen + more + UNSEEN), int(row[1] or 0), int(row[0] or 0))
+    return ClassModel(classes, int(more.argmax()), np.log10(pairs / pairs.sum(axis=1, keepdims=True)), np.log10(seen + more + UNSEEN), int(row[1] or 0), int(row[0] or 0))
 
 
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -226,15 +359,17 @@ def score(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty one.
     """
     shares = _shares(docs)
-    by_share = cut(_vocabularies(shares).withColumn("c", F.sum("n").over(W.partitionBy("word"))))
+    by_share = _counted(shares)
     words = by_share.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
-    model = _model(cut(words), docs)
+    model = _model(cut(words), docs, by_share)
+    classes = _few(model.classes, model.different)  # no more types than words
 
     def one_share(texts: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
         words = [bytes(w) for w in vocabulary["word"]]
         counts = vocabulary["c"].to_numpy(float)
         at = dict(zip(words, range(len(words)), strict=True))
-        where, emit, base = model.known(words, counts)
+        where = vocabulary["class"].to_numpy(int)
+        emit, base = model.emitted(where, counts)
         seen = counts > 0
         out = []
         for doc_id, learn, text in zip(texts["doc_id"], texts["learn"], texts["text"], strict=True):
@@ -244,7 +379,8 @@ def score(docs: DataFrame) -> DataFrame:
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in _RESULT.split(", ")])
         return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
-    return shares.groupBy("share").cogroup(by_share.select("share", "word", "c").groupBy("share")).applyInPandas(one_share, _RESULT)
+    placed = by_share.join(classes.toDF("t", "class"), "t", "left").select("share", "word", "c", F.coalesce("class", F.lit(model.spare)).alias("class"))
+    return shares.groupBy("share").cogroup(placed.groupBy("share")).applyInPandas(one_share, _RESULT)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -54,3 +54,34 @@ def test_the_class_model_is_no_more_than_a_distribution(spark):
 
 def test_no_documents(empty):
     assert brown.score(empty).count() == 0
+
+
+def test_best_moves_are_the_exchange_criterion():
+    rng = np.random.default_rng(2)
+    pairs = rng.poisson(3, (12, 12)).astype(float)
+    of = rng.integers(0, 4, 12)
+    member = np.eye(4)[of]
+    best, gain = brown.best_moves(member.T @ pairs @ member, pairs @ member, (member.T @ pairs).T, np.diag(pairs), of)
+    now = likelihood(pairs, of, 4)
+    for t in range(12):
+        tried = [likelihood(pairs, np.where(np.arange(12) == t, c, of), 4) for c in range(4)]
+        assert math.isclose(max(tried) - now, gain[t], abs_tol=1e-6) and math.isclose(tried[best[t]], max(tried))
+
+
+def test_words_beyond_the_commonest_are_clustered_on_their_own(spark):
+    """500 words of two kinds that share every ending: what stands around them parts them, however many there are."""
+    docs = spark.createDataFrame([(k, f"the a{k // 2 % 250}xyz runs home" if k % 2 else f"gold b{k // 2 % 250}xyz of old wine") for k in range(20_000)], "doc_id long, text string")
+    shares = brown._shares(docs)
+    words = brown._vocabularies(shares).groupBy("word").agg({"n": "sum"}).toDF("word", "n").where("n > 0")
+    model = brown._model(words, docs)
+    rows = [(bytes(r[0]), r[1]) for r in words.collect()]
+    assert len({r[0] for r in model.classes.select("t").collect()}) == len(rows) == 508
+    where = dict(zip((w for w, _ in rows), model.known([w for w, _ in rows], np.array([n for _, n in rows], float))[0], strict=True))
+    of = lambda first: {c for w, c in where.items() if w.startswith(first) and w.endswith(b"xyz")}
+    assert not of(b"a") & of(b"b")
+
+
+def test_endings_are_letters_and_not_hashed_together(spark):
+    words = spark.createDataFrame([(bytearray(w.encode()), 1) for w in ("xéàü", "yéàü", "xéàö")], "word binary, n long")
+    a, b, c = (r[0] for r in words.select(brown._type(words["word"], words["n"])).collect())
+    assert a == b != c
