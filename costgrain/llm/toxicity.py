@@ -33,6 +33,8 @@ GAPS = " .-_*~'"
 #: Natural logarithms of the channel: a sign for a letter, a letter repeated in a run
 #: of three and more, one that is only double, a gap.
 SIGN_COST, REPEAT_COST, DOUBLE_COST, GAP_COST = -1.5, -0.7, -3.0, -0.1
+#: The same of a gap among letters that stand apart which parts two words.
+BREAK_COST = -1.0
 #: Word beginnings of these many letters are features beside whole words.
 STARTS = (4, 5, 6, 7)
 #: A lexicon entry has these many toxic documents, likelihood ratio and log odds at least.
@@ -54,8 +56,10 @@ _TRIPLE = re.compile(r"(.)\1\1")
 #: What may stand around a word and belongs to none; signs for letters only after it.
 _AROUND = ".,;:!?\"'()[]{}<>#%&*-_~`|/\\=+^…«»„“”’"
 _AFTER = _AROUND + "@$€£"
-#: So many letters set apart by blanks are one word.
-_APART = 4
+#: Letters, or signs for letters, that each stand alone between gaps of any length: four and more.
+_UNIT = r"[^\W_@$€£]|[@$!|+€£]"
+_APART = re.compile(rf"(?<![^\W_])(?<![@$€£])(?:{_UNIT})(?:[\s.\-_*~']+(?:{_UNIT})(?![^\W_])(?![@$€£])){{3,}}")
+_LONE, _WIDE = re.compile(_UNIT), re.compile(r"[\s.\-_*~']+")
 _WORDS = re.compile(r"[^\W\d_]+")
 _CODES = 28
 _LETTER = np.full(256, 27, np.int64)
@@ -128,7 +132,8 @@ class Decoder:
         costs = iter([REPEAT_COST if n > 2 else DOUBLE_COST for n in runs for _ in range(n)])
         return [0.0 if c in GAPS else next(costs) for c in span]
 
-    def _search(self, span: str) -> str:
+    def _search(self, span: str, breaks: bool = False) -> str:
+        """The likeliest letters; with ``breaks`` a gap may also end a word, which gives a blank."""
         # A state is the last two codes and the last letter read; it holds the best way there.
         states: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}
         for read, repeat in zip(span, self._repeats(span), strict=True):
@@ -137,6 +142,8 @@ class Decoder:
             reached: dict[tuple[int, int, str], tuple[float, tuple]] = {}
             for (a, b, last), (value, way) in states.items():
                 options = [((a, b, last), value + GAP_COST, way)] if gap else []
+                if gap and breaks and b:
+                    options.append(((b, 0, ""), value + BREAK_COST + self.model[a, b, 0], (way, " ")))
                 for letter, cost in means:
                     c = code(letter)
                     options.append(((b, c, letter), value + cost + self.model[a, b, c], (way, letter)))
@@ -158,20 +165,32 @@ class Decoder:
         core = shown.strip(_AROUND).rstrip(_AFTER)
         return self.decode(core) if _DISGUISED.search(core) else shown
 
-    def apart(self, tokens: list[str]) -> list[str]:
-        """Decoded runs of letters that stand apart."""
-        if len(tokens) < _APART:
-            return []
-        single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], single, [0]))))
-        runs = [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= _APART]
-        return [self.decode(" ".join(tokens[a:b])) for a, b in runs if "".join(tokens[a:b]).isalpha()]
+    def apart(self, low: str) -> list[str]:
+        """Words that letters standing apart may mean: the whole span, its parts between
+        wider gaps, what is left without a one-letter word at either end, and the
+        likeliest words where any gap may part two."""
+        out: dict[str, None] = {}
+        for m in _APART.finditer(low):
+            units, gaps = _LONE.findall(m[0]), _WIDE.findall(m[0])
+            if 2 * sum(map(str.isalpha, units)) <= len(units):
+                continue
+            least, parts = min(map(len, gaps)), [[units[0]]]
+            for gap, unit in zip(gaps, units[1:], strict=True):
+                if len(gap) > least:
+                    parts.append([])
+                parts[-1].append(unit)
+            spans = [units, *(p for p in parts if len(p) > 1), units[1:], units[:-1]]
+            for span in spans:
+                out[self.decode(" ".join(span))] = None
+            for k in range(0, len(units), SPAN // 2):
+                out |= dict.fromkeys(self._search(" ".join(units[k : k + SPAN // 2]), breaks=True).split())
+        return list(out)
 
     def restore(self, text: str) -> str:
         """The text in lower case with its disguised tokens decoded, and runs of
         letters that stand apart put at its end."""
         low = text.lower()
-        return re.sub(r"\S+", lambda m: self.token(m[0]), low) + "".join(f" {w}" for w in self.apart(low.split()))
+        return re.sub(r"\S+", lambda m: self.token(m[0]), low) + "".join(f" {w}" for w in self.apart(low))
 
 
 def finds(text: str, decoder: Decoder) -> set[str]:
@@ -194,7 +213,7 @@ def finds(text: str, decoder: Decoder) -> set[str]:
             found = known[t] = tuple(_WORDS.findall(decoder.token(t)))
         plain += found
     words.update(plain)
-    words.update(decoder.apart(tokens))
+    words.update(filter(str.isalpha, decoder.apart(low)))
     return words
 
 

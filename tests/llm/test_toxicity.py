@@ -78,3 +78,13 @@ def test_odd_rows(spark, docs, rows, empty):
 
 def test_model_is_a_distribution(decoder):
     assert np.allclose(np.exp(decoder.model).sum(axis=2), 1)
+
+
+@pytest.mark.parametrize(
+    "shown",
+    ["i . d . i . o . t", "i- d- i- o- t", "i--d--i--o--t", "s t u p i d.", "s t u p i d!", "s t u p 1 d", "i.d.1.o.t", "a s t u p i d", "i d i o t   s t u p i d", "m o r o n i d i o t"],
+)
+def test_letters_set_apart_are_found(decoder, shown):
+    meant = {w for w in ("idiot", "stupid", "moron") if w in "".join(x for x in shown.replace("1", "i") if x.isalpha())}
+    assert meant and meant <= toxicity.finds(f"you {shown} there", decoder)
+    assert meant <= set(decoder.restore(f"you {shown} there").split())
