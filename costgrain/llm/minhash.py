@@ -3,8 +3,8 @@
 Every shingle of five words is hashed once; the leading bits of the hash choose
 one of ``BINS`` bins, and a bin keeps its least hash. Bins that stay empty take
 the value of a filled one by optimal densification: bin i tries bins hash(i, t)
-for t = 0, 1, ... until one is filled. Of each bin the low ``BITS`` bits are
-stored. Two unlike bins agree on them by chance with probability 2**-BITS, so
+for t = 0, 1, ... until one is filled. Of a hash of each bin's number and value
+the low ``BITS`` bits are stored, so that bins with one value agree by chance apart. Two unlike bins agree on them by chance with probability 2**-BITS, so
 the share E of equal bins is corrected to (E - 2**-BITS) / (1 - 2**-BITS).
 """
 
@@ -53,7 +53,7 @@ def _hashes(words: Column) -> Column:
 
 
 def _densified(least: Column) -> Column:
-    """Low bits of all bins from the least hashes of the filled ones."""
+    """Low bits of a hash of each bin and its value, from the least hashes of the filled bins."""
 
     def spread(by_bin: Column) -> Column:
         filled = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.try_element_at(by_bin, i))
@@ -62,14 +62,13 @@ def _densified(least: Column) -> Column:
             def one(x: Column, i: Column) -> Column:
                 tried = [F.get(v, F.get(t, i)) for t in _tries()]
                 rest = F.array_min(F.transform(least, lambda h: F.struct(F.xxhash64(i, _bin(h)).alias("p"), F.get(v, _bin(h)).alias("v"))))
-                return F.coalesce(x, *tried, rest["v"])
+                return F.xxhash64(i, F.coalesce(x, *tried, rest["v"])).bitwiseAND(F.lit(2**BITS - 1).cast("long")).cast("byte")
 
             return F.transform(v, one)
 
         return let(filled, fill)
 
-    low = F.transform(least, lambda h: h.bitwiseAND(F.lit(2**BITS - 1).cast("long")).cast("byte"))
-    return let(F.map_from_arrays(F.transform(least, _bin), low), spread)
+    return let(F.map_from_arrays(F.transform(least, _bin), least), spread)
 
 
 def sketch(text: Column) -> Column:

@@ -76,3 +76,16 @@ def test_no_documents(empty):
 def test_plan_is_native(docs):
     plan = minhash.edited_fingerprints(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_short_texts_are_told_apart(spark):
+    """All pairs of texts with one to four shingles are as alike as they are, within six standard errors."""
+    texts = [f"word{k}" for k in range(24)] + [" ".join(f"w{(k // 4) * 3 + j}" for j in range(5 + k % 4)) for k in range(24)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", "text", minhash.sketch(F.col("text")).alias("s"))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    pairs = df.toDF("i", "x", "a").crossJoin(df.toDF("j", "y", "b")).where("i < j").select("x", "y", minhash.likeness(F.col("a"), F.col("b")).alias("like")).collect()
+    assert len(pairs) == 48 * 47 // 2
+    for x, y, like in pairs:
+        if jaccard(x, y) == 0:
+            assert like < 0.25, (x, y)
+    assert df.select(minhash.packed(F.col("s"))).distinct().count() == len(set(texts))
