@@ -200,7 +200,7 @@ def finds(text: str, decoder: Decoder) -> set[str]:
     different = set(tokens)
     words = set(filter(str.isalpha, different))
     other = different - words
-    raw = np.frombuffer(low.encode(), np.uint8)
+    raw = np.frombuffer(low.encode("utf-32-le"), np.uint32)  # letters of any alphabet are one number each
     if ((raw[2:] == raw[1:-1]) & (raw[2:] == raw[:-2]) & (raw[2:] > 96)).any():
         long = set(filter(_TRIPLE.search, words))
         words -= long

@@ -88,3 +88,9 @@ def test_letters_set_apart_are_found(decoder, shown):
     meant = {w for w in ("idiot", "stupid", "moron") if w in "".join(x for x in shown.replace("1", "i") if x.isalpha())}
     assert meant and meant <= toxicity.finds(f"you {shown} there", decoder)
     assert meant <= set(decoder.restore(f"you {shown} there").split())
+
+
+def test_tripled_letters_of_any_alphabet_are_decoded(decoder):
+    alone = toxicity.finds("quel crééétin ici", decoder)
+    assert "crééétin" not in alone and set(decoder.restore("crééétin").split()) <= alone
+    assert alone - {"quel", "ici"} <= toxicity.finds("quel crééétin ici nooo", decoder)
