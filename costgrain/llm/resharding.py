@@ -126,11 +126,18 @@ def rewrite(placed: DataFrame, moves: list[tuple[int, int, int]], folder: str) -
     """Write the files of the shards that lose or gain rows; returns their numbers.
 
     ``placed`` is what ``reshard`` gives, with all columns to be written. Shards
-    without a move keep their files in ``folder``.
+    without a move keep their files in ``folder``; those that no row is left in lose theirs.
     """
+    spark = placed.sparkSession
     changed = sorted({k for old, new, _ in moves if old != new for k in (old, new)})
     some = placed.where(F.col("shard").isin(changed))
+    filled = {r[0] for r in some.select("shard").distinct().collect()}  # one row a shard; before files change that may be read
     some.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+    for k in set(changed) - filled:  # a dynamic overwrite leaves partitions without rows as they were
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={k}")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(path) and not files.delete(path, True):
+            raise OSError(f"{path} holds rows that were moved, and can't be removed")
     return changed
 
 

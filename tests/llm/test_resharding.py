@@ -52,3 +52,16 @@ def test_only_affected_shards_are_written(docs, tmp_path):
 def test_no_documents(empty):
     placed, moves = reshard(cut(sized(empty)), 16, 24)
     assert placed.count() == 0 and moves == []
+
+
+def test_shrinking_leaves_every_row_once(docs, rows, tmp_path):
+    folder = str(tmp_path / "out")
+    before = cut(sized(docs, 5, whole=True))
+    before.withColumn("shard", F.col("old")).write.partitionBy("shard").parquet(folder)
+    placed, moves = reshard(before, 5, 3)
+    placed = cut(placed.select(*before.columns, "shard"))
+    changed = rewrite(placed, moves, folder)
+    assert {3, 4} <= set(changed)
+    key = lambda df: sorted(map(str, df.select("shard", "text_crc32", "row").collect()))
+    back = docs.sparkSession.read.schema(placed.schema).parquet(folder)
+    assert back.count() == len(rows) and key(back) == key(placed)
