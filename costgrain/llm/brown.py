@@ -4,31 +4,31 @@ The documents that teach give a count to every word. Words fall into types: all
 that are seen ``LEAST`` times stand for themselves, rarer ones share a type with
 the rare words of the same ending. Exchange clustering moves types to the class
 that raises the likelihood of the class bigrams most: the commonest one at a time,
-then all in rounds, until a round gains next to nothing. Bigrams of types
-stay with Spark; only counts of class bigrams come to the driver. A text's
-probability is the product over its tokens of P(class | class before) and
-P(word | class), both smoothed so that nothing is impossible.
-
-Documents are dealt into shares by a hash of their id. A share sends each of its
-different words once, with its count; the counts are added up by word and sent
-back to the shares that hold the word, where texts are scored. So what moves is
-the texts and each share's vocabulary, and nothing large is broadcast.
+then all in rounds, until a round gains next to nothing. A text's probability is
+the product over its tokens of P(class | class before) and P(word | class), both
+smoothed so that nothing is impossible.
+
+Texts are read once. The documents that come along in a task, up to
+``SHARE_TOKENS`` tokens, make a share: one row with their tokens as numbers, and
+a row for each of its different words with the count. Counts are added up by
+word and sent back to the shares that hold the word. All else is array work on
+numbers: a round of exchange counts, in each share, the classes before and
+after each type, and only these counts are shuffled. Nothing large is broadcast.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import os
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from costgrain.llm.common import batch_of, cut, in_training, small, table, text_bytes
+from costgrain.llm.common import batch_of, in_training, release, small, stored, table, text_bytes
 
 #: The token that ends every text. No word is empty, so this is none of them.
 END = b""
@@ -39,14 +39,16 @@ CLASSES = 32
 #: The commonest types that are clustered first, on the driver.
 HEAD = 382
 #: Natural logarithm of the likelihood, for each token, that a round has to gain for another one.
-LEAST_GAIN = 1e-3
+LEAST_GAIN = 1.5e-2
 #: Up to so many types meet their classes by a broadcast.
 FEW_TYPES = 500_000
-#: Bytes of text in a share, about, and how many shares there are at least.
-SHARE_BYTES, LEAST_SHARES = 16 << 20, 64
+#: Tokens from which on a share is full.
+SHARE_TOKENS = 4_000_000
 #: Class bigrams added to each row, for each class, in the proportion of the classes; and
 #: words that a class is held to have beyond those seen.
 TRANSITION, UNSEEN = 0.1, 1.0
+#: Among what is counted for a type: how often it follows itself.
+_OWN = 2 * CLASSES
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -59,120 +61,169 @@ def _type(word: Column, count: Column) -> Column:
     return F.when(count >= LEAST, F.xxhash64(F.lit(1), word)).otherwise(F.xxhash64(F.lit(0), F.right(word.cast("string"), F.lit(ENDING))))
 
 
-def _shares(docs: DataFrame) -> DataFrame:
-    """``docs`` as (share, doc_id, learn, text) with a share for about ``SHARE_BYTES`` of text."""
-    plain = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = plain.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    count = max(LEAST_SHARES, -(-size // SHARE_BYTES))
-    share = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(count)).cast("int")
-    return plain.select(share.alias("share"), "doc_id", in_training(F.col("doc_id"), MODULUS, HELD_OUT).alias("learn"), "text").repartition("share")
+_SHARES = pa.schema(
+    [("share", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary()), ("k", pa.int32()), ("word", pa.binary()), ("n", pa.int64())]
+)
 
 
-def _vocabularies(shares: DataFrame) -> DataFrame:
-    """(share, word, n): how often each word of a share teaches; 0 if only held-out texts have it."""
-    schema = pa.schema([("share", pa.int32()), ("word", pa.binary()), ("n", pa.int64())])
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 as compressed bytes; their count comes first."""
+    raw = numbers.astype("<u4").tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[Counter, set]] = {}
-        for b in small(batches):
-            for share, learn, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), text_bytes(b.column(3)), strict=True):
-                if share not in seen:
-                    # Shares come one after the other: what is complete goes out.
-                    yield from flush(seen)
-                    seen[share] = Counter(), set()
-                if learn:
-                    seen[share][0].update(tokens(text))
-                else:
-                    seen[share][1].update(tokens(text))
-        yield from flush(seen)
-
-    def flush(seen) -> Iterator[pa.RecordBatch]:
-        for share, (counts, others) in seen.items():
-            counts.update(dict.fromkeys(others - counts.keys(), 0))
-            words = list(counts)
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.int64)
+    size = 4 * int.from_bytes(packed[:8], "little")
+    return np.frombuffer(pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True), "<u4").astype(np.int64)
+
+
+def encoded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents as shares, and the words of the shares.
+
+    A share is a row: share, doc_ids, learn (whether each teaches), sizes (tokens
+    of each) and ids (all tokens as numbers of the share). Its words are rows: share,
+    k (number), word and n (how often it teaches there; 0 if only held-out texts have it).
+    """
+
+    class Share:
+        def __init__(self):
+            self.at: defaultdict = defaultdict()
+            self.at.default_factory = self.at.__len__
+            self.docs, self.learn, self.ids, self.tokens = [], [], [], 0
+
+        def add(self, doc_id, learn: bool, text: bytes) -> None:
+            found = tokens(text)
+            self.ids.append(np.fromiter(map(self.at.__getitem__, found), np.uint32, len(found)))
+            self.docs.append(doc_id)
+            self.learn.append(learn)
+            self.tokens += len(found)
+
+        def rows(self) -> Iterator[pa.RecordBatch]:
+            sizes, ids, words = [len(x) for x in self.ids], np.concatenate(self.ids), list(self.at)
+            number = int.from_bytes(os.urandom(8), "little") >> 1  # what is written once keeps it
+            n = np.bincount(ids[np.repeat(self.learn, sizes)], minlength=len(words))
+            nothing = lambda many: (pa.nulls(many, f.type) for f in _SHARES)
+            own = dict(zip(_SHARES.names, nothing(1), strict=True))
+            own |= {"share": [number], "doc_ids": [self.docs], "learn": [self.learn], "sizes": [sizes], "ids": [_packed(ids)]}
+            yield batch_of(_SHARES, *own.values())
             for a in range(0, len(words), 100_000):
                 some = words[a : a + 100_000]
-                yield batch_of(schema, [share] * len(some), some, [counts[w] for w in some])
-        seen.clear()
+                own = dict(zip(_SHARES.names, nothing(len(some)), strict=True))
+                own |= {"share": np.full(len(some), number), "k": np.arange(a, a + len(some)), "word": some, "n": n[a : a + len(some)]}
+                yield batch_of(_SHARES, *own.values())
 
-    return shares.sortWithinPartitions("share").mapInArrow(scan, "share int, word binary, n long")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = Share()
+        for b in small(batches):
+            for doc_id, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2)), strict=True):
+                share.add(doc_id, learn, text)
+                if share.tokens >= SHARE_TOKENS:
+                    yield from share.rows()
+                    share = Share()
+        if share.docs:
+            yield from share.rows()
 
+    plain = docs.select(F.col("doc_id").cast("long"), in_training(F.col("doc_id"), MODULUS, HELD_OUT).alias("learn"), F.col("text").cast("string"))
+    both = stored(plain.mapInArrow(scan, "share long, doc_ids array<long>, learn array<boolean>, sizes array<long>, ids binary, k int, word binary, n long"))
+    return both.where("k is null").select("share", "doc_ids", "learn", "sizes", "ids"), both.where("k is not null").select("share", "k", "word", "n")
 
-def _counted(shares: DataFrame) -> DataFrame:
-    """(share, word, n, c, t): the words of the shares with their count in all that teaches, and their type; cut off."""
-    counted = cut(_vocabularies(shares).withColumn("c", F.sum("n").over(W.partitionBy("word"))))
-    return counted.withColumn("t", _type(F.col("word"), F.col("c")))
 
+def _flat(lists: pa.ChunkedArray) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
-def _bigrams(shares: DataFrame, by_share: DataFrame) -> DataFrame:
-    """(a, b, n): counts of adjacent types in the texts that teach, cut off; a is null at the start of a text."""
 
-    def one_share(texts: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
-        types, number = np.unique(vocabulary["t"].to_numpy(np.int64), return_inverse=True)
-        at = dict(zip(map(bytes, vocabulary["word"]), number.tolist(), strict=True))
-        size, pairs, left, waiting = len(types), [], [], 0
-        for text in texts["text"]:
-            k = np.fromiter(map(at.__getitem__, tokens(text.encode())), np.int64)
-            left.append(np.append(size, k[:-1]) * size + k)
-            waiting += len(k)
-            if waiting > 2_000_000:
-                pairs.append(np.unique(np.concatenate(left), return_counts=True))
-                left, waiting = [], 0
-        pairs += [np.unique(np.concatenate(left), return_counts=True)] if left else []
-        cell, n = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        first = cell // max(1, size)
-        a = pd.arrays.IntegerArray(np.append(types, 0)[first], first == size)
-        return pd.DataFrame({"a": a, "b": types[cell % max(1, size)], "n": n})
+def _by_number(right: pa.Table, column: str) -> np.ndarray:
+    """A column of a share's words in the order of their numbers."""
+    out = np.empty(right.num_rows, np.int64)
+    out[right.column("k").to_numpy()] = right.column(column).to_numpy()
+    return out
 
-    teach = shares.where("learn").select("share", "text").groupBy("share")
-    found = teach.cogroup(by_share.where("n > 0").select("share", "word", "t").groupBy("share")).applyInPandas(one_share, "a long, b long, n long")
-    # Written as lists, which take a third of the room; a list has a number for each type at most.
-    lists = found.repartition("a").groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("a").agg(F.collect_list("b").alias("b"), F.collect_list("n").alias("n"))
-    return cut(lists).select("a", F.explode(F.arrays_zip("b", "n")).alias("x")).select("a", "x.b", "x.n")
 
+def sequences(shares: DataFrame, placed: DataFrame) -> DataFrame:
+    """(share, types, seq, starts): the different types of what teaches in a share, the
+    tokens as numbers of these, and the places where texts start; stored."""
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 20) -> np.ndarray:
-    """Class of each type: exchange clustering of a table of adjacent types.
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"share": pa.array([], pa.int64()), "types": pa.array([], pa.list_(pa.int64())), "seq": pa.array([], pa.binary()), "starts": pa.array([], pa.binary())})
+        sizes, learn = _flat(left.column("sizes")), _flat(left.column("learn")).astype(bool)
+        ids = _unpacked(left.column("ids")[0].as_py())[np.repeat(learn, sizes)]
+        types, seq = np.unique(_by_number(right, "t")[ids], return_inverse=True)
+        starts = np.cumsum(sizes[learn]) - sizes[learn]
+        return pa.table({"share": left.column("share"), "types": pa.array([types], pa.list_(pa.int64())), "seq": [_packed(seq)], "starts": [_packed(starts)]})
 
-    The likelihood of class bigrams is, up to what doesn't change, the sum of
-    n log n over class bigrams less that over classes before and after. Types
-    begin dealt by frequency; each in turn moves to the class that raises it most.
-    """
-    pairs = bigrams[:-1].astype(float)
-    size = pairs.shape[0]
-    order = np.argsort(-pairs.sum(axis=0), kind="stable")
-    of = np.empty(size, int)
-    of[order] = np.arange(size) % classes
-    log = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    met = shares.groupBy("share").cogroup(placed.groupBy("share"))
+    return stored(met.applyInArrow(one, "share long, types array<long>, seq binary, starts binary"))
 
-    def value(table: np.ndarray) -> np.ndarray:
-        return log(table).sum(axis=(-2, -1)) - log(table.sum(axis=-1)).sum(axis=-1) - log(table.sum(axis=-2)).sum(axis=-1)
 
-    member = np.eye(classes)[of]
-    table_of = member.T @ pairs @ member
-    for _ in range(rounds):
-        moved = False
-        for t in order:
-            row, column, own, home = pairs[t] @ member, member.T @ pairs[:, t], pairs[t, t], of[t]
-            row[home] -= own
-            column[home] -= own
-            rest = table_of.copy()
-            rest[home] -= row
-            rest[:, home] -= column
-            rest[home, home] -= own
-            tried = np.repeat(rest[None], classes, axis=0)
-            k = np.arange(classes)
-            tried[k, k] += row
-            tried[k, :, k] += column
-            tried[k, k, k] += own
-            values = value(tried)
-            best = int(values.argmax())
-            if values[best] > values[home] + 1e-6:
-                member[t], of[t], moved = np.eye(classes)[best], best, True
-                table_of = tried[best]
-        if not moved:
-            break
-    return of
+def _with_classes(texts: DataFrame, classes: DataFrame, types: int):
+    """The sequences and, for each share, the class of its types (null: none yet) as rows k, t, c."""
+    inside = texts.select(F.col("share").alias("part"), F.posexplode("types").alias("k", "t"))
+    met = inside.join(_few(classes, types), "t", "left").select("part", "k", "t", "c")
+    return texts.drop("types").groupBy("share").cogroup(met.groupBy("part"))
+
+
+def _read(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, whether a text starts there, and type and class (-1: none) of each number."""
+    seq = _unpacked(left.column("seq")[0].as_py())
+    start = np.zeros(len(seq), bool)
+    start[_unpacked(left.column("starts")[0].as_py())] = True
+    k = right.column("k").to_numpy()
+    kinds, of = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
+    kinds[k], of[k] = right.column("t").to_numpy(), right.column("c").fill_null(-1).to_numpy()
+    return seq, start, kinds, of
+
+
+_COUNTED = pa.schema([("t", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())])
+
+
+def _head_pairs(texts: DataFrame, heads: DataFrame, many: int) -> np.ndarray:
+    """How often each of a few types (t, c: its number) follows each other one."""
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _COUNTED.empty_table()
+        seq, start, _, of = _read(left, right)
+        c = of[seq]
+        met = (c[:-1] >= 0) & (c[1:] >= 0) & ~start[1:]
+        n = np.bincount(c[:-1][met] * many + c[1:][met], minlength=many * many)
+        some = np.flatnonzero(n)
+        return pa.Table.from_batches([batch_of(_COUNTED, some // many, some % many, n[some])])
+
+    found = _with_classes(texts, heads, 0).applyInArrow(one, "t long, slot int, n long").groupBy("t", "slot").agg(F.sum("n"))
+    out = np.zeros((many, many))
+    for a, b, n in found.collect():  # the square of HEAD
+        out[a, b] = n
+    return out
+
+
+def _contexts(texts: DataFrame, classes: DataFrame, types: int) -> DataFrame:
+    """(t, slot, n) of every type, stored: how often each class follows it (slots from 0) and
+    stands before it (from CLASSES), other than by its own next to it (slot _OWN). Under a null
+    type, how often texts start with each class."""
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _COUNTED.empty_table()
+        seq, start, kinds, of = _read(left, right)
+        c, width = of[seq], _OWN + 1
+        a, b, linked = seq[:-1], seq[1:], ~start[1:]
+        own, after, before = linked & (a == b), linked & (a != b) & (c[1:] >= 0), linked & (a != b) & (c[:-1] >= 0)
+        size = len(kinds) * width
+        n = np.bincount(a[after] * width + c[1:][after], minlength=size)
+        n += np.bincount(b[before] * width + CLASSES + c[:-1][before], minlength=size)
+        n += np.bincount(a[own] * width + _OWN, minlength=size)
+        some = np.flatnonzero(n)
+        first = np.bincount(c[start][c[start] >= 0], minlength=CLASSES)
+        begin = batch_of(_COUNTED, pa.nulls(CLASSES, pa.int64()), np.arange(CLASSES), first)
+        return pa.Table.from_batches([batch_of(_COUNTED, kinds[some // width], some % width, n[some]), begin])
+
+    counted = _with_classes(texts, classes, types).applyInArrow(one, "t long, slot int, n long").groupBy("t", "slot").agg(F.sum("n").alias("n"))
+    out = stored(counted)
+    release(texts.sparkSession)
+    return out
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -214,29 +265,48 @@ def _likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
 
 
+def exchange(pairs: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Class of each type: exchange clustering of a square table of adjacent types.
+
+    The likelihood of class bigrams is, up to what doesn't change, the sum of
+    n log n over class bigrams less that over classes before and after. Types
+    begin dealt by frequency; each in turn moves to the class that raises it most,
+    until none moves.
+    """
+    size, pairs = len(pairs), pairs.astype(float)
+    order = np.argsort(-pairs.sum(axis=0), kind="stable")
+    of = np.empty(size, int)
+    of[order] = np.arange(size) % classes
+    member = np.eye(classes)[of]
+    table, moved = member.T @ pairs @ member, True
+    while moved:  # each move raises the likelihood, so it ends
+        moved = False
+        for t in order:
+            row, column = pairs[t] @ member, pairs[:, t] @ member
+            best, gain = best_moves(table, row[None], column[None], pairs[t : t + 1, t], of[t : t + 1])
+            if gain[0] > 1e-6:
+                of[t], moved = int(best[0]), True
+                member[t] = np.eye(classes)[of[t]]
+                table = member.T @ pairs @ member
+    return of
+
+
 def _few(classes: DataFrame, types: int) -> DataFrame:
     return F.broadcast(classes) if types <= FEW_TYPES else classes
 
 
-def _class_table(bigrams: DataFrame, classes: DataFrame, types: int) -> np.ndarray:
+def _class_table(counts: DataFrame, classes: DataFrame, types: int) -> np.ndarray:
     """Counts of class bigrams among the types that have a class; last row: at the start."""
-    small_one = _few(classes, types)
-    met = bigrams.join(small_one.toDF("b", "d"), "b").join(small_one.toDF("a", "c"), "a", "left").where("a is null or c is not null")
     out = np.zeros((CLASSES + 1, CLASSES))
-    for c, d, n in met.groupBy("c", "d").agg(F.sum("n")).collect():  # the square of the classes
-        out[CLASSES if c is None else c, d] += n
+    met = counts.where(f"slot < {CLASSES} or slot = {_OWN}").join(_few(classes, types), "t", "left").where("t is null or c is not null")
+    for c, slot, n in met.groupBy("c", "slot").agg(F.sum("n")).collect():  # the square of the classes
+        out[CLASSES if c is None else c, c if slot == _OWN else slot] += n
     return out
 
 
-def _proposed(bigrams: DataFrame, classes: DataFrame, homes: DataFrame, types: int, table: np.ndarray) -> DataFrame:
-    """(t, home, best, gain) of every type of ``homes`` (t, c), by its neighbours that have a class."""
-    small_one, own, at_home = _few(classes, types), 2 * CLASSES, 2 * CLASSES + 1
-    pairs = bigrams.where("a is not null")
-    others = pairs.where("a <> b")
-    after = others.join(small_one.toDF("b", "c"), "b").select(F.col("a").alias("t"), F.col("c").alias("slot"), "n")
-    before = others.join(small_one.toDF("a", "c"), "a").select(F.col("b").alias("t"), (F.col("c") + CLASSES).alias("slot"), "n")
-    selves = pairs.where("a = b").select(F.col("a").alias("t"), F.lit(own).alias("slot"), "n")
-    counts = after.unionByName(before).unionByName(selves).groupBy("t", "slot").agg(F.sum("n").alias("n"))
+def _proposed(counts: DataFrame, homes: DataFrame, table: np.ndarray) -> DataFrame:
+    """(t, home, best, gain) of every type of ``homes`` (t, c; c below 0: none yet), by the classes around it."""
+    at_home = _OWN + 1
     seated = homes.select("t", F.lit(at_home).alias("slot"), F.col("c").cast("long").alias("n"))
     schema = pa.schema([("t", pa.int64()), ("home", pa.int32()), ("best", pa.int32()), ("gain", pa.float64())])
 
@@ -250,58 +320,52 @@ def _proposed(bigrams: DataFrame, classes: DataFrame, homes: DataFrame, types: i
         cells[:, at_home] = -2  # not among the homes
         cells[number, slot] = n
         cells, known = (x[cells[:, at_home] > -2] for x in (cells, known))
-        home, self_ = cells[:, at_home].astype(np.int64), cells[:, own]
-        row, column, k = cells[:, :CLASSES].copy(), cells[:, CLASSES:own].copy(), np.flatnonzero(home >= 0)
+        home, self_ = cells[:, at_home].astype(np.int64), cells[:, _OWN]
+        row, column, k = cells[:, :CLASSES].copy(), cells[:, CLASSES:_OWN].copy(), np.flatnonzero(home >= 0)
         row[k, home[k]] += self_[k]
         column[k, home[k]] += self_[k]
         best, gain = best_moves(table, row, column, self_, home)
         for a in range(0, len(known), 10_000):
             yield batch_of(schema, *(x[a : a + 10_000] for x in (known, home.astype(np.int32), best.astype(np.int32), gain)))
 
-    return counts.unionByName(seated).repartition("t").mapInArrow(scan, "t long, home int, best int, gain double")
+    return counts.where("t is not null").unionByName(seated).repartition("t").mapInArrow(scan, "t long, home int, best int, gain double")
 
 
-def cluster(bigrams: DataFrame, types: DataFrame, rounds: int = 20) -> tuple[DataFrame, np.ndarray]:
-    """(t, c) of all types (t, n), and the counts of class bigrams; both tables are to be cut off before.
+def cluster(texts: DataFrame, types: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(t, c) of all types (t, n), and the counts of class bigrams; ``texts`` are sequences.
 
     The commonest HEAD types are clustered on the driver, the others join the class that
     suits them best among these. Then rounds move a part of all types, each to
     the class that is best while the others stay. A round that lowers the likelihood is
     undone and the next moves a part a quarter as large; it ends when a round gains
-    less than LEAST_GAIN a token.
+    less than LEAST_GAIN a token, which it must, as the likelihood is bounded.
     """
-    spark = bigrams.sparkSession
+    spark = texts.sparkSession
     heads = [r[0] for r in types.orderBy(F.desc("n"), "t").limit(HEAD).collect()]
-    at = {t: k for k, t in enumerate(heads)}
-    among = np.zeros((len(heads) + 1, len(heads)))
-    table = spark.createDataFrame([(t,) for t in heads], "t long")  # HEAD rows
-    inside = bigrams.join(F.broadcast(table.toDF("a")), "a").join(F.broadcast(table.toDF("b")), "b")
-    for a, b, n in inside.select("a", "b", "n").collect():  # the square of HEAD
-        among[at[a], at[b]] = n
+    seats = lambda of: spark.createDataFrame(list(zip(heads, map(int, of), strict=True)), "t long, c int")  # noqa: E731  # HEAD rows
+    among = _head_pairs(texts, seats(range(len(heads))), len(heads))
     of = exchange(among)
-    seats = spark.createDataFrame(list(zip(heads, of.tolist(), strict=True)), "t long, c int")
-    count = types.count()
-    member = np.eye(CLASSES)[of]
-    rest = types.join(F.broadcast(seats), "t", "left_anti").select("t", F.lit(-1).alias("c"))
-    joined = _proposed(bigrams, seats, rest, 0, member.T @ among[:-1] @ member)
-    classes = cut(seats.unionByName(joined.select("t", F.col("best").alias("c"))))
-    counts = _class_table(bigrams, classes, count)
-    value, part, tokens_ = _likelihood(counts[:-1]), 2, max(1.0, counts.sum())
-    for k in range(rounds):
-        spark.sparkContext._jvm.System.gc()  # Spark drops what rounds before have shuffled only when their plans are collected
-        moves = _proposed(bigrams, classes, classes, count, counts[:-1])
-        turn = (F.pmod(F.xxhash64("t", F.lit(k)), F.lit(part)) == 0) & (F.col("gain") > 1e-6)
-        tried = cut(moves.select("t", F.when(turn, F.col("best")).otherwise(F.col("home")).alias("c")))
-        counts_tried = _class_table(bigrams, tried, count)
-        gained = _likelihood(counts_tried[:-1]) - value
+    count, member = types.count(), np.eye(CLASSES)[of]
+    rest = types.join(F.broadcast(seats(of)), "t", "left_anti").select("t", F.lit(-1).alias("c"))
+    joined = _proposed(_contexts(texts, seats(of), 0), rest, member.T @ among @ member)
+    classes = stored(seats(of).unionByName(joined.select("t", F.col("best").alias("c"))))
+    counts = _contexts(texts, classes, count)
+    pairs = _class_table(counts, classes, count)
+    value, part, nth, all_tokens = _likelihood(pairs[:-1]), 2, 0, max(1.0, pairs.sum())
+    while True:
+        moves = _proposed(counts, classes, pairs[:-1])
+        turn = (F.pmod(F.xxhash64("t", F.lit(nth)), F.lit(part)) == 0) & (F.col("gain") > 1e-6)
+        tried = stored(moves.select("t", F.when(turn, F.col("best")).otherwise(F.col("home")).alias("c")))
+        counts_tried = _contexts(texts, tried, count)
+        pairs_tried = _class_table(counts_tried, tried, count)
+        gained, nth = _likelihood(pairs_tried[:-1]) - value, nth + 1
         if gained > 0:
-            classes, counts, value = tried, counts_tried, value + gained
+            classes, counts, pairs, value = tried, counts_tried, pairs_tried, value + gained
         elif part < 32:
             part *= 4
             continue
-        if gained < LEAST_GAIN * tokens_:
-            break
-    return classes, counts
+        if gained < LEAST_GAIN * all_tokens:
+            return classes, pairs
 
 
 @dataclass(frozen=True)
@@ -330,23 +394,39 @@ class ClassModel:
         return where, *self.emitted(where, counts)
 
 
-def _model(words: DataFrame, docs: DataFrame, by_share: DataFrame | None = None) -> ClassModel:
-    """Cluster and estimate from (word, n) of the words that teach."""
-    row = words.agg(F.count("*"), F.sum("n")).first()
-    shares = _shares(docs)
-    bigrams = _bigrams(shares, _counted(shares) if by_share is None else by_share)
-    types = cut(words.select(_type(F.col("word"), F.col("n")).alias("t"), "n").groupBy("t").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")))
-    classes, pairs = cluster(bigrams, types)
+@dataclass(frozen=True)
+class Learned:
+    """A model, the counts of words (word, c) and what it was learnt from: shares, and their words (share, k, c, t)."""
+
+    model: ClassModel
+    words: DataFrame
+    shares: DataFrame
+    placed: DataFrame
+
+
+def learn(docs: DataFrame) -> Learned:
+    """Count, cluster and estimate on the documents that teach; all tables are stored."""
+    shares, vocabularies = encoded(docs)
+    words = stored(vocabularies.groupBy("word").agg(F.sum("n").alias("c")))
+    placed = stored(vocabularies.join(words, "word").select("share", "k", "c", _type(F.col("word"), F.col("c")).alias("t")))
+    seen_words = words.where("c > 0")
+    types = stored(seen_words.select(_type(F.col("word"), F.col("c")).alias("t"), "c").groupBy("t").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")))
+    release(docs.sparkSession)
+    classes, pairs = cluster(sequences(shares, placed), types)
     seen, more = np.zeros(CLASSES), np.zeros(CLASSES)
     for c, n, kinds in types.join(classes, "t").groupBy("c").agg(F.sum("n"), F.sum("kinds")).collect():  # one row a class
         seen[c], more[c] = n, kinds
     # Add-one smoothing gives each class as much more as it has different words, here and in what follows what.
     mass = seen + more + 1e-9
     pairs = pairs * (mass / np.maximum(seen, 1)) + TRANSITION * CLASSES * mass / mass.sum()
-    return ClassModel(classes, int(more.argmax()), np.log10(pairs / pairs.sum(axis=1, keepdims=True)), np.log10(seen + more + UNSEEN), int(row[1] or 0), int(row[0] or 0))
+    model = ClassModel(classes, int(more.argmax()), np.log10(pairs / pairs.sum(axis=1, keepdims=True)), np.log10(seen + more + UNSEEN), int(seen.sum()), int(more.sum()))
+    release(docs.sparkSession)
+    return Learned(model, words, shares, placed)
 
 
-_RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_RESULT = pa.schema(
+    [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -355,32 +435,31 @@ def score(docs: DataFrame) -> DataFrame:
     Gives doc_id, held_out, n_tokens, n_known (tokens that teach), train_tokens,
     base_score (add-one unigram) and score (the class model's log10 probability).
     Null texts are empty and have one token, the end. Repeated rows score alike
-    and each teaches; null ids count as '' for holding out; other columns are
+    and each teaches; null ids count as '' for holding out; a text of any length is
+    scored whole, in one share; types of equal count are told apart by their hash,
+    classes that suit a type alike by their number; other columns are
     ignored; an empty table gives an empty one.
     """
-    shares = _shares(docs)
-    by_share = _counted(shares)
-    words = by_share.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
-    model = _model(cut(words), docs, by_share)
-    classes = _few(model.classes, model.different)  # no more types than words
+    learned = learn(docs)
+    model = learned.model
 
-    def one_share(texts: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
-        words = [bytes(w) for w in vocabulary["word"]]
-        counts = vocabulary["c"].to_numpy(float)
-        at = dict(zip(words, range(len(words)), strict=True))
-        where = vocabulary["class"].to_numpy(int)
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _RESULT.empty_table()
+        counts, where = _by_number(right, "c").astype(float), _by_number(right, "class")
         emit, base = model.emitted(where, counts)
-        seen = counts > 0
-        out = []
-        for doc_id, learn, text in zip(texts["doc_id"], texts["learn"], texts["text"], strict=True):
-            k = np.fromiter(map(at.__getitem__, tokens(text.encode())), int)
-            way = np.append(CLASSES, where[k])
-            out.append((doc_id, not learn, len(k), int(seen[k].sum()), model.total, float(base[k].sum()), float(emit[k].sum() + model.follow[way[:-1], way[1:]].sum())))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _RESULT.split(", ")])
-        return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
-
-    placed = by_share.join(classes.toDF("t", "class"), "t", "left").select("share", "word", "c", F.coalesce("class", F.lit(model.spare)).alias("class"))
-    return shares.groupBy("share").cogroup(placed.groupBy("share")).applyInPandas(one_share, _RESULT)
+        ids, sizes, learn = _unpacked(left.column("ids")[0].as_py()), _flat(left.column("sizes")), _flat(left.column("learn")).astype(bool)
+        starts = np.cumsum(sizes) - sizes
+        c = where[ids]
+        before = np.append(CLASSES, c[:-1])
+        before[starts] = CLASSES
+        added = lambda x: np.add.reduceat(x, starts)  # noqa: E731  # every text has a token
+        columns = [left.column("doc_ids").combine_chunks().flatten(), ~learn, sizes, added((counts > 0)[ids].astype(np.int64)), np.full(len(sizes), model.total), added(base[ids]), added(emit[ids] + model.follow[before, c])]
+        return pa.Table.from_batches([batch_of(_RESULT, *columns)])
+
+    classes = _few(model.classes, model.different)  # no more types than words
+    placed = learned.placed.join(classes.toDF("t", "class"), "t", "left").select("share", "k", "c", F.coalesce("class", F.lit(model.spare)).alias("class"))
+    return learned.shares.groupBy("share").cogroup(placed.groupBy("share")).applyInArrow(one, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def likelihood(pairs, of, classes):
 def test_exchange_ends_where_no_move_helps():
     rng = np.random.default_rng(1)
     pairs = rng.poisson(2, (9, 9)) * (1 + 5 * ((np.arange(9)[:, None] + np.arange(9)) % 3 == 0))
-    of = brown.exchange(np.vstack((pairs, np.zeros(9))), 3)
+    of = brown.exchange(pairs, 3)
     best = likelihood(pairs, of, 3)
     for t, c in itertools.product(range(9), range(3)):
         moved = of.copy()
@@ -42,9 +42,8 @@ def test_base_score_counts_and_probability(spark, docs, rows):
 def test_the_class_model_is_no_more_than_a_distribution(spark):
     """Over all words of a closed vocabulary and every class before, probabilities add up to at most 1."""
     docs = spark.createDataFrame([(k, f"the cat {w} the dog") for k, w in enumerate(["sat", "saw", "bit", "ate", "ran"] * 8)], "doc_id long, text string")
-    shares = brown._shares(docs)
-    words = brown._vocabularies(shares).groupBy("word").agg({"n": "sum"}).toDF("word", "n").where("n > 0")
-    model = brown._model(words, docs)
+    learned = brown.learn(docs)
+    model, words = learned.model, learned.words.where("c > 0")
     rows = words.collect()
     where, emit, _ = model.known([bytes(r[0]) for r in rows], np.array([r[1] for r in rows], float))
     for before in range(brown.CLASSES + 1):
@@ -71,9 +70,8 @@ def test_best_moves_are_the_exchange_criterion():
 def test_words_beyond_the_commonest_are_clustered_on_their_own(spark):
     """500 words of two kinds that share every ending: what stands around them parts them, however many there are."""
     docs = spark.createDataFrame([(k, f"the a{k // 2 % 250}xyz runs home" if k % 2 else f"gold b{k // 2 % 250}xyz of old wine") for k in range(20_000)], "doc_id long, text string")
-    shares = brown._shares(docs)
-    words = brown._vocabularies(shares).groupBy("word").agg({"n": "sum"}).toDF("word", "n").where("n > 0")
-    model = brown._model(words, docs)
+    learned = brown.learn(docs)
+    model, words = learned.model, learned.words.where("c > 0")
     rows = [(bytes(r[0]), r[1]) for r in words.collect()]
     assert len({r[0] for r in model.classes.select("t").collect()}) == len(rows) == 508
     where = dict(zip((w for w, _ in rows), model.known([w for w, _ in rows], np.array([n for _, n in rows], float))[0], strict=True))
@@ -85,3 +83,41 @@ def test_endings_are_letters_and_not_hashed_together(spark):
     words = spark.createDataFrame([(bytearray(w.encode()), 1) for w in ("xéàü", "yéàü", "xéàö")], "word binary, n long")
     a, b, c = (r[0] for r in words.select(brown._type(words["word"], words["n"])).collect())
     assert a == b != c
+
+
+def test_score_is_that_of_a_plain_model(spark, docs, rows):
+    """The class model worked out again without Spark from the classes that were found."""
+    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    model = brown.learn(docs).model
+    teach = [tokens(r[1]) for r in rows if not held(r[0])]
+    counts = Counter(w for t in teach for w in t)
+    words = sorted({w for r in rows for w in tokens(r[1])})
+    where = dict(zip(words, model.known(words, np.array([counts[w] for w in words]))[0].tolist(), strict=True))
+    n = brown.CLASSES
+    mass = [sum(c for w, c in counts.items() if where[w] == k) for k in range(n)]
+    kinds = [sum(where[w] == k for w in counts) for k in range(n)]
+    pairs = Counter((n if k == 0 else where[t[k - 1]], where[w]) for t in teach for k, w in enumerate(t))
+    all_mass = sum(mass) + sum(kinds)
+    grown = lambda a, b: pairs[a, b] * (mass[b] + kinds[b]) / max(1, mass[b]) + brown.TRANSITION * n * (mass[b] + kinds[b]) / all_mass
+    below = [sum(grown(a, b) for b in range(n)) for a in range(n + 1)]
+
+    def plain(t):
+        c = [n, *(where[w] for w in t)]
+        follow = sum(math.log10(grown(a, b) / below[a]) for a, b in itertools.pairwise(c))
+        return follow + sum(math.log10((counts[w] + 1) / (mass[where[w]] + kinds[where[w]] + brown.UNSEEN)) for w in t)
+
+    want = sorted((len(tokens(r[1])), round(plain(tokens(r[1])), 3)) for r in rows)
+    assert sorted((r[0], round(r[1], 3)) for r in brown.score(docs).select("n_tokens", "score").collect()) == want
+
+
+def test_numbers_are_packed_and_unpacked():
+    some = np.array([0, 5, 2**32 - 1, 7])
+    assert brown._unpacked(brown._packed(some)).tolist() == some.tolist() and not len(brown._unpacked(brown._packed(some[:0])))
+
+
+def test_a_share_that_is_full_is_followed_by_another(spark, docs, monkeypatch):
+    monkeypatch.setattr(brown, "SHARE_TOKENS", 100)
+    shares, vocabularies = brown.encoded(docs)
+    assert shares.count() > 10 and vocabularies.select("share").distinct().count() == shares.count()
+    assert sorted(map(tuple, brown.score(docs).select("n_tokens", "n_known").collect())) == sorted(map(tuple, brown.score(docs.coalesce(1)).select("n_tokens", "n_known").collect()))
