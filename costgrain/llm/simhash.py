@@ -3,20 +3,23 @@
 A fingerprint has 64 bits; two link when at most ``REACH`` bits differ. Laid as
 a ring of 16 segments of four bits, the pigeonring principle says that two
 linked fingerprints have a start from which the differences over the next l
-segments stay within l * 4 / 16 for every l: none in three segments, and at most
-one in seven. So for each of the 16 starts the first three segments have to be
-equal, and of the next four all but one. Each fingerprint is filed under these
-16 * 4 keys of 24 bits; two that share a key are held to the chain budget and
-then to the full distance. No pair within reach is missed.
+segments stay within l * 4 / 16 for every l: none in three segments, at most
+one in seven, two in eleven. Each fingerprint is filed, for each of the 16 starts,
+under the first segments without those that may differ: 64 keys of 24 bits, or in
+a table of very many fingerprints 352 keys of 36 bits. Two that share a key are
+held to the budgets of the chain, segment after segment, and then to the full
+distance. No pair within reach is missed.
 
 Only distinct fingerprints are filed, so exact copies cost one row however many
-there are. Inside a key, a large set is split again by exact segments of the
-bits that vary in it, and each set gives the links of a spanning star, never
-all pairs.
+there are. A key with more than ``MOST`` of them is dealt again by parts of their
+bits, and a large set inside a task likewise; each set gives the links of a
+spanning star, never all pairs.
 """
 
 from __future__ import annotations
 
+import itertools
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from costgrain.llm.common import apart, batch_of, cut, small, text_bytes
+from costgrain.llm.common import apart, batch_of, cut, runs, small, table, text_bytes
 from costgrain.llm.components import components
 
 SHINGLE = 4
 SEED = 42
 REACH = 4
 SEGMENTS = 16
-#: Sets up to this size are compared in one matrix.
-DENSE = 1024
+#: Sets up to this size are compared in one matrix, and as many of a key in one task.
+DENSE, MOST = 1024, 1 << 16
+#: From so many fingerprints on, keys take in eleven segments; up to it, seven.
+LONG_KEYS = 1 << 27
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = np.arange(8) * 256
@@ -71,18 +76,38 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, "doc_id long, fp long")
 
 
-def _keys(fp: F.Column) -> F.Column:
-    """The 64 keys of a fingerprint: number of the key above, chain below."""
-    out = []
+def _free(chain: int) -> list[tuple[int, ...]]:
+    """The sets of segments in which the first ``chain`` ones may differ within their budgets."""
+    most = chain * REACH // SEGMENTS
+    fits = lambda some: all(sum(x < n for x in some) <= n * REACH // SEGMENTS for n in range(1, chain + 1))
+    return [some for some in itertools.combinations(range(chain), most) if fits(some)]
+
+
+def _keys(fp: F.Column, chain: int) -> F.Column:
+    """The keys of a fingerprint: number of the key above, chain below."""
+    free, out = _free(chain), []
     for start in range(SEGMENTS):
         turn = 4 * start
         ring = F.shiftrightunsigned(fp, turn).bitwiseOR(F.shiftleft(fp, 64 - turn)) if turn else fp
-        for free in range(3, 7):
-            mask = 0xFFFFFFF & ~(15 << (4 * free))
-            out.append(ring.bitwiseAND(F.lit(mask).cast("long")).bitwiseOR(F.lit((4 * start + free - 3) << 32).cast("long")))
+        for k, some in enumerate(free):
+            mask = (1 << 4 * chain) - 1
+            for segment in some:
+                mask &= ~(15 << (4 * segment))
+            out.append(ring.bitwiseAND(F.lit(mask).cast("long")).bitwiseOR(F.lit((start * len(free) + k) << (4 * chain)).cast("long")))
     return F.array(*out)
 
 
+def _in_chain(apart_by: np.ndarray, start: int) -> np.ndarray:
+    """Which differences of two fingerprints keep to every budget of the chain from ``start``, the last being the full distance."""
+    turn = np.uint64(4 * start)
+    ring = (apart_by >> turn) | (apart_by << (np.uint64(64) - turn)) if start else apart_by
+    left = np.arange(len(ring))
+    for n in (3, 7, 11, 15, 16):  # the budgets rise after these
+        mask = np.uint64((1 << 4 * n) - 1)
+        left = left[np.bitwise_count(ring[left] & mask) <= n * REACH // SEGMENTS]
+    return left
+
+
 def _stars(near: np.ndarray) -> list[tuple[int, int]]:
     """Links of each member to the first of its component in a small matrix."""
     left, out = np.ones(len(near), bool), []
@@ -98,13 +123,19 @@ def _stars(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def star_links(fps: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect exactly what pairs of ``fps`` (distinct) within reach connect."""
+def star_links(fps: np.ndarray, nodes: np.ndarray, start: int | None = None) -> list[tuple[int, int]]:
+    """Links that connect exactly what pairs of ``fps`` (distinct) within reach, and in a chain from ``start`` if given, connect."""
     if len(fps) < 2:
         return []
     if len(fps) <= DENSE:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= REACH
-        return [(int(nodes[i]), int(nodes[j])) for i, j in _stars(near)]
+        i, j = np.triu_indices(len(fps), 1)
+        gaps = fps[i] ^ fps[j]
+        held = np.flatnonzero(np.bitwise_count(gaps) <= REACH) if start is None else _in_chain(gaps, start)
+        if len(held) < 2:
+            return [(int(nodes[i[k]]), int(nodes[j[k]])) for k in held]
+        near = np.zeros((len(fps), len(fps)), bool)
+        near[i[held], j[held]] = near[j[held], i[held]] = True
+        return [(int(nodes[x]), int(nodes[y])) for x, y in _stars(near)]
     # Of five groups of the bits that vary, a pair within four bits agrees on one.
     varying = np.bitwise_or.reduce(fps ^ fps[0])
     bits = [b for b in range(64) if (int(varying) >> b) & 1]
@@ -115,49 +146,75 @@ def star_links(fps: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
         cut_at = np.flatnonzero(np.diff(fps[order] & mask)) + 1
         for some in np.split(order, cut_at):
             if len(some) > 1:
-                out += star_links(fps[some], nodes[some])
+                out += star_links(fps[some], nodes[some], start)
     return list(dict.fromkeys(out))
 
 
-def _links_of_run(key: int, fps: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
-    if len(fps) > 2:
-        return star_links(fps, nodes)
-    # The commonest case: two fingerprints, first held to the budget of the chain.
-    which = key >> 32
-    apart_by = int(fps[0] ^ fps[1])
-    turn = 4 * (which // 4)
-    ring = ((apart_by >> turn) | (apart_by << (64 - turn))) & ((1 << 64) - 1)
-    if ((ring >> (4 * (3 + which % 4))) & 15).bit_count() > 1 or apart_by.bit_count() > REACH:
-        return []
-    return [(int(nodes[0]), int(nodes[1]))]
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("fp", pa.int64())])
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b) links that connect the fingerprints (fp, node; one row each) in reach."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the runs of rows key, start, fp, node that come sorted by key.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; the last run of a batch may go on in the next."""
-        from costgrain.llm.common import runs
-
-        kept = [np.empty(0, np.int64)] * 3
-        for b in batches:
-            new = [np.concatenate((k, c.to_numpy())) for k, c in zip(kept, b.columns, strict=True)]
-            last = int(np.searchsorted(new[0], new[0][-1])) if len(new[0]) else 0
-            done, kept = [c[:last] for c in new], [c[last:] for c in new]
-            if last:
-                yield found(runs, *done)
-        if len(kept[0]):
-            yield found(runs, *kept)
-
-    def found(runs, keys, fps, nodes) -> pa.RecordBatch:
+    A run of more than MOST goes on as it is, as rows a (node), key, start, fp without b."""
+
+    def linked(keys, starts, fps, nodes) -> pa.RecordBatch:
         fps, out = fps.view(np.uint64), []
-        for a, b in runs(keys):
-            out += _links_of_run(int(keys[a]), fps[a:b], nodes[a:b])
-        return batch_of(schema, [x for x, _ in out], [y for _, y in out])
+        for x, y in runs(keys):
+            out += star_links(fps[x:y], nodes[x:y], int(starts[x]))
+        more = (pa.nulls(len(out), f.type) for f in list(_FOUND)[2:])
+        return batch_of(_FOUND, [x for x, _ in out], [y for _, y in out], *more)
+
+    def passed_on(keys, starts, fps, nodes) -> pa.RecordBatch:
+        return batch_of(_FOUND, nodes, pa.nulls(len(nodes), pa.int64()), keys, starts, fps)
+
+    held, large = [], None  # rows of the run that is going on; the key of one that is passed on
+    for b in batches:
+        new = [c.to_numpy() for c in b.columns]
+        if large is not None:
+            n = int(np.searchsorted(new[0], large, side="right"))
+            if n:
+                yield passed_on(*(c[:n] for c in new))
+            if n == len(new[0]):
+                continue
+            new, large = [c[n:] for c in new], None
+        last = int(np.searchsorted(new[0], new[0][-1])) if len(new[0]) else 0
+        if held and len(new[0]) and new[0][0] != held[0][0][0]:
+            yield linked(*map(np.concatenate, zip(*held, strict=True)))
+            held = []
+        if last:  # the run that was held ends in this batch
+            yield linked(*map(np.concatenate, zip(*held, [c[:last] for c in new], strict=True)))
+            held = []
+        held.append([c[last:] for c in new])
+        if sum(len(h[0]) for h in held) > MOST:
+            large = int(held[0][0][0])
+            yield passed_on(*map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield linked(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _dealt(filed: DataFrame) -> DataFrame:
+    some = filed.select("key", "start", "fp", "node").repartition("key").sortWithinPartitions("key")
+    return cut(some.mapInArrow(_of_runs, "a long, b long, key long, start int, fp long"))
 
-    filed = distinct.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp", "node")
-    return filed.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "a long, b long")
+
+def links(distinct: DataFrame) -> DataFrame:
+    """(a, b) links that connect the fingerprints (fp, node; one row each) in reach."""
+    chain = 7 if distinct.count() <= LONG_KEYS else 11
+    each = len(_free(chain))
+    filed = distinct.select(F.explode(_keys(F.col("fp"), chain)).alias("key"), "fp", "node")
+    found = _dealt(filed.withColumn("start", F.floor(F.shiftrightunsigned("key", 4 * chain) / each).cast("int")))
+    out, level = found.where("b is not null").select("a", "b"), 0
+    while (rest := found.where("b is null")).take(1):
+        # Of five parts of the bits, another five each time, a pair within four bits agrees on one.
+        level, bits = level + 1, list(range(64))
+        random.Random(level).shuffle(bits)
+        masks = [sum(1 << b for b in bits[k :: REACH + 1]) for k in range(REACH + 1)]
+        parts = F.array(*(F.xxhash64("key", F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (m >> 63 << 64)).cast("long"))) for k, m in enumerate(masks)))
+        found = _dealt(rest.select(F.explode(parts).alias("key"), "start", "fp", F.col("a").alias("node")))
+        out = out.unionByName(found.where("b is not null").select("a", "b"))
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -178,8 +235,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op9(spark, sf_dir: str) -> DataFrame:
     """The digest of the operator over all documents."""
-    from costgrain.llm.common import table
-
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

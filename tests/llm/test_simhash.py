@@ -93,3 +93,45 @@ def test_no_documents(empty):
 def test_spark_hashes_alike(spark):
     row = spark.createDataFrame([("a b c dé",)], "s string").select(F.xxhash64("s")).first()[0]
     assert row % 2**64 == xxhash.xxh64_intdigest("a b c dé".encode(), 42)
+
+
+def planted(draw, bases, around):
+    fps = set()
+    for _ in range(bases):
+        base = draw.getrandbits(64)
+        fps.add(base)
+        for _ in range(around):
+            x = base
+            for b in draw.sample(range(64), draw.randint(0, 6)):
+                x ^= 1 << b
+            fps.add(x)
+    return sorted(fps)
+
+
+def held_to_brute_force(spark, fps):
+    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, k) for k, f in enumerate(fps)], "fp long, node long")
+    got = roots(len(fps), [tuple(r) for r in simhash.links(df).collect()])
+    assert got == roots(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
+
+
+def test_long_keys_miss_nothing(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LONG_KEYS", 10)
+    assert len(simhash._free(7)) == 4 and len(simhash._free(11)) == 22
+    held_to_brute_force(spark, planted(random.Random(4), 30, 8))
+
+
+def test_a_key_with_too_many_is_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST", 40)
+    held_to_brute_force(spark, planted(random.Random(5), 2, 400))
+
+
+def test_runs_over_several_batches():
+    """However the rows are cut into batches, the links connect the same."""
+    fps = planted(random.Random(6), 3, 40)
+    rows = sorted((f % 5, 0, f - 2**64 if f >= 2**63 else f, k) for k, f in enumerate(fps))
+    batch = lambda some: simhash.pa.RecordBatch.from_arrays([simhash.pa.array(c, t) for c, t in zip(zip(*some, strict=True), (simhash.pa.int64(), simhash.pa.int32(), simhash.pa.int64(), simhash.pa.int64()), strict=True)], names=["key", "start", "fp", "node"])
+    seen = set()
+    for size in (1, 2, 7, len(rows)):
+        found = [r for b in simhash._of_runs(batch(rows[k : k + size]) for k in range(0, len(rows), size)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        seen.add(tuple(roots(len(fps), found)))
+    assert len(seen) == 1
