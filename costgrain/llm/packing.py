@@ -1,10 +1,13 @@
 """Operator 1: length buckets of least padding, and batches under a token budget.
 
-A histogram of token counts over all documents is made; dynamic programming over
-its lengths chooses the bucket bounds so that padding every document to the
+An exact histogram of token counts over all documents is made; dynamic programming
+over its lengths chooses the bucket bounds so that padding every document to the
 bound of its bucket wastes the fewest tokens. Inside a bucket, as many documents
 share a batch as fit the token budget when padded; a longer document is a batch
 of its own, whole.
+
+The histogram reaches the driver: k different lengths take k * k / 2 tokens at least,
+so that even 2 * 10**13 tokens have no more than 6 million of them.
 """
 
 from __future__ import annotations
@@ -17,44 +20,44 @@ from costgrain.llm.common import chunks_for, cut, table, with_offsets, word_coun
 
 BUCKETS = 12
 BUDGET = 16_384
-#: Lengths up to this are told apart; above, this many steps for each doubling.
-FINE = 256
-
-
-def step(length: Column) -> Column:
-    """Length rounded up to one of at most ``FINE`` values for each doubling, so
-    that the histogram stays small however long texts get."""
-    width = F.greatest(F.lit(1), F.expr("bigint(1)") * F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - int(np.log2(FINE)))).cast("long")
-    return (F.ceil(length / width) * width).cast("long")
 
 
 def bounds(lengths: np.ndarray, rows: np.ndarray, tokens: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """Bucket bounds of least padding for a histogram, ascending.
 
-    ``lengths`` ascend; ``rows`` documents of at most each length hold ``tokens``.
-    best[b][j] is the least padding of lengths up to j in b buckets; the last of
-    these covers i+1..j and pads to lengths[j].
+    ``lengths`` ascend; ``rows`` documents of each length hold ``tokens``.
+    best[j] is the least padding of the j shortest lengths in the buckets so far; the
+    last of these covers i+1..j and pads to lengths[j-1]. The best i never falls
+    as j grows, so that each is sought between those of its neighbours: first for every
+    2**k-th j, then for those halfway, and so on.
     """
-    n = len(lengths)
-    many, sums = np.concatenate(([0], np.cumsum(rows))), np.concatenate(([0], np.cumsum(tokens)))
-    best = np.full(n + 1, np.inf)
+    n, lengths = len(lengths), np.append(0, lengths).astype(np.int64)
+    many, sums = np.append(0, np.cumsum(rows)), np.append(0, np.cumsum(tokens))
+    best = np.full(n + 1, 1 << 62)
     best[0] = 0
     choice = []
     for _ in range(min(buckets, n)):
-        now, took = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        now[0] = 0
-        for j in range(1, n + 1):
-            cost = best[:j] + float(lengths[j - 1]) * (many[j] - many[:j]) - (sums[j] - sums[:j])
-            took[j] = int(cost.argmin())
-            now[j] = cost[took[j]]
+        now, took = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        step = 1 << n.bit_length()
+        while step := step >> 1:
+            j = np.arange(step, n + 1, 2 * step)
+            least, most = took[j - step], np.minimum(j - 1, np.where(j + step <= n, took[np.minimum(j + step, n)], n))
+            width = most - least + 1
+            ends = np.cumsum(width)
+            i = np.arange(ends[-1]) + np.repeat(least - ends + width, width)
+            jj = np.repeat(j, width)
+            cost = best[i] + lengths[jj] * (many[jj] - many[i]) - (sums[jj] - sums[i])
+            now[j] = np.minimum.reduceat(cost, ends - width)
+            hit = np.flatnonzero(cost == np.repeat(now[j], width))
+            took[j] = i[hit[np.unique(jj[hit], return_index=True)[1]]]
         best = now
         choice.append(took)
     out, j = [], n
     for took in reversed(choice):
         if j == 0:
             break
-        out.append(int(lengths[j - 1]))
-        j = took[j]
+        out.append(int(lengths[j]))
+        j = int(took[j])
     return out[::-1]
 
 
@@ -68,17 +71,18 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS,
     an empty table gives an empty one.
     """
     length = word_count(F.col("text").cast("string")) if length is None else length
-    plain = cut(docs.select(F.col("doc_id").cast("long"), length.cast("long").alias("n_tokens")).withColumn("step", step(F.col("n_tokens"))))
-    histogram = plain.groupBy("step").agg(F.count("*"), F.sum("n_tokens")).orderBy("step").collect()  # FINE lengths for each doubling at most
-    rows = sum(r[1] for r in histogram)
-    chosen = bounds(*(np.array([r[k] for r in histogram], dtype=np.int64) for k in range(3)), buckets) if histogram else []
+    tie = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("_tie")  # many rows without an id are dealt too
+    plain = cut(docs.select(F.col("doc_id").cast("long"), length.cast("long").alias("n_tokens"), tie))
+    histogram = plain.groupBy("n_tokens").agg(F.count("*")).orderBy("n_tokens").collect()
+    lengths, many = (np.array([r[k] for r in histogram], dtype=np.int64) for k in range(2))
+    chosen, rows = bounds(lengths, many, lengths * many, buckets), int(many.sum())
     bucket = F.lit(max(0, len(chosen) - 1))
     for k in range(len(chosen) - 2, -1, -1):
-        bucket = F.when(F.col("step") <= chosen[k], k).otherwise(bucket)
+        bucket = F.when(F.col("n_tokens") <= chosen[k], k).otherwise(bucket)
     bound = F.get(F.array(*(F.lit(b).cast("long") for b in chosen)) if chosen else F.array(F.lit(0).cast("long")), F.col("bucket"))
-    placed = plain.select("doc_id", "n_tokens", bucket.cast("int").alias("bucket")).withColumn("bucket_tokens", bound)
+    placed = plain.select("doc_id", "n_tokens", "_tie", bucket.cast("int").alias("bucket")).withColumn("bucket_tokens", bound)
     most = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("bucket_tokens"), F.lit(1))))
-    numbered = with_offsets(placed, ["bucket"], ["doc_id", "n_tokens"], {"nth": F.lit(1).cast("long")}, chunks_for(rows))
+    numbered = with_offsets(placed, ["bucket"], ["doc_id", "n_tokens", "_tie"], {"nth": F.lit(1).cast("long")}, chunks_for(rows))
     return numbered.select(
         "doc_id", "n_tokens", "bucket", "bucket_tokens", F.floor(F.col("nth") / most).cast("long").alias("batch"), (F.col("nth") % most).cast("long").alias("slot"), most.cast("long").alias("batch_rows_most")
     )

@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 
-from costgrain.llm.packing import bounds, pack
+from costgrain.llm.packing import BUCKETS, bounds, op1, pack
 
 
 def test_bounds_are_of_least_padding():
@@ -34,3 +34,27 @@ def test_every_row_is_packed_within_the_budget(docs, rows):
 
 def test_no_documents(empty):
     assert pack(empty).count() == 0
+
+
+def plain_padding(lengths, rows, buckets):
+    """Least padding by trying every last bucket, one length after the other."""
+    best = [0] + [float("inf")] * len(lengths)
+    for _ in range(buckets):
+        best = [0] + [min(best[i] + sum(rows[k] * (lengths[j - 1] - lengths[k]) for k in range(i, j)) for i in range(j)) for j in range(1, len(lengths) + 1)]
+    return best[-1]
+
+
+def test_many_lengths_as_by_trying_all():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 17, 40):
+        lengths, rows = np.sort(rng.choice(5000, n, replace=False)), rng.integers(1, 50, n)
+        for buckets in (1, 2, 5, 60):
+            chosen = bounds(lengths, rows, lengths * rows, buckets)
+            padding = sum(r * (min(b for b in chosen if b >= x) - x) for x, r in zip(lengths, rows, strict=True))
+            assert padding == plain_padding(lengths.tolist(), rows.tolist(), buckets)
+
+
+def test_padding_of_a_whole_table_is_the_least(spark):
+    out = op1(spark, "/root/testdata/sf0.001").toPandas()
+    sizes = out.groupby("n_tokens").size()
+    assert (out["bucket_tokens"] - out["n_tokens"]).sum() == plain_padding(sizes.index.tolist(), sizes.tolist(), BUCKETS)
