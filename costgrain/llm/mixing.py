@@ -95,10 +95,18 @@ def draws(slots: list[int], shards: int = SHARDS, seed: int = SEED) -> np.ndarra
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < 1_000_000_000:
+    """One hypergeometric draw. numpy's stops at 10**9 in all; beyond, the distribution function
+    is worked out over forty standard deviations to either side, outside of which lies less than a double can tell."""
+    every = good + bad
+    if every < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
-    share, spare = good / (good + bad), 1 - n / (good + bad)
-    return int(np.clip(round(rng.normal(n * share, (n * share * (1 - share) * spare) ** 0.5)), max(0, n - bad), min(good, n)))
+    mean = n * (good / every)
+    wide = 40 * ((mean * (bad / every) * (1 - n / every)) ** 0.5 + 1)
+    first, last = max(0, n - bad, int(mean - wide)), min(good, n, int(mean + wide) + 1)
+    k = np.arange(first, last, dtype=float)
+    logs = np.cumsum(np.append(0.0, np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1))))
+    below = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(below, rng.random() * below[-1]))
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
@@ -198,8 +206,14 @@ def op4(spark, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, block: int = 1024) -> DataFrame:
     """The mix as documents: a row for each stretch of a document in each slot,
     with the columns of ``docs``; its text is the words of the stretch, and
-    n_chars, where there is such a column, their code points."""
-    plain = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long"), "source", F.col("text").cast("string"))
+    n_chars, where there is such a column, their code points.
+
+    Null and blank texts have no words and give no row; null ids, null sources and
+    repeated rows are mixed like any other; an empty table gives an empty one.
+    Blocks are larger than the digest's, so that documents are cut less often: each
+    source may miss its target by half a block."""
+    rest = [c for c in docs.columns if c != "text"]
+    plain = docs.select(F.struct(*rest).alias("_row"), F.col("doc_id").cast("long"), "source", F.col("text").cast("string"))
     mixed, rows, _ = mix(plain, block)
     stretches = mixed.groupBy("src", "_at").agg(F.collect_list(F.struct("shard", "place", "begin", "words")).alias("_parts"))  # as many as the document has blocks, PASSES times at most
     whole = rows.where("_size > 0").join(stretches, ["src", "_at"])

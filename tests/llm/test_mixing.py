@@ -74,3 +74,29 @@ def test_no_documents(empty):
     assert mixing.mixed_documents(empty).count() == 0
     mix, located, sources = mixing.mix(empty)
     assert mixing.taken(mix, located).count() == 0 and sources == []
+
+
+def test_taken_is_what_the_slots_take(spark, docs):
+    """The words of every source laid out one after the other on the driver, and each slot's block counted off."""
+    mixed, rows, sources = mixing.mix(docs, block=16)
+    placed = rows.select("src", "_at", "_size").toPandas()
+    words = {k: np.full(s["size"], -1) for k, s in enumerate(sources)}
+    for r in placed.itertuples():
+        words[r.src][r._2 : r._2 + r._3] = r.Index
+    assert all((w >= 0).all() for w in words.values())  # no gap and no overlap
+    want = np.zeros(len(placed), int)
+    for r in mixing.slots(spark, sources).collect():
+        np.add.at(want, words[r["src"]][r["block"] * 16 : (r["block"] + 1) * 16], 1)
+    got = mixing.taken(mixed, rows).select("src", "_at", "_size", "taken").toPandas()
+    assert (got[got["_size"] == 0]["taken"] == 0).all()
+    key = lambda d, n: sorted((*map(int, x),) for x in zip(d["src"], d["_at"].fillna(-1), d["_size"], n, strict=True) if x[2])
+    assert key(got, got["taken"]) == key(placed, want)
+
+
+def test_draws_from_very_many_slots():
+    rng = np.random.default_rng(1)
+    got = np.array([mixing._hypergeometric(rng, 3 * 10**11, 10**11, 10**9) for _ in range(400)])
+    sd = (10**9 * 0.75 * 0.25 * (1 - 10**9 / (4 * 10**11))) ** 0.5
+    assert abs(got.mean() - 0.75 * 10**9) < 5 * sd / 20 and 0.85 < got.std() / sd < 1.15
+    assert mixing._hypergeometric(rng, 10**10, 5, 10**10) in range(10**10 - 5, 10**10 + 1)
+    assert mixing._hypergeometric(rng, 10**10, 5, 10**10 + 5) == 10**10
