@@ -6,26 +6,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costgrain.llm.common import in_training
+from costgrain.llm.common import cut, in_training
 
 #: At most so many labelled documents teach a classifier; all documents are scored.
 SAMPLE = 16_000
 
 
-def chosen(labels: DataFrame, label: str, modulus: int = 4, held_out: int = 2, size: int = SAMPLE) -> DataFrame:
-    """(doc_id, label) of at most ``size`` labels outside the held-out rows.
+def chosen(docs: DataFrame, labels: DataFrame, label: str, modulus: int = 4, held_out: int = 2, size: int = SAMPLE) -> DataFrame:
+    """(doc_id, label) of at most ``size`` labels of documents outside the held-out rows.
 
     The labels with the least hashes are taken, so reruns agree. Labels that are
     neither 0 nor 1 teach nothing; a document with two labels counts twice.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    return known.where(in_training(F.col("doc_id"), modulus, held_out)).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(size)
+    there = known.where(in_training(F.col("doc_id"), modulus, held_out)).join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
+    return there.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(size)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """(label, doc_id, text) of the documents of the chosen labels."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(F.broadcast(chosen(labels, label)), "doc_id").select("label", "doc_id", "text")  # SAMPLE rows of two numbers at most
+    some = cut(chosen(docs, labels, label))
+    return texts.join(F.broadcast(some), "doc_id").select("label", "doc_id", "text")  # SAMPLE rows of two numbers at most
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> np.ndarray:

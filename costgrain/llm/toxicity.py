@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costgrain.llm.common import batch_of, in_training, small, table, text_bytes
-from costgrain.llm.labelled import chosen, logistic, sample, sigmoid
+from costgrain.llm.common import batch_of, in_training, small, table
+from costgrain.llm.labelled import logistic, sample, sigmoid
 
 CUT = 0.3
 #: Letters that a sign may stand for.
@@ -39,11 +39,10 @@ BREAK_COST = -1.0
 STARTS = (4, 5, 6, 7)
 #: A lexicon entry has these many toxic documents, likelihood ratio and log odds at least.
 LEAST_DOCS, LEAST_RATIO, LEAST_ODDS = 5, 18.0, 1.2
-LEXICON = 20_000
 #: Likelihood ratio from which a find is strong; columns of the regression.
 STRONG, WIDTH = 60.0, 7
-#: Bytes whose trigrams are worked out at a time, and characters of a span that are decoded at a time.
-PIECE, SPAN = 1 << 20, 400
+#: Characters whose trigrams are worked out at a time.
+PIECE = 1 << 20
 
 _DISGUISED = re.compile(
     r"[^\W\d_][0-9@$!|+€£]+[^\W\d_]"  # signs inside a word
@@ -62,7 +61,7 @@ _APART = re.compile(rf"(?<![^\W_])(?<![@$€£])(?:{_UNIT})(?:[\s.\-_*~']+(?:{_U
 _LONE, _WIDE = re.compile(_UNIT), re.compile(r"[\s.\-_*~']+")
 _WORDS = re.compile(r"[^\W\d_]+")
 _CODES = 28
-_LETTER = np.full(256, 27, np.int64)
+_LETTER = np.full(256, 27, np.int64)  # by code point; all above are as the last
 _LETTER[[9, 10, 11, 12, 13, 32]] = 0
 _LETTER[97:123] = _LETTER[65:91] = np.arange(1, 27)
 
@@ -81,9 +80,9 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_CODES**3, np.int64)
         for b in small(batches):
-            raw = np.frombuffer(b"  " + b"  ".join(text_bytes(b.column(0))) + b"  ", np.uint8)
-            for a in range(0, len(raw) - 2, PIECE):
-                c = _LETTER[raw[a : a + PIECE + 2]]
+            joined = "  " + "  ".join(_strings(b.column(0))) + "  "
+            for a in range(0, len(joined) - 2, PIECE):
+                c = _LETTER[np.minimum(np.frombuffer(joined[a : a + PIECE + 2].encode("utf-32-le"), np.uint32), 255)]
                 total += np.bincount((c[:-2] * _CODES + c[1:-1]) * _CODES + c[2:], minlength=_CODES**3)
         some = np.flatnonzero(total)
         yield batch_of(schema, pa.array(some, pa.int32()), pa.array(total[some]))
@@ -115,9 +114,7 @@ class Decoder:
         return {"model": self.model, "known": {}, "tokens": {}}
 
     def decode(self, span: str) -> str:
-        """The likeliest letters of a span, in lower case; a long span is decoded piece by piece."""
-        if len(span) > SPAN:
-            return "".join(self.decode(span[a : a + SPAN]) for a in range(0, len(span), SPAN))
+        """The likeliest letters of a span, in lower case."""
         if (found := self.known.get(span)) is None:
             if len(self.known) > 50_000:
                 self.known.clear()
@@ -182,8 +179,7 @@ class Decoder:
             spans = [units, *(p for p in parts if len(p) > 1), units[1:], units[:-1]]
             for span in spans:
                 out[self.decode(" ".join(span))] = None
-            for k in range(0, len(units), SPAN // 2):
-                out |= dict.fromkeys(self._search(" ".join(units[k : k + SPAN // 2]), breaks=True).split())
+            out |= dict.fromkeys(self._search(" ".join(units), breaks=True).split())
         return list(out)
 
     def restore(self, text: str) -> str:
@@ -194,7 +190,8 @@ class Decoder:
 
 
 def finds(text: str, decoder: Decoder) -> set[str]:
-    """The different words of the restored text."""
+    """The different words of the restored text; a document's score rests on which
+    words it has, so each different token is decoded once."""
     low = text.lower()
     tokens = low.split()
     different = set(tokens)
@@ -256,9 +253,9 @@ def _strings(column: pa.Array) -> list[str]:
 def _lexicon(marked: DataFrame, decoder: Decoder, toxic: int, clean: int) -> dict[str, tuple[float, bool]]:
     """Log odds, and whether they are sure, of the words and word beginnings that mark labelled toxic documents.
 
-    ``toxic`` and ``clean`` say how many labels of each kind there are. What is
-    too rare, or hardly commoner in toxic documents, stays with Spark; of the
-    rest at most LEXICON parts with the greatest likelihood ratios come back.
+    ``toxic`` and ``clean`` say how many labelled documents of each kind there are. What is
+    too rare, or hardly commoner in toxic documents, stays with Spark; the rest
+    marks a sample of ``labelled.SAMPLE`` documents and is no larger than that allows.
     """
     if not toxic or not clean:
         return {}
@@ -278,7 +275,7 @@ def _lexicon(marked: DataFrame, decoder: Decoder, toxic: int, clean: int) -> dic
     share = (a + b) / (toxic + clean)
     ratio = 2 * (a * F.log(a / (toxic * share)) + F.when(b > 0, b * F.log(b / (clean * share))).otherwise(0.0))
     told = counts.where(F.col("a") >= LEAST_DOCS).select("part", odds.alias("odds"), ratio.alias("ratio"))
-    best = told.where((F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc("ratio"), "part").limit(LEXICON)
+    best = told.where((F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO))
     return {r["part"]: (r["odds"], r["ratio"] >= STRONG) for r in best.collect()}
 
 
@@ -289,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Toxicity:
     the same for all."""
     decoder = Decoder(language_model(trigram_counts(docs)))
     marked = sample(docs, labels, "toxic")
-    kinds = dict(map(tuple, chosen(labels, "toxic").groupBy("label").count().collect()))
+    kinds = dict(map(tuple, marked.groupBy("label").count().collect()))
     blank = Toxicity(decoder, _lexicon(marked, decoder, kinds.get(1, 0), kinds.get(0, 0)), np.zeros(WIDTH))
     schema = pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
 

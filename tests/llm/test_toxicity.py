@@ -30,7 +30,7 @@ def test_plain_text_stays(decoder):
 
 def test_long_spans_are_decoded_whole(decoder):
     long = "1d10t" * 400
-    assert decoder.decode(long) == "".join(decoder.decode(long[a : a + toxicity.SPAN]) for a in range(0, len(long), toxicity.SPAN))
+    assert decoder.decode(long).count("idiot") > 390
     assert decoder.restore(f"you {long} there").count("idiot") > 390
 
 
@@ -94,3 +94,17 @@ def test_tripled_letters_of_any_alphabet_are_decoded(decoder):
     alone = toxicity.finds("quel crééétin ici", decoder)
     assert "crééétin" not in alone and set(decoder.restore("crééétin").split()) <= alone
     assert alone - {"quel", "ici"} <= toxicity.finds("quel crééétin ici nooo", decoder)
+
+
+def test_held_out_toxic_documents_are_found(spark):
+    """Of the held-out ones labelled toxic nine in ten, of the clean ones next to none."""
+    sf = "/root/testdata/sf0.1"
+    met = toxicity.op7(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
+    toxic, clean = met[met["toxic"] == 1], met[met["toxic"] == 0]
+    assert len(toxic) > 100 and toxic["predicted"].mean() >= 0.9 and clean["predicted"].mean() < 0.02
+
+
+def test_trigrams_are_of_characters_and_not_of_bytes(spark):
+    docs = spark.createDataFrame([(1, "é"), (2, "")], "doc_id long, text string")
+    cube = toxicity.trigram_counts(docs)
+    assert cube[0, 0, 27] == cube[0, 27, 0] == 1 and not cube[27, 27].any()
