@@ -57,28 +57,33 @@ def redacted_label(text: Column) -> Column:
 
     def mark(words: Column) -> Column:
         names = ["api_key", "token", "password"]
-        assigned = lambda i: (  # noqa: E731  a name, a sign and a value in three words
-            ascii_lower(F.get(words, i)).isin(names) & F.get(words, i + 1).isin("=", ":") & F.get(words, i + 2).isNotNull()
-        )
-
-        def one(w: Column, i: Column) -> Column:
-            low = ascii_lower(w)
-            long = F.octet_length(w) >= 10
-            secret = (
-                (low.startswith("sk-") & long)
-                | (_starts(low, ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]) & long)
-                | (_starts(low, ["api_key", "apikey", "token", "password"]) & low.rlike("[=:]"))
-            )
-            inside = F.coalesce(assigned(i - 1), F.lit(False)) | F.coalesce(assigned(i - 2), F.lit(False))
-            shown = F.regexp_replace(w, r"[^\p{L}\p{N}\[\]\-]", " ")
-            return (
-                F.when(inside, "")
-                .when(secret | F.coalesce(assigned(i), F.lit(False)), "[redacted]")
-                .when(_starts(w, ["http://", "https://"]), "")
-                .otherwise(shown)
-            )
-
-        return F.transform(words, one)
+        # A name, a sign and a value in three words. One that begins inside another is part of it:
+        # from left to right, the place where the last one ends is carried along.
+        opens = lambda i: ascii_lower(F.get(words, i)).isin(names) & F.get(words, i + 1).isin("=", ":") & F.get(words, i + 2).isNotNull()
+        found = F.filter(F.transform(words, lambda w, i: F.when(opens(i), i)), lambda i: i.isNotNull())
+        kept = F.aggregate(found, F.array().cast("array<int>"), lambda out, i: F.when((F.size(out) == 0) | (i > F.try_element_at(out, F.lit(-1)) + 2), F.array_append(out, i)).otherwise(out))
+
+        def with_starts(starts: Column) -> Column:
+            def one(w: Column, i: Column) -> Column:
+                low = ascii_lower(w)
+                long = F.octet_length(w) >= 10
+                secret = (
+                    (low.startswith("sk-") & long)
+                    | (_starts(low, ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]) & long)
+                    | (_starts(low, ["api_key", "apikey", "token", "password"]) & low.rlike("[=:]"))
+                )
+                inside = F.array_contains(starts, i - 1) | F.array_contains(starts, i - 2)
+                shown = F.regexp_replace(w, r"[^\p{L}\p{N}\[\]\-]", " ")
+                return (
+                    F.when(inside, "")
+                    .when(secret | F.array_contains(starts, i), "[redacted]")
+                    .when(_starts(w, ["http://", "https://"]), "")
+                    .otherwise(shown)
+                )
+
+            return F.transform(words, one)
+
+        return F.transform(F.array(kept), with_starts)[0]
 
     marked = F.transform(F.array(raw), mark)[0]
     words = F.filter(F.split(F.array_join(marked, " "), r"\s+"), lambda w: (w != "") & ((w == "[redacted]") | ~ascii_lower(w).isin(STOP_WORDS)))

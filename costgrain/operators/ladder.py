@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from costgrain.functions.identity import with_identity
 from costgrain.functions.vocabulary import TOKENS, is_measured, source_kind, source_rank, stored_rank
+from costgrain.operators.stages import cut
 
 #: Order of records in which a tie goes to the first.
 ORDER = ["source_path", "source_offset"]
@@ -40,7 +41,8 @@ def insert_or_ignore(ledger: DataFrame | None, incoming: DataFrame) -> DataFrame
     kind, source event) is in the ledger or an earlier record that enters.
 
     Rounds: a record enters when it is first of what is left in both keys; what
-    meets a key of those that entered goes. Usually the first round is the last.
+    meets a key of those that entered goes. Usually the first round is the last;
+    where there are more, each is cut from the one before.
     """
     kind = source_kind(F.col("source"), F.col("source_subtype"))
     left = with_identity(incoming).withColumn("source_kind", kind)
@@ -62,7 +64,7 @@ def insert_or_ignore(ledger: DataFrame | None, incoming: DataFrame) -> DataFrame
         # Only a record that is first in one key but not the other can leave room for others.
         if not ranked.where("(_h = 1) <> (_e = 1)").take(1):
             return entered
-        left = without(left, first)
+        left = cut(without(left, first))
 
 
 def supersede(ledger: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,9 +9,6 @@ from pyspark.sql import Window as W
 from costgrain.functions.identity import stable_id
 from costgrain.functions.money import cost_micros, rate_to_micros
 
-#: A rate table up to this many rows is broadcast; a larger one is joined by pattern.
-BROADCAST_RATES = 10_000
-
 
 def day(text: Column) -> Column:
     """The date before the T of a timestamp, also unpadded; null where it is none."""
@@ -36,18 +33,20 @@ def resolve(events: DataFrame, rates: DataFrame) -> DataFrame:
     wildcard, a longer one before a shorter, a later date before an earlier.
 
     Different (model, date) pairs are resolved, not events: there are few, so
-    events meet them by an equality join however many there are. A rate without
+    events meet them by an equality join however many there are. The pairs meet
+    rates by equality too, on every beginning of the model's name. A rate without
     a timestamp to hold it against always applies.
     """
     date = F.substring_index("source_timestamp", "T", 1)
     keyed = events.withColumns({"_model": F.coalesce("model", F.lit("")), "_date": F.coalesce(date, F.lit(""))})
     pairs = keyed.select("_model", "_date").distinct()
+    # A pattern fits a model when it is the model, or when its head is one of the model's beginnings.
+    beginnings = F.expr("transform(sequence(0, length(_model)), n -> struct(false as exact, left(_model, n) as head))")
+    asked = pairs.select("_model", "_date", F.explode(F.concat(beginnings, F.array(F.struct(F.lit(True).alias("exact"), F.col("_model").alias("head"))))).alias("_p"))
+    asked = asked.select("_model", "_date", F.col("_p.exact").alias("_exact"), F.col("_p.head").alias("_head"))
     wild = F.col("model_pattern").endswith("*")
     prepared = rates.withColumns({"_exact": ~wild, "_head": F.when(wild, F.expr("left(model_pattern, length(model_pattern) - 1)")).otherwise(F.col("model_pattern"))})
-    if rates.limit(BROADCAST_RATES + 1).count() <= BROADCAST_RATES:
-        prepared = F.broadcast(prepared)
-    fits = F.when(F.col("_exact"), F.col("_model") == F.col("_head")).otherwise(F.col("_model").startswith(F.col("_head")))
-    met = pairs.join(prepared, fits & ((F.col("_date") == "") | _since(F.col("effective_from"), F.col("_date"))))
+    met = asked.join(prepared, ["_exact", "_head"]).where((F.col("_date") == "") | _since(F.col("effective_from"), F.col("_date")))
     best = W.partitionBy("_model", "_date").orderBy(F.desc("_exact"), F.desc(F.octet_length("_head")), F.desc_nulls_last(day(F.col("effective_from"))), F.desc("effective_from"), "pricing_version_id")
     chosen = met.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_exact", "_head")
     return keyed.join(chosen, ["_model", "_date"], "left").drop("_model", "_date")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from costgrain.functions.money import weighted
 from costgrain.functions.vocabulary import TOKENS
+from costgrain.operators.stages import cut
 from costgrain.operators.usage import POLICIES
 
 TOTALS = [*TOKENS, "requests", "measured", "unavailable", "anomalous", "priced", "amount_micros"]
@@ -14,28 +15,28 @@ TOTALS = [*TOKENS, "requests", "measured", "unavailable", "anomalous", "priced",
 MOST = (1 << 63) - 1
 
 
-def paths(items: DataFrame, depth_limit: int = 1_000) -> DataFrame:
+def paths(items: DataFrame) -> DataFrame:
     """Items (id, parent_id, project_id, maybe more) with ``path``, the ids from their root down.
 
     An item whose parent is missing or in another project is a root. Items in a
-    cycle have no root and are left out. One join for each level of the tree.
+    cycle, or below one, have no root and are left out. Pointers double: each round joins every
+    item that has not reached its root to the one its pointer is at, and takes
+    over the way from there, so that rounds grow with the logarithm of the depth. A round that brings
+    no item to its root leaves only those of cycles.
     """
     parents = items.select(F.col("id").alias("_pid"), F.col("project_id").alias("_pp"))
     known = items.join(parents, (F.col("parent_id") == F.col("_pid")) & F.col("project_id").eqNullSafe(F.col("_pp")), "left")
-    linked = known.withColumn("_up", F.col("_pid")).drop("_pid", "_pp")
-    level = linked.where("_up is null").withColumn("path", F.array("id"))
-    below = linked.where("_up is not null")
-    levels = [level]
-    for _ in range(depth_limit):
-        heads = level.select(F.col("id").alias("_up"), F.col("path").alias("_head"))
-        level = below.join(heads, "_up").withColumn("path", F.concat("_head", F.array("id"))).drop("_head").select(*levels[0].columns)
-        if not level.take(1):
+    now = cut(known.withColumns({"_up": F.col("_pid"), "path": F.array("id")}).drop("_pid", "_pp"))
+    rest = now.where("_up is not null").count()
+    while rest:
+        heads = now.select(F.col("id").alias("_head"), F.col("_up").alias("_next"), F.col("path").alias("_way"))
+        met = now.where("_up is not null").join(heads, F.col("_up") == F.col("_head"))
+        moved = met.withColumns({"_up": F.col("_next"), "path": F.concat("_way", "path")}).select(*now.columns)
+        now = cut(now.where("_up is null").unionByName(moved))
+        before, rest = rest, now.where("_up is not null").count()
+        if rest == before:
             break
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out.drop("_up")
+    return now.where("_up is null").drop("_up")
 
 
 def closure(with_paths: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from costgrain.functions import identity, money, text, vocabulary
 from costgrain.functions.vocabulary import TOKENS
 from costgrain.operators import attribution, deltas, ladder, pricing, tree, usage
+from costgrain.operators.stages import cut
 from costgrain.plans import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -364,9 +365,13 @@ _TREE = "WITH RECURSIVE " + t.FLAGS + ", " + t.PRICED[len(t.LEDGER) + 2 :] + ",
 
 
 def _direct(spark, sf_dir, policy):
-    costs = pricing.price(t.ledger(spark, sf_dir), t.rates(spark)).where("amount_micros is not null").select(F.col("id").alias("usage_event_id"), "amount_micros")
-    flags = _flags(spark, sf_dir).select("id", "session", "is_lifecycle", "is_delta", "is_subagent", "is_covered", "measured", *TOKENS)
-    return tree.direct_totals(t.items(spark, sf_dir), t.attributions(spark, sf_dir).select("span_id", "work_item_id", "weight"), t.spans(spark, sf_dir).select("span_id", "usage_event_id", "session", "measurement_status"), flags, costs, t.anomalies(spark, sf_dir), policy)
+    """The ledger is read and priced once; flags, costs, spans and attributions are parts of it."""
+    kept = ["id", "session", "turn_id", "source_kind", "parent_agent_id", "superseded_by", "source_offset", *TOKENS]
+    events = cut(pricing.price(t.ledger(spark, sf_dir), t.rates(spark)).select(*kept, "amount_micros"))
+    costs = events.where("amount_micros is not null").select(F.col("id").alias("usage_event_id"), "amount_micros")
+    flags = usage.flagged(events.select(*kept), t.sessions(spark, sf_dir)).select("id", "session", "is_lifecycle", "is_delta", "is_subagent", "is_covered", "measured", *TOKENS)
+    spans = t.spans(spark, sf_dir, events).select("span_id", "usage_event_id", "session", "measurement_status")
+    return tree.direct_totals(t.items(spark, sf_dir), t.attributions(spark, sf_dir, events).select("span_id", "work_item_id", "weight"), spans, flags, costs, t.anomalies(spark, sf_dir), policy)
 
 
 @query(_TREE + ", ".join((_direct_sql("Unknown"),)) + f" SELECT id, {', '.join(tree.TOTALS)} FROM direct")

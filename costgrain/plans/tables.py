@@ -169,17 +169,17 @@ ITEMS = """items AS (
 )"""
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A span for each event that is no lifecycle counter."""
-    e = ledger(spark, sf_dir).where("source_kind not in ('final_request_counter', 'subagent_stop')")
+def spans(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """A span for each event (of the ledger, if none are given) that is no lifecycle counter."""
+    e = (ledger(spark, sf_dir) if events is None else events).where("source_kind not in ('final_request_counter', 'subagent_stop')")
     from costgrain.functions.vocabulary import is_measured
 
     return e.select(F.concat(F.lit("sp"), F.col("source_offset").cast("string")).alias("span_id"), F.col("id").alias("usage_event_id"), "session", F.when(is_measured(), "measured").otherwise("unavailable").alias("measurement_status"), "source_offset", F.substring("session", 2, 20).cast("long").alias("user_id"))
 
 
-def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def attributions(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Active attributions: two fifths of the spans are shared 60/40 by a customer and a nation."""
-    s = spans(spark, sf_dir).select("span_id", "source_offset", "user_id")
+    s = spans(spark, sf_dir, events).select("span_id", "source_offset", "user_id")
     first = s.select("span_id", F.concat(F.lit("g"), F.col("source_offset").cast("string")).alias("group_id"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("work_item_id"), F.lit("primary").alias("role"), F.when(F.col("source_offset") % 5 < 2, 6000).otherwise(10000).alias("weight"), F.lit(0).alias("ordinal"), F.lit(0.9).alias("confidence"))
     second = s.where("source_offset % 5 < 2").select("span_id", F.concat(F.lit("g"), F.col("source_offset").cast("string")).alias("group_id"), F.concat(F.lit("n"), (F.col("user_id") % 25).cast("string")).alias("work_item_id"), F.lit("secondary").alias("role"), F.lit(4000).alias("weight"), F.lit(1).alias("ordinal"), F.lit(0.8).alias("confidence"))
     return first.unionByName(second)

@@ -195,3 +195,41 @@ def test_reports(spark, tmp_path):
 def test_dates(spark):
     out = spark.createDataFrame([("2026-2-1",), ("2026-02-01T10:00:00Z",), ("unix-ns:1",), ("2026-13-01",)], "x string").select(pricing.day(F.col("x"))).collect()
     assert [r[0] for r in out] == [datetime.date(2026, 2, 1)] * 2 + [None, None]
+
+
+def test_deep_trees_and_cycles(spark):
+    from costgrain.operators import tree
+
+    deep = [(f"i{k}", f"i{k - 1}" if k else None, "p", k) for k in range(2_000)]
+    odd = [("a", "b", "p", 0), ("b", "a", "p", 0), ("c", "a", "p", 0), ("self", "self", "p", 0), ("other", "i0", "q", 0), ("lost", "nowhere", "p", 0)]
+    out = {r["id"]: r["path"] for r in tree.paths(spark.createDataFrame(deep + odd, "id string, parent_id string, project_id string, k int")).collect()}
+    assert out.keys() == {x[0] for x in deep} | {"other", "lost"} and out["other"] == ["other"]
+    assert all(out[f"i{k}"] == [f"i{j}" for j in range(k + 1)] for k in (0, 1, 2, 3, 100, 1_999))
+    assert tree.paths(spark.createDataFrame([], "id string, parent_id string, project_id string")).count() == 0
+
+
+def plain_label_words(words):
+    """What stays of words before the stop words go, told from left to right."""
+    out, k = [], 0
+    while k < len(words):
+        low = words[k].lower()
+        if low.startswith(("api_key", "apikey", "token", "password")) and ("=" in low or ":" in low):
+            out.append("[redacted]")
+        elif low in ("api_key", "token", "password") and k + 2 < len(words) and words[k + 1] in ("=", ":"):
+            out.append("[redacted]")
+            k += 2
+        else:
+            out.append(words[k])
+        k += 1
+    return [w for w in out if w not in ("=", ":")]
+
+
+def test_labels_from_left_to_right(spark):
+    """Names, signs and values in every order: an assignment may hold another's name as its value."""
+    import itertools
+
+    shown = [" ".join(x) for n in (1, 4, 5) for x in itertools.product(["token", "=", "zulu"], repeat=n)] + ["token = token = zulu bravo", "password : api_key = token = zulu"]
+    got = one(spark, text.redacted_label, *shown)
+    for s, label in zip(shown, got, strict=True):
+        words = plain_label_words(s.split())[:8]
+        assert label.split() == words + ["work"] * (3 - len(words)), s
