@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a checkpoint and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Where
-    none is set, one machine gets a temporary one (tests) and a cluster an error:
+    Where none is set, one machine gets a temporary one (tests) and a cluster an error:
     its executors don't see each other's disks.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="costgrain-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as a checkpoint and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from costgrain.functions.money import dollar_text_to_micros, thousandths
 from costgrain.functions.vocabulary import TOKENS
-from costgrain.sources.files import lines, stem, whole_files
+from costgrain.sources.files import lines, stem, too_large, whole_files
 from costgrain.sources.observation import anomaly, count, first, observation
 
 _METRICS = "inputTokens: bigint, outputTokens: bigint, cachedReadTokens: bigint, cacheCreationTokens: bigint, reasoningTokens: bigint, totalTokens: bigint, modelCalls: bigint, costUsdTicks: bigint, primaryModelId: string"
@@ -21,13 +21,19 @@ def _json(files: DataFrame, schema: str) -> DataFrame:
 
 
 def read_turn_files(spark: SparkSession, path: str, adapter: str = "grok", parser_version: str = "1", newest: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Observations and anomalies of ``usage.json`` files with a list of turns.
+    """Observations and anomalies of the ``usage.json`` files below ``path``; files that are too large give an anomaly."""
+    out, odd = turns_of(whole_files(spark, path, "usage.json"), adapter, parser_version, newest)
+    return out, odd.unionByName(too_large(spark, path, "usage.json"))
+
+
+def turns_of(contents: DataFrame, adapter: str = "grok", parser_version: str = "1", newest: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Observations and anomalies of files (source_path, content) with a list of turns.
 
     The session's own counters count only where there is no turn. A turn without
     a call, or without input and output counts, is unavailable and has no
     tokens. Cost comes in thousandths of a micro-dollar and is cut off.
     """
-    files = _json(whole_files(spark, path, "usage.json"), _TURNS)
+    files = _json(contents, _TURNS)
     r = F.col("r")
     known = r["sessionId"].isNotNull() & F.coalesce(r["version"] <= newest, F.lit(True))
     good = files.where(r.isNotNull() & known)
@@ -73,12 +79,18 @@ _RUN = f"struct<session_id: string, model: string, failed: boolean, api_calls: b
 
 
 def read_runs(spark: SparkSession, path: str, adapter: str = "hermes", parser_version: str = "1") -> tuple[DataFrame, DataFrame]:
-    """Observations and anomalies of one-shot run reports: the run and its side tasks.
+    """Observations and anomalies of the one-shot run reports below ``path``; files that are too large give an anomaly."""
+    out, odd = runs_of(whole_files(spark, path, "*usage.json"), adapter, parser_version)
+    return out, odd.unionByName(too_large(spark, path, "*usage.json"))
+
+
+def runs_of(contents: DataFrame, adapter: str = "hermes", parser_version: str = "1") -> tuple[DataFrame, DataFrame]:
+    """Observations and anomalies of one-shot run reports (source_path, content): the run and its side tasks.
 
     A failed run has no tokens. Of the costs that are told, the actual one
     counts before an estimate; a free model without one costs nothing.
     """
-    files = _json(whole_files(spark, path, "*usage.json"), _RUN)
+    files = _json(contents, _RUN)
     r = F.col("r")
     good = files.where(r.isNotNull()).withColumn("_session", first(r["session_id"], stem(F.col("source_path"))))
     free = is_free_model(r["model"])
@@ -170,12 +182,16 @@ _PROTOTYPE = "struct<project: string, project_name: string, task: string, task_n
 
 
 def read_prototype(spark: SparkSession, path: str) -> DataFrame:
-    """Observations of prototype ledgers, with project and task.
+    """Observations of the prototype ledgers below ``path``, with project and task."""
+    return prototypes_of(whole_files(spark, path, "*.json"))
+
+
+def prototypes_of(files: DataFrame) -> DataFrame:
+    """Observations of prototype ledgers (source_path, content), with project and task.
 
     The file is an array, an object with an array under a known key, or an
     object of objects; what is no object in it is left out.
     """
-    files = whole_files(spark, path, "*.json")
     under = [F.from_json(F.get_json_object("content", f"$.{k}"), "array<string>") for k in ("records", "entries", "events", "usage", "tasks")]
     listed = F.coalesce(F.when(F.ltrim("content").startswith("["), F.from_json("content", "array<string>")), *under, F.map_values(F.from_json("content", "map<string, string>")))
     rows = files.select("source_path", F.posexplode(F.filter(listed, lambda x: F.ltrim(x).startswith("{"))).alias("n", "item")).withColumn("r", F.from_json("item", _PROTOTYPE))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Larger files are left out; longer lines are marked and not parsed.
+#: Larger files are not read but told by ``too_large``; longer lines are marked and not parsed.
 FILE_BYTES, LINE_BYTES = 512 << 20, 16 << 20
 
 
@@ -39,6 +39,14 @@ def binary_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return raw.where(F.col("length") <= FILE_BYTES).select(F.col("path").alias("source_path"), "content")
 
 
+def too_large(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """An anomaly for each file below ``path`` that is left out for its size; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length")
+    none = F.lit(None).cast("string")
+    large = found.where(F.col("length") > FILE_BYTES)
+    return large.select(F.lit("file_too_large").alias("type"), none.alias("session"), none.alias("turn_id"), F.col("path").alias("source_path"), F.lit(0).cast("long").alias("source_offset"), F.to_json(F.struct("length")).alias("details"))
+
+
 def changed(files: DataFrame, checkpoints: DataFrame, parser_version: str) -> DataFrame:
     """Files whose content or parser is not that of their checkpoint."""
     hashed = files.withColumns({"content_hash": F.sha2("content", 256), "parser_version": F.lit(parser_version)})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from costgrain.functions.vocabulary import TOKENS
 from costgrain.operators import deltas, ladder
-from costgrain.sources.files import lines, stem
+from costgrain.sources.files import lines, stem, too_large
 from costgrain.sources.observation import COLUMNS, anomaly, count, first, observation
 
 _COUNTS = (
@@ -34,11 +34,11 @@ TURN_ENDS = ["turn/completed", "turn_complete", "turn/complete", "turn_end", "tu
 
 
 def _parsed(raw: DataFrame, version: str) -> DataFrame:
-    """Lines with their record ``r``; null where a line is no JSON object."""
+    """Lines with their record ``r``; null where a line is no JSON object, or too long to be parsed."""
     blank = F.trim("line") == ""
     record = F.from_json("line", _RECORD.replace("VERSION", version))
-    sound = F.coalesce(F.get_json_object("line", "$").startswith("{"), F.lit(False))
-    return raw.where(~F.col("oversize") & ~blank).withColumn("r", F.when(sound, record))
+    sound = ~F.col("oversize") & F.coalesce(F.get_json_object("line", "$").startswith("{"), F.lit(False))
+    return raw.where(~blank).withColumn("r", F.when(sound, record))
 
 
 def _tokens(u, reasoning_first: bool) -> dict:
@@ -70,13 +70,18 @@ class _Usage:
 
 
 def read_requests(spark: SparkSession, path: str, adapter: str = "claude", parser_version: str = "1") -> tuple[DataFrame, DataFrame]:
-    """Observations and anomalies of request transcripts below ``path``.
+    """Observations and anomalies of the request transcripts below ``path``; files that are too large give an anomaly."""
+    out, odd = requests_of(lines(spark, path), adapter, parser_version)
+    return out, odd.unionByName(too_large(spark, path, "*.jsonl"))
+
+
+def requests_of(raw: DataFrame, adapter: str = "claude", parser_version: str = "1") -> tuple[DataFrame, DataFrame]:
+    """Observations and anomalies of lines (source_path, source_offset, line, oversize) of request transcripts.
 
     Records of an unsupported version, without usage, or without any count are
     left out. Usage snapshots are cumulative: they become differences per
     session; one that falls behind gives no record but an anomaly.
     """
-    raw = lines(spark, path)
     parsed = _parsed(raw, "bigint")
     r = F.col("r")
     schema = r["schema_version"]
@@ -106,7 +111,13 @@ def read_requests(spark: SparkSession, path: str, adapter: str = "claude", parse
 
 
 def read_streams(spark: SparkSession, path: str, adapter: str = "codex", parser_version: str = "1") -> tuple[DataFrame, DataFrame]:
-    """Observations and anomalies of event streams below ``path``.
+    """Observations and anomalies of the event streams below ``path``; files that are too large give an anomaly."""
+    out, odd = streams_of(lines(spark, path), adapter, parser_version)
+    return out, odd.unionByName(too_large(spark, path, "*.jsonl"))
+
+
+def streams_of(raw: DataFrame, adapter: str = "codex", parser_version: str = "1") -> tuple[DataFrame, DataFrame]:
+    """Observations and anomalies of lines (source_path, source_offset, line, oversize) of event streams.
 
     Session, turn and agent carry over from earlier lines: a turn's end clears
     the turn, a session's end all. Cumulative readings count what they exceed
@@ -115,7 +126,7 @@ def read_streams(spark: SparkSession, path: str, adapter: str = "codex", parser_
     differs from the sum of the details, an anomaly says so. Of several records
     of one request the one of highest authority stays.
     """
-    parsed = _parsed(lines(spark, path), "string")
+    parsed = _parsed(raw, "string")
     r = F.col("r")
     version = first(r["version"], r["protocol_version"], r["schema_version"])
     known = version.isNull() | version.isin(STREAM_VERSIONS)

@@ -42,10 +42,17 @@ class Ledger:
         by = links.groupBy("old_id").agg(F.min("superseded_by").alias("superseded_by"))
         return rows.join(by, rows["id"] == by["old_id"], "left").drop("old_id")
 
+    def poisoned(self) -> DataFrame:
+        """Anomalies of the observations that could not be stored."""
+        return self._read("poison", "type string, session string, turn_id string, source_path string, source_offset long, details string, batch int")
+
     def ingest(self, observations: DataFrame, batch: int) -> None:
-        """Add a batch of observations; a batch that comes again replaces itself."""
+        """Add a batch of observations; a batch that comes again replaces itself. Those that
+        can't be stored are set apart (``poisoned``) and stop no other."""
         known = self.events(before=batch)
-        clean = ladder.deduplicate(observations.select(*COLUMNS)).withColumn("source_kind", source_kind(F.col("source"), F.col("source_subtype")))
+        sound, broken = poison(observations.select(*COLUMNS))
+        broken.write.mode("overwrite").parquet(f"{self.folder}/poison/batch={batch}")
+        clean = ladder.deduplicate(sound).withColumn("source_kind", source_kind(F.col("source"), F.col("source_subtype")))
         new, links = ladder.supersede(known.where("superseded_by is null"), clean)
         # Of two keys the hash is settled by the ladder; the other is the event of an adapter and kind.
         taken = known.where("source_event_id is not null").select("adapter", "source_kind", "source_event_id").distinct()
