@@ -37,41 +37,63 @@ def test_offsets_are_those_of_bytes(spark, tmp_path):
         at += len(line.encode()) + 1
 
 
-def request(turn, n, i, c, o, r, kind="thread/tokenUsage/updated"):
-    return {"type": kind, "request_id": n, "turn_id": turn, "session_id": "s", "model": "m", "token_usage": {"input_tokens": i, "cached_input_tokens": c, "output_tokens": o, "reasoning_tokens": r}}
+COUNTS = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens")
 
 
-DETAIL = [request("t1", "r1", 100, 20, 50, 10), request("t1", "r2", 150, 30, 70, 15)]
+def reading(kind, turn, counts, **more):
+    return {"type": kind, "turn_id": turn, "session_id": "s", "model": "m", "token_usage": dict(zip(COUNTS, counts, strict=False)), **more}
 
 
-def counter(turn, i, c, o, r):
-    return {"type": "turn_counter", "turn_id": turn, "session_id": "s", "model": "m", "token_usage": {"input_tokens": i, "cached_input_tokens": c, "output_tokens": o, "reasoning_tokens": r}}
+def asked(turn, *all_counts):
+    return [reading("token_usage", turn, counts, requestId=f"{turn}/{k}") for k, counts in enumerate(all_counts)]
 
 
-def cumulative(turn, i, o):
-    return {"type": "cumulative_usage", "turn_id": turn, "session_id": "s", "model": "m", "is_cumulative": True, "request_id": f"{turn}-{i}-{o}", "usage": {"input_tokens": i, "output_tokens": o}}
+def summed(*all_counts):
+    return [sum(x) for x in zip(*all_counts, strict=True)]
+
+
+ONE, TWO, THREE = (17, 4, 9, 2), (31, 0, 5, 5), (8, 8, 1, 0)
+COUNTED = reading("turn_summary", "a", summed(ONE, TWO, THREE))
+OTHER = reading("turn_summary", "b", (3, 1, 2, 0))
+
+
+def rising(turn, *inputs):
+    return [reading("cumulative_usage", turn, (i, 0, 2 * i, 0), request_id=f"{turn}:{k}") for k, i in enumerate(inputs)]
 
 
 @pytest.mark.parametrize(
     ("rows", "want", "odd"),
     [
-        (DETAIL, [250, 50, 120, 25, 2], 0),
-        ([counter("t1", 250, 50, 120, 25)], [250, 50, 120, 25, 1], 0),
-        ([*DETAIL, counter("t1", 250, 50, 120, 25)], [250, 50, 120, 25, 2], 0),
-        ([*DETAIL, counter("t1", 999, 50, 120, 25)], [250, 50, 120, 25, 2], 1),
-        ([counter("t1", 250, 50, 120, 25)] * 3, [250, 50, 120, 25, 1], 0),
-        ([cumulative("t1", 400, 100), cumulative("t2", 300, 50)], [700, 0, 150, 0, 2], 0),
-        ([cumulative("t1", 400, 100), cumulative("t1", 300, 50)], [700, 0, 150, 0, 2], 1),
+        (asked("a", ONE, TWO, THREE), [*summed(ONE, TWO, THREE), 3], 0),
+        ([COUNTED, OTHER], [*summed(ONE, TWO, THREE, (3, 1, 2, 0)), 2], 0),
+        ([COUNTED, *asked("a", ONE, TWO, THREE), OTHER], [*summed(ONE, TWO, THREE, (3, 1, 2, 0)), 4], 0),
+        ([COUNTED, *asked("a", ONE, TWO)], [*summed(ONE, TWO), 2], 1),
+        ([OTHER, OTHER], [3, 1, 2, 0, 1], 0),
+        (asked("a", ONE) * 2, [*ONE, 1], 0),
+        (rising("a", 6, 11, 30) + rising("b", 4), [34, 0, 68, 0, 4], 0),
+        (rising("a", 6, 2, 5), [11, 0, 22, 0, 3], 1),
     ],
 )
 def test_streams(spark, tmp_path, rows, want, odd):
-    root = write(tmp_path / "x" / "a.jsonl", [{"type": "turn/started", "turn_id": "t1", "session_id": "s"}, *rows])
+    root = write(tmp_path / "x" / "a.jsonl", [{"type": "turn/started", "turn_id": "a", "session_id": "s"}, *rows])
     # A counter is cumulative only if it says so; here counters count whole.
     out, anomalies = transcripts.read_streams(spark, root)
     assert total(out) == want
     assert anomalies.count() == odd
 
 
+def test_what_is_too_large_is_told(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LINE_BYTES", 200)
+    monkeypatch.setattr(files, "FILE_BYTES", 2_000)
+    good = {"type": "assistant", "session_id": "s", "request_id": "r", "usage": {"input_tokens": 2}}
+    write(tmp_path / "x" / "long-line.jsonl", [good, {"pad": "x" * 300}])
+    root = write(tmp_path / "x" / "large.jsonl", [good] * 100)
+    for read in (transcripts.read_requests, transcripts.read_streams):
+        out, odd = read(spark, root)
+        assert out.count() == 1
+        assert sorted(r["type"] for r in odd.collect()) == ["file_too_large", "malformed_line"]
+
+
 def test_sticky_context_and_bad_lines(spark, tmp_path):
     usage_ = {"input_tokens": 1, "output_tokens": 2}
     root = write(

@@ -70,3 +70,19 @@ def test_prompts_are_kept_as_fingerprints(spark):
     payload = F.from_json("x", "struct<" + ", ".join(f"{c}: string" for c in [*hooks.KEPT, "prompt"]) + ">")
     out = df.select(F.to_json(hooks.sanitise(payload, payload["prompt"])).alias("j")).first()["j"]
     assert "secret" not in out and len(json.loads(out)["prompt_fingerprint"]) == 64
+
+
+def test_rows_that_cannot_be_stored_are_set_apart(spark, tmp_path):
+    from costgrain.sources.observation import SCHEMA
+    from costgrain.streaming.ledger import Ledger
+
+    def row(**known):
+        full = {"adapter": "a", "source": "transcript_request", "session": "s", "source_path": "p", "source_offset": 0} | known
+        return tuple(full.get(f.name) for f in SCHEMA)
+
+    rows = [row(request_id="1", input_tokens=3), row(request_id="2", output_tokens=-1), row(request_id="3", session=None), row(request_id="4", source="hearsay")]
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    for _ in range(2):
+        ledger.ingest(spark.createDataFrame(rows, SCHEMA), 0)
+    assert [r["request_id"] for r in ledger.events().collect()] == ["1"]
+    assert [r["type"] for r in ledger.poisoned().collect()] == ["poison_row"] * 3
