@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costgrain.llm.common import batch_of, in_training, release, small, stored, table, text_bytes
+from costgrain.llm.common import batch_of, forget, in_training, release, small, stored, table, text_bytes
 
 #: The token that ends every text. No word is empty, so this is none of them.
 END = b""
@@ -150,7 +150,11 @@ def sequences(shares: DataFrame, placed: DataFrame) -> DataFrame:
             return pa.table({"share": pa.array([], pa.int64()), "types": pa.array([], pa.list_(pa.int64())), "seq": pa.array([], pa.binary()), "starts": pa.array([], pa.binary())})
         sizes, learn = _flat(left.column("sizes")), _flat(left.column("learn")).astype(bool)
         ids = _unpacked(left.column("ids")[0].as_py())[np.repeat(learn, sizes)]
-        types, seq = np.unique(_by_number(right, "t")[ids], return_inverse=True)
+        of_word = _by_number(right, "t")
+        used, number = np.zeros(len(of_word), bool), np.zeros(len(of_word), np.int64)
+        used[ids] = True
+        types, number[used] = np.unique(of_word[used], return_inverse=True)
+        seq = number[ids]
         starts = np.cumsum(sizes[learn]) - sizes[learn]
         return pa.table({"share": left.column("share"), "types": pa.array([types], pa.list_(pa.int64())), "seq": [_packed(seq)], "starts": [_packed(starts)]})
 
@@ -158,22 +162,47 @@ def sequences(shares: DataFrame, placed: DataFrame) -> DataFrame:
     return stored(met.applyInArrow(one, "share long, types array<long>, seq binary, starts binary"))
 
 
-def _with_classes(texts: DataFrame, classes: DataFrame, types: int):
-    """The sequences and, for each share, the class of its types (null: none yet) as rows k, t, c."""
-    inside = texts.select(F.col("share").alias("part"), F.posexplode("types").alias("k", "t"))
-    met = inside.join(_few(classes, types), "t", "left").select("part", "k", "t", "c")
-    return texts.drop("types").groupBy("share").cogroup(met.groupBy("part"))
+def _counted(texts: DataFrame, classes: DataFrame, many: int, count) -> DataFrame:
+    """(t, slot, n) summed over what ``count`` gives for each share from its tokens, whether a
+    text starts there, and the type and class (-1: none yet) of each number.
 
+    Up to FEW_TYPES classes (t, c) go to the tasks as two arrays; more meet the shares by a join."""
 
-def _read(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, whether a text starts there, and type and class (-1: none) of each number."""
-    seq = _unpacked(left.column("seq")[0].as_py())
-    start = np.zeros(len(seq), bool)
-    start[_unpacked(left.column("starts")[0].as_py())] = True
-    k = right.column("k").to_numpy()
-    kinds, of = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
-    kinds[k], of[k] = right.column("t").to_numpy(), right.column("c").fill_null(-1).to_numpy()
-    return seq, start, kinds, of
+    def told(left: pa.Table, kinds: np.ndarray, of: np.ndarray) -> pa.Table:
+        seq = _unpacked(left.column("seq")[0].as_py())
+        start = np.zeros(len(seq), bool)
+        start[_unpacked(left.column("starts")[0].as_py())] = True
+        return count(seq, start, kinds, of)
+
+    if many <= FEW_TYPES:
+        rows = classes.select("t", "c").toPandas().sort_values("t")
+        known = texts.sparkSession.sparkContext.broadcast((rows["t"].to_numpy(np.int64), rows["c"].to_numpy(np.int32)))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t, c = known.value
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    one = pa.Table.from_batches([batch.slice(k, 1)])
+                    kinds = _flat(one.column("types"))
+                    at = np.minimum(np.searchsorted(t, kinds), max(0, len(t) - 1))
+                    of = np.where(t[at] == kinds, c[at], -1) if len(t) else np.full(len(kinds), -1)
+                    yield from told(one, kinds, of.astype(np.int64)).to_batches(max_chunksize=100_000)
+
+        counts = texts.select("types", "seq", "starts").mapInArrow(scan, "t long, slot int, n long")
+    else:
+
+        def one(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return _COUNTED.empty_table()
+            k = right.column("k").to_numpy()
+            kinds, of = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
+            kinds[k], of[k] = right.column("t").to_numpy(), right.column("c").fill_null(-1).to_numpy()
+            return told(left, kinds, of)
+
+        inside = texts.select(F.col("share").alias("part"), F.posexplode("types").alias("k", "t"))
+        met = inside.join(classes, "t", "left").select("part", "k", "t", "c")
+        counts = texts.drop("types").groupBy("share").cogroup(met.groupBy("part")).applyInArrow(one, "t long, slot int, n long")
+    return counts.groupBy("t", "slot").agg(F.sum("n").alias("n"))
 
 
 _COUNTED = pa.schema([("t", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())])
@@ -182,19 +211,15 @@ _COUNTED = pa.schema([("t", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())
 def _head_pairs(texts: DataFrame, heads: DataFrame, many: int) -> np.ndarray:
     """How often each of a few types (t, c: its number) follows each other one."""
 
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _COUNTED.empty_table()
-        seq, start, _, of = _read(left, right)
+    def count(seq, start, kinds, of) -> pa.Table:
         c = of[seq]
         met = (c[:-1] >= 0) & (c[1:] >= 0) & ~start[1:]
         n = np.bincount(c[:-1][met] * many + c[1:][met], minlength=many * many)
         some = np.flatnonzero(n)
         return pa.Table.from_batches([batch_of(_COUNTED, some // many, some % many, n[some])])
 
-    found = _with_classes(texts, heads, 0).applyInArrow(one, "t long, slot int, n long").groupBy("t", "slot").agg(F.sum("n"))
     out = np.zeros((many, many))
-    for a, b, n in found.collect():  # the square of HEAD
+    for a, b, n in _counted(texts, heads, many, count).collect():  # the square of HEAD
         out[a, b] = n
     return out
 
@@ -204,10 +229,7 @@ def _contexts(texts: DataFrame, classes: DataFrame, types: int) -> DataFrame:
     stands before it (from CLASSES), other than by its own next to it (slot _OWN). Under a null
     type, how often texts start with each class."""
 
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _COUNTED.empty_table()
-        seq, start, kinds, of = _read(left, right)
+    def count(seq, start, kinds, of) -> pa.Table:
         c, width = of[seq], _OWN + 1
         a, b, linked = seq[:-1], seq[1:], ~start[1:]
         own, after, before = linked & (a == b), linked & (a != b) & (c[1:] >= 0), linked & (a != b) & (c[:-1] >= 0)
@@ -220,8 +242,7 @@ def _contexts(texts: DataFrame, classes: DataFrame, types: int) -> DataFrame:
         begin = batch_of(_COUNTED, pa.nulls(CLASSES, pa.int64()), np.arange(CLASSES), first)
         return pa.Table.from_batches([batch_of(_COUNTED, kinds[some // width], some % width, n[some]), begin])
 
-    counted = _with_classes(texts, classes, types).applyInArrow(one, "t long, slot int, n long").groupBy("t", "slot").agg(F.sum("n").alias("n"))
-    out = stored(counted)
+    out = stored(_counted(texts, classes, types, count))
     release(texts.sparkSession)
     return out
 
@@ -347,8 +368,10 @@ def cluster(texts: DataFrame, types: DataFrame) -> tuple[DataFrame, np.ndarray]:
     of = exchange(among)
     count, member = types.count(), np.eye(CLASSES)[of]
     rest = types.join(F.broadcast(seats(of)), "t", "left_anti").select("t", F.lit(-1).alias("c"))
-    joined = _proposed(_contexts(texts, seats(of), 0), rest, member.T @ among @ member)
+    around = _contexts(texts, seats(of), len(heads))
+    joined = _proposed(around, rest, member.T @ among @ member)
     classes = stored(seats(of).unionByName(joined.select("t", F.col("best").alias("c"))))
+    forget(around)
     counts = _contexts(texts, classes, count)
     pairs = _class_table(counts, classes, count)
     value, part, nth, all_tokens = _likelihood(pairs[:-1]), 2, 0, max(1.0, pairs.sum())
@@ -360,11 +383,15 @@ def cluster(texts: DataFrame, types: DataFrame) -> tuple[DataFrame, np.ndarray]:
         pairs_tried = _class_table(counts_tried, tried, count)
         gained, nth = _likelihood(pairs_tried[:-1]) - value, nth + 1
         if gained > 0:
+            forget(classes, counts)
             classes, counts, pairs, value = tried, counts_tried, pairs_tried, value + gained
-        elif part < 32:
-            part *= 4
-            continue
+        else:
+            forget(tried, counts_tried)
+            if part < 32:
+                part *= 4
+                continue
         if gained < LEAST_GAIN * all_tokens:
+            forget(counts)
             return classes, pairs
 
 
@@ -412,7 +439,10 @@ def learn(docs: DataFrame) -> Learned:
     seen_words = words.where("c > 0")
     types = stored(seen_words.select(_type(F.col("word"), F.col("c")).alias("t"), "c").groupBy("t").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")))
     release(docs.sparkSession)
-    classes, pairs = cluster(sequences(shares, placed), types)
+    texts = sequences(shares, placed)
+    release(docs.sparkSession)
+    classes, pairs = cluster(texts, types)
+    forget(texts)
     seen, more = np.zeros(CLASSES), np.zeros(CLASSES)
     for c, n, kinds in types.join(classes, "t").groupBy("c").agg(F.sum("n"), F.sum("kinds")).collect():  # one row a class
         seen[c], more[c] = n, kinds

@@ -121,3 +121,15 @@ def test_a_share_that_is_full_is_followed_by_another(spark, docs, monkeypatch):
     shares, vocabularies = brown.encoded(docs)
     assert shares.count() > 10 and vocabularies.select("share").distinct().count() == shares.count()
     assert sorted(map(tuple, brown.score(docs).select("n_tokens", "n_known").collect())) == sorted(map(tuple, brown.score(docs.coalesce(1)).select("n_tokens", "n_known").collect()))
+
+
+def test_classes_meet_shares_by_a_join_as_by_arrays(spark, docs, monkeypatch):
+    shares, vocabularies = brown.encoded(docs)
+    words = vocabularies.groupBy("word").agg({"n": "sum"}).toDF("word", "c")
+    texts = brown.sequences(shares, vocabularies.join(words, "word").select("share", "k", "c", brown._type(words["word"], words["c"]).alias("t")))
+    classes = texts.selectExpr("explode(types) as t").distinct().selectExpr("t", "cast(pmod(t, 5) as int) as c").where("c < 4")
+    found = []
+    for few in (10**6, 0):
+        monkeypatch.setattr(brown, "FEW_TYPES", few)
+        found.append(sorted(map(str, brown._contexts(texts, classes, 10).collect())))
+    assert found[0] == found[1] and len(found[0]) > 100
