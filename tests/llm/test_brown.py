@@ -126,7 +126,8 @@ def test_a_share_that_is_full_is_followed_by_another(spark, docs, monkeypatch):
 def test_classes_meet_shares_by_a_join_as_by_arrays(spark, docs, monkeypatch):
     shares, vocabularies = brown.encoded(docs)
     words = vocabularies.groupBy("word").agg({"n": "sum"}).toDF("word", "c")
-    texts = brown.sequences(shares, vocabularies.join(words, "word").select("share", "k", "c", brown._type(words["word"], words["c"]).alias("t")))
+    placed = brown.stored(vocabularies.join(words, "word").select("share", "k", "c", brown._type(words["word"], words["c"]).alias("t")))
+    texts = brown.sequences(shares, placed)
     classes = texts.selectExpr("explode(types) as t").distinct().selectExpr("t", "cast(pmod(t, 5) as int) as c").where("c < 4")
     found = []
     for few in (10**6, 0):
