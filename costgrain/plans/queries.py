@@ -514,13 +514,13 @@ _ASSIGNED = ["", "Token = token = ", "token = x ", "password : API_KEY = ", "see
 
 
 @query(
-    f"""WITH a AS (SELECT doc_id, list_filter(string_split_regex(CASE doc_id % 8 {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_ASSIGNED))} END || text, '\s+'), lambda x: x <> '') AS w FROM documents),
+    f"""WITH a AS (SELECT doc_id, list_filter(string_split_regex(CASE doc_id % 8 {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_ASSIGNED))} END || text, '\\s+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: {_LOW.format('w[i]')} IN ('api_key', 'token', 'password') AND w[i + 1] IN ('=', ':') AND w[i + 2] IS NOT NULL) AS opens FROM a),
 c AS (SELECT *, CASE WHEN len(opens) = 0 THEN [] ELSE list_reduce(list_transform(opens, lambda i: [i]), lambda x, y: CASE WHEN y[1] > x[-1] + 2 THEN list_concat(x, y) ELSE x END) END AS kept FROM b),
 d AS (SELECT doc_id, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_contains(kept, i - 1) OR list_contains(kept, i - 2) THEN ''
   WHEN list_contains(kept, i) OR (strlen(w[i]) >= 10 AND regexp_matches({_LOW.format('w[i]')}, '^(sk-|ghp_|gho_|ghu_|ghs_|ghr_)')) OR regexp_matches({_LOW.format('w[i]')}, '^(api_key|apikey|token|password).*[=:]') THEN '[redacted]'
-  WHEN regexp_matches(w[i], '^https?://') THEN '' ELSE regexp_replace(w[i], '[^\p{{L}}\p{{N}}\[\]\-]', ' ', 'g') END) AS m FROM c),
-e AS (SELECT doc_id, list_filter(string_split_regex(array_to_string(m, ' '), '\s+'), lambda x: x <> '' AND (x = '[redacted]' OR {_LOW.format('x')} NOT IN ({_STOPS})))[1:8] AS x FROM d)
+  WHEN regexp_matches(w[i], '^https?://') THEN '' ELSE regexp_replace(w[i], '[^\\p{{L}}\\p{{N}}\\[\\]\\-]', ' ', 'g') END) AS m FROM c),
+e AS (SELECT doc_id, list_filter(string_split_regex(array_to_string(m, ' '), '\\s+'), lambda x: x <> '' AND (x = '[redacted]' OR {_LOW.format('x')} NOT IN ({_STOPS})))[1:8] AS x FROM d)
 SELECT doc_id, array_to_string(list_concat(x, ['work', 'work', 'work'][1:greatest(0, 3 - len(x))]), ' ') AS label FROM e"""
 )
 def redact_label(spark, sf_dir):
