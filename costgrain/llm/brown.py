@@ -13,7 +13,7 @@ Texts are read once. The documents that come along in a task, up to
 a row for each of its different words with the count. Counts are added up by
 word and sent back to the shares that hold the word. All else is array work on
 numbers: a round of exchange counts, in each share, the classes before and
-after each type, and only these counts are shuffled. Nothing large is broadcast.
+after each type, and only these counts are shuffled, packed by buckets of types. Nothing large is broadcast.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ SHARE_TOKENS = 4_000_000
 #: Class bigrams added to each row, for each class, in the proportion of the classes; and
 #: words that a class is held to have beyond those seen.
 TRANSITION, UNSEEN = 0.1, 1.0
+#: In so many parts counts of class bigrams are added up.
+PARTS = 32
 #: Among what is counted for a type: how often it follows itself.
 _OWN = 2 * CLASSES
 
@@ -162,9 +164,9 @@ def sequences(shares: DataFrame, placed: DataFrame) -> DataFrame:
     return stored(met.applyInArrow(one, "share long, types array<long>, seq binary, starts binary"))
 
 
-def _counted(texts: DataFrame, classes: DataFrame, many: int, count) -> DataFrame:
-    """(t, slot, n) summed over what ``count`` gives for each share from its tokens, whether a
-    text starts there, and the type and class (-1: none yet) of each number.
+def _scanned(texts: DataFrame, classes: DataFrame, many: int, schema: str, count) -> DataFrame:
+    """What ``count`` gives for each share from its tokens, whether a text starts there, and the
+    type and class (-1: none yet) of each number.
 
     Up to FEW_TYPES classes (t, c) go to the tasks as two arrays; more meet the shares by a join."""
 
@@ -188,21 +190,20 @@ def _counted(texts: DataFrame, classes: DataFrame, many: int, count) -> DataFram
                     of = np.where(t[at] == kinds, c[at], -1) if len(t) else np.full(len(kinds), -1)
                     yield from told(one, kinds, of.astype(np.int64)).to_batches(max_chunksize=100_000)
 
-        counts = texts.select("types", "seq", "starts").mapInArrow(scan, "t long, slot int, n long")
-    else:
+        return texts.select("types", "seq", "starts").mapInArrow(scan, schema)
 
-        def one(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows:
-                return _COUNTED.empty_table()
-            k = right.column("k").to_numpy()
-            kinds, of = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
-            kinds[k], of[k] = right.column("t").to_numpy(), right.column("c").fill_null(-1).to_numpy()
-            return told(left, kinds, of)
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            nothing = np.zeros(0, np.int64)
+            return count(nothing, nothing.astype(bool), nothing, nothing)
+        k = right.column("k").to_numpy()
+        kinds, of = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
+        kinds[k], of[k] = right.column("t").to_numpy(), right.column("c").fill_null(-1).to_numpy()
+        return told(left, kinds, of)
 
-        inside = texts.select(F.col("share").alias("part"), F.posexplode("types").alias("k", "t"))
-        met = inside.join(classes, "t", "left").select("part", "k", "t", "c")
-        counts = texts.drop("types").groupBy("share").cogroup(met.groupBy("part")).applyInArrow(one, "t long, slot int, n long")
-    return counts.groupBy("t", "slot").agg(F.sum("n").alias("n"))
+    inside = texts.select(F.col("share").alias("part"), F.posexplode("types").alias("k", "t"))
+    met = inside.join(classes, "t", "left").select("part", "k", "t", "c")
+    return texts.drop("types").groupBy("share").cogroup(met.groupBy("part")).applyInArrow(one, schema)
 
 
 _COUNTED = pa.schema([("t", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())])
@@ -219,30 +220,87 @@ def _head_pairs(texts: DataFrame, heads: DataFrame, many: int) -> np.ndarray:
         return pa.Table.from_batches([batch_of(_COUNTED, some // many, some % many, n[some])])
 
     out = np.zeros((many, many))
-    for a, b, n in _counted(texts, heads, many, count).collect():  # the square of HEAD
+    counted = _scanned(texts, heads, many, "t long, slot int, n long", count)
+    for a, b, n in counted.groupBy("t", "slot").agg(F.sum("n")).collect():  # the square of HEAD
         out[a, b] = n
     return out
 
 
-def _contexts(texts: DataFrame, classes: DataFrame, types: int) -> DataFrame:
-    """(t, slot, n) of every type, stored: how often each class follows it (slots from 0) and
-    stands before it (from CLASSES), other than by its own next to it (slot _OWN). Under a null
-    type, how often texts start with each class."""
+def buckets_for(types: int, each: int = 5_000) -> int:
+    """How many buckets, a power of two, hold about ``each`` types or fewer."""
+    return max(32, 1 << (-(-types // each) - 1).bit_length())
+
+
+def _bucket(t: Column, buckets: int) -> Column:
+    """Bucket of a type; types are hashes, so their last bits deal them evenly."""
+    return t.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
+
+
+#: A bucket's types with what is counted for them: places in a table of types by slots, and how often.
+_PACKED = pa.schema([("bucket", pa.int32()), ("types", pa.binary()), ("cells", pa.binary()), ("n", pa.binary())])
+_PACKED_SQL = "bucket int, types binary, cells binary, n binary"
+
+
+def _contexts(texts: DataFrame, classes: DataFrame, many: int, buckets: int) -> DataFrame:
+    """What is counted around every type, stored, with a row for each bucket of types: how often
+    each class follows a type (slots from 0) and stands before it (from CLASSES), other than by
+    its own next to it (slot _OWN). Buckets below 0 hold parts of the counts of class bigrams;
+    there, row CLASSES counts the classes that texts start with.
+
+    Shares give packed counts to the buckets, and these are added up as they
+    stream by, so that a task holds the table of one bucket and never its group.
+    """
+    width = _OWN + 1
 
     def count(seq, start, kinds, of) -> pa.Table:
-        c, width = of[seq], _OWN + 1
-        a, b, linked = seq[:-1], seq[1:], ~start[1:]
+        dealt = (kinds & (buckets - 1)).astype(np.int64)
+        order = np.argsort(dealt, kind="stable")
+        place = np.empty(len(kinds), np.int64)
+        place[order] = np.arange(len(kinds))
+        c, p = of[seq], place[seq]
+        a, b, linked = p[:-1], p[1:], ~start[1:]
         own, after, before = linked & (a == b), linked & (a != b) & (c[1:] >= 0), linked & (a != b) & (c[:-1] >= 0)
-        size = len(kinds) * width
-        n = np.bincount(a[after] * width + c[1:][after], minlength=size)
-        n += np.bincount(b[before] * width + CLASSES + c[:-1][before], minlength=size)
-        n += np.bincount(a[own] * width + _OWN, minlength=size)
-        some = np.flatnonzero(n)
-        first = np.bincount(c[start][c[start] >= 0], minlength=CLASSES)
-        begin = batch_of(_COUNTED, pa.nulls(CLASSES, pa.int64()), np.arange(CLASSES), first)
-        return pa.Table.from_batches([batch_of(_COUNTED, kinds[some // width], some % width, n[some]), begin])
-
-    out = stored(_counted(texts, classes, types, count))
+        n = np.bincount(np.concatenate((a[after] * width + c[1:][after], b[before] * width + CLASSES + c[:-1][before], a[own] * width + _OWN)), minlength=len(kinds) * width)
+        some, edges = np.flatnonzero(n), np.searchsorted(dealt[order], np.arange(buckets + 1))
+        cuts, rows = np.searchsorted(some, edges * width), []
+        for k in np.flatnonzero(np.diff(edges)):
+            here = some[cuts[k] : cuts[k + 1]]
+            rows.append((k, kinds[order[edges[k] : edges[k + 1]]].tobytes(), _packed(here - edges[k] * width), _packed(n[here])))
+        known = np.where(start, CLASSES, np.append(-1, c[:-1]))
+        seen = (known >= 0) & (c >= 0)
+        pairs = np.bincount(known[seen] * CLASSES + c[seen], minlength=(CLASSES + 1) * CLASSES)
+        if len(seq):
+            rows.append((-1 - int(seq.sum() % PARTS), b"", _packed(np.flatnonzero(pairs)), _packed(pairs[pairs > 0])))
+        return pa.Table.from_batches([batch_of(_PACKED, *(zip(*rows, strict=True) if rows else ([],) * 4))])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, types, cells, used = None, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+        def row() -> pa.RecordBatch:
+            some = np.flatnonzero(cells)
+            return batch_of(_PACKED, [bucket], [types.tobytes()], [some.astype("<i8").tobytes()], [cells[some].astype("<i8").tobytes()])
+
+        for batch in batches:
+            for b, t, at, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if b != bucket:
+                    if bucket is not None:
+                        yield row()
+                    bucket, types, cells = b, np.zeros(0, np.int64), np.zeros((CLASSES + 1) * CLASSES if b < 0 else 0, np.int64)
+                at, n, mine = _unpacked(at), _unpacked(n), np.frombuffer(t, np.int64)
+                if b >= 0:
+                    new = np.setdiff1d(mine, types)
+                    if len(new):  # the table grows to the bucket's types
+                        all_types = np.union1d(types, new)
+                        grown = np.zeros((len(all_types), width), np.int64)
+                        grown[np.searchsorted(all_types, types)] = cells.reshape(-1, width)
+                        types, cells = all_types, grown.ravel()
+                    at = np.searchsorted(types, mine)[at // width] * width + at % width
+                cells[at] += n  # a share names each cell once
+        if bucket is not None:
+            yield row()
+
+    counted = _scanned(texts, classes, many, _PACKED_SQL, count)
+    out = stored(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, _PACKED_SQL))
     release(texts.sparkSession)
     return out
 
@@ -316,40 +374,39 @@ def _few(classes: DataFrame, types: int) -> DataFrame:
     return F.broadcast(classes) if types <= FEW_TYPES else classes
 
 
-def _class_table(counts: DataFrame, classes: DataFrame, types: int) -> np.ndarray:
+def _class_table(counts: DataFrame) -> np.ndarray:
     """Counts of class bigrams among the types that have a class; last row: at the start."""
-    out = np.zeros((CLASSES + 1, CLASSES))
-    met = counts.where(f"slot < {CLASSES} or slot = {_OWN}").join(_few(classes, types), "t", "left").where("t is null or c is not null")
-    for c, slot, n in met.groupBy("c", "slot").agg(F.sum("n")).collect():  # the square of the classes
-        out[CLASSES if c is None else c, c if slot == _OWN else slot] += n
-    return out
+    out = np.zeros((CLASSES + 1) * CLASSES)
+    for cells, n in counts.where("bucket < 0").select("cells", "n").collect():  # PARTS squares of the classes
+        out[np.frombuffer(cells, "<i8")] += np.frombuffer(n, "<i8")
+    return out.reshape(CLASSES + 1, CLASSES)
 
 
-def _proposed(counts: DataFrame, homes: DataFrame, table: np.ndarray) -> DataFrame:
+_PROPOSED = pa.schema([("t", pa.int64()), ("home", pa.int32()), ("best", pa.int32()), ("gain", pa.float64())])
+
+
+def _proposed(counts: DataFrame, homes: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
     """(t, home, best, gain) of every type of ``homes`` (t, c; c below 0: none yet), by the classes around it."""
-    at_home = _OWN + 1
-    seated = homes.select("t", F.lit(at_home).alias("slot"), F.col("c").cast("long").alias("n"))
-    schema = pa.schema([("t", pa.int64()), ("home", pa.int32()), ("best", pa.int32()), ("gain", pa.float64())])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)) for b in batches]
-        if not got:
-            return
-        t, slot, n = (np.concatenate(x) for x in zip(*got, strict=True))
-        known, number = np.unique(t, return_inverse=True)
-        cells = np.zeros((len(known), at_home + 1))
-        cells[:, at_home] = -2  # not among the homes
-        cells[number, slot] = n
-        cells, known = (x[cells[:, at_home] > -2] for x in (cells, known))
-        home, self_ = cells[:, at_home].astype(np.int64), cells[:, _OWN]
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        t, home = right.column("t").to_numpy(), right.column("c").to_numpy().astype(np.int64)
+        cells = np.zeros((len(t), _OWN + 1))
+        if left.num_rows and len(t):
+            types = np.frombuffer(left.column("types")[0].as_py(), np.int64)
+            full = np.zeros(len(types) * (_OWN + 1))
+            full[np.frombuffer(left.column("cells")[0].as_py(), "<i8")] = np.frombuffer(left.column("n")[0].as_py(), "<i8")
+            at = np.minimum(np.searchsorted(types, t), len(types) - 1)
+            cells = full.reshape(-1, _OWN + 1)[at] * (types[at] == t)[:, None]
+        self_ = cells[:, _OWN]
         row, column, k = cells[:, :CLASSES].copy(), cells[:, CLASSES:_OWN].copy(), np.flatnonzero(home >= 0)
         row[k, home[k]] += self_[k]
         column[k, home[k]] += self_[k]
         best, gain = best_moves(table, row, column, self_, home)
-        for a in range(0, len(known), 10_000):
-            yield batch_of(schema, *(x[a : a + 10_000] for x in (known, home.astype(np.int32), best.astype(np.int32), gain)))
+        return pa.Table.from_batches([batch_of(_PROPOSED, t, home.astype(np.int32), best.astype(np.int32), gain)])
 
-    return counts.where("t is not null").unionByName(seated).repartition("t").mapInArrow(scan, "t long, home int, best int, gain double")
+    dealt = homes.select(_bucket(F.col("t"), buckets).alias("dealt"), "t", "c")
+    met = counts.where("bucket >= 0").groupBy("bucket").cogroup(dealt.groupBy("dealt"))
+    return met.applyInArrow(one, "t long, home int, best int, gain double")
 
 
 def cluster(texts: DataFrame, types: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -367,20 +424,21 @@ def cluster(texts: DataFrame, types: DataFrame) -> tuple[DataFrame, np.ndarray]:
     among = _head_pairs(texts, seats(range(len(heads))), len(heads))
     of = exchange(among)
     count, member = types.count(), np.eye(CLASSES)[of]
+    buckets = buckets_for(count)
     rest = types.join(F.broadcast(seats(of)), "t", "left_anti").select("t", F.lit(-1).alias("c"))
-    around = _contexts(texts, seats(of), len(heads))
-    joined = _proposed(around, rest, member.T @ among @ member)
+    around = _contexts(texts, seats(of), len(heads), buckets)
+    joined = _proposed(around, rest, member.T @ among @ member, buckets)
     classes = stored(seats(of).unionByName(joined.select("t", F.col("best").alias("c"))))
     forget(around)
-    counts = _contexts(texts, classes, count)
-    pairs = _class_table(counts, classes, count)
+    counts = _contexts(texts, classes, count, buckets)
+    pairs = _class_table(counts)
     value, part, nth, all_tokens = _likelihood(pairs[:-1]), 2, 0, max(1.0, pairs.sum())
     while True:
-        moves = _proposed(counts, classes, pairs[:-1])
+        moves = _proposed(counts, classes, pairs[:-1], buckets)
         turn = (F.pmod(F.xxhash64("t", F.lit(nth)), F.lit(part)) == 0) & (F.col("gain") > 1e-6)
         tried = stored(moves.select("t", F.when(turn, F.col("best")).otherwise(F.col("home")).alias("c")))
-        counts_tried = _contexts(texts, tried, count)
-        pairs_tried = _class_table(counts_tried, tried, count)
+        counts_tried = _contexts(texts, tried, count, buckets)
+        pairs_tried = _class_table(counts_tried)
         gained, nth = _likelihood(pairs_tried[:-1]) - value, nth + 1
         if gained > 0:
             forget(classes, counts)

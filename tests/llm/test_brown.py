@@ -123,6 +123,42 @@ def test_a_share_that_is_full_is_followed_by_another(spark, docs, monkeypatch):
     assert sorted(map(tuple, brown.score(docs).select("n_tokens", "n_known").collect())) == sorted(map(tuple, brown.score(docs.coalesce(1)).select("n_tokens", "n_known").collect()))
 
 
+def unpacked(row):
+    """(type, slot, n) of a bucket's row; parts of the class bigrams have no types."""
+    types, cells, n = (np.frombuffer(row[k], np.int64).tolist() for k in ("types", "cells", "n"))
+    width = brown._OWN + 1
+    return [(types[at // width], at % width, k) if types else (row.bucket, at, k) for at, k in zip(cells, n, strict=True)]
+
+
+def test_contexts_are_what_stands_around_each_type(spark, docs, monkeypatch):
+    """Every cell and every class bigram counted again in a plain way, over several shares."""
+    monkeypatch.setattr(brown, "SHARE_TOKENS", 100)
+    shares, vocabularies = brown.encoded(docs)
+    words = vocabularies.groupBy("word").agg({"n": "sum"}).toDF("word", "c")
+    placed = brown.stored(vocabularies.join(words, "word").select("share", "k", "c", brown._type(words["word"], words["c"]).alias("t")))
+    texts = brown.sequences(shares, placed)
+    classes = texts.selectExpr("explode(types) as t").distinct().selectExpr("t", "cast(pmod(t, 5) as int) as c").where("c < 4")
+    of = {r[0]: r[1] for r in classes.collect()}
+    around, pairs = Counter(), Counter()
+    for r in texts.collect():
+        seq, starts = [r.types[k] for k in brown._unpacked(bytes(r.seq))], set(brown._unpacked(bytes(r.starts)).tolist())
+        for k, t in enumerate(seq):
+            if k in starts:
+                pairs[brown.CLASSES, of.get(t)] += 1
+                continue
+            last = seq[k - 1]
+            pairs[of.get(last), of.get(t)] += 1
+            if last == t:
+                around[t, brown._OWN] += 1
+                continue
+            around[last, of.get(t)] += 1
+            around[t, brown.CLASSES + of[last] if last in of else None] += 1
+    counts = brown._contexts(texts, classes, 10, 32)
+    assert sorted(x for r in counts.where("bucket >= 0").collect() for x in unpacked(r)) == sorted((t, slot, n) for (t, slot), n in around.items() if slot is not None)
+    table = brown._class_table(counts)
+    assert table.sum() > 100 and {(int(a), int(b)): table[a, b] for a, b in zip(*table.nonzero(), strict=True)} == {k: n for k, n in pairs.items() if None not in k}
+
+
 def test_classes_meet_shares_by_a_join_as_by_arrays(spark, docs, monkeypatch):
     shares, vocabularies = brown.encoded(docs)
     words = vocabularies.groupBy("word").agg({"n": "sum"}).toDF("word", "c")
@@ -132,5 +168,7 @@ def test_classes_meet_shares_by_a_join_as_by_arrays(spark, docs, monkeypatch):
     found = []
     for few in (10**6, 0):
         monkeypatch.setattr(brown, "FEW_TYPES", few)
-        found.append(sorted(map(str, brown._contexts(texts, classes, 10).collect())))
+        counts = brown._contexts(texts, classes, 10, 32)
+        assert counts.select("bucket").distinct().count() == counts.count()
+        found.append(sorted(x for r in counts.collect() for x in unpacked(r)))
     assert found[0] == found[1] and len(found[0]) > 100
