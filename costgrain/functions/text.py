@@ -122,6 +122,18 @@ def leaks(text: Column) -> Column:
     return has_any(text, LEAKS) | raw
 
 
+def spool_leaks(line: Column) -> Column:
+    """True for a line of the spool that holds a secret, or a prompt or completion as text at its top."""
+    at = lambda name: F.try_variant_get(F.try_parse_json(line), f"$.{name}", "variant")
+
+    def told(name: str) -> Column:
+        return (F.schema_of_variant(at(name)) == "STRING") & (F.try_variant_get(at(name), "$", "string") != "")
+
+    keys = F.json_object_keys(line)
+    raw = F.array_contains(keys, "raw_prompt") | F.array_contains(keys, "raw_completion")
+    return leaks(line) | F.coalesce(told("prompt"), F.lit(False)) | F.coalesce(told("completion"), F.lit(False)) | F.coalesce(raw, F.lit(False))
+
+
 def scrub(message: Column, raw: Column) -> Column:
     """An error message without the words of the line it is about, at most 300 characters.
 

@@ -123,6 +123,13 @@ def policy(capabilities: DataFrame) -> str:
     return "AlreadyInParent" if detail == "true" or '"already_in_parent":true' in detail.replace(" ", "") else "Independent"
 
 
+def matching(projects: DataFrame, wanted: str, key: str = "key", name: str = "display_name") -> DataFrame:
+    """Projects whose key is ``wanted`` or whose name holds it, A-Z taken for a-z; no sign is a wildcard."""
+    from costgrain.functions.text import ascii_lower
+
+    return projects.where((F.col(key) == wanted) | F.contains(ascii_lower(F.col(name)), ascii_lower(F.lit(wanted))))
+
+
 def leaks_in(tables: dict[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:
     """(table, column, id) of every text column that holds a secret; ``tables`` maps a name to rows, id column and text columns that may be absent."""
     from costgrain.functions.text import leaks

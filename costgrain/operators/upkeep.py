@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -36,6 +36,18 @@ def migrate_kinds(events: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return marked.withColumn("source_kind", new)
 
 
+def backup_of(migrated: DataFrame, key: str) -> DataFrame:
+    """(key, old_source_kind) of the rows that ``migrate_kinds`` gave another kind."""
+    return migrated.where(F.col("migrated") & ~F.col("source_kind").eqNullSafe(F.col("old_source_kind"))).select(key, "old_source_kind")
+
+
+def backup_rows(spark: SparkSession, backup: DataFrame | None) -> DataFrame:
+    """One row: how many rows the backup of a migration holds; 0 where none ever ran."""
+    if backup is None:
+        return spark.range(1).select(F.lit(0).cast("long").alias("backup_rows"))
+    return backup.agg(F.count("*").alias("backup_rows"))
+
+
 def restore_kinds(migrated: DataFrame) -> DataFrame:
     """What ``migrate_kinds`` began with."""
     return migrated.withColumn("source_kind", F.col("old_source_kind")).drop("old_source_kind", "migrated", "unmapped")

@@ -396,7 +396,10 @@ def anomalies_per_item(spark, sf_dir):
 
 @query(f"WITH {t.ITEMS} SELECT id, title FROM items WHERE id = 'n7' OR contains(lower(title), lower('AN'))")
 def project_filter(spark, sf_dir):
-    return t.items(spark, sf_dir).where((F.col("id") == "n7") | F.contains(F.lower("title"), F.lit("an"))).select("id", "title")
+    from costgrain.operators.projects import matching
+
+    items = t.items(spark, sf_dir)
+    return matching(items, "n7", "id", "title").unionByName(matching(items.where("id <> 'n7'"), "AN", "id", "title")).select("id", "title")
 
 
 # Upkeep.
@@ -429,6 +432,25 @@ def vocab_migration(spark, sf_dir):
     return migrate_kinds(e, {"view": "snapshot_delta", "click": "transcript_request"}).select("event_id", "source_kind", "migrated", "unmapped")
 
 
+@query("SELECT count(*) AS backup_rows FROM events WHERE event_type IN ('view', 'click')")
+def backup_rows(spark, sf_dir):
+    from costgrain.operators import upkeep
+
+    e = t.read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("source_kind"))
+    moved = upkeep.migrate_kinds(e, {"view": "snapshot_delta", "click": "transcript_request", "error": "error"})
+    return upkeep.backup_rows(spark, upkeep.backup_of(moved, "event_id"))
+
+
+@query("SELECT 'f' || CAST(doc_id AS VARCHAR) AS source_path, sha256(text) AS content_hash FROM documents WHERE doc_id % 4 > 0 OR text IS NULL")
+def changed_files(spark, sf_dir):
+    """Of four files one is as its checkpoint says; one has other content, one came by an old parser, one is new."""
+    from costgrain.sources import files
+
+    d = t.read(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("source_path"), F.col("text").alias("content"), F.col("doc_id") % 4).toDF("source_path", "content", "k")
+    stored = files.hashed(d.where("k = 0"), "v2").unionByName(files.hashed(d.where("k = 1").withColumn("content", F.concat("content", F.lit("x"))), "v2")).unionByName(files.hashed(d.where("k = 2"), "v1"))
+    return files.changed(d, stored.select("source_path", "content_hash", "parser_version"), "v2").select("source_path", "content_hash")
+
+
 @query(
     f"WITH {t.LEDGER}, {t.SESSIONS} SELECT 'negative_tokens' AS rule, count(*) AS rows FROM ledger WHERE least(coalesce(input_tokens, 0), coalesce(cached_input_tokens, 0), coalesce(cache_write_tokens, 0), coalesce(output_tokens, 0), coalesce(reasoning_tokens, 0)) < 0 UNION ALL SELECT 'missing_session', count(*) FROM ledger WHERE session IS NULL UNION ALL SELECT 'unknown_session', count(*) FROM ledger WHERE session IS NOT NULL AND session NOT IN (SELECT session FROM sessions WHERE session NOT LIKE '%7') UNION ALL SELECT 'orphan_agent', count(*) FROM ledger WHERE parent_agent_id IS NOT NULL AND agent_id IS NULL"
 )
@@ -492,6 +514,31 @@ def leak_audit(spark, sf_dir):
     return t.read(spark, sf_dir, "documents").select("doc_id", text.leaks(F.concat("text", tail)).alias("leak"))
 
 
+_SPOOL = {
+    0: '{"prompt": "all of it", "session_id": "s"}',
+    1: '{"prompt": "", "session_id": "s"}',
+    2: '{"prompt": 5}',
+    3: '{"raw_prompt": null, "prompt_storage_mode": "none"}',
+    4: '{"completion": "said"}',
+    5: '{"prompt": "broken',
+    6: '{"payload": {"prompt": "within"}}',
+    7: '{"prompt": {"a": "b"}, "completion": null}',
+}
+_SPOOLED = "CASE doc_id % 9 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _SPOOL.items()) + f" ELSE text || {_CANARY} END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, {_SPOOLED} AS x FROM documents), j AS (SELECT *, CASE WHEN json_valid(x) THEN x ELSE '{{}}' END AS j FROM x)
+SELECT doc_id, contains(x, 'CANARY_SECRET') OR contains(x, 'CANARY_LEAK') OR contains(x, 'SUPER_SECRET') OR contains(x, 'sk-proj-') OR contains(x, 'ghp_') OR contains(x, 'BEGIN PRIVATE KEY') OR ((contains(lower(x), '"raw_prompt"') OR contains(lower(x), '"raw_completion"') OR contains(lower(x), '"user_prompt_content"')) AND NOT contains(x, '"prompt_storage_mode"'))
+OR coalesce(json_type(j, '$.prompt') = 'VARCHAR' AND json_extract_string(j, '$.prompt') <> '', false) OR coalesce(json_type(j, '$.completion') = 'VARCHAR' AND json_extract_string(j, '$.completion') <> '', false) OR json_exists(j, '$.raw_prompt') OR json_exists(j, '$.raw_completion') AS leak FROM j""")
+def spool_leak_audit(spark, sf_dir):
+    d = F.col("doc_id") % 7
+    tail = F.when(d == 0, " ghp_abc").when(d == 1, ' "Raw_Prompt"').when(d == 2, ' "raw_prompt" "prompt_storage_mode"').otherwise("")
+    line = F.concat("text", tail)
+    for k, v in _SPOOL.items():
+        line = F.when(F.col("doc_id") % 9 == k, v).otherwise(line)
+    return t.read(spark, sf_dir, "documents").select("doc_id", text.spool_leaks(line).alias("leak"))
+
+
 _PHRASES = ["switch to the", "the switch case of", "please benchmark", "extract this", "commit", "fix it", "nothing else", "unrelated"]
 _PHRASE_SQL = "CASE (conv_id + turn) % 8 " + " ".join(f"WHEN {k} THEN '{p} '" for k, p in enumerate(_PHRASES)) + " END || role"
 
@@ -545,6 +592,22 @@ def confusion_matrix(spark, sf_dir):
     return confusion(t.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("expected")), d.select(F.col("doc_id").alias("id"), made.alias("predicted")).where("predicted is not null"))
 
 
+@query(
+    """WITH p AS (SELECT l.doc_id, CAST(l.quality AS VARCHAR) AS expected, l.doc_id % 3 = 0 AS moved_later, CASE WHEN l.doc_id % 10 > 0 THEN CAST(l.doc_id % 2 AS VARCHAR) END AS predicted, CASE WHEN l.doc_id % 10 > 0 THEN CAST(l.doc_id % 10 AS DOUBLE) / 10 END AS confidence FROM labels l)
+SELECT count(*) AS total, count(*) FILTER (WHERE predicted = expected) AS correct, count(*) FILTER (WHERE predicted IS NULL) AS missing, CAST(count(*) FILTER (WHERE predicted = expected) AS DOUBLE) / count(*) AS accuracy, CAST(count(*) FILTER (WHERE predicted IS DISTINCT FROM expected) AS DOUBLE) / count(*) AS error_rate, CAST(100 * count(*) FILTER (WHERE confidence >= 0.8 AND moved_later) AS DOUBLE) / count(*) FILTER (WHERE confidence >= 0.8) AS moved_percent FROM p"""
+)
+def evaluation_summary(spark, sf_dir):
+    """Labels and predictions come as JSON lines, some of them blank."""
+    from costgrain.operators import evaluation
+
+    d, known = F.col("doc_id"), t.read(spark, sf_dir, "labels")
+    lines = lambda rows, *fields: rows.select(F.explode(F.array(F.to_json(F.struct(*fields)), F.lit("  "))).alias("line"))
+    name = d.cast("string").alias("id")
+    labels = lines(known, name, F.col("quality").cast("string").alias("expected"), (d % 3 == 0).alias("moved_later"))
+    made = lines(known.where(d % 10 > 0), name, (d % 2).cast("string").alias("predicted"), ((d % 10).cast("double") / 10).alias("confidence"))
+    return evaluation.summary(evaluation.rows_of(labels, evaluation.LABEL), evaluation.rows_of(made, evaluation.PREDICTION))
+
+
 # Projects.
 
 

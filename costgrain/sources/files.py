@@ -47,10 +47,14 @@ def too_large(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return large.select(F.lit("file_too_large").alias("type"), none.alias("session"), none.alias("turn_id"), F.col("path").alias("source_path"), F.lit(0).cast("long").alias("source_offset"), F.to_json(F.struct("length")).alias("details"))
 
 
+def hashed(files: DataFrame, parser_version: str) -> DataFrame:
+    """Files with content_hash and parser_version: with source_path, what a checkpoint holds."""
+    return files.withColumns({"content_hash": F.sha2("content", 256), "parser_version": F.lit(parser_version)})
+
+
 def changed(files: DataFrame, checkpoints: DataFrame, parser_version: str) -> DataFrame:
     """Files whose content or parser is not that of their checkpoint."""
-    hashed = files.withColumns({"content_hash": F.sha2("content", 256), "parser_version": F.lit(parser_version)})
-    return hashed.join(checkpoints, ["source_path", "content_hash", "parser_version"], "left_anti")
+    return hashed(files, parser_version).join(checkpoints, ["source_path", "content_hash", "parser_version"], "left_anti")
 
 
 def stem(path):

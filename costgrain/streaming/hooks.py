@@ -16,13 +16,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # The fields of a payload that may be kept.
 KEPT = ["session_id", "prompt_id", "transcript_path", "cwd", "permission_mode", "agent_id", "parent_agent_id", "task_id", "tool_name", "tool_use_id", "source"]
+# Tools that write files.
+WRITERS = ["Write", "Edit", "MultiEdit"]
 ENVELOPE = "struct<version: bigint, kind: string, capturedAt: string, payload: struct<" + ", ".join(f"{c}: string" for c in [*KEPT, "prompt_fingerprint", "file_path"]) + ">>"
 TURN = "session_id string, turn string, started_at string, ended_at string"
 
 
-def sanitise(payload: Column, prompt: Column) -> Column:
-    """The kept fields of a payload, and the prompt only as its SHA-256."""
-    return F.struct(*(payload[c].alias(c) for c in KEPT), F.sha2(prompt, 256).alias("prompt_fingerprint"))
+def sanitise(payload: Column, prompt: Column, event: Column | None = None, path: Column | None = None) -> Column:
+    """The kept fields of a payload, and the prompt only as its SHA-256; the path of a tool's
+    input (``path``) where ``event`` tells that the tool has written to it."""
+    kept = [payload[c].alias(c) for c in KEPT]
+    if event is not None:
+        wrote = (event == "PostToolUse") & payload["tool_name"].isin(*WRITERS)
+        kept.append(F.when(wrote, path).alias("file_path"))
+    return F.struct(*kept, F.sha2(prompt, 256).alias("prompt_fingerprint"))
 
 
 def follow_spool(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,13 +38,14 @@ def follow_spool(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def envelopes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sound events, quarantine) of lines, streaming or not."""
+    """(sound events, quarantine) of lines, streaming or not; an event without a session is malformed."""
     e = F.from_json("line", ENVELOPE)
     parsed = lines.where(F.trim("line") != "").withColumn("e", e)
     sound = F.coalesce(F.col("e.kind").isNotNull() & F.col("e.capturedAt").isNotNull() & (F.col("e.version") == 1), F.lit(False))
     session = F.trim("e.payload.session_id")
-    good = parsed.where(sound & session.isNotNull() & (session != "")).select(F.col("e.kind").alias("kind"), F.col("e.capturedAt").alias("captured_at"), session.alias("session_id"), F.col("e.payload").alias("payload"))
-    bad = parsed.where(~sound).select(F.sha2("line", 256).alias("fingerprint"), F.octet_length("line").alias("bytes"), F.when(F.col("e").isNull() | F.col("e.kind").isNull(), "malformed").otherwise("unsupported").alias("label"))
+    named = F.coalesce(session != "", F.lit(False))
+    good = parsed.where(sound & named).select(F.col("e.kind").alias("kind"), F.col("e.capturedAt").alias("captured_at"), session.alias("session_id"), F.col("e.payload").alias("payload"))
+    bad = parsed.where(~(sound & named)).select(F.sha2("line", 256).alias("fingerprint"), F.octet_length("line").alias("bytes"), F.when(F.col("e").isNull() | F.col("e.kind").isNull() | (sound & ~named), "malformed").otherwise("unsupported").alias("label"))
     return good, bad
 
 

@@ -233,3 +233,28 @@ def test_labels_from_left_to_right(spark):
     for s, label in zip(shown, got, strict=True):
         words = plain_label_words(s.split())[:8]
         assert label.split() == words + ["work"] * (3 - len(words)), s
+
+
+def test_summary_of_an_evaluation(spark, tmp_path):
+    (tmp_path / "labels.jsonl").write_text('{"id": "a", "expected": "X", "moved_later": true}\n\n{"id": "b", "expected": "Y"}\r\n{"id": "c", "expected": "X", "moved_later": false}\n')
+    labels = evaluation.read_rows(spark, str(tmp_path / "labels.jsonl"), evaluation.LABEL)
+    made = spark.createDataFrame([("a", "X", 0.8), ("b", "X", None)], evaluation.PREDICTION)
+    assert evaluation.summary(labels, made).first()[:] == (3, 1, 1, 1 / 3, 2 / 3, 100.0)
+    assert evaluation.summary(labels.limit(0), made).first()[:] == (0, 0, 0, 0.0, 0.0, None)
+
+
+def test_a_broken_line_of_labels_is_an_error(spark):
+    with pytest.raises(Exception, match="(?i)malformed"):
+        evaluation.rows_of(spark.createDataFrame([("{broken",)], "line string"), evaluation.LABEL).collect()
+
+
+def test_signs_of_a_project_filter_are_no_wildcards(spark):
+    from costgrain.operators.projects import matching
+
+    rows = spark.createDataFrame([("k1", "100% Wool"), ("k2", "1000 wool"), ("100%", "other"), ("k3", "ÄRGER"), ("k4", None)], "key string, display_name string")
+    found = lambda x: sorted(r[0] for r in matching(rows, x).collect())
+    assert found("100%") == ["100%", "k1"] and found("WOOL") == ["k1", "k2"] and found("ärger") == [] and found("k4") == ["k4"]
+
+
+def test_backup_of_a_migration_that_never_ran_is_empty(spark):
+    assert upkeep.backup_rows(spark, None).first()[0] == 0

@@ -86,3 +86,17 @@ def test_rows_that_cannot_be_stored_are_set_apart(spark, tmp_path):
         ledger.ingest(spark.createDataFrame(rows, SCHEMA), 0)
     assert [r["request_id"] for r in ledger.events().collect()] == ["1"]
     assert [r["type"] for r in ledger.poisoned().collect()] == ["poison_row"] * 3
+
+
+def test_paths_are_kept_of_tools_that_write(spark):
+    rows = [("PostToolUse", "Edit", "/a"), ("PostToolUse", "Read", "/b"), ("PreToolUse", "Write", "/c"), (None, "Write", "/d"), ("PostToolUse", "MultiEdit", None)]
+    df = spark.createDataFrame(rows, "event string, tool_name string, path string")
+    payload = F.struct(*(F.col("tool_name") if c == "tool_name" else F.lit(None).cast("string").alias(c) for c in hooks.KEPT))
+    out = df.select(hooks.sanitise(payload, F.lit(None).cast("string"), F.col("event"), F.col("path"))["file_path"].alias("p")).collect()
+    assert [r["p"] for r in out] == ["/a", None, None, None, None]
+
+
+def test_an_event_without_a_session_goes_to_quarantine(spark):
+    lines = [json.dumps({"version": 1, "kind": "Stop", "capturedAt": "z", "payload": p}) for p in ({"session_id": "s"}, {"session_id": " "}, {})]
+    good, bad = hooks.envelopes(spark.createDataFrame([(x,) for x in lines], "line string"))
+    assert [r["session_id"] for r in good.collect()] == ["s"] and [r["label"] for r in bad.collect()] == ["malformed"] * 2
