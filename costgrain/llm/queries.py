@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from costgrain.llm import brown, covertree, licences, minhash, mixing, packing, quality, resharding, simhash, toxicity
+from costgrain.llm import brown, covertree, licences, minhash, mixing, packing, periodicity, quality, resharding, simhash, toxicity
 
 QUERIES = {
     "op1_length_buckets": packing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_brown_classes": brown.op8,
     "op9_simhash": simhash.op9,
     "op10_one_permutation_minhash": minhash.op10,
+    "op11_periodic_runs": periodicity.op11,
 }
 
 ORACLES: dict[str, str] = {"op2_dual_cover_tree": covertree.ORACLE}
