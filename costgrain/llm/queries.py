@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from costgrain.llm import brown, covertree, language, licences, minhash, mixing, packing, periodicity, quality, resharding, simhash, toxicity
+from costgrain.llm import brown, conversations, covertree, language, licences, minhash, mixing, packing, periodicity, quality, resharding, simhash, toxicity
 
 QUERIES = {
     "op1_length_buckets": packing.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9,
     "op10_one_permutation_minhash": minhash.op10,
     "op11_periodic_runs": periodicity.op11,
+    "op12_conversation_repair": conversations.op12,
     "op13_error_correcting_language": language.op13,
 }
 
