@@ -44,27 +44,74 @@ def test_poison(spark):
     assert good.count() == 1 and bad.count() == 3
 
 
+def spool_run(spark, folder, out, **options):
+    """One run over the spool's lines; what has changed is added to ``out``."""
+    own = hooks.stateful_session(spark, 2)
+    good, _ = hooks.envelopes(hooks.follow_spool(own, str(folder)))
+    write = hooks.turns(good, **options).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
+    write.trigger(availableNow=True).start().awaitTermination()
+    return own.read.schema(hooks.CHANGE).parquet(f"{out}/rows")
+
+
+def hook(kind, at, session="s", **payload):
+    return json.dumps({"version": 1, "kind": kind, "capturedAt": f"2026-01-01T{at // 60:02d}:{at % 60:02d}:00Z", "payload": {"session_id": session} | payload})
+
+
 def test_turns_of_a_spool(spark, tmp_path):
     spool = tmp_path / "spool"
     spool.mkdir()
-    n = iter(range(100))
-    hook = lambda kind, **p: json.dumps({"version": 1, "kind": kind, "capturedAt": f"2026-01-01T00:00:{next(n):02d}Z", "payload": {"session_id": "s"} | p})
-    (spool / "a.jsonl").write_text("\n".join([hook("UserPromptSubmit", prompt_id="p1"), hook("UserPromptSubmit"), hook("Stop"), "{broken", json.dumps({"version": 2, "kind": "x", "capturedAt": "z"})]) + "\n")
-
-    def run():
-        good, _ = hooks.envelopes(hooks.follow_spool(spark, str(spool)))
-        q = hooks.turns(good).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-        q.awaitTermination()
-
-    run()
-    (spool / "b.jsonl").write_text("\n".join([hook("StopFailure"), hook("Stop"), hook("UserPromptSubmit", prompt_id="p1")]) + "\n")
-    run()
-    out = hooks.current_turns(spark.read.parquet(str(tmp_path / "out"))).collect()
-    assert {r["turn"]: (r["started_at"][-4:], r["ended_at"][-4:]) for r in out} == {"p1": ("00Z"[-4:].rjust(4, ":"), ":03Z"), "1": (":01Z", ":02Z")}
+    (spool / "a.jsonl").write_text("\n".join([hook("UserPromptSubmit", 0, prompt_id="p\t1"), hook("UserPromptSubmit", 1), hook("Stop", 2), "{broken", json.dumps({"version": 2, "kind": "x", "capturedAt": "z"})]) + "\n")
+    spool_run(spark, spool, tmp_path / "out")
+    (spool / "b.jsonl").write_text("\n".join([hook("StopFailure", 3), hook("Stop", 4), hook("UserPromptSubmit", 5, prompt_id="p\t1"), hook("UserPromptSubmit", 6, prompt_id="line\nbreak"), hook("SessionEnd", 7)]) + "\n")
+    changes = spool_run(spark, spool, tmp_path / "out")
+    out = hooks.current_turns(changes).collect()
+    assert {r["turn"]: (r["sequence"], r["started_at"][14:16], r["ended_at"] and r["ended_at"][14:16]) for r in out} == {"p\t1": (0, "00", "03"), "1": (1, "01", "02"), "line\nbreak": (2, "06", None)}
+    assert [(r["started_at"][14:16], r["ended_at"][14:16]) for r in hooks.current_sessions(changes).collect()] == [("00", "07")]
     _, bad = hooks.envelopes(spark.read.text(str(spool)).select(F.col("value").alias("line")))
     assert sorted(r["label"] for r in bad.collect()) == ["malformed", "unsupported"]
 
 
+def test_any_split_into_batches_gives_the_turns_of_one_batch(spark, tmp_path):
+    import random
+
+    from costgrain.operators.upkeep import turns_of_hooks
+
+    draw = random.Random(3)
+    events = [(draw.choice(["UserPromptSubmit", "UserPromptSubmit", "Stop", "StopFailure", "SessionStart"]), k, f"s{draw.randrange(3)}") for k in range(120)]
+    table = spark.createDataFrame(events, "kind string, at long, session string")
+    want = {(r["session"], r["at"]): r["ended_by"] for r in turns_of_hooks(table, ["session"], "at").collect()}
+    minute = lambda s: s and int(s[11:13]) * 60 + int(s[14:16])
+    for n, shuffled in ((1, False), (4, False), (4, True)):
+        spool, out = tmp_path / f"spool{n}{shuffled}", tmp_path / f"out{n}{shuffled}"
+        spool.mkdir()
+        mixed = draw.sample(events, len(events)) if shuffled else events
+        for k in range(n):
+            part = mixed[k * len(mixed) // n : (k + 1) * len(mixed) // n]
+            (spool / f"{k}.jsonl").write_text("".join(hook(kind, at, session, prompt_id=f"p{at}") + "\n" for kind, at, session in part))
+            # In order, a horizon of five minutes is enough; out of order, all have to be held.
+            changes = spool_run(spark, spool, out, horizon=86_400 if shuffled else 300)
+        got = {(r["session_id"], minute(r["started_at"])): minute(r["ended_at"]) for r in hooks.current_turns(changes).collect()}
+        assert got == want
+
+
+def test_fold_names_turns_by_number_and_never_twice():
+    e = lambda kind, at, prompt=None: hooks.Event(at, str(at), 0, kind, prompt, None)
+    turns, stack, count, new = hooks.fold([], 0, lambda n: n == "old", [e("Stop", 0), e("UserPromptSubmit", 1), e("UserPromptSubmit", 2, "old"), e("UserPromptSubmit", 3, "0"), e("UserPromptSubmit", 4, "x"), e("Stop", 5)])
+    assert (sorted(turns), stack, count, new) == (["0", "x"], ["0"], 2, ["0", "x"]) and turns["x"].ended_at == "5"
+
+
+def test_state_of_ended_sessions_goes(spark, tmp_path):
+    spool = tmp_path / "spool"
+    spool.mkdir()
+    (spool / "a.jsonl").write_text(hook("UserPromptSubmit", 0) + "\n" + hook("SessionEnd", 1) + "\n")
+    spool_run(spark, spool, tmp_path / "out", after_end=0)
+    (spool / "b.jsonl").write_text(hook("Stop", 5, "t") + "\n")
+    spool_run(spark, spool, tmp_path / "out", after_end=0)  # the timer goes off
+    (spool / "c.jsonl").write_text(hook("Stop", 9) + "\n")
+    changes = spool_run(spark, spool, tmp_path / "out", after_end=0)
+    assert [r["ended_at"] for r in hooks.current_turns(changes).collect()] == [None]
+
+
 def test_prompts_are_kept_as_fingerprints(spark):
     df = spark.createDataFrame([('{"session_id":"s","prompt":"secret"}',)], "x string")
     payload = F.from_json("x", "struct<" + ", ".join(f"{c}: string" for c in [*hooks.KEPT, "prompt"]) + ">")
