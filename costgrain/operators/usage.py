@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from costgrain.functions.vocabulary import DELTAS, LIFECYCLE, NOTICES, TOKENS, TURN_COUNTERS, is_measured
 
+#: Counters that a turn's counter and the sum of its details are compared by.
+COMPARED = [t for t in TOKENS if t != "cache_write_tokens"]
 POLICIES = ("AlreadyInParent", "Independent", "Unknown")
 
 
@@ -98,15 +100,14 @@ def duplicate_lifecycle(events: DataFrame) -> DataFrame:
 def counter_conflicts(events: DataFrame) -> DataFrame:
     """(session, turn_id, conflict): does the first counter of a turn differ from
     the sum of its details in any of four counters? The write counter is not compared."""
-    compared = [t for t in TOKENS if t != "cache_write_tokens"]
     rows = active(events).where("turn_id is not null")
     counter = F.col("source_kind").isin(TURN_COUNTERS)
     life = F.col("source_kind").isin(LIFECYCLE)
-    sums = [F.sum(F.when(~counter & ~life, F.coalesce(t, F.lit(0)))).alias(f"d_{t}") for t in compared]
-    first = F.min_by(F.when(counter, F.struct(*(F.coalesce(t, F.lit(0)).alias(t) for t in compared))), F.when(counter, F.struct("source_path", "source_offset"))).alias("c")
+    sums = [F.sum(F.when(~counter & ~life, F.coalesce(t, F.lit(0)))).alias(f"d_{t}") for t in COMPARED]
+    first = F.min_by(F.when(counter, F.struct(*(F.coalesce(t, F.lit(0)).alias(t) for t in COMPARED))), F.when(counter, F.struct("source_path", "source_offset"))).alias("c")
     by_turn = rows.groupBy("session", "turn_id").agg(*sums, first, F.count(F.when(~counter & ~life, 1)).alias("details"))
     differs = F.lit(False)
-    for t in compared:
+    for t in COMPARED:
         differs = differs | (F.col(f"c.{t}") != F.col(f"d_{t}"))
     return by_turn.where("c is not null and details > 0").select("session", "turn_id", differs.alias("conflict"))
 
@@ -115,3 +116,27 @@ def anomaly_counts(anomalies: DataFrame) -> DataFrame:
     """Unresolved anomalies, notices apart from the others."""
     notice = F.col("type").isin(NOTICES)
     return anomalies.where("resolved_at is null").agg(F.count(F.when(~notice, 1)).alias("anomalous"), F.count(F.when(notice, 1)).alias("notices"))
+
+
+def settle_turns(events: DataFrame, is_counter: Column) -> tuple[DataFrame, DataFrame]:
+    """(records that count, conflicts) of observations.
+
+    A turn's counters count only where it has no details; of several records of one identity
+    the one of highest authority does. A conflict is the first counter of a turn, with the sums
+    ``d_`` of its details, where they differ. Records without a turn stay as they are.
+    """
+    from costgrain.operators import ladder
+    from costgrain.sources.observation import COLUMNS
+
+    counter = F.coalesce(is_counter, F.lit(False))
+    turn = ["session", "turn_id"]
+    loose = events.where("turn_id is null").select(*COLUMNS)
+    detail = ladder.deduplicate(events.where(F.col("turn_id").isNotNull() & ~counter)).select(*COLUMNS)
+    counters = events.where(F.col("turn_id").isNotNull() & counter).select(*COLUMNS)
+    sums = detail.groupBy(*turn).agg(*(F.sum(F.coalesce(t, F.lit(0))).alias(f"d_{t}") for t in COMPARED))
+    fallback = ladder.deduplicate(counters.join(sums.select(*turn), turn, "left_anti")).select(*COLUMNS)
+    firsts = counters.groupBy(*turn).agg(F.min_by(F.struct(*COLUMNS), F.struct("source_path", "source_offset")).alias("c")).select("c.*")
+    differs = F.lit(False)
+    for t in COMPARED:
+        differs = differs | (F.coalesce(t, F.lit(0)) != F.col(f"d_{t}"))
+    return loose.unionByName(detail).unionByName(fallback), firsts.join(sums, turn).where(differs)

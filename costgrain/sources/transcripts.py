@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costgrain.functions.vocabulary import TOKENS
-from costgrain.operators import deltas, ladder
+from costgrain.operators import deltas, usage
 from costgrain.sources.files import lines, stem, too_large
 from costgrain.sources.observation import COLUMNS, anomaly, count, first, observation
 
@@ -165,24 +165,12 @@ def streams_of(raw: DataFrame, adapter: str = "codex", parser_version: str = "1"
     counted = deltas.counter_deltas(stream, ["source_path", "session", "_t", "_m", "_a"], order)
     resets = counted.where("reset")
     events = counted.select(*COLUMNS).withColumn("parser_version", F.lit(parser_version))
-    is_counter = F.col("source_subtype") == "codex_turn_counter"
-    loose = events.where("turn_id is null")
-    detail = ladder.deduplicate(events.where(F.col("turn_id").isNotNull() & ~is_counter)).select(*COLUMNS)
-    counters = events.where(F.col("turn_id").isNotNull() & is_counter)
-    turn = ["session", "turn_id"]
-    compared = [t for t in TOKENS if t != "cache_write_tokens"]
-    sums = detail.groupBy(*turn).agg(*(F.sum(F.coalesce(t, F.lit(0))).alias(f"d_{t}") for t in compared))
-    fallback = ladder.deduplicate(counters.join(sums.select(*turn), turn, "left_anti")).select(*COLUMNS)
-    firsts = counters.groupBy(*turn).agg(F.min_by(F.struct(*COLUMNS), F.struct("source_path", "source_offset")).alias("c")).select("c.*")
-    differs = F.lit(False)
-    for t in compared:
-        differs = differs | (F.coalesce(t, F.lit(0)) != F.col(f"d_{t}"))
-    conflicts = firsts.join(sums, turn).where(differs)
+    kept, conflicts = usage.settle_turns(events, F.col("source_subtype") == "codex_turn_counter")
     none_ = F.lit(None)
     odd = (
         anomaly(resets, F.lit("negative_delta"), F.col("session"), F.col("turn_id"), F.lit("{}"))
-        .unionByName(anomaly(conflicts, F.lit("counter_conflict"), F.col("session"), F.col("turn_id"), F.to_json(F.struct(*(f"d_{t}" for t in compared)))))
+        .unionByName(anomaly(conflicts, F.lit("counter_conflict"), F.col("session"), F.col("turn_id"), F.to_json(F.struct(*(f"d_{t}" for t in usage.COMPARED)))))
         .unionByName(anomaly(parsed.where(r.isNull()), F.lit("malformed_line"), none_, none_, F.lit("{}")))
         .unionByName(anomaly(parsed.where(r.isNotNull() & ~known), F.lit("unsupported_version"), none_, none_, F.to_json(F.struct(version.alias("unsupported_version")))))
     )
-    return loose.unionByName(detail).unionByName(fallback), odd
+    return kept, odd
