@@ -39,7 +39,7 @@ CLASSES = 32
 #: The commonest types that are clustered first, on the driver.
 HEAD = 382
 #: Natural logarithm of the likelihood, for each token, that a round has to gain for another one.
-LEAST_GAIN = 1.5e-2
+LEAST_GAIN = 1e-4
 #: Up to so many types meet their classes by a broadcast.
 FEW_TYPES = 500_000
 #: Tokens from which on a share is full.
