@@ -71,13 +71,14 @@ def supersede(ledger: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame
     """What a batch changes: (new records, links from superseded to superseding ones).
 
     ``ledger`` has active records with id, session, event_hash, logical_event_hash
-    and source_kind; ``batch`` is deduplicated. A record meets the active ones of
+    source_kind, and either its token counts or whether it is ``measured``; ``batch`` is deduplicated. A record meets the active ones of
     its session under either identity scheme. Where it outranks all of them (a
     stored kind out of the vocabulary outranks anything) it enters under an id
     made from its identity and the old one's; where one holds, it is dropped.
     """
     named = batch.withColumn("keys", F.array_distinct(F.array("event_hash", "event_hash_v1")))
-    stored = ledger.select(F.col("id").alias("old_id"), "session", F.coalesce("logical_event_hash", "event_hash").alias("key"), stored_rank(F.col("source_kind")).alias("old_rank"), is_measured().alias("old_measured"))
+    measured = F.col("measured") if "measured" in ledger.columns else is_measured()
+    stored = ledger.select(F.col("id").alias("old_id"), "session", F.coalesce("logical_event_hash", "event_hash").alias("key"), stored_rank(F.col("source_kind")).alias("old_rank"), measured.alias("old_measured"))
     met = named.select("*", F.explode("keys").alias("key")).join(stored, ["session", "key"]).select("event_hash", "session", "rank", "measured", "old_id", "old_rank", "old_measured", "identity").distinct()
     outranks = (F.col("rank") > F.col("old_rank")) | ((F.col("rank") == F.col("old_rank")) & F.col("measured") & ~F.col("old_measured"))
     verdict = met.groupBy("session", "event_hash").agg(F.bool_and(outranks).alias("wins"), F.min("old_id").alias("old_id"))
