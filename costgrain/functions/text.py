@@ -134,23 +134,29 @@ def spool_leaks(line: Column) -> Column:
     return leaks(line) | F.coalesce(told("prompt"), F.lit(False)) | F.coalesce(told("completion"), F.lit(False)) | F.coalesce(raw, F.lit(False))
 
 
+# Words from so many bytes on are held against the line; a message is cut at so many bytes, with this mark.
+WORD_BYTES, MESSAGE_BYTES, CUT = 4, 300, "…[truncated]"
+
+
 def scrub(message: Column, raw: Column) -> Column:
-    """An error message without the words of the line it is about, at most 300 characters.
+    """An error message without the words of the line it is about, cut after the last whole character within MESSAGE_BYTES.
 
-    Words of four and more characters, less the signs around them, that stand in
-    the line become a mark."""
-    tokens = F.filter(F.split(raw, r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 4)
+    Words of WORD_BYTES and more in UTF-8, less the signs around them, that stand in
+    the line become a mark: two wide characters are a word already."""
+    tokens = F.filter(F.split(raw, r"[^\p{L}\p{N}]+"), lambda t: F.octet_length(t) >= WORD_BYTES)
 
     def clean(known: Column) -> Column:
         def one(word: Column) -> Column:
             core = F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-            return F.when((F.length(core) >= 4) & F.array_contains(known, core), "[redacted]").otherwise(word)
+            return F.when((F.octet_length(core) >= WORD_BYTES) & F.array_contains(known, core), "[redacted]").otherwise(word)
 
         words = F.filter(F.split(message, r"\s+"), lambda w: w != "")
         return F.array_join(F.transform(words, one), " ")
 
-    out = F.transform(F.array(tokens), clean)[0]
-    return F.when(F.length(out) > 300, F.concat(F.substring(out, 1, 300), F.lit("…[truncated]"))).otherwise(out)
+    out = F.transform(F.array(F.coalesce(tokens, F.array().cast("array<string>"))), clean)[0]
+    part = lambda n: F.substring(out.cast("binary"), 1, n).cast("string")
+    whole = F.coalesce(*(F.when(F.is_valid_utf8(part(n)), part(n)) for n in range(MESSAGE_BYTES, MESSAGE_BYTES - 4, -1)))
+    return F.when(F.octet_length(out) > MESSAGE_BYTES, F.concat(whole, F.lit(CUT))).otherwise(out)
 
 
 def model_name(blob: Column, family: str = "gemini") -> Column:

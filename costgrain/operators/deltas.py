@@ -97,10 +97,30 @@ def repair_snapshots(events: DataFrame) -> DataFrame:
     return marked.withColumns(out).drop("_when", "_nth", *(f"_{t}" for t in TOKENS))
 
 
-def sticky(records: DataFrame, partition: list[str], order: list[str], columns: list[str], ends: Column, own: bool = False) -> DataFrame:
+def sticky(records: DataFrame, partition: list[str], order: list[str], columns: list[str], ends: Column, own: bool = False, chunk: Column | None = None) -> DataFrame:
     """Carry the last known value of ``columns`` forward; rows marked ``ends`` clear
-    it for what follows them, and with ``own`` for themselves too."""
-    w = W.partitionBy(*partition).orderBy(*order)
-    cut = F.coalesce(F.sum(ends.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0 if own else -1)), F.lit(0))
-    inside = W.partitionBy(*partition, "_cut").orderBy(*order)
-    return records.withColumn("_cut", cut).withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns}).drop("_cut")
+    it for what follows them, and with ``own`` for themselves too.
+
+    ``chunk`` numbers pieces that a partition's order goes through one after another. Values are then
+    carried inside each piece, what a piece leaves to the next is carried over the pieces, and a large partition is many
+    tasks' work.
+    """
+    if chunk is None:
+        w = W.partitionBy(*partition).orderBy(*order)
+        cut = F.coalesce(F.sum(ends.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0 if own else -1)), F.lit(0))
+        inside = W.partitionBy(*partition, "_cut").orderBy(*order)
+        return records.withColumn("_cut", cut).withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns}).drop("_cut")
+    piece = [*partition, "_chunk"]
+    within = W.partitionBy(*piece).orderBy(*order)
+    rows = records.withColumns({"_chunk": chunk, "_ends": F.coalesce(ends.cast("int"), F.lit(0))})
+    cuts = rows.withColumn("_cut", F.coalesce(F.sum("_ends").over(within.rowsBetween(W.unboundedPreceding, 0 if own else -1)), F.lit(0)))
+    marked = cuts.withColumn("_all", F.sum("_ends").over(W.partitionBy(*piece)))
+    last = lambda c: F.max_by(c, F.when((F.col("_cut") == F.col("_all")) & F.col(c).isNotNull(), F.struct(*order)))
+    left = marked.groupBy(*piece).agg((F.max("_all") > 0).cast("int").alias("_ended"), *(last(c).alias(f"_left_{c}") for c in columns))
+    over = W.partitionBy(*partition).orderBy("_chunk")  # a row a piece
+    since = left.withColumn("_since", F.sum("_ended").over(over))
+    told = since.withColumns({f"_left_{c}": F.last(f"_left_{c}", ignorenulls=True).over(W.partitionBy(*partition, "_since").orderBy("_chunk")) for c in columns})
+    came = told.select(*piece, *(F.lag(f"_left_{c}").over(over).alias(f"_came_{c}") for c in columns))
+    carried = marked.withColumns({c: F.last(c, ignorenulls=True).over(W.partitionBy(*piece, "_cut").orderBy(*order)) for c in columns}).join(came, piece)
+    filled = {c: F.when(F.col("_cut") == 0, F.coalesce(c, f"_came_{c}")).otherwise(F.col(c)) for c in columns}
+    return carried.withColumns(filled).select(*records.columns)

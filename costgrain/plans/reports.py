@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from costgrain.functions.money import dollars
 from costgrain.functions.text import csv_escape, html_escape
 from costgrain.functions.vocabulary import TOKENS
 
+# The names of the columns of the CSV report.
 HEADER = (
     "project_id,project_key,project_title,work_item_id,work_item_title,parent_id,input_tokens,cache_read_tokens,cache_write_tokens,output_tokens,reasoning_tokens,"
     "total_tokens,requests,measured_requests,unavailable_requests,estimated_cost_dollars,completeness_pct"
@@ -55,17 +55,49 @@ def totals_text() -> Column:
     return F.concat_ws(" · ", cost, F.concat(total.cast("string"), F.lit(" tok")), complete, F.concat(F.col("unavailable").cast("string"), F.lit(" unavailable")))
 
 
+def with_ends(nodes: DataFrame) -> DataFrame:
+    """Nodes in tree order with ``ends``: for each step from the root down, whether it is the last of its siblings.
+
+    Roots are siblings within their project, where there is one. The last is found by a maximum for each parent, so
+    that a parent of most nodes is no task of its own.
+    """
+    project = F.coalesce(F.col("project_id"), F.lit("")) if "project_id" in nodes.columns else F.lit("")
+    up = F.when(F.size("path") > 1, F.concat(F.lit("i"), F.element_at("path", -2))).otherwise(F.concat(F.lit("p"), project))
+    ordered = in_tree_order(nodes).withColumn("_up", up)
+    latest = ordered.groupBy("_up").agg(F.max("place").alias("_latest"))
+    own = ordered.join(latest, "_up").select(F.col("id").alias("_at"), (F.col("place") == F.col("_latest")).alias("_end"))
+    steps = ordered.select("id", F.posexplode("path").alias("_n", "_at")).join(own, "_at")
+    ends = steps.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_end"))), lambda x: x["_end"]).alias("ends"))  # as long as the tree is deep
+    return ordered.drop("_up").join(ends, "id")
+
+
 def text_lines(nodes: DataFrame) -> DataFrame:
     """(place, line) of the tree drawn with branches; one line a node."""
-    ordered = in_tree_order(nodes)
-    last = F.row_number().over(W.partitionBy("parent_id").orderBy(F.desc("place"))) == 1
-    marked = ordered.withColumn("_last", last)
-    ends = marked.select(F.col("id").alias("_at"), F.col("_last").alias("_end"))
-    above = marked.select("id", F.posexplode("path").alias("_n", "_at")).where(F.col("_at") != F.col("id")).join(ends, "_at")
-    stems = above.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_end"))), lambda x: F.when(x["_end"], "    ").otherwise("│   ")), "").alias("_stem"))
-    full = marked.join(stems, "id", "left")
-    branch = F.when(F.col("_last"), "└── ").otherwise("├── ")
-    return full.select("place", F.concat(F.coalesce("_stem", F.lit("")), branch, "title", F.lit("  "), totals_text()).alias("line"))
+    above = F.slice("ends", 1, F.size("ends") - 1)
+    stem = F.array_join(F.transform(above, lambda x: F.when(x, "    ").otherwise("│   ")), "")
+    branch = F.when(F.element_at("ends", -1), "└── ").otherwise("├── ")
+    return with_ends(nodes).select("place", F.concat(stem, branch, "title", F.lit("  "), totals_text()).alias("line"))
+
+
+def nested_lines(nodes: DataFrame) -> DataFrame:
+    """(project_id, place, id, line): the pieces of a JSON array of a project's trees, each node with its ``children``.
+
+    A piece opens its node and, where nothing stands below it, closes it and all whose last
+    descendant it is. Pieces are made side by side, each from its own path, and joined by nothing: in order of
+    place they are the document, however deep or large it is.
+    """
+    marked = with_ends(nodes if "project_id" in nodes.columns else nodes.withColumn("project_id", F.lit("")))
+    above = marked.select(F.when(F.size("path") > 1, F.element_at("path", -2)).alias("_of")).where("_of is not null").distinct()
+    known = marked.join(above, marked["id"] == above["_of"], "left").withColumn("_leaf", F.col("_of").isNull())
+    firsts = known.groupBy("project_id").agg(F.min("place").alias("_first"))
+    own = F.to_json(F.struct("id", "parent_id", "title", F.struct(*TOKENS, "requests", "measured", "unavailable", "anomalous", "priced", "amount_micros").alias("inclusive")), {"ignoreNullFields": "false"})
+    opened = F.concat(F.expr("substring(_own, 1, length(_own) - 1)"), F.lit(',"children":['))
+    flags = F.array_join(F.transform("ends", lambda x: F.when(x, "1").otherwise("0")), "")
+    last = F.length(flags) - F.length(F.rtrim(flags, F.lit("1")))  # how many steps, from the node up, are last ones
+    closed = F.when(last == F.size("path"), F.concat(F.repeat(F.lit("]}"), F.size("path")), F.lit("]"))).otherwise(F.concat(F.repeat(F.lit("]}"), last + 1), F.lit(",")))
+    joined = known.join(firsts, known["project_id"].eqNullSafe(firsts["project_id"])).drop(firsts["project_id"])
+    begin = F.when(F.col("place") == F.col("_first"), "[").otherwise("")
+    return joined.withColumn("_own", own).select("project_id", "place", "id", F.concat(begin, opened, F.when(F.col("_leaf"), closed).otherwise("")).alias("line"))
 
 
 def json_nodes(nodes: DataFrame) -> DataFrame:
@@ -75,10 +107,10 @@ def json_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def html_rows(nodes: DataFrame) -> DataFrame:
-    """(place, line): a table row a node, indented by depth, all text escaped."""
+    """(id, place, line): a table row a node, indented by depth, all text escaped."""
     ordered = in_tree_order(nodes)
     cells = [F.concat(F.lit("<td style=\"padding-left:"), (F.size("path") - 1).cast("string"), F.lit("em\">"), html_escape(F.col("title")), F.lit("</td>")), F.concat(F.lit("<td>"), html_escape(totals_text()), F.lit("</td>"))]
-    return ordered.select("place", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("line"))
+    return ordered.select("id", "place", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("line"))
 
 
 def write_lines(lines: DataFrame, folder: str, header: str | None = None) -> None:
@@ -92,14 +124,37 @@ def write_lines(lines: DataFrame, folder: str, header: str | None = None) -> Non
     out.select("line").write.mode("overwrite").text(folder)
 
 
-def write_html(nodes: DataFrame, folder: str, title: str, disclaimer: str) -> None:
-    """The tree as a page: one table, rows in tree order, title and disclaimer escaped."""
+def grand_total(nodes: DataFrame) -> DataFrame:
+    """One row of totals over the roots, which hold all that is below them; a cost only where every request has one."""
+    roots = nodes.where(F.size("path") == 1)
+    return roots.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*TOKENS, "requests", "measured", "unavailable", "anomalous", "priced", "amount_micros"]))
+
+
+def html_sections(nodes: DataFrame, projects: DataFrame) -> DataFrame:
+    """(section, part, place, line) of a page: a section for each project (id, key, title) by title, with its own total and a
+    table of its tree, and the grand total first. Projects without nodes have an empty table."""
+    by_project = nodes.where(F.size("path") == 1).groupBy("project_id").agg(*(F.sum(c).alias(c) for c in [*TOKENS, "requests", "measured", "unavailable", "anomalous", "priced", "amount_micros"]))
+    named = projects.select(F.col("id").alias("project_id"), F.concat_ws("\0", F.coalesce("title", F.lit("")), "id").alias("section"), "key", "title")
+    rows = html_rows(nodes).join(nodes.select("id", "project_id"), "id").join(named.select("project_id", "section"), "project_id").select("section", F.lit(1).alias("part"), "place", "line")
+    none = F.lit(None).cast(rows.schema["place"].dataType)
+    badge = F.when(F.col("requests").isNull(), "no usage").when(priced(None), "priced").when(F.col("priced") > 0, "partly priced").otherwise("cost unavailable")
+    told = F.when(F.col("requests").isNotNull(), html_escape(totals_text())).otherwise("")
+    heads = named.join(by_project, "project_id", "left").select("section", F.lit(0).alias("part"), none.alias("place"), F.concat(F.lit("<section><h2>"), html_escape(F.coalesce("title", F.lit(""))), F.lit("</h2><p>"), html_escape(F.coalesce("key", F.lit(""))), F.lit(' <span class="badge">'), badge, F.lit("</span> "), told, F.lit("</p><table>")).alias("line"))
+    ends = named.select("section", F.lit(2).alias("part"), none.alias("place"), F.lit("</table></section>").alias("line"))
+    total = grand_total(nodes).select(F.lit("").alias("section"), F.lit(-1).alias("part"), none.alias("place"), F.concat(F.lit("<p>"), html_escape(totals_text()), F.lit("</p>")).alias("line"))
+    return total.unionByName(heads).unionByName(rows).unionByName(ends)
+
+
+def write_html(nodes: DataFrame, folder: str, title: str, disclaimer: str, projects: DataFrame | None = None) -> None:
+    """The trees as a page: grand total, a section for each project (id, key, title), rows in tree order; all text escaped."""
     from html import escape
 
-    head = f"<!doctype html><html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><p>{escape(disclaimer)}</p><table>"
-    rows = html_rows(nodes)
-    ends = [(0, head), (2, "</table></body></html>")]
-    place = rows.schema["place"].dataType
-    around = nodes.sparkSession.createDataFrame(ends, "f int, line string").select("f", F.lit(None).cast(place).alias("place"), "line")
-    page = around.unionByName(rows.select(F.lit(1).alias("f"), "place", "line")).orderBy("f", "place")
+    if projects is None:
+        projects = nodes.sparkSession.createDataFrame([("", "", title)], "id string, key string, title string")
+        nodes = nodes.withColumn("project_id", F.lit(""))
+    head = f"<!doctype html><html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><p>{escape(disclaimer)}</p>"
+    body = html_sections(nodes, projects).withColumn("f", F.lit(1))
+    place = body.schema["place"].dataType
+    around = nodes.sparkSession.createDataFrame([(0, head), (2, "</body></html>")], "f int, line string").select(F.lit("").alias("section"), F.lit(0).alias("part"), F.lit(None).cast(place).alias("place"), "line", "f")
+    page = around.unionByName(body).orderBy("f", "section", "part", "place")
     page.select("line").write.mode("overwrite").text(folder)

@@ -199,14 +199,12 @@ def prototypes_of(files: DataFrame) -> DataFrame:
     some = lambda *keys: F.coalesce(*(F.when(F.trim(r[k]) != "", F.trim(r[k])) for k in keys))
     place = F.concat_ws(":", "source_path", F.col("n").cast("string"))
     when = F.coalesce(some("timestamp", "created_at"), F.lit("1970-01-01T00:00:00Z"))
-    made = observation(
-        rows.withColumn("_keep", F.struct(F.coalesce(some("project", "project_name"), F.lit("Prototype import")).alias("project"), F.coalesce(some("task", "task_name", "name"), F.lit("Imported work")).alias("task"))),
-        adapter=F.lit("prototype"), source=F.lit("explicit_cli"), source_subtype=F.lit("prototype_json"), source_event_id=place, session=F.coalesce(some("session_id", "session"), F.concat(F.lit("prototype-"), F.col("n").cast("string"))),
+    own = {"project": F.coalesce(some("project", "project_name"), F.lit("Prototype import")), "task": F.coalesce(some("task", "task_name", "name"), F.lit("Imported work"))}
+    return observation(
+        rows, own, adapter=F.lit("prototype"), source=F.lit("explicit_cli"), source_subtype=F.lit("prototype_json"), source_event_id=place, session=F.coalesce(some("session_id", "session"), F.concat(F.lit("prototype-"), F.col("n").cast("string"))),
         request_id=F.concat(F.lit("prototype:"), place), source_timestamp=when, observed_at=when, model=r["model"], input_tokens=count(r["input_tokens"], r["input"]), cached_input_tokens=count(r["cached_input_tokens"], r["cache_read"]),
         cache_write_tokens=count(r["cache_write_tokens"], r["cache_write"]), output_tokens=count(r["output_tokens"], r["output"]), reasoning_tokens=count(r["reasoning_tokens"]), source_path=F.col("source_path"), source_offset=F.col("n"), parser_version=F.lit("prototype-v1"),
     )
-    named = rows.select(place.alias("source_event_id"), F.coalesce(some("project", "project_name"), F.lit("Prototype import")).alias("project"), F.coalesce(some("task", "task_name", "name"), F.lit("Imported work")).alias("task"))
-    return made.join(named, "source_event_id")
 
 
 def prototype_preview(rows: DataFrame) -> DataFrame:

@@ -13,18 +13,20 @@ FILE_BYTES, LINE_BYTES = 512 << 20, 16 << 20
 def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """(source_path, source_offset, line, oversize) of all lines of the files below ``path``.
 
-    The offset is that of the line's first byte. Blocks of a file are read by
-    different tasks; their lines are put in order by block and place in it, and
-    byte counts are added up along each file, of at most FILE_BYTES.
+    The offset is that of the line's first byte. Blocks of a file are read by different tasks; byte counts are added
+    up inside each block, and over the blocks of a file, a row each, so that a large file stays spread. Files have FILE_BYTES at most.
     """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
     meta = F.col("_metadata")
     rows = raw.select("value", meta["file_path"].alias("source_path"), meta["file_size"].alias("_size"), meta["file_block_start"].alias("_block")).where(F.col("_size") <= FILE_BYTES)
     placed = rows.withColumn("_nth", F.monotonically_increasing_id())
-    before = W.partitionBy("source_path").orderBy("_block", "_nth").rowsBetween(W.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0)).cast("long")
+    size = F.octet_length("value") + 1
+    before = W.unboundedPreceding, -1
+    starts = rows.groupBy("source_path", "_block").agg(F.sum(size).alias("_bytes")).select("source_path", "_block", F.coalesce(F.sum("_bytes").over(W.partitionBy("source_path").orderBy("_block").rowsBetween(*before)), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum(size).over(W.partitionBy("source_path", "_block").orderBy("_nth").rowsBetween(*before)), F.lit(0))
+    joined = placed.withColumn("_inside", inside).join(starts, ["source_path", "_block"])
     text = F.rtrim("value", F.lit("\r"))
-    return placed.select("source_path", offset.alias("source_offset"), text.alias("line"), (F.octet_length("value") > LINE_BYTES).alias("oversize"))
+    return joined.select("source_path", (F.col("_start") + F.col("_inside")).cast("long").alias("source_offset"), text.alias("line"), (F.octet_length("value") > LINE_BYTES).alias("oversize"))
 
 
 def whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:

@@ -13,9 +13,9 @@ COLUMNS = {c: "string" for c in STRINGS} | {t: "bigint" for t in TOKENS} | {"cos
 SCHEMA = T.StructType([T.StructField(c, T.StringType() if t == "string" else T.LongType()) for c, t in COLUMNS.items()])
 
 
-def observation(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Rows as observations: the given columns, null where none is given."""
-    return rows.select(*(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()))
+def observation(rows: DataFrame, more: dict[str, Column] | None = None, **columns: Column) -> DataFrame:
+    """Rows as observations: the given columns, null where none is given; ``more`` are columns beside those of the schema."""
+    return rows.select(*(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()), *(c.alias(n) for n, c in (more or {}).items()))
 
 
 def count(*values: Column) -> Column:

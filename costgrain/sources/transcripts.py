@@ -33,6 +33,10 @@ TURN_STARTS = ["turn/started", "turn_start", "turn/start", "hook_boundary", "tur
 TURN_ENDS = ["turn/completed", "turn_complete", "turn/complete", "turn_end", "turn/end", "session/completed"]
 
 
+#: Bytes of a stream's file that one task carries context through.
+CHUNK_BYTES = 8 << 20
+
+
 def _parsed(raw: DataFrame, version: str) -> DataFrame:
     """Lines with their record ``r``; null where a line is no JSON object, or too long to be parsed."""
     blank = F.trim("line") == ""
@@ -145,8 +149,9 @@ def streams_of(raw: DataFrame, adapter: str = "codex", parser_version: str = "1"
         }
     )
     order = ["source_offset"]
-    carried = deltas.sticky(good, ["source_path"], order, ["_turn"], F.col("_end"), own=True)
-    carried = deltas.sticky(carried, ["source_path"], order, ["_session", "_agent", "_parent"], F.col("_close"), own=True)
+    chunk = (F.col("source_offset") / CHUNK_BYTES).cast("long")  # a file is carried over in pieces
+    carried = deltas.sticky(good, ["source_path"], order, ["_turn"], F.col("_end"), own=True, chunk=chunk)
+    carried = deltas.sticky(carried, ["source_path"], order, ["_session", "_agent", "_parent"], F.col("_close"), own=True, chunk=chunk)
     used = carried.withColumn("u", first(r["token_usage"], r["usage"], r["cumulative_token_usage"], p["tokenUsage"], p["usage"], r["message"]["usage"])).where("u is not null")
     counter = (F.col("kind").isin("turn_counter", "turn_summary")) | F.get_json_object("line", "$.turn_counter").isNotNull()
     live = F.col("kind").isin("thread/tokenUsage/updated", "turn/tokenUsage/updated", "token_usage")
