@@ -18,9 +18,9 @@ def _standing(observations: DataFrame) -> DataFrame:
     return with_identity(observations).withColumns({"rank": source_rank(F.col("source")), "measured": is_measured()})
 
 
-def deduplicate(observations: DataFrame) -> DataFrame:
-    """One record for each identity: of highest rank, then measured, then first."""
-    best = W.partitionBy("identity").orderBy(F.desc("rank"), F.desc("measured"), *ORDER)
+def deduplicate(observations: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """One record for each identity (in each group of ``within``): of highest rank, then measured, then first."""
+    best = W.partitionBy(*(within or []), "identity").orderBy(F.desc("rank"), F.desc("measured"), *ORDER)
     return _standing(observations).withColumn("_nth", F.row_number().over(best)).where("_nth = 1").drop("_nth")
 
 

@@ -121,8 +121,8 @@ def anomaly_counts(anomalies: DataFrame) -> DataFrame:
 def settle_turns(events: DataFrame, is_counter: Column) -> tuple[DataFrame, DataFrame]:
     """(records that count, conflicts) of observations.
 
-    A turn's counters count only where it has no details; of several records of one identity
-    the one of highest authority does. A conflict is the first counter of a turn, with the sums
+    A turn's counters count only where it has no details; of several records of one identity in
+    one turn the one of highest authority does. A conflict is the first counter of a turn, with the sums
     ``d_`` of its details, where they differ. Records without a turn stay as they are.
     """
     from costgrain.operators import ladder
@@ -131,10 +131,10 @@ def settle_turns(events: DataFrame, is_counter: Column) -> tuple[DataFrame, Data
     counter = F.coalesce(is_counter, F.lit(False))
     turn = ["session", "turn_id"]
     loose = events.where("turn_id is null").select(*COLUMNS)
-    detail = ladder.deduplicate(events.where(F.col("turn_id").isNotNull() & ~counter)).select(*COLUMNS)
+    detail = ladder.deduplicate(events.where(F.col("turn_id").isNotNull() & ~counter), turn).select(*COLUMNS)
     counters = events.where(F.col("turn_id").isNotNull() & counter).select(*COLUMNS)
     sums = detail.groupBy(*turn).agg(*(F.sum(F.coalesce(t, F.lit(0))).alias(f"d_{t}") for t in COMPARED))
-    fallback = ladder.deduplicate(counters.join(sums.select(*turn), turn, "left_anti")).select(*COLUMNS)
+    fallback = ladder.deduplicate(counters.join(sums.select(*turn), turn, "left_anti"), turn).select(*COLUMNS)
     firsts = counters.groupBy(*turn).agg(F.min_by(F.struct(*COLUMNS), F.struct("source_path", "source_offset")).alias("c")).select("c.*")
     differs = F.lit(False)
     for t in COMPARED:

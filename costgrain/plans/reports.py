@@ -146,15 +146,19 @@ def html_sections(nodes: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def write_html(nodes: DataFrame, folder: str, title: str, disclaimer: str, projects: DataFrame | None = None) -> None:
-    """The trees as a page: grand total, a section for each project (id, key, title), rows in tree order; all text escaped."""
+    """The trees as a page, all text escaped: one table in tree order, or with ``projects`` (id, key, title) the grand total and a section for each."""
     from html import escape
 
-    if projects is None:
-        projects = nodes.sparkSession.createDataFrame([("", "", title)], "id string, key string, title string")
-        nodes = nodes.withColumn("project_id", F.lit(""))
     head = f"<!doctype html><html><head><meta charset=\"utf-8\"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><p>{escape(disclaimer)}</p>"
-    body = html_sections(nodes, projects).withColumn("f", F.lit(1))
+    if projects is None:
+        rows = html_rows(nodes).select(F.lit("").alias("section"), F.lit(0).alias("part"), "place", "line")
+        _write_page(rows, folder, head + "<table>", "</table></body></html>")
+        return
+    _write_page(html_sections(nodes, projects), folder, head, "</body></html>")
+
+
+def _write_page(body: DataFrame, folder: str, head: str, foot: str) -> None:
     place = body.schema["place"].dataType
-    around = nodes.sparkSession.createDataFrame([(0, head), (2, "</body></html>")], "f int, line string").select(F.lit("").alias("section"), F.lit(0).alias("part"), F.lit(None).cast(place).alias("place"), "line", "f")
-    page = around.unionByName(body).orderBy("f", "section", "part", "place")
+    ends = body.sparkSession.createDataFrame([(0, head), (2, foot)], "f int, line string").select("f", F.lit("").alias("section"), F.lit(0).alias("part"), F.lit(None).cast(place).alias("place"), "line")
+    page = ends.unionByName(body.withColumn("f", F.lit(1))).orderBy("f", "section", "part", "place")
     page.select("line").write.mode("overwrite").text(folder)

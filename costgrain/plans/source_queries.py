@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from costgrain.functions import money, text
 from costgrain.functions.vocabulary import TOKENS
 from costgrain.operators import attribution
-from costgrain.operators.stages import shared_folder
+from costgrain.operators.stages import numbered, shared_folder
 from costgrain.plans import reports
 from costgrain.plans import tables as t
 from costgrain.plans.queries import query
@@ -314,10 +314,8 @@ def report_csv(spark, sf_dir):
 SELECT id, row_number() OVER (ORDER BY place) AS nth FROM down"""
 )
 def report_order(spark, sf_dir):
-    """Parents before children, siblings by creation, title and id. The rank is of a report that people read."""
-    from pyspark.sql import Window as W
-
-    return reports.in_tree_order(_nodes(spark, sf_dir)).select("id", F.row_number().over(W.orderBy("place")).cast("long").alias("nth"))
+    """Parents before children, siblings by creation, title and id; numbers are given range by range."""
+    return numbered(reports.in_tree_order(_nodes(spark, sf_dir)).select("id", "place"), ["place"], "nth").select("id", "nth")
 
 
 @query(
