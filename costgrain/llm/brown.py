@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import os
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,12 +38,12 @@ LEAST, ENDING = 20, 3
 CLASSES = 32
 #: The commonest types that are clustered first, on the driver.
 HEAD = 382
-#: Natural logarithm of the likelihood, for each token, that a round has to gain for another one.
-LEAST_GAIN = 1e-4
+#: Natural logarithm of the likelihood, for each token, below which a half-round is quiet; after so many quiet ones the exchange ends.
+LEAST_GAIN, QUIET = 5e-4, 3
 #: Up to so many types meet their classes by a broadcast.
 FEW_TYPES = 500_000
 #: Tokens from which on a share is full.
-SHARE_TOKENS = 4_000_000
+SHARE_TOKENS = 2_000_000
 #: Class bigrams added to each row, for each class, in the proportion of the classes; and
 #: words that a class is held to have beyond those seen.
 TRANSITION, UNSEEN = 0.1, 1.0
@@ -68,17 +68,17 @@ _SHARES = pa.schema(
 )
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers below 2**32 as compressed bytes; their count comes first."""
-    raw = numbers.astype("<u4").tobytes()
+def _packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    """Whole numbers as compressed bytes; their count comes first. Places are below 2**32, counts ("<i8") may be below nought."""
+    raw = numbers.astype(kind).tobytes()
     return len(numbers).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
+def _unpacked(packed: bytes, kind: str = "<u4") -> np.ndarray:
     if not packed:
         return np.zeros(0, np.int64)
-    size = 4 * int.from_bytes(packed[:8], "little")
-    return np.frombuffer(pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True), "<u4").astype(np.int64)
+    size = np.dtype(kind).itemsize * int.from_bytes(packed[:8], "little")
+    return np.frombuffer(pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True), kind).astype(np.int64)
 
 
 def encoded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -164,46 +164,50 @@ def sequences(shares: DataFrame, placed: DataFrame) -> DataFrame:
     return stored(met.applyInArrow(one, "share long, types array<long>, seq binary, starts binary"))
 
 
-def _scanned(texts: DataFrame, classes: DataFrame, many: int, schema: str, count) -> DataFrame:
-    """What ``count`` gives for each share from its tokens, whether a text starts there, and the
-    type and class (-1: none yet) of each number.
+def _scanned(texts: DataFrame, classes: DataFrame, many: int, schema: str, count) -> tuple[DataFrame, Callable[[], None]]:
+    """What ``count`` gives for each share from its tokens, whether a text starts there, and for each number the
+    type and, for every column of ``classes`` (t, then one or more), its class (-1: none yet); and what to call
+    once that is stored.
 
-    Up to FEW_TYPES classes (t, c) go to the tasks as two arrays; more meet the shares by a join."""
+    Up to FEW_TYPES types go to the tasks as arrays; more meet the shares by a join."""
+    names = [c for c in classes.columns if c != "t"]
 
-    def told(left: pa.Table, kinds: np.ndarray, of: np.ndarray) -> pa.Table:
+    def told(left: pa.Table, kinds: np.ndarray, of: list[np.ndarray]) -> pa.Table:
         seq = _unpacked(left.column("seq")[0].as_py())
         start = np.zeros(len(seq), bool)
         start[_unpacked(left.column("starts")[0].as_py())] = True
-        return count(seq, start, kinds, of)
+        return count(seq, start, kinds, *of)
 
     if many <= FEW_TYPES:
-        rows = classes.select("t", "c").toPandas().sort_values("t")
-        known = texts.sparkSession.sparkContext.broadcast((rows["t"].to_numpy(np.int64), rows["c"].to_numpy(np.int32)))
+        rows = classes.select("t", *names).toPandas().sort_values("t")
+        known = texts.sparkSession.sparkContext.broadcast((rows["t"].to_numpy(np.int64), [rows[c].to_numpy(np.int32) for c in names]))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t, c = known.value
+            t, given = known.value
             for batch in batches:
                 for k in range(batch.num_rows):
                     one = pa.Table.from_batches([batch.slice(k, 1)])
                     kinds = _flat(one.column("types"))
                     at = np.minimum(np.searchsorted(t, kinds), max(0, len(t) - 1))
-                    of = np.where(t[at] == kinds, c[at], -1) if len(t) else np.full(len(kinds), -1)
-                    yield from told(one, kinds, of.astype(np.int64)).to_batches(max_chunksize=100_000)
+                    of = [np.where(t[at] == kinds, c[at], -1).astype(np.int64) if len(t) else np.full(len(kinds), -1) for c in given]
+                    yield from told(one, kinds, of).to_batches(max_chunksize=100_000)
 
-        return texts.select("types", "seq", "starts").mapInArrow(scan, schema)
+        return texts.select("types", "seq", "starts").mapInArrow(scan, schema), known.unpersist
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             nothing = np.zeros(0, np.int64)
-            return count(nothing, nothing.astype(bool), nothing, nothing)
+            return count(nothing, nothing.astype(bool), nothing, *(nothing for _ in names))
         k = right.column("k").to_numpy()
-        kinds, of = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
-        kinds[k], of[k] = right.column("t").to_numpy(), right.column("c").fill_null(-1).to_numpy()
+        kinds, of = np.empty(len(k), np.int64), [np.empty(len(k), np.int64) for _ in names]
+        kinds[k] = right.column("t").to_numpy()
+        for c, name in zip(of, names, strict=True):
+            c[k] = right.column(name).fill_null(-1).to_numpy()
         return told(left, kinds, of)
 
     inside = texts.select(F.col("share").alias("part"), F.posexplode("types").alias("k", "t"))
-    met = inside.join(classes, "t", "left").select("part", "k", "t", "c")
-    return texts.drop("types").groupBy("share").cogroup(met.groupBy("part")).applyInArrow(one, schema)
+    met = inside.join(classes, "t", "left").select("part", "k", "t", *names)
+    return texts.drop("types").groupBy("share").cogroup(met.groupBy("part")).applyInArrow(one, schema), lambda: None
 
 
 _COUNTED = pa.schema([("t", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())])
@@ -220,9 +224,10 @@ def _head_pairs(texts: DataFrame, heads: DataFrame, many: int) -> np.ndarray:
         return pa.Table.from_batches([batch_of(_COUNTED, some // many, some % many, n[some])])
 
     out = np.zeros((many, many))
-    counted = _scanned(texts, heads, many, "t long, slot int, n long", count)
+    counted, done = _scanned(texts, heads, many, "t long, slot int, n long", count)
     for a, b, n in counted.groupBy("t", "slot").agg(F.sum("n")).collect():  # the square of HEAD
         out[a, b] = n
+    done()
     return out
 
 
@@ -241,44 +246,68 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("types", pa.binary()), ("cells", p
 _PACKED_SQL = "bucket int, types binary, cells binary, n binary"
 
 
-def _contexts(texts: DataFrame, classes: DataFrame, many: int, buckets: int) -> DataFrame:
-    """What is counted around every type, stored, with a row for each bucket of types: how often
-    each class follows a type (slots from 0) and stands before it (from CLASSES), other than by
-    its own next to it (slot _OWN). Buckets below 0 hold parts of the counts of class bigrams;
-    there, row CLASSES counts the classes that texts start with.
+#: Cells of a share that are counted at a time, so that memory doesn't grow with its types.
+_CELLS = 4_000_000
+
 
-    Shares give packed counts to the buckets, and these are added up as they
-    stream by, so that a task holds the table of one bucket and never its group.
+def _counted(kinds: np.ndarray, buckets: int, width: int, seen: Callable[[np.ndarray], tuple]) -> list[tuple]:
+    """A share's rows, one a bucket: its types, and the cells of them that ``seen`` counts, a block of cells at a time.
+
+    ``seen`` gets the place of every number in the order of buckets and gives (place, slot, sign) of what is counted.
     """
+    dealt = (kinds & (buckets - 1)).astype(np.int64)
+    order = np.argsort(dealt, kind="stable")
+    place = np.empty(len(kinds), np.int64)
+    place[order] = np.arange(len(kinds))
+    at, slot, sign = seen(place)
+    block = max(1, _CELLS // width)
+    cells, values = [], []
+    for a in range(0, len(kinds), block):
+        z = min(a + block, len(kinds))
+        here = (at >= a) & (at < z) if z - a < len(kinds) else slice(None)
+        index, weight = (at[here] - a) * width + slot[here], None if sign is None else sign[here]
+        if len(index):
+            n = np.bincount(index, weight, (z - a) * width)
+            some = np.flatnonzero(n)
+            cells.append(some + a * width)
+            values.append(n[some].astype(np.int64))
+    if not cells:
+        return []
+    some, n = np.concatenate(cells), np.concatenate(values)
+    edges = np.searchsorted(dealt[order], np.arange(buckets + 1))
+    cuts, rows = np.searchsorted(some, edges * width), []
+    for k in np.flatnonzero(np.diff(cuts)):
+        here, mine = some[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]]
+        used, of = np.unique(here // width, return_inverse=True)
+        rows.append((k, kinds[order[used]].tobytes(), _packed(of * width + here % width), _packed(mine, "<i8")))
+    return rows
+
+
+def _bigrams(seq: np.ndarray, start: np.ndarray, c: np.ndarray) -> list[tuple]:
+    """A share's part of the counts of class bigrams, under a bucket below 0."""
+    if not len(seq):
+        return []
+    known = np.where(start, CLASSES, np.append(-1, c[:-1]))
+    seen = (known >= 0) & (c >= 0)
+    pairs = np.bincount(known[seen] * CLASSES + c[seen], minlength=(CLASSES + 1) * CLASSES)
+    return [(-1 - int(seq.sum() % PARTS), b"", _packed(np.flatnonzero(pairs)), _packed(pairs[pairs > 0], "<i8"))]
+
+
+def _rows_of(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([batch_of(_PACKED, *(zip(*rows, strict=True) if rows else ([],) * 4))])
+
+
+def _added(counted: DataFrame) -> DataFrame:
+    """Packed counts added up, a row for each bucket; stored. They are added up as they
+    stream by, so that a task holds the table of one bucket and never its group."""
     width = _OWN + 1
 
-    def count(seq, start, kinds, of) -> pa.Table:
-        dealt = (kinds & (buckets - 1)).astype(np.int64)
-        order = np.argsort(dealt, kind="stable")
-        place = np.empty(len(kinds), np.int64)
-        place[order] = np.arange(len(kinds))
-        c, p = of[seq], place[seq]
-        a, b, linked = p[:-1], p[1:], ~start[1:]
-        own, after, before = linked & (a == b), linked & (a != b) & (c[1:] >= 0), linked & (a != b) & (c[:-1] >= 0)
-        n = np.bincount(np.concatenate((a[after] * width + c[1:][after], b[before] * width + CLASSES + c[:-1][before], a[own] * width + _OWN)), minlength=len(kinds) * width)
-        some, edges = np.flatnonzero(n), np.searchsorted(dealt[order], np.arange(buckets + 1))
-        cuts, rows = np.searchsorted(some, edges * width), []
-        for k in np.flatnonzero(np.diff(edges)):
-            here = some[cuts[k] : cuts[k + 1]]
-            rows.append((k, kinds[order[edges[k] : edges[k + 1]]].tobytes(), _packed(here - edges[k] * width), _packed(n[here])))
-        known = np.where(start, CLASSES, np.append(-1, c[:-1]))
-        seen = (known >= 0) & (c >= 0)
-        pairs = np.bincount(known[seen] * CLASSES + c[seen], minlength=(CLASSES + 1) * CLASSES)
-        if len(seq):
-            rows.append((-1 - int(seq.sum() % PARTS), b"", _packed(np.flatnonzero(pairs)), _packed(pairs[pairs > 0])))
-        return pa.Table.from_batches([batch_of(_PACKED, *(zip(*rows, strict=True) if rows else ([],) * 4))])
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, types, cells, used = None, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        bucket, types, cells = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def row() -> pa.RecordBatch:
             some = np.flatnonzero(cells)
-            return batch_of(_PACKED, [bucket], [types.tobytes()], [some.astype("<i8").tobytes()], [cells[some].astype("<i8").tobytes()])
+            return batch_of(_PACKED, [bucket], [types.tobytes()], [_packed(some)], [_packed(cells[some], "<i8")])
 
         for batch in batches:
             for b, t, at, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -286,7 +315,7 @@ def _contexts(texts: DataFrame, classes: DataFrame, many: int, buckets: int) ->
                     if bucket is not None:
                         yield row()
                     bucket, types, cells = b, np.zeros(0, np.int64), np.zeros((CLASSES + 1) * CLASSES if b < 0 else 0, np.int64)
-                at, n, mine = _unpacked(at), _unpacked(n), np.frombuffer(t, np.int64)
+                at, n, mine = _unpacked(at), _unpacked(n, "<i8"), np.frombuffer(t, np.int64)
                 if b >= 0:
                     new = np.setdiff1d(mine, types)
                     if len(new):  # the table grows to the bucket's types
@@ -299,8 +328,63 @@ def _contexts(texts: DataFrame, classes: DataFrame, many: int, buckets: int) ->
         if bucket is not None:
             yield row()
 
-    counted = _scanned(texts, classes, many, _PACKED_SQL, count)
-    out = stored(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, _PACKED_SQL))
+    return stored(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, _PACKED_SQL))
+
+
+def _contexts(texts: DataFrame, classes: DataFrame, many: int, buckets: int) -> DataFrame:
+    """What is counted around every type, stored, with a row for each bucket of types: how often
+    each class follows a type (slots from 0) and stands before it (from CLASSES), other than by
+    its own next to it (slot _OWN). Buckets below 0 hold parts of the counts of class bigrams;
+    there, row CLASSES counts the classes that texts start with.
+    """
+    width = _OWN + 1
+
+    def count(seq, start, kinds, of) -> pa.Table:
+        c = of[seq]
+
+        def seen(place: np.ndarray) -> tuple:
+            p = place[seq]
+            a, b, linked = p[:-1], p[1:], ~start[1:]
+            own, after, before = linked & (a == b), linked & (a != b) & (c[1:] >= 0), linked & (a != b) & (c[:-1] >= 0)
+            return np.concatenate((a[after], b[before], a[own])), np.concatenate((c[1:][after], CLASSES + c[:-1][before], np.full(int(own.sum()), _OWN))), None
+
+        return _rows_of(_counted(kinds, buckets, width, seen) + _bigrams(seq, start, c))
+
+    counted, done = _scanned(texts, classes, many, _PACKED_SQL, count)
+    out = _added(counted)
+    done()
+    release(texts.sparkSession)
+    return out
+
+
+def _moved_contexts(texts: DataFrame, counts: DataFrame, tried: DataFrame, many: int, buckets: int) -> DataFrame:
+    """``counts`` after types have moved from class ``was`` to ``c`` (t, c, was): the same as ``_contexts`` of the new classes.
+
+    Shares send only what differs: for a type beside one that has moved, one less by its old class and one
+    more by its new one. The later the round, the fewer move, and the less is sent.
+    """
+    width = _OWN + 1
+
+    def count(seq, start, kinds, now, was) -> pa.Table:
+        moved = now != was
+
+        def seen(place: np.ndarray) -> tuple:
+            p, other = place[seq], moved[seq]
+            linked = ~start[1:] & (p[:-1] != p[1:])
+            after, before = np.flatnonzero(linked & other[1:]), np.flatnonzero(linked & other[:-1])
+            new, old = now[seq], was[seq]
+            at = np.concatenate((p[after], p[after], p[before + 1], p[before + 1]))
+            slot = np.concatenate((new[after + 1], old[after + 1], CLASSES + new[before], CLASSES + old[before]))
+            sign = np.ones(len(at), np.float64)
+            sign[len(after) : 2 * len(after)] = -1
+            sign[2 * len(after) + len(before) :] = -1
+            return at, slot, sign
+
+        return _rows_of((_counted(kinds, buckets, width, seen) if moved.any() else []) + _bigrams(seq, start, now[seq]))
+
+    changes, done = _scanned(texts, tried.select("t", "c", "was"), many, _PACKED_SQL, count)
+    out = _added(counts.where("bucket >= 0").unionByName(changes))
+    done()
     release(texts.sparkSession)
     return out
 
@@ -378,7 +462,7 @@ def _class_table(counts: DataFrame) -> np.ndarray:
     """Counts of class bigrams among the types that have a class; last row: at the start."""
     out = np.zeros((CLASSES + 1) * CLASSES)
     for cells, n in counts.where("bucket < 0").select("cells", "n").collect():  # PARTS squares of the classes
-        out[np.frombuffer(cells, "<i8")] += np.frombuffer(n, "<i8")
+        out[_unpacked(bytes(cells))] += _unpacked(bytes(n), "<i8")
     return out.reshape(CLASSES + 1, CLASSES)
 
 
@@ -394,7 +478,7 @@ def _proposed(counts: DataFrame, homes: DataFrame, table: np.ndarray, buckets: i
         if left.num_rows and len(t):
             types = np.frombuffer(left.column("types")[0].as_py(), np.int64)
             full = np.zeros(len(types) * (_OWN + 1))
-            full[np.frombuffer(left.column("cells")[0].as_py(), "<i8")] = np.frombuffer(left.column("n")[0].as_py(), "<i8")
+            full[_unpacked(left.column("cells")[0].as_py())] = _unpacked(left.column("n")[0].as_py(), "<i8")
             at = np.minimum(np.searchsorted(types, t), len(types) - 1)
             cells = full.reshape(-1, _OWN + 1)[at] * (types[at] == t)[:, None]
         self_ = cells[:, _OWN]
@@ -413,10 +497,11 @@ def cluster(texts: DataFrame, types: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(t, c) of all types (t, n), and the counts of class bigrams; ``texts`` are sequences.
 
     The commonest HEAD types are clustered on the driver, the others join the class that
-    suits them best among these. Then rounds move a part of all types, each to
+    suits them best among these. Then rounds move half of all types, each to
     the class that is best while the others stay. A round that lowers the likelihood is
-    undone and the next moves a part a quarter as large; it ends when a round gains
-    less than LEAST_GAIN a token, which it must, as the likelihood is bounded.
+    undone and the next moves a part a quarter as large; one that raises it doubles the part again. It ends when rounds
+    that make up QUIET half-rounds have gained less than LEAST_GAIN a token for each of these, which
+    they must, as the likelihood is bounded.
     """
     spark = texts.sparkSession
     heads = [r[0] for r in types.orderBy(F.desc("n"), "t").limit(HEAD).collect()]
@@ -432,12 +517,12 @@ def cluster(texts: DataFrame, types: DataFrame) -> tuple[DataFrame, np.ndarray]:
     forget(around)
     counts = _contexts(texts, classes, count, buckets)
     pairs = _class_table(counts)
-    value, part, nth, all_tokens = _likelihood(pairs[:-1]), 2, 0, max(1.0, pairs.sum())
+    value, part, nth, quiet, all_tokens = _likelihood(pairs[:-1]), 2, 0, 0, max(1.0, pairs.sum())
     while True:
         moves = _proposed(counts, classes, pairs[:-1], buckets)
         turn = (F.pmod(F.xxhash64("t", F.lit(nth)), F.lit(part)) == 0) & (F.col("gain") > 1e-6)
-        tried = stored(moves.select("t", F.when(turn, F.col("best")).otherwise(F.col("home")).alias("c")))
-        counts_tried = _contexts(texts, tried, count, buckets)
+        tried = stored(moves.select("t", F.when(turn, F.col("best")).otherwise(F.col("home")).alias("c"), F.col("home").alias("was")))
+        counts_tried = _moved_contexts(texts, counts, tried, count, buckets)
         pairs_tried = _class_table(counts_tried)
         gained, nth = _likelihood(pairs_tried[:-1]) - value, nth + 1
         if gained > 0:
@@ -445,12 +530,11 @@ def cluster(texts: DataFrame, types: DataFrame) -> tuple[DataFrame, np.ndarray]:
             classes, counts, pairs, value = tried, counts_tried, pairs_tried, value + gained
         else:
             forget(tried, counts_tried)
-            if part < 32:
-                part *= 4
-                continue
-        if gained < LEAST_GAIN * all_tokens:
+        quiet = quiet + 2 / part if gained < LEAST_GAIN * all_tokens * 2 / part else 0
+        part = max(2, part // 2) if gained > 0 else min(32, part * 4)
+        if quiet >= QUIET:
             forget(counts)
-            return classes, pairs
+            return classes.select("t", "c"), pairs
 
 
 @dataclass(frozen=True)

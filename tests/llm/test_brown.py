@@ -125,7 +125,7 @@ def test_a_share_that_is_full_is_followed_by_another(spark, docs, monkeypatch):
 
 def unpacked(row):
     """(type, slot, n) of a bucket's row; parts of the class bigrams have no types."""
-    types, cells, n = (np.frombuffer(row[k], np.int64).tolist() for k in ("types", "cells", "n"))
+    types, cells, n = np.frombuffer(row.types, np.int64).tolist(), brown._unpacked(bytes(row.cells)).tolist(), brown._unpacked(bytes(row.n), "<i8").tolist()
     width = brown._OWN + 1
     return [(types[at // width], at % width, k) if types else (row.bucket, at, k) for at, k in zip(cells, n, strict=True)]
 
@@ -159,6 +159,43 @@ def test_contexts_are_what_stands_around_each_type(spark, docs, monkeypatch):
     assert table.sum() > 100 and {(int(a), int(b)): table[a, b] for a, b in zip(*table.nonzero(), strict=True)} == {k: n for k, n in pairs.items() if None not in k}
 
 
+def _texts(spark, docs, monkeypatch, tokens=100):
+    monkeypatch.setattr(brown, "SHARE_TOKENS", tokens)
+    shares, vocabularies = brown.encoded(docs)
+    words = vocabularies.groupBy("word").agg({"n": "sum"}).toDF("word", "c")
+    placed = brown.stored(vocabularies.join(words, "word").select("share", "k", "c", brown._type(words["word"], words["c"]).alias("t")))
+    return brown.sequences(shares, placed)
+
+
+def test_changes_make_the_contexts_of_the_new_classes(spark, docs, monkeypatch):
+    """Counts after moves, from what differs, are those of counting anew; also when cells are counted in blocks."""
+    texts = _texts(spark, docs, monkeypatch)
+    classes = texts.selectExpr("explode(types) as t").distinct().selectExpr("t", "cast(pmod(t, 5) as int) as c")
+    before = brown._contexts(texts, classes, 10, 32)
+    read = lambda counts: sorted(x for r in counts.collect() for x in unpacked(r) if x[0] >= 0 or r.bucket >= 0)
+    for part in ("pmod(t, 7) = 0", "true", "false"):
+        tried = classes.selectExpr("t", f"if({part}, cast(pmod(c + 1, 5) as int), c) as c", "c as was")
+        for cells in (1_000, 4_000_000):
+            monkeypatch.setattr(brown, "_CELLS", cells)
+            got, want = brown._moved_contexts(texts, before, tried, 10, 32), brown._contexts(texts, tried.select("t", "c"), 10, 32)
+            assert read(got) == read(want) and (brown._class_table(got) == brown._class_table(want)).all()
+
+
+def test_clustering_ends_where_no_half_round_helps(spark, docs, monkeypatch):
+    """From where it ends, moving half of the types once more gains less than LEAST_GAIN a token."""
+    texts = _texts(spark, docs, monkeypatch, 10**6)
+    types = brown.stored(texts.selectExpr("explode(types) as t").groupBy("t").agg({"t": "count"}).toDF("t", "n"))
+    monkeypatch.setattr(brown, "HEAD", 40)
+    classes, pairs = brown.cluster(texts, types)
+    counts = brown._contexts(texts, classes, types.count(), 32)
+    assert (brown._class_table(counts) == pairs).all()
+    moves = {r.t: r for r in brown._proposed(counts, classes, pairs[:-1], 32).collect()}
+    for odd in (0, 1):
+        half = classes.sparkSession.createDataFrame([(t, r.best if r.gain > 1e-6 and t % 2 == odd else r.home) for t, r in moves.items()], "t long, c int")
+        again = brown._class_table(brown._contexts(texts, half, len(moves), 32))
+        assert brown._likelihood(again[:-1]) - brown._likelihood(pairs[:-1]) < 4 * brown.LEAST_GAIN * pairs.sum()
+
+
 def test_classes_meet_shares_by_a_join_as_by_arrays(spark, docs, monkeypatch):
     shares, vocabularies = brown.encoded(docs)
     words = vocabularies.groupBy("word").agg({"n": "sum"}).toDF("word", "c")
