@@ -164,3 +164,10 @@ def model_name(blob: Column, family: str = "gemini") -> Column:
     found = F.regexp_extract(blob, family + r"-[A-Za-z0-9.\-]*", 0)
     bare = F.regexp_replace(found, r"(-control)+$", "")
     return F.when(bare != "", bare)
+
+
+def rfc3339(text: Column) -> Column:
+    """The instant of an RFC 3339 text with any offset and any fraction of a second (kept to microseconds); null for any other."""
+    sound = text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")
+    short = F.regexp_replace(F.upper(text), r"(\.\d{6})\d+", "$1")
+    return F.when(sound, F.try_to_timestamp(short))

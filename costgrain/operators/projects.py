@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from costgrain.functions.identity import stable_id
 from costgrain.functions.text import ascii_lower
 
 # How sure each way of finding a project is.
@@ -98,6 +99,20 @@ def place_anomalies(anomalies: DataFrame, sessions: DataFrame) -> DataFrame:
     return anomalies.join(by_id, "told", "left").join(by_name, "told", "left").withColumn("session", F.coalesce("_a", "_b")).drop("_a", "_b")
 
 
+def record_anomalies(found: DataFrame, sessions: DataFrame, turns: DataFrame, recorded_at: str) -> DataFrame:
+    """Rows to append for anomalies (type, session, turn_id, details) as readers give them.
+
+    The session is found by its id or its provider's, the turn by its id; what isn't found is null. The id is made of
+    type, time and details, so that one recording makes one row of what is alike.
+    """
+    placed = place_anomalies(found.withColumnRenamed("session", "told"), sessions.select("session", "provider_session")).drop("told")
+    known = turns.select(F.col("turn_id").alias("_turn")).where("_turn is not null").distinct()
+    met = placed.join(known, F.col("turn_id") == F.col("_turn"), "left").withColumn("turn_id", F.col("_turn"))
+    name = stable_id("anom", F.concat_ws(":", "type", F.lit(recorded_at), F.coalesce("details", F.lit("{}"))))
+    rows = met.select(name.alias("id"), "session", "turn_id", "type", F.coalesce("details", F.lit("{}")).alias("details"), F.lit(recorded_at).alias("created_at"))
+    return rows.groupBy("id").agg(F.min_by(F.struct("session", "turn_id", "type", "details", "created_at"), F.struct(F.col("session").isNull(), "session", F.col("turn_id").isNull(), "turn_id")).alias("r")).select("id", "r.*")
+
+
 def reconcile(events: DataFrame, anomalies: DataFrame, capabilities: DataFrame) -> DataFrame:
     """One row: sessions, duplicate requests, duplicate lifecycle counters, open anomalies, and what is known of sub-agents."""
     from costgrain.operators.usage import duplicate_lifecycle, duplicate_requests

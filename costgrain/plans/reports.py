@@ -39,7 +39,7 @@ def csv_lines(nodes: DataFrame, project: dict[str, str]) -> DataFrame:
     q = lambda c: F.concat(F.lit('"'), csv_escape(F.coalesce(c, F.lit(""))), F.lit('"'))
     total = sum((F.col(t) for t in TOKENS), F.lit(0))
     whole = F.col("measured") + F.col("unavailable") + F.col("anomalous")
-    percent = F.when(whole > 0, F.format_string("%.1f", 100.0 * F.col("measured") / whole)).otherwise("unavailable")
+    percent = F.when(whole > 0, F.format_string("%.1f", F.bround(100.0 * F.col("measured") / whole, 1))).otherwise("unavailable")
     cost = F.when(priced(nodes), dollars(F.col("amount_micros"), 4)).otherwise("unavailable")
     strings = [q(F.lit(project[k])) for k in ("id", "key", "title")] + [q(F.col("id")), q(F.col("title")), q(F.col("parent_id"))]
     numbers = [F.col(c).cast("string") for c in TOKENS] + [total.cast("string")] + [F.col(c).cast("string") for c in ("requests", "measured", "unavailable")]

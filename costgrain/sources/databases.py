@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costgrain.functions.money import float_dollars_to_micros, thousandths
@@ -19,6 +19,20 @@ from costgrain.sources.files import binary_files
 from costgrain.sources.observation import count, first, observation
 
 
+# What the databases of each tool are called, and which others there are beside them.
+NAMED = {"opencode": ["opencode.db"], "copilot": ["session-store.db", "data.db"]}
+OTHERS = {"gemini": ["data.db", "session-store.db", "opencode.db", "ledger.db"]}
+NOT_IN_NAME = {"gemini": "summaries"}
+
+
+def wanted(tool: str, path: Column) -> Column:
+    """Is the file at ``path`` a database of the tool? By its name: one of its own, or any but those of others."""
+    name = F.substring_index(path, "/", -1)
+    if tool in NAMED:
+        return name.isin(NAMED[tool])
+    return name.endswith(".db") & ~name.isin(OTHERS.get(tool, [])) & ~(F.contains(name, F.lit(NOT_IN_NAME[tool])) if tool in NOT_IN_NAME else F.lit(False))
+
+
 def read_tables(spark: SparkSession, path: str, glob: str, tables: dict[str, str]) -> DataFrame:
     """(source_path, name, n, row) of queries on the databases below ``path``.
 

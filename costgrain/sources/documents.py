@@ -75,24 +75,31 @@ def is_free_model(model):
 
 _COSTS = "actual_cost_usd: string, estimated_cost_usd: string, cost_usd: string"
 _RUN_COUNTS = "input_tokens: bigint, output_tokens: bigint, cache_read_tokens: bigint, cache_write_tokens: bigint, reasoning_tokens: bigint"
-_RUN = f"struct<session_id: string, model: string, failed: boolean, api_calls: bigint, total_cost: string, {_COSTS}, {_RUN_COUNTS}, auxiliary: struct<by_task: map<string, struct<{_COSTS}, {_RUN_COUNTS}>>>>"
+_RUN = f"struct<version: bigint, schema_version: string, unsupported_version: boolean, session_id: string, model: string, failed: boolean, api_calls: bigint, total_cost: string, {_COSTS}, {_RUN_COUNTS}, auxiliary: struct<by_task: map<string, struct<{_COSTS}, {_RUN_COUNTS}>>>>"
+
+
+# Names of the files of one-shot runs.
+RUN_FILES = "{*usage.json,request_dump_*}"
 
 
 def read_runs(spark: SparkSession, path: str, adapter: str = "hermes", parser_version: str = "1") -> tuple[DataFrame, DataFrame]:
     """Observations and anomalies of the one-shot run reports below ``path``; files that are too large give an anomaly."""
-    out, odd = runs_of(whole_files(spark, path, "*usage.json"), adapter, parser_version)
-    return out, odd.unionByName(too_large(spark, path, "*usage.json"))
+    out, odd = runs_of(whole_files(spark, path, RUN_FILES), adapter, parser_version)
+    return out, odd.unionByName(too_large(spark, path, RUN_FILES))
 
 
 def runs_of(contents: DataFrame, adapter: str = "hermes", parser_version: str = "1") -> tuple[DataFrame, DataFrame]:
     """Observations and anomalies of one-shot run reports (source_path, content): the run and its side tasks.
 
     A failed run has no tokens. Of the costs that are told, the actual one
-    counts before an estimate; a free model without one costs nothing.
+    counts before an estimate; a free model without one costs nothing. A report of an
+    unsupported version gives an anomaly and nothing else.
     """
     files = _json(contents, _RUN)
     r = F.col("r")
-    good = files.where(r.isNotNull()).withColumn("_session", first(r["session_id"], stem(F.col("source_path"))))
+    schema = r["schema_version"]
+    strange = F.coalesce(r["version"] >= 99, F.lit(False)) | F.coalesce(schema.startswith("99") | (schema.startswith("9") & (F.octet_length(schema) > 2)), F.lit(False)) | F.coalesce(r["unsupported_version"], F.lit(False))
+    good = files.where(r.isNotNull() & ~strange).withColumn("_session", first(r["session_id"], stem(F.col("source_path"))))
     free = is_free_model(r["model"])
     session = F.col("_session")
     failed = F.coalesce(r["failed"], F.lit(False))
@@ -127,7 +134,7 @@ def runs_of(contents: DataFrame, adapter: str = "hermes", parser_version: str =
     none = F.lit(None)
     odd = anomaly(good.where(~measured), F.lit("missing_provider_measurements"), session, F.lit("turn_1"), F.to_json(F.struct(F.when(failed, "failed_request").otherwise("missing_measurements").alias("reason")))).unionByName(
         anomaly(files.where(r.isNull()), F.lit("malformed_json"), none, none, F.lit("{}"))
-    )
+    ).unionByName(anomaly(files.where(r.isNotNull() & strange), F.lit("unsupported_version"), none, none, F.to_json(F.struct(r["version"].alias("version"), schema.alias("schema_version"), r["unsupported_version"].alias("unsupported_version")))))
     return runs.unionByName(aux), odd
 
 

@@ -52,3 +52,22 @@ def test_scrubbing_counts_bytes(spark):
     cases = [("bad 日本 here", '{"p": "日本"}'), ("ab éé abcd (wort)", "éé ab abcd wort"), ("é" * 149 + " x" + "日" * 20, ""), ("x" * 299 + "é", None), ("x" * 300, "y"), ("", "word")]
     got = [r[0] for r in spark.createDataFrame(cases, "m string, raw string").select(text.scrub(F.col("m"), F.col("raw"))).collect()]
     assert got == [scrubbed(*c) for c in cases]
+
+
+def test_run_files_by_name_and_version(spark, tmp_path):
+    import json
+
+    from costgrain.sources import documents
+
+    for name, body in {"a.usage.json": {"session_id": "a", "input_tokens": 1}, "request_dump_7.json": {"session_id": "b", "input_tokens": 2}, "usage.txt": {"session_id": "c"}, "old-usage.json": {"version": 99, "input_tokens": 3}}.items():
+        (tmp_path / name).write_text(json.dumps(body))
+    out, odd = documents.read_runs(spark, str(tmp_path))
+    assert sorted(r.session for r in out.collect()) == ["a", "b"] and [r.type for r in odd.collect()] == ["unsupported_version"]
+
+
+def test_instants_of_mixed_forms(spark):
+    cases = ["2026-01-01T00:00:00Z", "2026-01-01t05:30:00.5+05:30", "2025-12-31 21:00:00.123456789-03:00", "2026-01-01T00:00:00", "2026-13-01T00:00:00Z", "", None]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, c string")
+    got = [r[0] for r in df.orderBy("k").select(F.unix_micros(text.rfc3339(F.col("c")))).collect()]
+    base = 1767225600 * 10**6
+    assert got == [base, base + 500_000, base + 123_456, None, None, None, None]
