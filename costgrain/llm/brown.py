@@ -39,11 +39,11 @@ CLASSES = 32
 #: The commonest types that are clustered first, on the driver.
 HEAD = 382
 #: Natural logarithm of the likelihood, for each token, below which a half-round is quiet; after so many quiet ones the exchange ends.
-LEAST_GAIN, QUIET = 5e-4, 3
+LEAST_GAIN, QUIET = 1e-3, 2
 #: Up to so many types meet their classes by a broadcast.
 FEW_TYPES = 500_000
 #: Tokens from which on a share is full.
-SHARE_TOKENS = 2_000_000
+SHARE_TOKENS = 1_000_000
 #: Class bigrams added to each row, for each class, in the proportion of the classes; and
 #: words that a class is held to have beyond those seen.
 TRANSITION, UNSEEN = 0.1, 1.0
@@ -519,9 +519,10 @@ def cluster(texts: DataFrame, types: DataFrame) -> tuple[DataFrame, np.ndarray]:
     pairs = _class_table(counts)
     value, part, nth, quiet, all_tokens = _likelihood(pairs[:-1]), 2, 0, 0, max(1.0, pairs.sum())
     while True:
-        moves = _proposed(counts, classes, pairs[:-1], buckets)
-        turn = (F.pmod(F.xxhash64("t", F.lit(nth)), F.lit(part)) == 0) & (F.col("gain") > 1e-6)
-        tried = stored(moves.select("t", F.when(turn, F.col("best")).otherwise(F.col("home")).alias("c"), F.col("home").alias("was")))
+        turn = F.pmod(F.xxhash64("t", F.lit(nth)), F.lit(part)) == 0
+        moves = _proposed(counts, classes.where(turn), pairs[:-1], buckets)
+        moved = moves.select("t", F.when(F.col("gain") > 1e-6, F.col("best")).otherwise(F.col("home")).alias("c"), F.col("home").alias("was"))
+        tried = stored(moved.unionByName(classes.where(~turn).select("t", "c", F.col("c").alias("was"))))
         counts_tried = _moved_contexts(texts, counts, tried, count, buckets)
         pairs_tried = _class_table(counts_tried)
         gained, nth = _likelihood(pairs_tried[:-1]) - value, nth + 1
