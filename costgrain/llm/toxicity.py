@@ -52,9 +52,16 @@ _DISGUISED = re.compile(
     r"|[^\W\d_](?:[.\-_*~][^\W\d_]){2}"  # gaps inside a word
 )
 _TRIPLE = re.compile(r"(.)\1\1")
+#: Signs that stand for letters at a word's beginning or end: what else stands there belongs to no word.
+_ENDS = re.compile(r"^(?:!(?=[^\W\d_]{2}))|(?<=[^\W\d_])[0-9@$€£]{1,3}$")
+#: A letter twice running; a gap inside a word; two or three letters that each stand alone.
+_TWICE = re.compile(r"([^\W\d_])\1")
+_ONE_GAP = re.compile(r"(?<![^\W\d_])([^\W\d_]+)[.\-_*~'’]([^\W\d_]+)(?![^\W\d_])")
+_FEW_APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[\s.\-_*~']+[^\W\d_](?![^\W_])){1,2}(?![\s.\-_*~']+[^\W\d_](?![^\W_]))")
 #: What may stand around a word and belongs to none; signs for letters only after it.
 _AROUND = ".,;:!?\"'()[]{}<>#%&*-_~`|/\\=+^…«»„“”’"
 _AFTER = _AROUND + "@$€£"
+_BEFORE = _AROUND.replace("!", "")
 #: Letters, or signs for letters, that each stand alone between gaps of any length: four and more.
 _UNIT = r"[^\W_@$€£]|[@$!|+€£]"
 _APART = re.compile(rf"(?<![^\W_])(?<![@$€£])(?:{_UNIT})(?:[\s.\-_*~']+(?:{_UNIT})(?![^\W_])(?![@$€£])){{3,}}")
@@ -158,10 +165,18 @@ class Decoder:
         return "".join(reversed(out))
 
     def token(self, shown: str) -> str:
-        """A token in lower case, decoded where it looks disguised."""
+        """A token in lower case, decoded where it looks disguised; signs at either end that may be letters are taken for such."""
+        wide = shown.lstrip(_BEFORE).rstrip(_AROUND)
+        if _ENDS.search(wide):
+            return self.decode(wide)
         core = shown.strip(_AROUND).rstrip(_AFTER)
         return self.decode(core) if _DISGUISED.search(core) else shown
 
+    def bare(self, shown: str) -> str:
+        """A token without the signs at its ends, decoded where that looks disguised."""
+        core = shown.strip(_AROUND).rstrip(_AFTER + "0123456789")
+        return self.decode(core) if _DISGUISED.search(core) else core
+
     def apart(self, low: str) -> list[str]:
         """Words that letters standing apart may mean: the whole span, its parts between
         wider gaps, what is left without a one-letter word at either end, and the
@@ -207,7 +222,9 @@ def finds(text: str, decoder: Decoder) -> set[str]:
         if (found := known.get(t)) is None:
             if len(known) > 50_000:
                 known.clear()
-            found = known[t] = tuple(_WORDS.findall(decoder.token(t)))
+            # What ends in signs may be a word with them for letters, or without them.
+            both = {*_WORDS.findall(decoder.token(t)), *(_WORDS.findall(decoder.bare(t)) if _ENDS.search(t.lstrip(_BEFORE).rstrip(_AROUND)) else ())}
+            found = known[t] = tuple(both)
         plain += found
     words.update(plain)
     words.update(filter(str.isalpha, decoder.apart(low)))
@@ -232,6 +249,7 @@ class Toxicity:
     def features(self, text: str) -> list[float]:
         """Finds of a document: the strongest two, numbers of strong and weak ones, share of words."""
         words, lexicon, heads, odds, strong = finds(text, self.decoder), self.lexicon, self.heads, [], 0
+        words |= {w for w in self.doubtful(text, words) if w in lexicon}
         for w in words:
             if w[:4] in heads:
                 found = [lexicon[p] for p in _parts(w) if p in lexicon]
@@ -242,6 +260,17 @@ class Toxicity:
         share = 100 * len(top) / max(1, len(words))
         return [1.0, top[0] if top else 0.0, top[1] if len(top) > 1 else 0.0, float(strong > 0), float(np.log1p(strong)), float(np.log1p(len(top) - strong)), float(np.log1p(share)) * (strong == 0)]
 
+    def doubtful(self, text: str, words: set[str]) -> set[str]:
+        """Words that may be meant by what mostly is no disguise: a letter doubled, one gap inside a word, two or three letters
+        apart. They count only if the lexicon has them whole, as a plain word or a full stop without a blank looks alike."""
+        out: set[str] = set()
+        for w in words:
+            if w not in self.lexicon and _TWICE.search(w) and (once := _TWICE.sub(r"\1", w))[:4] in self.heads:
+                out |= {once, self.decoder.decode(w)}
+        low = text.lower()
+        out |= {a + b for a, b in _ONE_GAP.findall(low)}
+        return out | {"".join(filter(str.isalpha, m[0])) for m in _FEW_APART.finditer(low)}
+
     def score(self, texts: list[str]) -> np.ndarray:
         return sigmoid(np.array([self.features(t) for t in texts], float).reshape(-1, WIDTH) @ self.weights)
 

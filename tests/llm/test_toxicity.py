@@ -22,6 +22,21 @@ def test_disguises_are_undone(decoder, shown, meant):
     assert meant in decoder.restore(f"you {shown} there")
 
 
+@pytest.mark.parametrize(("shown", "meant"), [("!diot", "idiot"), ("idio7", "idiot"), ("(mor0n)", "moron"), ("clow4", "clowa"), ("loser$", "losers"), ("stup1d!!", "stupid")])
+def test_signs_at_both_ends_are_letters(decoder, shown, meant):
+    """They are read both ways: as letters, and as signs that belong to no word."""
+    assert meant in decoder.restore(f"you {shown} there")
+    assert meant in toxicity.finds(f"you {shown} there", decoder)
+    assert "loser" in toxicity.finds("a loser$ b", decoder) and "idiot" in toxicity.finds("an idiot7", decoder)
+
+
+def test_what_mostly_is_no_disguise_counts_only_for_words_of_the_lexicon(decoder):
+    model = toxicity.Toxicity(decoder, {"idiot": (5.0, True), "stupid": (4.0, True), "bad": (3.0, False)}, np.zeros(toxicity.WIDTH))
+    top = lambda text: model.features(text)[1]
+    assert [top(f"you {x} there") for x in ("iddiot", "s.tupid", "b a d", "b-ad", "stuppid")] == [5.0, 4.0, 3.0, 3.0, 4.0]
+    assert top("a better letter. Next word, b e d, well-known o.k.") == 0.0
+
+
 def test_plain_text_stays(decoder):
     plain = "the year 2024 was, as they say, good: see §3 (page 12) — naïve"
     assert decoder.restore(plain) == plain
