@@ -9,32 +9,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costgrain.llm import mixing, packing, quality, simhash, toxicity
+from costgrain.llm import minhash, mixing, packing, quality, simhash, toxicity
 from costgrain.llm.common import cut, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that the quality ranking rejects go."""
+    """Operator 5: documents that the quality ranking rejects go. Null and empty texts are ranked like any other, repeated
+    rows alike; without labels of both kinds nothing is rejected; an empty table stays one."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents predicted toxic go."""
+    """Operator 7: documents predicted toxic go. Null texts count as empty; without labels of both kinds none is predicted
+    toxic; texts are scored whole, however long."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: one document of each group of near-duplicates stays."""
-    return simhash.keep_first(docs)
+    """Operator 9: one document of each group of near-duplicates stays, the one with the smallest doc_id: of texts whose fingerprints
+    are within four bits, then of those left whose shingles of five words are alike by 0.8 or more (fingerprints of operator
+    10). Blank texts are one group; of rows that repeat a doc_id one stays; rows without one all stay."""
+    return simhash.keep_first(docs, minhash.alike)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: the stretches of documents that the mix takes, repeats included."""
+    """Operator 4: the stretches of documents that the mix takes, repeats included. Texts without words take no part;
+    a null source is a source; reruns take the same."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: length bucket, batch and slot of every stretch."""
+    """Operator 1: length bucket, batch and slot of every stretch; ties go by the order of the row's columns."""
     return packing.pack(docs)
 
 

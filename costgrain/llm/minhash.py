@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from costgrain.llm.common import SPACE, table
+from costgrain.llm.common import SPACE, apart, cut, stored, table
 
 SHINGLE = 5
 BINS = 128
 BITS = 4
+#: Bands of bins by which alike sketches meet.
+BANDS = 16
 #: Tries of the densification before it goes over all filled bins by priority.
 TRIES = 8
 #: Documents a bucket of the ordered table holds, and how many buckets there are at most.
@@ -100,6 +102,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(estimate)
 
 
+def alike(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """(a, b) links of documents (doc_id, text) whose sketches are alike by ``at_least`` or more.
+
+    Sketches meet by ``BANDS`` bands of bins: of two texts that are alike by 0.8, 0.97 of all pairs share a band. In each
+    band all go to one of them, another one in every band, so that a group of any size makes as many links as it has
+    documents, and every link is then held against both sketches. Documents without an id or without words have none.
+    """
+    width = BINS // BANDS
+    sketched = stored(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), sketch(F.col("text").cast("string")).alias("s")).where("s is not null"))
+    keys = F.array(*(F.xxhash64(F.lit(k), F.slice("s", k * width + 1, width)) for k in range(BANDS)))
+    filed = sketched.select("doc_id", F.explode(keys).alias("key"))
+    centre = filed.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("b"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "b")
+    edges = cut(filed.join(apart(centre, "key"), "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
+    own = sketched.groupBy("doc_id").agg(F.min("s").alias("s"))
+    met = edges.join(apart(own, "doc_id").toDF("a", "s"), "a").join(apart(own, "doc_id").toDF("b", "t"), "b")
+    return met.where(likeness(F.col("s"), F.col("t")) >= at_least).select("a", "b")
+
+
 def _tree(value: Column, leaves: list[tuple[int, Column]]) -> Column:
     """The leaf with the greatest bound that is not above ``value``."""
     if len(leaves) == 1:

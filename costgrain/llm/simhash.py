@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +170,8 @@ def _of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, large = [], None  # rows of the run that is going on; the key of one that is passed on
     for b in batches:
+        if not b.num_rows:
+            continue
         new = [c.to_numpy() for c in b.columns]
         if large is not None:
             n = int(np.searchsorted(new[0], large, side="right"))
@@ -178,8 +180,8 @@ def _of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n == len(new[0]):
                 continue
             new, large = [c[n:] for c in new], None
-        last = int(np.searchsorted(new[0], new[0][-1])) if len(new[0]) else 0
-        if held and len(new[0]) and new[0][0] != held[0][0][0]:
+        last = int(np.searchsorted(new[0], new[0][-1]))
+        if held and new[0][0] != held[0][0][0]:
             yield linked(*map(np.concatenate, zip(*held, strict=True)))
             held = []
         if last:  # the run that was held ends in this batch
@@ -239,10 +241,17 @@ def op9(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest
-    doc_id. Of rows that repeat a doc_id one stays; rows without one all stay."""
+    doc_id. Of rows that repeat a doc_id one stays; rows without one all stay. ``more`` may tell further
+    links (a, b) among the documents that have stayed; of what they connect the smallest stays too.
+    Null and blank texts are one group; an empty table gives an empty one; all columns are kept.
+    """
     first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    if more is not None:
+        first = cut(first)
+        left = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(first, "doc_id", "left_semi")
+        first = first.join(components(more(left)).select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
     same = W.partitionBy("doc_id").orderBy("text")
     plain = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kept = plain.join(first, "doc_id", "left_semi").withColumn("nth", F.row_number().over(same)).where("nth = 1")

@@ -135,3 +135,43 @@ def test_runs_over_several_batches():
         found = [r for b in simhash._of_runs(batch(rows[k : k + size]) for k in range(0, len(rows), size)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         seen.add(tuple(roots(len(fps), found)))
     assert len(seen) == 1
+
+
+def test_runs_come_in_batches_without_rows(spark):
+    import pyarrow as pa
+
+    schema = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("fp", pa.int64()), ("node", pa.int64())])
+    batch = lambda *rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+    rows = [(1, 0, 1 << k, 10 + k) for k in range(62)] + [(2, 0, 9, 99)]
+    want = [r for b in simhash._of_runs(iter([batch(*rows)])) for r in b.to_pylist()]
+    got = [r for b in simhash._of_runs(iter([batch(), batch(*rows[:30]), batch(), batch(*rows[30:]), batch()])) for r in b.to_pylist()]
+    assert got == want and len(want) > 0
+    assert list(simhash._of_runs(iter([batch()]))) == []
+
+
+def test_texts_alike_in_their_shingles_are_near_duplicates_too(spark):
+    """Near copies with a few words changed: nine of ten go by sketches, and nothing else does."""
+    import random
+
+    from costgrain.llm import minhash
+
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    rows, k = [], 0
+    for _ in range(60):
+        text = [word() for _ in range(200)]
+        rows.append((k, " ".join(text)))
+        for _ in range(3):
+            copy = list(text)
+            for at in draw.sample(range(200), 2):
+                copy[at] = word()
+            k += 1
+            rows.append((k, " ".join(copy)))
+        k += 1
+    passage = " ".join(word() for _ in range(60))
+    rows += [(1000 + n, passage + " " + " ".join(word() for _ in range(140))) for n in range(20)]  # a passage that many share
+    rows += [(2000, None), (2001, " "), (None, "x y"), (2002, "short text"), (2003, "short text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_first(docs, minhash.alike).collect()}
+    assert set(range(0, 240, 4)) <= kept and {1000 + n for n in range(20)} <= kept and {2000, 2002, None} <= kept
+    assert sum(n is not None and n < 240 and n % 4 > 0 for n in kept) <= 18 and 2001 not in kept and 2003 not in kept
