@@ -1,14 +1,16 @@
 """Operator 2: exact top-k inner products by dual-tree search over cover trees.
 
-Queries are dealt into groups and data into stripes by a hash of the id, so that
-no cell is larger than another however vectors crowd, and a cell of the search
-holds one group and one stripe. In a cell both sides are indexed as cover trees:
-every node has a centre, a radius that covers its vectors, and children whose
-centres are far from each other. Pairs of nodes are visited from the likeliest
-down. The inner product of any query within rq of q
-and vector within rp of p is at most q.p + rq |p| + rp |q| + rq rp; where that is
-below the worst kth score of the query node, the pair is pruned. The cells'
-results for a query are merged by rank.
+The top level of the trees spans all vectors: a net of centres, each far from the
+others, with the ball of the vectors that are nearest to it; every ball has the radius that covers it. A ball's
+rows are dealt by hash to cells of a size, so that a crowded ball is many tasks' work. In a cell both
+sides are indexed further as cover trees: every node has a centre, a covering radius, and children whose
+centres are far from each other, and pairs of nodes are visited from the likeliest down. The inner product of
+any query within rq of q and vector within rp of p is at most q.p + rq |p| + rp |q| + rq rp; where that is
+below the worst kth score of the query node, the pair is pruned.
+
+The search goes over the balls twice: first each ball of queries meets the balls of data
+that promise most, and so every query gets a kth score. Then only pairs of balls whose bound reaches the worst
+of these are searched, with the kth scores that are known. The results for a query are merged by rank.
 
 A vector that many rows share can give a query its k smallest ids at most, so
 each keeps k + 1 rows (one may be the query itself); nothing else is left out.
@@ -31,8 +33,10 @@ SCALE = 64
 EVERY = 20
 #: Children of a node and vectors of a leaf, at most.
 FANOUT, LEAF = 16, 256
-#: Queries and vectors of a cell, about, and how many cells there are at least.
-CELL_QUERIES, CELL_VECTORS, LEAST_CELLS = 2_048, 8_192, 48
+#: Queries and vectors of a cell, about.
+CELL_QUERIES, CELL_VECTORS = 2_048, 8_192
+#: Balls of the top level, at most and at least; rows that make one more; rows that the net is chosen from; balls that are searched first.
+BALLS, LEAST_BALLS, ROWS_A_BALL, NET, FIRST = 64, 8, 2_048, 4_096, 2
 #: Parts over which the rows of one vector are dealt before the first K + 1 are chosen.
 SALTS = 12
 
@@ -82,8 +86,10 @@ class CoverTree:
         return node
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the k best of ``data`` for each query; ties to smaller ids, own id left out."""
+def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int = K, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of the k best of ``data`` for each query; ties to smaller ids, own id left out.
+
+    ``known`` gives each query a score that k others are known to reach: what is below is left out."""
     q, d = CoverTree(queries), CoverTree(data)
     q_ids, d_ids = query_ids[q.order], data_ids[d.order]
     q_raw, d_raw = queries[q.order].astype(np.int64), data[d.order].astype(np.int64)
@@ -91,7 +97,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
     kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
     q_num, d_num = q_raw.astype(kind), d_raw.astype(kind)
     least = np.iinfo(np.int64).min
-    worst = np.full(len(q_ids), least)
+    worst = np.full(len(q_ids), least) if known is None else known[q.order].astype(np.int64)
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(q_ids)
 
     def bound(a: int, b: int) -> float:
@@ -113,7 +119,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
             top = np.lexsort((n, -s))[:k]
             best[at] = s[top], n[top]
             if len(top) == k:
-                worst[at] = s[top[-1]]
+                worst[at] = max(worst[at], s[top[-1]])
 
     heap = [(-bound(0, 0), 0, 0)] if len(q_ids) and len(d_ids) else []
     while heap:
@@ -150,33 +156,130 @@ def _first_of_each(vectors: DataFrame, k: int) -> DataFrame:
     return some.withColumn("_n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= k + 1).drop("_n")
 
 
-def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best vectors for each row that ``is_query`` marks.
+def net(points: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` of the points, each the farthest from those before; fewer where these are all there are."""
+    chosen = points[:1]
+    near = np.linalg.norm(points - points[0], axis=1) if len(points) else np.zeros(0)
+    while len(chosen) < min(most, len(points)) and near.max() > 0:
+        new = points[int(near.argmax())]
+        chosen = np.concatenate((chosen, new[None]))
+        near = np.minimum(near, np.linalg.norm(points - new, axis=1))
+    return chosen
 
-    ``vectors`` has vec_id and v (integers); vectors of different length do not
-    meet. Each row is a query or candidate on its own, equal vectors too; a query
-    is no candidate of itself, and ids should be unique (rows that repeat an id
-    count once). An empty table gives an empty one.
+
+def _in_balls(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Rows with the number of the nearest centre and how far it is; -1 for vectors of another length."""
+    size = centres.shape[1] if len(centres) else -1
+
+    @F.pandas_udf("ball int, far double")
+    def nearest(v: pd.Series) -> pd.DataFrame:
+        ball, far = np.full(len(v), -1), np.zeros(len(v))
+        fit = np.flatnonzero(v.map(len).to_numpy() == size)
+        for at in (fit[k : k + 2_048] for k in range(0, len(fit), 2_048)):
+            d = np.linalg.norm(np.stack(v.iloc[at].to_numpy()).astype(np.float64)[:, None] - centres[None], axis=2)
+            ball[at], far[at] = d.argmin(1), d.min(1)
+        return pd.DataFrame({"ball": ball, "far": far})
+
+    return rows.withColumn("_b", nearest("v")).select("*", "_b.ball", "_b.far").drop("_b")
+
+
+class Plan:
+    """Balls of queries and data with their radii and sizes, and what a pair of balls can reach."""
+
+    def __init__(self, centres: np.ndarray, queries: dict[int, tuple[int, float]], data: dict[int, tuple[int, float]]):
+        self.centres, self.queries, self.data = centres, queries, data
+        self.norm = np.linalg.norm(centres, axis=1)
+
+    def bound(self, a: int, b: int) -> float:
+        """No inner product of a query of ball a and a vector of ball b is greater."""
+        if a < 0 or b < 0:
+            return np.inf if a == b else -np.inf  # vectors of other lengths: cells part these
+        rq, rp = self.queries[a][1], self.data[b][1]
+        value = float(self.centres[a] @ self.centres[b]) + rq * self.norm[b] + rp * self.norm[a] + rq * rp
+        return value + 1e-9 * abs(value) + 1e-6
+
+    def first(self, k: int) -> list[tuple[int, int]]:
+        """For each ball of queries the balls of data that promise most, and more while they hold k + 1 rows or fewer."""
+        out = []
+        for a in self.queries:
+            ranked, held = sorted(self.data, key=lambda b: (-self.bound(a, b) if a < 0 or b < 0 else -float(self.centres[a] @ self.centres[b]), b)), 0
+            for n, b in enumerate(ranked):
+                if n >= FIRST and held > k:
+                    break
+                out.append((a, b))
+                held += self.data[b][0]
+        return out
+
+    def then(self, done: list[tuple[int, int]], worst: dict[int, float]) -> list[tuple[int, int]]:
+        """The other pairs that can still reach the worst kth score of the ball's queries."""
+        seen = set(done)
+        return [(a, b) for a in self.queries for b in self.data if (a, b) not in seen and self.bound(a, b) >= worst.get(a, -np.inf) and self.bound(a, b) > -np.inf]
+
+
+def plan_of(rows: DataFrame) -> tuple[DataFrame, Plan]:
+    """Rows (vec_id, v, _query) in balls, and the plan: one row a ball reaches the driver, and NET rows that the centres are chosen from."""
+    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    n = most[0]["count"] if most else 0
+    some = rows.where(F.size("v") == (most[0]["d"] if most else 0)).orderBy(F.xxhash64("vec_id", "v")).limit(NET).select("v").collect()
+    centres = net(np.array([r.v for r in some], np.float64), min(BALLS, max(LEAST_BALLS, n // ROWS_A_BALL))) if n else np.zeros((0, 0))
+    dealt = cut(_in_balls(rows, centres))
+    sides = {True: {}, False: {}}
+    for is_query, ball, count, far in dealt.groupBy("_query", "ball").agg(F.count("*"), F.max("far")).collect():
+        for side in (True, False) if is_query else (False,):
+            old = sides[side].get(ball, (0, 0.0))
+            sides[side][ball] = (old[0] + count, max(old[1], far))
+    return dealt, Plan(centres, sides[True], sides[False])
+
+
+def _searched(queries: DataFrame, data: DataFrame, plan: Plan, pairs: list[tuple[int, int]], k: int) -> DataFrame:
+    """(query_id, ball, vec_id, score, times) of the k best in each cell of the given pairs of balls.
+
+    A ball is cut into groups of queries and stripes of data by hash; the pairs with these are at most BALLS squared
+    times cells of a ball, and go to the tasks.
     """
-    vectors = cut(vectors.distinct())
-    row = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    groups = max(1, -(-row[1] // CELL_QUERIES))
-    stripes = max(-(-LEAST_CELLS // groups), -(-row[0] // CELL_VECTORS))
-    data = _first_of_each(vectors, k).withColumn("_stripe", F.pmod(F.xxhash64("vec_id"), F.lit(stripes)).cast("int"))
-    queries = vectors.where(is_query).withColumn("_group", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(groups)).cast("int"))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("_group", each(stripes).alias("_stripe"), F.size("v").alias("_d"), "vec_id", "v")
-    right = data.select(each(groups).alias("_group"), "_stripe", F.size("v").alias("_d"), "vec_id", "v")
+    groups = {a: max(1, -(-n // CELL_QUERIES)) for a, (n, _) in plan.queries.items()}
+    stripes = {b: max(1, -(-n // CELL_VECTORS)) for b, (n, _) in plan.data.items()}
+    spark = queries.sparkSession
+    meets = lambda: F.broadcast(spark.createDataFrame([(a, b, groups[a], stripes[b]) for a, b in pairs], "qball int, dball int, groups int, stripes int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col(n)).cast("int")
+    new = lambda *names: [F.col(n).alias(n) for n in names]  # noqa: E731  # both sides come from one table
+    left = queries.join(meets(), F.col("ball") == F.col("qball")).withColumn("_group", own("groups")).select(*new("qball", "dball", "_group"), each("stripes").alias("_stripe"), F.size("v").alias("_d"), *new("vec_id", "v", "times", "worst"))
+    right = data.join(meets(), F.col("ball") == F.col("dball")).withColumn("_stripe", own("stripes")).select(*new("qball", "dball"), each("groups").alias("_group"), *new("_stripe"), F.size("v").alias("_d"), *new("vec_id", "v", "times"))
 
     def cell(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        a, b, s = search(np.stack(q["v"].to_numpy()), q["vec_id"].to_numpy(), np.stack(d["v"].to_numpy()), d["vec_id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
+            return pd.DataFrame({c: [] for c in ("query_id", "ball", "vec_id", "score", "times")}, dtype="int64")
+        a, b, s = search(np.stack(q["v"].to_numpy()), q["vec_id"].to_numpy(), np.stack(d["v"].to_numpy()), d["vec_id"].to_numpy(), k, q["worst"].to_numpy(np.int64))
+        often = q.groupby("vec_id")["times"].max().reindex(a).to_numpy() * d.groupby("vec_id")["times"].max().reindex(b).to_numpy()
+        return pd.DataFrame({"query_id": a, "ball": np.full(len(a), q["qball"].iloc[0]), "vec_id": b, "score": s, "times": often})
+
+    keys = ["qball", "dball", "_group", "_stripe", "_d"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, ball int, vec_id long, score long, times long")
+
 
-    keys = ["_group", "_stripe", "_d"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best vectors for each row that ``is_query`` marks.
+
+    ``vectors`` has vec_id and v (integers); vectors of different length do not
+    meet. Each row is a query or candidate on its own, equal vectors too; a query
+    is no candidate of itself or of a row with its id; a row that is repeated is a candidate as often, and
+    as a query asks as often. Ties go to the smaller id. An empty table gives an empty one.
+    """
+    rows = vectors.groupBy("vec_id", "v").agg(F.count("*").alias("times")).withColumn("_query", F.coalesce(is_query, F.lit(False)))
+    dealt, plan = plan_of(cut(rows))
+    data = _first_of_each(dealt.select("vec_id", "v", "times", "ball"), k)
+    queries = dealt.where("_query").select("vec_id", "v", "times", "ball")
+    least = np.iinfo(np.int64).min
+    begun = plan.first(k)
+    found = cut(_searched(queries.withColumn("worst", F.lit(int(least))), data, plan, begun, k))
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    kth = found.withColumn("_n", nth).where(F.col("_n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("worst"))
+    scored = cut(queries.join(kth, "vec_id", "left").withColumn("worst", F.coalesce("worst", F.lit(int(least)))))
+    worst = dict(map(tuple, scored.groupBy("ball").agg(F.min("worst")).collect()))  # a row a ball
+    rest = _searched(scored, data, plan, plan.then(begun, worst), k)
+    both = found.unionByName(rest).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))))
+    ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
