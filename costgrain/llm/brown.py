@@ -43,7 +43,7 @@ LEAST_GAIN, QUIET = 1e-3, 2
 #: Up to so many types meet their classes by a broadcast.
 FEW_TYPES = 500_000
 #: Tokens from which on a share is full.
-SHARE_TOKENS = 1_000_000
+SHARE_TOKENS = 2_000_000
 #: Class bigrams added to each row, for each class, in the proportion of the classes; and
 #: words that a class is held to have beyond those seen.
 TRANSITION, UNSEEN = 0.1, 1.0
@@ -189,7 +189,7 @@ def _scanned(texts: DataFrame, classes: DataFrame, many: int, schema: str, count
                     one = pa.Table.from_batches([batch.slice(k, 1)])
                     kinds = _flat(one.column("types"))
                     at = np.minimum(np.searchsorted(t, kinds), max(0, len(t) - 1))
-                    of = [np.where(t[at] == kinds, c[at], -1).astype(np.int64) if len(t) else np.full(len(kinds), -1) for c in given]
+                    of = [np.where(t[at] == kinds, c[at], -1).astype(np.int32) if len(t) else np.full(len(kinds), -1, np.int32) for c in given]
                     yield from told(one, kinds, of).to_batches(max_chunksize=100_000)
 
         return texts.select("types", "seq", "starts").mapInArrow(scan, schema), known.unpersist
@@ -250,27 +250,28 @@ _PACKED_SQL = "bucket int, types binary, cells binary, n binary"
 _CELLS = 4_000_000
 
 
-def _counted(kinds: np.ndarray, buckets: int, width: int, seen: Callable[[np.ndarray], tuple]) -> list[tuple]:
+def _counted(kinds: np.ndarray, buckets: int, width: int, seen: Callable[[np.ndarray], list[tuple]]) -> list[tuple]:
     """A share's rows, one a bucket: its types, and the cells of them that ``seen`` counts, a block of cells at a time.
 
-    ``seen`` gets the place of every number in the order of buckets and gives (place, slot, sign) of what is counted.
+    ``seen`` gets the place of every number in the order of buckets and gives parts (places, slots, sign) of what is counted.
     """
     dealt = (kinds & (buckets - 1)).astype(np.int64)
     order = np.argsort(dealt, kind="stable")
-    place = np.empty(len(kinds), np.int64)
-    place[order] = np.arange(len(kinds))
-    at, slot, sign = seen(place)
+    place = np.empty(len(kinds), np.int32)
+    place[order] = np.arange(len(kinds), dtype=np.int32)
+    parts = seen(place)
     block = max(1, _CELLS // width)
     cells, values = [], []
     for a in range(0, len(kinds), block):
         z = min(a + block, len(kinds))
-        here = (at >= a) & (at < z) if z - a < len(kinds) else slice(None)
-        index, weight = (at[here] - a) * width + slot[here], None if sign is None else sign[here]
-        if len(index):
-            n = np.bincount(index, weight, (z - a) * width)
-            some = np.flatnonzero(n)
-            cells.append(some + a * width)
-            values.append(n[some].astype(np.int64))
+        n = np.zeros((z - a) * width, np.int64)
+        for at, slot, sign in parts:
+            here = (at >= a) & (at < z) if z - a < len(kinds) else slice(None)
+            found = np.bincount((at[here] - a) * np.int32(width) + (slot if isinstance(slot, int) else slot[here]), minlength=len(n))
+            n = n + found if sign > 0 else n - found
+        some = np.flatnonzero(n)
+        cells.append(some + a * width)
+        values.append(n[some])
     if not cells:
         return []
     some, n = np.concatenate(cells), np.concatenate(values)
@@ -342,11 +343,11 @@ def _contexts(texts: DataFrame, classes: DataFrame, many: int, buckets: int) ->
     def count(seq, start, kinds, of) -> pa.Table:
         c = of[seq]
 
-        def seen(place: np.ndarray) -> tuple:
+        def seen(place: np.ndarray) -> list[tuple]:
             p = place[seq]
             a, b, linked = p[:-1], p[1:], ~start[1:]
             own, after, before = linked & (a == b), linked & (a != b) & (c[1:] >= 0), linked & (a != b) & (c[:-1] >= 0)
-            return np.concatenate((a[after], b[before], a[own])), np.concatenate((c[1:][after], CLASSES + c[:-1][before], np.full(int(own.sum()), _OWN))), None
+            return [(a[after], c[1:][after], 1), (b[before], CLASSES + c[:-1][before], 1), (a[own], _OWN, 1)]
 
         return _rows_of(_counted(kinds, buckets, width, seen) + _bigrams(seq, start, c))
 
@@ -368,17 +369,13 @@ def _moved_contexts(texts: DataFrame, counts: DataFrame, tried: DataFrame, many:
     def count(seq, start, kinds, now, was) -> pa.Table:
         moved = now != was
 
-        def seen(place: np.ndarray) -> tuple:
+        def seen(place: np.ndarray) -> list[tuple]:
             p, other = place[seq], moved[seq]
             linked = ~start[1:] & (p[:-1] != p[1:])
-            after, before = np.flatnonzero(linked & other[1:]), np.flatnonzero(linked & other[:-1])
-            new, old = now[seq], was[seq]
-            at = np.concatenate((p[after], p[after], p[before + 1], p[before + 1]))
-            slot = np.concatenate((new[after + 1], old[after + 1], CLASSES + new[before], CLASSES + old[before]))
-            sign = np.ones(len(at), np.float64)
-            sign[len(after) : 2 * len(after)] = -1
-            sign[2 * len(after) + len(before) :] = -1
-            return at, slot, sign
+            after, before = linked & other[1:], linked & other[:-1]
+            follows, leads = p[:-1][after], p[1:][before]
+            then, last = seq[1:][after], seq[:-1][before]
+            return [(follows, now[then], 1), (follows, was[then], -1), (leads, CLASSES + now[last], 1), (leads, CLASSES + was[last], -1)]
 
         return _rows_of((_counted(kinds, buckets, width, seen) if moved.any() else []) + _bigrams(seq, start, now[seq]))
 
