@@ -27,24 +27,49 @@ RARE = 2
 # Phrases whose every place counts, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Further templates: whole run, the key phrases that have to stand in it, label.
+# Further templates, as licences and their notices have them: a run of words, the key phrases that have to stand
+# in it at their places, the label. A licence has several runs, each of which tells it apart.
 TEMPLATES = [
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["permission is hereby granted free of charge", "obtaining a copy of this software"], "mit"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included", "copies or substantial portions of the software"], "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted free of charge"], "mit"),
+    ("mit license", ["mit license"], "mit"),
     ("released under the terms of the mit license", ["the mit license"], "mit"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license version 2 0", "you may not use this file except in compliance"], "apache-2"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", ["unless required by applicable law or agreed to in writing", "distributed on an as is basis"], "apache-2"),
     ("licensed under the apache license version 2 0", ["apache license version 2 0"], "apache-2"),
+    ("gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license as published by", "either version 3 of the license"], "gpl-3"),
+    ("gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license as published by", "either version 2 of the license"], "gpl-2"),
+    ("gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license", "published by the free software foundation"], "lgpl"),
+    ("gnu affero general public license as published by the free software foundation", ["gnu affero general public license", "published by the free software foundation"], "agpl"),
     ("this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"], "gpl-3"),
     ("licensed under the gnu general public license version 2", ["gnu general public license version 2"], "gpl-2"),
     ("licensed under the gnu lesser general public license", ["gnu lesser general public license"], "lgpl"),
     ("licensed under the gnu affero general public license", ["gnu affero general public license"], "agpl"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", ["source code form is subject to the terms", "mozilla public license v 2 0"], "mpl"),
     ("licensed under the mozilla public license version 2", ["mozilla public license"], "mpl"),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "provided that the following conditions are met"], "bsd"),
+    ("nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["nor the names of its contributors", "endorse or promote products derived from"], "bsd-3"),
     ("licensed under the bsd 3 clause license", ["bsd 3 clause"], "bsd-3"),
     ("licensed under the bsd 2 clause license", ["bsd 2 clause"], "bsd-2"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify", "with or without fee is hereby granted"], "isc"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable", ["without any express or implied warranty", "in no event will the authors be held liable"], "zlib"),
+    ("boost software license version 1 0", ["boost software license", "version 1 0"], "bsl-1"),
+    ("this is free and unencumbered software released into the public domain", ["free and unencumbered software", "released into the public domain"], "unlicense"),
     ("this work is licensed under cc by sa 4 0", ["cc by sa"], "cc-by-sa"),
     ("this work is licensed under cc by 4 0", ["cc by 4 0"], "cc-by"),
+    ("creative commons attribution sharealike 4 0 international", ["commons attribution sharealike", "4 0 international"], "cc-by-sa"),
+    ("creative commons attribution 4 0 international", ["commons attribution 4 0", "international"], "cc-by"),
     ("creative commons attribution noncommercial", ["commons attribution noncommercial"], "cc-by-nc"),
     ("released into the public domain", ["the public domain"], "public-domain"),
     ("all rights reserved", ["all rights reserved"], "all-rights-reserved"),
-]
+]
+# Licence identifiers as files declare them, and their labels.
+IDENTIFIERS = {
+    "MIT": "mit", "Apache-2.0": "apache-2", "BSD-2-Clause": "bsd-2", "BSD-3-Clause": "bsd-3", "GPL-2.0": "gpl-2", "GPL-3.0": "gpl-3", "LGPL-2.1": "lgpl", "LGPL-3.0": "lgpl", "AGPL-3.0": "agpl", "MPL-2.0": "mpl", "ISC": "isc",
+    "Zlib": "zlib", "BSL-1.0": "bsl-1", "Unlicense": "unlicense", "CC0-1.0": "public-domain", "CC-BY-4.0": "cc-by", "CC-BY-SA-4.0": "cc-by-sa", "CC-BY-NC-4.0": "cc-by-nc",
+}
+DECLARED = "spdx license identifier"
 
 #: a-z for A-Z, and a blank for what is no digit, letter or byte of a wide character.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -68,7 +93,8 @@ def templates() -> list[Template]:
         return next(k for k in range(len(run)) if run[k : k + len(key)] == key)
 
     out = [Template(p.encode().split(), [(0, p.encode().split())], label, True) for p, label in BASE.items()]
-    for run, keys, label in TEMPLATES:
+    declared = [(f"{DECLARED} {w}", [DECLARED, w], label) for name, label in IDENTIFIERS.items() for w in [b" ".join(words_of(name.encode())).decode()]]
+    for run, keys, label in [*TEMPLATES, *declared]:
         words = run.encode().split()
         out.append(Template(words, [(place(words, k.encode().split()), k.encode().split()) for k in keys], label, False))
     return out
@@ -132,7 +158,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     least and greatest start, else null), base_labels, labels (with those of the
     other templates) and score: the largest share of a verified template's words
     that stands in the text, 0 for none. Null texts are empty. Repeated rows and
-    null ids are kept; other columns are ignored; an empty table gives none.
+    null ids are kept; other columns are ignored; an empty table gives none. Texts are scanned whole, one at a time;
+    words that are equally rare go in the order of their bytes.
     """
     index = Index(document_frequencies(docs))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])

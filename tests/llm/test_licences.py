@@ -47,3 +47,42 @@ def test_any_index_finds_all_base_places(docs, rows):
 
 def test_no_documents(empty):
     assert licences.scan_licences(empty).count() == 0
+
+
+def plain_scan(text):
+    """Labels and score by trying every template at every word."""
+    words, found = licences.words_of((text or "").encode()), []
+    for t in licences.templates():
+        for start in range(-max((at for at, _ in t.keys), default=0), len(words)):
+            if all(start + at >= 0 and words[start + at : start + at + len(key)] == key for at, key in t.keys):
+                same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words))
+                found.append((t.label, t.base, start, same / len(t.words)))
+    base = [f for f in found if f[1]]
+    starts = [f[2] for f in base]
+    return len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({f[0] for f in base})), ",".join(sorted({f[0] for f in found})), max((f[3] for f in found), default=0.0)
+
+
+REAL = [
+    "MIT License\n\nCopyright (c) 2020 Jo Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "# SPDX-License-Identifier: GPL-3.0-or-later", "// SPDX-License-Identifier: (MIT OR Apache-2.0)", "SPDX-License-Identifier: Apache-2.0",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Neither the name of Acme Inc. nor the names of its contributors may be used to endorse or promote products derived from this software",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "nothing of the kind, by any license of mine",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance", "under the MIT license and CC BY-NC, under the mit license", "", None,
+]
+
+
+def test_licence_texts_and_identifiers_are_labelled(spark):
+    docs = spark.createDataFrame(list(enumerate(REAL)), "doc_id long, text string")
+    labels = {r.doc_id: r.labels for r in licences.scan_licences(docs).collect()}
+    assert [labels[k] for k in (0, 1, 3, 4, 5, 6, 7, 8)] == ["mit", "gpl-3", "apache-2", "bsd,bsd-3", "gpl-3", "mpl", "isc", ""]
+
+
+def test_all_columns_are_those_of_a_plain_scan(spark):
+    prose = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()][:300]
+    texts = REAL + prose + [f"{a} x {b}" for a in REAL[:6] for b in REAL[5:11]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, licences.scan_licences(docs).collect()))
+    for k, row in enumerate(got):
+        want = plain_scan(texts[k])
+        assert row[1:7] == want[:6] and abs(row[7] - want[6]) < 1e-9, (k, row, want)
