@@ -54,10 +54,9 @@ _DISGUISED = re.compile(
 _TRIPLE = re.compile(r"(.)\1\1")
 #: Signs that stand for letters at a word's beginning or end: what else stands there belongs to no word.
 _ENDS = re.compile(r"^(?:!(?=[^\W\d_]{2}))|(?<=[^\W\d_])[0-9@$€£]{1,3}$")
-#: A letter twice running; a gap inside a word; two or three letters that each stand alone.
+#: A letter twice running; one gap inside a word.
 _TWICE = re.compile(r"([^\W\d_])\1")
 _ONE_GAP = re.compile(r"(?<![^\W\d_])([^\W\d_]+)[.\-_*~'’]([^\W\d_]+)(?![^\W\d_])")
-_FEW_APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[\s.\-_*~']+[^\W\d_](?![^\W_])){1,2}(?![\s.\-_*~']+[^\W\d_](?![^\W_]))")
 #: What may stand around a word and belongs to none; signs for letters only after it.
 _AROUND = ".,;:!?\"'()[]{}<>#%&*-_~`|/\\=+^…«»„“”’"
 _AFTER = _AROUND + "@$€£"
@@ -207,6 +206,12 @@ class Decoder:
 def finds(text: str, decoder: Decoder) -> set[str]:
     """The different words of the restored text; a document's score rests on which
     words it has, so each different token is decoded once."""
+    return read_words(text, decoder)[0]
+
+
+def read_words(text: str, decoder: Decoder) -> tuple[set[str], set[str]]:
+    """The different words of the restored text, and words that may be meant where there is one gap in a token, or where two
+    or three letters stand apart."""
     low = text.lower()
     tokens = low.split()
     different = set(tokens)
@@ -217,18 +222,24 @@ def finds(text: str, decoder: Decoder) -> set[str]:
         long = set(filter(_TRIPLE.search, words))
         words -= long
         other |= long
-    plain, known = [], decoder.tokens
+    plain, maybe, known = [], set(), decoder.tokens
     for t in other:
-        if (found := known.get(t)) is None:
+        if (told := known.get(t)) is None:
             if len(known) > 50_000:
                 known.clear()
             # What ends in signs may be a word with them for letters, or without them.
             both = {*_WORDS.findall(decoder.token(t)), *(_WORDS.findall(decoder.bare(t)) if _ENDS.search(t.lstrip(_BEFORE).rstrip(_AROUND)) else ())}
-            found = known[t] = tuple(both)
-        plain += found
+            told = known[t] = tuple(both), tuple(a + b for a, b in _ONE_GAP.findall(t))
+        plain += told[0]
+        maybe.update(told[1])
+    lone = [k for k, t in enumerate(tokens) if len(t) == 1 and t in words]
+    for _, run in groupby(enumerate(lone), lambda x: x[1] - x[0]):
+        places = [k for _, k in run]
+        if len(places) in (2, 3):
+            maybe.add("".join(tokens[k] for k in places))
     words.update(plain)
     words.update(filter(str.isalpha, decoder.apart(low)))
-    return words
+    return words, maybe
 
 
 def _parts(word: str) -> set[str]:
@@ -245,11 +256,12 @@ class Toxicity:
 
     def __post_init__(self):
         object.__setattr__(self, "heads", {w[:4] for w in self.lexicon})
+        object.__setattr__(self, "begins", {w[:2] for w in self.lexicon})
 
     def features(self, text: str) -> list[float]:
         """Finds of a document: the strongest two, numbers of strong and weak ones, share of words."""
-        words, lexicon, heads, odds, strong = finds(text, self.decoder), self.lexicon, self.heads, [], 0
-        words |= {w for w in self.doubtful(text, words) if w in lexicon}
+        (words, maybe), lexicon, heads, odds, strong = read_words(text, self.decoder), self.lexicon, self.heads, [], 0
+        words |= {w for w in maybe | self.undoubled(words) if w in lexicon}
         for w in words:
             if w[:4] in heads:
                 found = [lexicon[p] for p in _parts(w) if p in lexicon]
@@ -260,16 +272,14 @@ class Toxicity:
         share = 100 * len(top) / max(1, len(words))
         return [1.0, top[0] if top else 0.0, top[1] if len(top) > 1 else 0.0, float(strong > 0), float(np.log1p(strong)), float(np.log1p(len(top) - strong)), float(np.log1p(share)) * (strong == 0)]
 
-    def doubtful(self, text: str, words: set[str]) -> set[str]:
-        """Words that may be meant by what mostly is no disguise: a letter doubled, one gap inside a word, two or three letters
-        apart. They count only if the lexicon has them whole, as a plain word or a full stop without a blank looks alike."""
+    def undoubled(self, words: set[str]) -> set[str]:
+        """Words that may be meant by a doubled letter. Like what has one gap, they count only if the lexicon has them
+        whole, as many a plain word looks alike."""
         out: set[str] = set()
         for w in words:
-            if w not in self.lexicon and _TWICE.search(w) and (once := _TWICE.sub(r"\1", w))[:4] in self.heads:
+            if (w[:2] in self.begins or w[:1] == w[1:2]) and _TWICE.search(w) and w not in self.lexicon and (once := _TWICE.sub(r"\1", w))[:4] in self.heads:
                 out |= {once, self.decoder.decode(w)}
-        low = text.lower()
-        out |= {a + b for a, b in _ONE_GAP.findall(low)}
-        return out | {"".join(filter(str.isalpha, m[0])) for m in _FEW_APART.finditer(low)}
+        return out
 
     def score(self, texts: list[str]) -> np.ndarray:
         return sigmoid(np.array([self.features(t) for t in texts], float).reshape(-1, WIDTH) @ self.weights)
