@@ -47,3 +47,37 @@ def test_odd_rows(spark, docs, rows, empty):
 def test_features_of_any_text(text):
     f = quality.features(text)
     assert len(f) == len(quality.features(b"a b")) and np.isfinite(f).all()
+
+
+def test_the_fit_is_near_that_of_all_pairs():
+    """Plain gradient descent over every pair of a good and a bad document gives nearly the same ranking and loss."""
+    rng = np.random.default_rng(9)
+    y = (rng.random(160) < 0.7).astype(int)
+    x = rng.normal(size=(160, 4)) * np.array([1, 2, 0.5, 3]) + y[:, None] * np.array([1.0, -1.0, 0.2, 0])
+    model = quality.rank(x, y)
+    z = np.clip((x - model.centre) / model.scale, -8, 8)
+    gaps = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 4)
+    loss = lambda w: np.logaddexp(0, -gaps @ w).mean() + 0.5e-3 * (w @ w)
+    w = np.zeros(4)
+    for _ in range(3_000):
+        w -= 0.5 * (-(gaps * (1 / (1 + np.exp(gaps @ w)))[:, None]).mean(0) + 1e-3 * w)
+    assert loss(model.weights) < loss(w) * 1.03
+    assert model.weights @ w / np.linalg.norm(model.weights) / np.linalg.norm(w) > 0.98
+    wins = lambda v: (gaps @ v > 0).mean()
+    assert abs(wins(model.weights) - wins(w)) < 0.02
+
+
+def test_the_weights_minimise_the_loss_of_the_drawn_pairs(monkeypatch):
+    rng = np.random.default_rng(10)
+    y = (rng.random(200) < 0.8).astype(int)
+    x = rng.normal(size=(200, 3)) + y[:, None]
+    seen = []
+    fit = quality.logistic
+    monkeypatch.setattr(quality, "logistic", lambda a, b, ridge: seen.append((a, b, ridge)) or fit(a, b, ridge=ridge))
+    w = quality.rank(x, y).weights
+    a, b, ridge = seen[0]
+    bad, good = (y == 0).sum(), (y == 1).sum()
+    assert len(a) == bad * quality.PARTNERS + good
+    loss = lambda v: np.mean(np.logaddexp(0, np.where(b == 1, -1, 1) * (a @ v))) + ridge / 2 * v @ v
+    for step in np.concatenate((np.eye(3), -np.eye(3))) * 1e-2:
+        assert loss(w) <= loss(w + step)
