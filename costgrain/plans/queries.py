@@ -544,14 +544,14 @@ _PHRASE_SQL = "CASE (conv_id + turn) % 8 " + " ".join(f"WHEN {k} THEN '{p} '" fo
 
 
 @query(
-    f"""SELECT conv_id, turn, CASE WHEN turn % 6 = 5 OR (NOT ns AND (contains(x, 'switch to') OR contains(x, 'unrelated'))) THEN 'SWITCH' WHEN turn % 2 = 0 AND (contains(x, 'benchmark') OR contains(x, 'extract')) THEN 'CHILD' WHEN contains(x, 'that') OR regexp_matches(x, '(^|[^a-z0-9])it($|[^a-z0-9])') OR ns THEN 'CONTINUE' ELSE 'UNCERTAIN' END AS outcome
-FROM (SELECT conv_id, turn, lower({_PHRASE_SQL}) AS x, contains(lower({_PHRASE_SQL}), 'switch case') AS ns FROM conversations)"""
+    f"""SELECT conv_id, turn, outcome, CAST(CASE outcome WHEN 'SWITCH' THEN 0.92 WHEN 'CHILD' THEN 0.90 WHEN 'CONTINUE' THEN 0.82 ELSE 0.45 END AS DOUBLE) AS score FROM (SELECT conv_id, turn, CASE WHEN turn % 6 = 5 OR (NOT ns AND (contains(x, 'switch to') OR contains(x, 'unrelated'))) THEN 'SWITCH' WHEN turn % 2 = 0 AND (contains(x, 'benchmark') OR contains(x, 'extract')) THEN 'CHILD' WHEN contains(x, 'that') OR regexp_matches(x, '(^|[^a-z0-9])it($|[^a-z0-9])') OR ns THEN 'CONTINUE' ELSE 'UNCERTAIN' END AS outcome
+FROM (SELECT conv_id, turn, lower({_PHRASE_SQL}) AS x, contains(lower({_PHRASE_SQL}), 'switch case') AS ns FROM conversations))"""
 )
 def classify_boundary(spark, sf_dir):
     c = t.read(spark, sf_dir, "conversations")
     phrase = F.get(F.array(*(F.lit(p + " ") for p in _PHRASES)), ((F.col("conv_id") + F.col("turn")) % 8).cast("int"))
     found = text.boundary(F.concat(phrase, "role"), F.col("turn") % 2 == 0, F.col("turn") % 6 == 5, F.lit(False))
-    return c.select("conv_id", "turn", found["outcome"].alias("outcome"))
+    return c.select("conv_id", "turn", found["outcome"].alias("outcome"), found["score"].cast("double").alias("score"))
 
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -628,13 +628,13 @@ def project_resolution(spark, sf_dir):
     return resolve(sessions, own.unionByName(nations)).select("session", "project_id", "method")
 
 
-@query("SELECT user_id AS project_id, event_type AS path, arg_max(event_id % 3 > 0, event_id) AS active, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events GROUP BY ALL")
+@query("SELECT user_id AS project_id, event_type AS path, arg_max(event_id % 3 > 0, event_id) AS active, arg_max(CASE WHEN event_id % 2 = 0 THEN 'git' ELSE 'cwd' END, event_id) AS root_type, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events GROUP BY ALL")
 def project_roots(spark, sf_dir):
     from costgrain.operators.projects import current_roots
 
     n = F.col("event_id")
-    changes = t.read(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), F.col("event_type").alias("path"), n.alias("at"), n.alias("n"), (n % 3 > 0).alias("active"), F.lit("cwd").alias("root_type"))
-    return current_roots(changes).drop("root_type")
+    changes = t.read(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), F.col("event_type").alias("path"), n.alias("at"), n.alias("n"), (n % 3 > 0).alias("active"), F.when(n % 2 == 0, "git").otherwise("cwd").alias("root_type"))
+    return current_roots(changes)
 
 
 @query(

@@ -111,6 +111,13 @@ def event_streams(spark, sf_dir):
     return rows.select("source_offset", "session", "request_id", "turn_id", "agent_id", "source", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens")
 
 
+@query("SELECT event_id AS source_offset, 'unsupported_version' AS type, CAST(NULL AS VARCHAR) AS session, 'f' || CAST(user_id AS VARCHAR) AS source_path, '{\"unsupported_version\":\"v77\"}' AS details FROM events WHERE event_type = 'error'")
+def event_stream_anomalies(spark, sf_dir):
+    """What a stream's reader tells of records it can't take: here those of an unknown version."""
+    _, odd = transcripts.streams_of(_stream_lines(spark, sf_dir))
+    return odd.select("source_offset", "type", "session", "source_path", "details")
+
+
 def _turn_contents(spark, sf_dir):
     turn = F.struct(F.col("n").alias("turnNumber"), F.when(F.col("n") % 4 > 0, F.col("cents")).alias("inputTokens"), F.when(F.col("n") % 4 > 0, F.col("k")).alias("outputTokens"), (F.col("n") % 5).alias("modelCalls"), (F.col("cents") * 1000 + F.col("n") % 1000).alias("costUsdTicks"), (F.col("cents") + F.col("k") + F.when(F.col("n") % 3 == 0, 1).otherwise(0)).alias("totalTokens"))
     by_user = _events(spark, sf_dir).groupBy("u").agg(F.collect_list(F.when(F.col("event_type") == "click", turn)).alias("turns"), F.sum("cents").alias("c"))
