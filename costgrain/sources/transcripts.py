@@ -120,16 +120,9 @@ def read_streams(spark: SparkSession, path: str, adapter: str = "codex", parser_
     return out, odd.unionByName(too_large(spark, path, "*.jsonl"))
 
 
-def streams_of(raw: DataFrame, adapter: str = "codex", parser_version: str = "1") -> tuple[DataFrame, DataFrame]:
-    """Observations and anomalies of lines (source_path, source_offset, line, oversize) of event streams.
-
-    Session, turn and agent carry over from earlier lines: a turn's end clears
-    the turn, a session's end all. Cumulative readings count what they exceed
-    earlier ones of their stream (session, turn, model, agent) by. A turn with
-    detailed records does not count its counters; where the first of these
-    differs from the sum of the details, an anomaly says so. Of several records
-    of one request the one of highest authority stays.
-    """
+def stream_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of event streams with what each tells of its session, turn and agents and whether it ends them, and the
+    anomalies of lines that are none or of an unknown version. Lines may be a stream."""
     parsed = _parsed(raw, "string")
     r = F.col("r")
     version = first(r["version"], r["protocol_version"], r["schema_version"])
@@ -148,34 +141,63 @@ def streams_of(raw: DataFrame, adapter: str = "codex", parser_version: str = "1"
             "_close": kind == "session/completed",
         }
     )
-    order = ["source_offset"]
-    chunk = (F.col("source_offset") / CHUNK_BYTES).cast("long")  # a file is carried over in pieces
-    carried = deltas.sticky(good, ["source_path"], order, ["_turn"], F.col("_end"), own=True, chunk=chunk)
-    carried = deltas.sticky(carried, ["source_path"], order, ["_session", "_agent", "_parent"], F.col("_close"), own=True, chunk=chunk)
-    used = carried.withColumn("u", first(r["token_usage"], r["usage"], r["cumulative_token_usage"], p["tokenUsage"], p["usage"], r["message"]["usage"])).where("u is not null")
+    none = F.lit(None)
+    bad = anomaly(parsed.where(r.isNull()), F.lit("malformed_line"), none, none, F.lit("{}")).unionByName(
+        anomaly(parsed.where(r.isNotNull() & ~known), F.lit("unsupported_version"), none, none, F.to_json(F.struct(version.alias("unsupported_version"))))
+    )
+    return good, bad
+
+
+#: What a record tells of the context that is carried on.
+CONTEXT = ["_session", "_turn", "_agent", "_parent", "_end", "_close"]
+
+
+def stream_readings(carried: DataFrame, adapter: str, own: bool = False) -> DataFrame:
+    """Observations of the records that hold counts, with the context that was carried to them; ``parser_version`` tells
+    cumulative readings from plain ones. With ``own`` all records, each with its own context (CONTEXT) beside it."""
+    r, p = F.col("r"), F.col("r.params")
+    used = carried.withColumn("u", first(r["token_usage"], r["usage"], r["cumulative_token_usage"], p["tokenUsage"], p["usage"], r["message"]["usage"]))
+    used = used if own else used.where("u is not null")
     counter = (F.col("kind").isin("turn_counter", "turn_summary")) | F.get_json_object("line", "$.turn_counter").isNotNull()
     live = F.col("kind").isin("thread/tokenUsage/updated", "turn/tokenUsage/updated", "token_usage")
     named = first(r["source_kind"], F.when(counter, "codex_turn_counter").when(live, "codex_app_server").otherwise("codex_rollout"))
     source = F.when(named == "codex_turn_counter", "snapshot_delta").when(named == "codex_app_server", "official_telemetry").otherwise("transcript_request")
     cumulative = F.coalesce(r["is_cumulative"], F.lit(False)) | r["cumulative_token_usage"].isNotNull() | (F.col("kind") == "cumulative_usage")
     marked = used.withColumn("_cumulative", cumulative)
-    rows = observation(
-        marked, adapter=F.lit(adapter), source=source, source_subtype=named, source_event_id=first(r["event_id"], r["uuid"]), session=first(r["session_id"], r["sessionId"], r["thread_id"], r["threadId"], p["threadId"], F.col("_session"), stem(F.col("source_path"))),
+    out = observation(
+        marked, {c: F.col(c) for c in CONTEXT} if own else None, adapter=F.lit(adapter), source=source, source_subtype=named, source_event_id=first(r["event_id"], r["uuid"]), session=first(r["session_id"], r["sessionId"], r["thread_id"], r["threadId"], p["threadId"], F.col("_session"), stem(F.col("source_path"))),
         request_id=first(r["request_id"], r["requestId"], r["id"], p["requestId"]), turn_id=first(r["turn_id"], r["turnId"], p["turnId"], F.col("_turn")), agent_id=first(r["agent_id"], r["agentId"], p["agentId"], F.col("_agent")),
         parent_agent_id=first(r["parent_agent_id"], r["parentAgentId"], p["parentAgentId"], F.col("_parent")), source_timestamp=first(r["timestamp"], r["created_at"]), observed_at=first(r["timestamp"], r["created_at"]), model=first(r["model"], p["model"]),
         service_tier=r["service_tier"], region=r["region"], cost_micros=count(r["cost_micros"]), source_path=F.col("source_path"), source_offset=F.col("source_offset"), parser_version=F.when(F.col("_cumulative"), "cumulative").otherwise("plain"), **_tokens(_Usage(F.col("u")), True),
-    ).where(_measured())
+    )
+    return out if own else out.where(_measured())
+
+
+def streams_of(raw: DataFrame, adapter: str = "codex", parser_version: str = "1") -> tuple[DataFrame, DataFrame]:
+    """Observations and anomalies of lines (source_path, source_offset, line, oversize) of event streams.
+
+    Session, turn and agent carry over from earlier lines: a turn's end clears
+    the turn, a session's end all. Cumulative readings count what they exceed
+    earlier ones of their stream (session, turn, model, agent) by. A turn with
+    detailed records does not count its counters; where the first of these
+    differs from the sum of the details, an anomaly says so. Of several records
+    of one request the one of highest authority stays.
+    """
+    good, bad = stream_records(raw)
+    order = ["source_offset"]
+    chunk = (F.col("source_offset") / CHUNK_BYTES).cast("long")  # a file is carried over in pieces
+    carried = deltas.sticky(good, ["source_path"], order, ["_turn"], F.col("_end"), own=True, chunk=chunk)
+    carried = deltas.sticky(carried, ["source_path"], order, ["_session", "_agent", "_parent"], F.col("_close"), own=True, chunk=chunk)
+    rows = stream_readings(carried, adapter)
     none = F.lit("")
     stream = rows.withColumns({"is_cumulative": F.col("parser_version") == "cumulative", "_t": F.coalesce("turn_id", none), "_m": F.coalesce("model", none), "_a": F.coalesce("agent_id", F.lit("root"))})
     counted = deltas.counter_deltas(stream, ["source_path", "session", "_t", "_m", "_a"], order)
     resets = counted.where("reset")
     events = counted.select(*COLUMNS).withColumn("parser_version", F.lit(parser_version))
     kept, conflicts = usage.settle_turns(events, F.col("source_subtype") == "codex_turn_counter")
-    none_ = F.lit(None)
     odd = (
         anomaly(resets, F.lit("negative_delta"), F.col("session"), F.col("turn_id"), F.lit("{}"))
         .unionByName(anomaly(conflicts, F.lit("counter_conflict"), F.col("session"), F.col("turn_id"), F.to_json(F.struct(*(f"d_{t}" for t in usage.COMPARED)))))
-        .unionByName(anomaly(parsed.where(r.isNull()), F.lit("malformed_line"), none_, none_, F.lit("{}")))
-        .unionByName(anomaly(parsed.where(r.isNotNull() & ~known), F.lit("unsupported_version"), none_, none_, F.to_json(F.struct(version.alias("unsupported_version")))))
+        .unionByName(bad)
     )
     return kept, odd

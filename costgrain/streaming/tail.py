@@ -112,8 +112,8 @@ class TailReader(DataSourceStreamReader):
         # Another file in the place of the one that was planned holds nothing of this range.
         if _head(system, partition.path, partition.head_bytes) != partition.head:
             return
-        scheme = "file" if isinstance(system, fs.LocalFileSystem) else self.folder.split(":", 1)[0]
-        name = f"{scheme}://{partition.path}"
+        # As Spark's own readers name files.
+        name = f"file:{partition.path}" if isinstance(system, fs.LocalFileSystem) else f"{self.folder.split(':', 1)[0]}://{partition.path}"
         rows, held = [], 0
         for at, line, oversize in _lines(system, partition, self.most):
             rows.append((name, at, line.decode("utf-8", "replace").rstrip("\r"), oversize))
