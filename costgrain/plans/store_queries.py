@@ -20,9 +20,9 @@ from costgrain.operators.tree import paths
 from costgrain.plans import reports
 from costgrain.plans import tables as t
 from costgrain.plans.queries import ORACLES, query
-from costgrain.plans.source_queries import _PROTOTYPES, _full, _prototypes
+from costgrain.plans.source_queries import _PROTOTYPES, _STREAM, _full, _prototypes, _stream_lines
 from costgrain.sources.observation import COLUMNS, SCHEMA
-from costgrain.streaming import hooks, tail, turns
+from costgrain.streaming import context, hooks, tail, turns
 from costgrain.streaming.identities import Identities
 from costgrain.streaming.imports import Imports
 from costgrain.streaming.repairs import Repairs
@@ -99,6 +99,19 @@ def tail_stream(spark, sf_dir):
     return parsed.select("n", "kind", F.lit(1).alias("times"))
 
 
+@query(
+    f"""WITH {_STREAM} SELECT 's' || CAST(u AS VARCHAR) AS session, CASE event_type WHEN 'click' THEN 'r' ELSE 'q' END || CAST(n AS VARCHAR) AS request_id, CASE event_type WHEN 'click' THEN turn ELSE 'x' || CAST(n AS VARCHAR) END AS turn_id, agent AS agent_id,
+cents AS input_tokens, CASE event_type WHEN 'click' THEN n % 9 END AS cached_input_tokens, k AS output_tokens, CASE event_type WHEN 'purchase' THEN n % 5 END AS reasoning_tokens FROM d WHERE event_type IN ('click', 'purchase')"""
+)
+def followed_streams(spark, sf_dir):
+    """Event streams, a file a user, followed to the byte with their context."""
+    folder, own = _folder(spark), hooks.stateful_session(spark, PARTITIONS)
+    lines = _stream_lines(spark, sf_dir).where("line is not null").select(F.col("source_path").alias("u"), "source_offset", F.col("line").alias("value"))
+    lines.repartition("u").sortWithinPartitions("u", "source_offset").drop("source_offset").write.partitionBy("u").text(f"{folder}/in")
+    read = _ran(context.follow_streams(tail.follow(own, f"{folder}/in", "*.txt")), folder)
+    return read.select("session", "request_id", "turn_id", "agent_id", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens")
+
+
 # Stored tables.
 
 _EPOCHS = ORACLES["epoch_delta"]
