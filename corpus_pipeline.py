@@ -26,8 +26,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: one document of each group of near-duplicates stays, the one with the smallest doc_id: of texts whose fingerprints
-    are within four bits, then of those left whose shingles of five words are alike by 0.8 or more (fingerprints of operator
+    """Operator 9: one document of each group of near-duplicates stays, the one with the smallest doc_id: groups are of texts
+    whose fingerprints are within four bits, or whose shingles of five words are alike by 0.8 or more (fingerprints of operator
     10). Blank texts are one group; of rows that repeat a doc_id one stays; rows without one all stay."""
     return simhash.keep_first(docs, minhash.alike)
 

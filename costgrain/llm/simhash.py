@@ -219,18 +219,23 @@ def links(distinct: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every document; ``docs`` needs doc_id and text.
 
     component_id is the smallest doc_id that a document reaches over links.
     Null and blank texts have fingerprint zero and link like any other. Repeated
     rows stay; they share all. A document without an id joins nothing: its
     component is that of the documents with its very fingerprint, or null. An
-    empty table gives an empty one. Other columns are ignored.
+    empty table gives an empty one. Other columns are ignored. ``more`` may tell further links (a, b) among documents,
+    of which it gets one for each fingerprint.
     """
     prints = cut(with_fingerprints(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = components(links(distinct.where("node is not null")).distinct())
+    found = links(distinct.where("node is not null"))
+    if more is not None:
+        one = distinct.where("node is not null").select(F.col("node").alias("doc_id"))
+        found = found.unionByName(more(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(one, "doc_id", "left_semi")))
+    roots = components(found.distinct())
     labelled = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(apart(labelled, "fp"), "fp").select("doc_id", "fp", "component_id")
 
@@ -243,15 +248,11 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest
-    doc_id. Of rows that repeat a doc_id one stays; rows without one all stay. ``more`` may tell further
-    links (a, b) among the documents that have stayed; of what they connect the smallest stays too.
+    doc_id. Of rows that repeat a doc_id one stays; rows without one all stay. ``more`` tells further
+    links, as for ``near_duplicates``.
     Null and blank texts are one group; an empty table gives an empty one; all columns are kept.
     """
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    if more is not None:
-        first = cut(first)
-        left = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(first, "doc_id", "left_semi")
-        first = first.join(components(more(left)).select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    first = near_duplicates(docs, more).where("doc_id = component_id").select("doc_id").distinct()
     same = W.partitionBy("doc_id").orderBy("text")
     plain = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kept = plain.join(first, "doc_id", "left_semi").withColumn("nth", F.row_number().over(same)).where("nth = 1")
