@@ -18,6 +18,7 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,7 +50,7 @@ class Range(InputPartition):
 
 
 class TailSource(DataSource):
-    """``spark.readStream.format("costgrain_tail")`` with the options path, glob (default ``*.jsonl``),
+    """A source for ``spark.dataSource.register``; ``follow`` does that. Options: path, glob (default ``*.jsonl``),
     parserVersion (default 1), lineBytes and blockBytes."""
 
     @classmethod
@@ -192,8 +193,10 @@ def _skip(f: io.BufferedReader) -> int:
 
 def follow(spark: SparkSession, folder: str, glob: str = "*.jsonl", parser_version: str = "1", **options: int) -> DataFrame:
     """Lines (source_path, source_offset, line, oversize) below ``folder`` as a stream; ``options``: lineBytes, blockBytes."""
-    spark.dataSource.register(TailSource)
-    reader = spark.readStream.format("costgrain_tail").option("path", folder).option("glob", glob).option("parserVersion", parser_version)
+    # A session can't take a name that another one of the application has, nor read by it: each stream has its own.
+    own = f"{TailSource.name()}_{uuid.uuid4().hex[:12]}"
+    spark.dataSource.register(type("OwnTail", (TailSource,), {"name": classmethod(lambda cls: own)}))
+    reader = spark.readStream.format(own).option("path", folder).option("glob", glob).option("parserVersion", parser_version)
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load()
