@@ -184,11 +184,24 @@ def _in_balls(rows: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 class Plan:
-    """Balls of queries and data with their radii and sizes, and what a pair of balls can reach."""
+    """Balls of queries and data with their radii and sizes, and what a pair of balls can reach.
+
+    Balls with few queries go together in parties of about CELL_QUERIES, as each party's cells get a copy of the data
+    that it meets: a party meets what any of its balls has to.
+    """
 
     def __init__(self, centres: np.ndarray, queries: dict[int, tuple[int, float]], data: dict[int, tuple[int, float]]):
         self.centres, self.queries, self.data = centres, queries, data
         self.norm = np.linalg.norm(centres, axis=1)
+        self.parties: list[list[int]] = []
+        held = CELL_QUERIES
+        along = lambda a: (float(centres[a] @ centres[0]) if a >= 0 else np.inf, a)
+        for a in sorted(queries, key=along):
+            if held >= CELL_QUERIES:
+                self.parties.append([])
+                held = 0
+            self.parties[-1].append(a)
+            held += queries[a][0]
 
     def bound(self, a: int, b: int) -> float:
         """No inner product of a query of ball a and a vector of ball b is greater."""
@@ -199,21 +212,23 @@ class Plan:
         return value + 1e-9 * abs(value) + 1e-6
 
     def first(self, k: int) -> list[tuple[int, int]]:
-        """For each ball of queries the balls of data that promise most, and more while they hold k + 1 rows or fewer."""
-        out = []
-        for a in self.queries:
-            ranked, held = sorted(self.data, key=lambda b: (-self.bound(a, b) if a < 0 or b < 0 else -float(self.centres[a] @ self.centres[b]), b)), 0
-            for n, b in enumerate(ranked):
-                if n >= FIRST and held > k:
-                    break
-                out.append((a, b))
-                held += self.data[b][0]
-        return out
+        """(party, ball): for each ball of queries the balls of data that promise most, and more while they hold k + 1 rows or fewer."""
+        out = set()
+        for party, balls in enumerate(self.parties):
+            for a in balls:
+                ranked, held = sorted(self.data, key=lambda b: (-self.bound(a, b) if a < 0 or b < 0 else -float(self.centres[a] @ self.centres[b]), b)), 0
+                for n, b in enumerate(ranked):
+                    if n >= FIRST and held > k:
+                        break
+                    out.add((party, b))
+                    held += self.data[b][0]
+        return sorted(out)
 
     def then(self, done: list[tuple[int, int]], worst: dict[int, float]) -> list[tuple[int, int]]:
-        """The other pairs that can still reach the worst kth score of the ball's queries."""
+        """The other pairs that can still reach the worst kth score of a ball's queries."""
         seen = set(done)
-        return [(a, b) for a in self.queries for b in self.data if (a, b) not in seen and self.bound(a, b) >= worst.get(a, -np.inf) and self.bound(a, b) > -np.inf]
+        reach = lambda a, b: self.bound(a, b) > -np.inf and self.bound(a, b) >= worst.get(a, -np.inf)
+        return [(p, b) for p, balls in enumerate(self.parties) for b in self.data if (p, b) not in seen and any(reach(a, b) for a in balls)]
 
 
 def plan_of(rows: DataFrame) -> tuple[DataFrame, Plan]:
@@ -232,30 +247,31 @@ def plan_of(rows: DataFrame) -> tuple[DataFrame, Plan]:
 
 
 def _searched(queries: DataFrame, data: DataFrame, plan: Plan, pairs: list[tuple[int, int]], k: int) -> DataFrame:
-    """(query_id, ball, vec_id, score, times) of the k best in each cell of the given pairs of balls.
+    """(query_id, vec_id, score, times) of the k best in each cell of the given pairs of parties and balls.
 
-    A ball is cut into groups of queries and stripes of data by hash; the pairs with these are at most BALLS squared
-    times cells of a ball, and go to the tasks.
+    A party is cut into groups of queries and a ball into stripes of data by hash; the pairs are at most BALLS squared
+    and go to the tasks.
     """
-    groups = {a: max(1, -(-n // CELL_QUERIES)) for a, (n, _) in plan.queries.items()}
+    groups = [max(1, -(-sum(plan.queries[a][0] for a in balls) // CELL_QUERIES)) for balls in plan.parties]
     stripes = {b: max(1, -(-n // CELL_VECTORS)) for b, (n, _) in plan.data.items()}
     spark = queries.sparkSession
-    meets = lambda: F.broadcast(spark.createDataFrame([(a, b, groups[a], stripes[b]) for a, b in pairs], "qball int, dball int, groups int, stripes int"))
+    meets = lambda: F.broadcast(spark.createDataFrame([(p, b, groups[p], stripes[b]) for p, b in pairs], "party int, dball int, groups int, stripes int"))
+    of = F.broadcast(spark.createDataFrame([(a, p) for p, balls in enumerate(plan.parties) for a in balls], "ball int, _party int"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col(n)).cast("int")
     new = lambda *names: [F.col(n).alias(n) for n in names]  # noqa: E731  # both sides come from one table
-    left = queries.join(meets(), F.col("ball") == F.col("qball")).withColumn("_group", own("groups")).select(*new("qball", "dball", "_group"), each("stripes").alias("_stripe"), F.size("v").alias("_d"), *new("vec_id", "v", "times", "worst"))
-    right = data.join(meets(), F.col("ball") == F.col("dball")).withColumn("_stripe", own("stripes")).select(*new("qball", "dball"), each("groups").alias("_group"), *new("_stripe"), F.size("v").alias("_d"), *new("vec_id", "v", "times"))
+    left = queries.join(of, "ball").join(meets(), F.col("_party") == F.col("party")).withColumn("_group", own("groups")).select(*new("party", "dball", "_group"), each("stripes").alias("_stripe"), F.size("v").alias("_d"), *new("vec_id", "v", "times", "worst"))
+    right = data.join(meets(), F.col("ball") == F.col("dball")).withColumn("_stripe", own("stripes")).select(*new("party", "dball"), each("groups").alias("_group"), *new("_stripe"), F.size("v").alias("_d"), *new("vec_id", "v", "times"))
 
     def cell(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
-            return pd.DataFrame({c: [] for c in ("query_id", "ball", "vec_id", "score", "times")}, dtype="int64")
+            return pd.DataFrame({c: [] for c in ("query_id", "vec_id", "score", "times")}, dtype="int64")
         a, b, s = search(np.stack(q["v"].to_numpy()), q["vec_id"].to_numpy(), np.stack(d["v"].to_numpy()), d["vec_id"].to_numpy(), k, q["worst"].to_numpy(np.int64))
         often = q.groupby("vec_id")["times"].max().reindex(a).to_numpy() * d.groupby("vec_id")["times"].max().reindex(b).to_numpy()
-        return pd.DataFrame({"query_id": a, "ball": np.full(len(a), q["qball"].iloc[0]), "vec_id": b, "score": s, "times": often})
+        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s, "times": often})
 
-    keys = ["qball", "dball", "_group", "_stripe", "_d"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, ball int, vec_id long, score long, times long")
+    keys = ["party", "dball", "_group", "_stripe", "_d"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score long, times long")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:

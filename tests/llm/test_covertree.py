@@ -72,11 +72,12 @@ def _clustered(n, clusters, size=16, seed=4):
 def test_kth_scores_prune_pairs_of_balls(spark, monkeypatch):
     """On clustered vectors most pairs of balls can't reach the kth scores that the first balls give; the result is exact."""
     monkeypatch.setattr(covertree, "ROWS_A_BALL", 40)
+    monkeypatch.setattr(covertree, "CELL_QUERIES", 2)  # balls are parties of their own
     rows = _clustered(1_600, 40)
     df = covertree.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     seen = []
     then = covertree.Plan.then
-    monkeypatch.setattr(covertree.Plan, "then", lambda self, done, worst: seen.append((len(done), len(out := then(self, done, worst)), len(self.queries) * len(self.data))) or out)
+    monkeypatch.setattr(covertree.Plan, "then", lambda self, done, worst: seen.append((len(done), len(out := then(self, done, worst)), len(self.parties) * len(self.data))) or out)
     got = covertree.top_k(df, F.col("vec_id") % 20 == 0, 10).collect()
     vectors = {i: np.floor(64 * np.array(v)).astype(np.int64) for i, v in rows}
     assert sorted(map(tuple, got)) == sorted(brute(list(vectors), vectors, [i for i in vectors if i % 20 == 0], 10))
@@ -92,3 +93,10 @@ def test_balls_cover_and_bounds_hold(spark):
     for q in (r for r in found if r["_query"]):
         for d in found:
             assert np.dot(q.v, d.v) <= plan.bound(q.ball, d.ball)
+
+
+def test_balls_with_few_queries_go_together(spark):
+    plan = covertree.Plan(np.eye(5) * 9, {a: (700, 1.0) for a in range(5)}, {b: (9_000, 1.0) for b in range(5)})
+    assert sorted(a for p in plan.parties for a in p) == list(range(5)) and [len(p) for p in plan.parties] == [3, 2]
+    begun = plan.first(20)
+    assert not set(begun) & set(plan.then(begun, {})) and len(begun) + len(plan.then(begun, {})) == 2 * 5
