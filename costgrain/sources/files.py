@@ -10,11 +10,11 @@ from pyspark.sql import Window as W
 FILE_BYTES, LINE_BYTES = 512 << 20, 16 << 20
 
 
-def lines(spark: SparkSession, path: str, glob: str = "*.jsonl", most: int = LINE_BYTES) -> DataFrame:
+def lines(spark: SparkSession, path: str, glob: str = "*.jsonl", most: int | None = None) -> DataFrame:
     """(source_path, source_offset, line, oversize) of all lines of the files below ``path``.
 
     The offset is that of the line's first byte. Blocks of a file are read by different tasks; byte counts are added
-    up inside each block, and over the blocks of a file, a row each, so that a large file stays spread. Files have FILE_BYTES at most; a line of over ``most`` bytes is marked.
+    up inside each block, and over the blocks of a file, a row each, so that a large file stays spread. Files have FILE_BYTES at most; a line of over ``most`` (LINE_BYTES) bytes is marked.
     """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
     meta = F.col("_metadata")
@@ -26,7 +26,7 @@ def lines(spark: SparkSession, path: str, glob: str = "*.jsonl", most: int = LIN
     inside = F.coalesce(F.sum(size).over(W.partitionBy("source_path", "_block").orderBy("_nth").rowsBetween(*before)), F.lit(0))
     joined = placed.withColumn("_inside", inside).join(starts, ["source_path", "_block"])
     text = F.rtrim("value", F.lit("\r"))
-    return joined.select("source_path", (F.col("_start") + F.col("_inside")).cast("long").alias("source_offset"), text.alias("line"), (F.octet_length("value") > most).alias("oversize"))
+    return joined.select("source_path", (F.col("_start") + F.col("_inside")).cast("long").alias("source_offset"), text.alias("line"), (F.octet_length("value") > (LINE_BYTES if most is None else most)).alias("oversize"))
 
 
 def whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
