@@ -63,7 +63,7 @@ def run_versions(spark, sf_dir):
     return out.select("source_path", F.lit("sound").alias("verdict")).unionByName(odd.select("source_path", F.col("type").alias("verdict")))
 
 
-@query("SELECT user_id, max(ts) AS latest FROM events WHERE event_id % 4 < 3 GROUP BY user_id")
+@query("SELECT user_id, epoch_us(max(ts)) AS latest_us FROM events WHERE event_id % 4 < 3 GROUP BY user_id")
 def latest_timestamps(spark, sf_dir):
     """The latest instant of each user over texts in several forms, some of them none."""
     n, ts = F.col("event_id"), F.col("ts").cast("timestamp_ntz")
@@ -73,7 +73,7 @@ def latest_timestamps(spark, sf_dir):
         .when(n % 4 == 2, F.concat(at("yyyy-MM-dd HH:mm:ss.SSSSSS", -3), F.lit("-03:00"))).otherwise("2999-01-01T00:00:00")
     )
     e = t.read(spark, sf_dir, "events").select("user_id", shown.alias("told"))
-    return e.groupBy("user_id").agg(F.max(text.rfc3339(F.col("told"))).alias("latest")).where("latest is not null").withColumn("latest", F.col("latest").cast("timestamp_ntz"))
+    return e.groupBy("user_id").agg(F.unix_micros(F.max(text.rfc3339(F.col("told")))).alias("latest_us")).where("latest_us is not null")
 
 
 # Hooks.
