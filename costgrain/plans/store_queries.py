@@ -37,11 +37,11 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def _ran(changes: DataFrame, folder: str) -> DataFrame:
-    """A stream run to its end into a table, and that table."""
+def _ran(spark: SparkSession, changes: DataFrame, folder: str) -> DataFrame:
+    """A stream run to its end into a table, and that table as ``spark`` reads it."""
     write = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     write.trigger(availableNow=True).start().awaitTermination()
-    return changes.sparkSession.read.schema(changes.schema).parquet(f"{folder}/out")
+    return spark.read.schema(changes.schema).parquet(f"{folder}/out")
 
 
 # Streams.
@@ -58,7 +58,7 @@ def hook_stream(spark, sf_dir):
         e.where(F.col("event_id") % 3 == k).select(line.alias("value")).coalesce(4).write.text(f"{folder}/in/{k}")
         own = hooks.stateful_session(spark, PARTITIONS)
         lines = own.readStream.format("text").option("recursiveFileLookup", True).load(f"{folder}/in").select(F.col("value").alias("line"))
-        changes = _ran(hooks.turns(hooks.envelopes(lines)[0], horizon=10**9), folder)
+        changes = _ran(spark, hooks.turns(hooks.envelopes(lines)[0], horizon=10**9), folder)
     number = lambda c: F.unix_timestamp(F.to_timestamp(c))
     return hooks.current_turns(changes).select(F.col("session_id").cast("long").alias("user_id"), number("started_at").alias("turn"), number("ended_at").alias("ended_by"))
 
@@ -81,7 +81,7 @@ def covered_stream(spark, sf_dir):
         rows.where(F.col("source_offset") % 3 == k).coalesce(4).write.parquet(f"{folder}/in/{k}")
         own = hooks.stateful_session(spark, PARTITIONS)
         stream = own.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(f"{folder}/in")
-        changes = _ran(turns.follow_turns(stream, source_kind(F.col("source"), F.col("source_subtype")) == "turn_counter"), folder)
+        changes = _ran(spark, turns.follow_turns(stream, source_kind(F.col("source"), F.col("source_subtype")) == "turn_counter"), folder)
     return turns.net(changes).select("what", "source_offset")
 
 
@@ -93,8 +93,8 @@ def tail_stream(spark, sf_dir):
     line = F.to_json(F.struct("n", "kind"))
     for k, version in ((0, "1"), (1, "1")):
         e.where(F.col("n") % 2 == k).select(line.alias("value")).coalesce(2).write.text(f"{folder}/in/{k}")
-        out = _ran(tail.follow(spark, f"{folder}/in", "*.txt", version, blockBytes=1 << 16), f"{folder}/a")
-    again = _ran(tail.follow(spark, f"{folder}/in/1", "*.txt", "2"), f"{folder}/b")
+        out = _ran(spark, tail.follow(spark, f"{folder}/in", "*.txt", version, blockBytes=1 << 16), f"{folder}/a")
+    again = _ran(spark, tail.follow(spark, f"{folder}/in/1", "*.txt", "2"), f"{folder}/b")
     parsed = out.unionByName(again).select(F.from_json("line", "struct<n: bigint, kind: string>").alias("r")).select("r.*")
     return parsed.select("n", "kind", F.lit(1).alias("times"))
 
@@ -108,7 +108,7 @@ def followed_streams(spark, sf_dir):
     folder, own = _folder(spark), hooks.stateful_session(spark, PARTITIONS)
     lines = _stream_lines(spark, sf_dir).where("line is not null").select(F.col("source_path").alias("u"), "source_offset", F.col("line").alias("value"))
     lines.repartition("u").sortWithinPartitions("u", "source_offset").drop("source_offset").write.partitionBy("u").text(f"{folder}/in")
-    read = _ran(context.follow_streams(tail.follow(own, f"{folder}/in", "*.txt")), folder)
+    read = _ran(spark, context.follow_streams(tail.follow(own, f"{folder}/in", "*.txt")), folder)
     return read.select("session", "request_id", "turn_id", "agent_id", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens")
 
 
