@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from costgrain.functions.vocabulary import TOKENS
 from costgrain.operators import deltas, usage
+from costgrain.operators.stages import cut
 from costgrain.sources.files import lines, stem, too_large
 from costgrain.sources.observation import COLUMNS, anomaly, count, first, observation
 
@@ -38,11 +39,14 @@ CHUNK_BYTES = 8 << 20
 
 
 def _parsed(raw: DataFrame, version: str) -> DataFrame:
-    """Lines with their record ``r``; null where a line is no JSON object, or too long to be parsed."""
+    """Lines with their record ``r``; null where a line is no JSON object, or too long to be parsed.
+
+    The record comes out of ``explode``: filters on its fields stay above that, else each of them would parse the line anew.
+    """
     blank = F.trim("line") == ""
     record = F.from_json("line", _RECORD.replace("VERSION", version))
     sound = ~F.col("oversize") & F.coalesce(F.get_json_object("line", "$").startswith("{"), F.lit(False))
-    return raw.where(~blank).withColumn("r", F.when(sound, record))
+    return raw.where(~blank).withColumn("r", F.explode(F.array(F.when(sound, record))))
 
 
 def _tokens(u, reasoning_first: bool) -> dict:
@@ -142,9 +146,10 @@ def stream_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         }
     )
     none = F.lit(None)
-    bad = anomaly(parsed.where(r.isNull()), F.lit("malformed_line"), none, none, F.lit("{}")).unionByName(
-        anomaly(parsed.where(r.isNotNull() & ~known), F.lit("unsupported_version"), none, none, F.to_json(F.struct(version.alias("unsupported_version"))))
-    )
+    bad = anomaly(
+        parsed.where(r.isNull() | ~known), F.when(r.isNull(), "malformed_line").otherwise("unsupported_version"), none, none,
+        F.when(r.isNull(), "{}").otherwise(F.to_json(F.struct(version.alias("unsupported_version")))),
+    )
     return good, bad
 
 
@@ -186,12 +191,16 @@ def streams_of(raw: DataFrame, adapter: str = "codex", parser_version: str = "1"
     good, bad = stream_records(raw)
     order = ["source_offset"]
     chunk = (F.col("source_offset") / CHUNK_BYTES).cast("long")  # a file is carried over in pieces
-    carried = deltas.sticky(good, ["source_path"], order, ["_turn"], F.col("_end"), own=True, chunk=chunk)
+    # What lines tell and what they count are each needed in several places: they are worked out once.
+    told = cut(stream_readings(good, adapter, own=True))
+    carried = deltas.sticky(told, ["source_path"], order, ["_turn"], F.col("_end"), own=True, chunk=chunk)
     carried = deltas.sticky(carried, ["source_path"], order, ["_session", "_agent", "_parent"], F.col("_close"), own=True, chunk=chunk)
-    rows = stream_readings(carried, adapter)
+    named = {"session": "_session", "turn_id": "_turn", "agent_id": "_agent", "parent_agent_id": "_parent"}
+    # A record's own session is the one it carries; the file's name stands in where there is none.
+    rows = carried.withColumns({c: F.coalesce(x, c) if c == "session" else F.coalesce(c, x) for c, x in named.items()}).where(_measured())
     none = F.lit("")
     stream = rows.withColumns({"is_cumulative": F.col("parser_version") == "cumulative", "_t": F.coalesce("turn_id", none), "_m": F.coalesce("model", none), "_a": F.coalesce("agent_id", F.lit("root"))})
-    counted = deltas.counter_deltas(stream, ["source_path", "session", "_t", "_m", "_a"], order)
+    counted = cut(deltas.counter_deltas(stream, ["source_path", "session", "_t", "_m", "_a"], order).select(*COLUMNS, "reset"))
     resets = counted.where("reset")
     events = counted.select(*COLUMNS).withColumn("parser_version", F.lit(parser_version))
     kept, conflicts = usage.settle_turns(events, F.col("source_subtype") == "codex_turn_counter")
