@@ -31,6 +31,8 @@ from costgrain.sources.files import LINE_BYTES
 
 #: Bytes at a file's beginning that tell it from another, a step back in search of the last line feed, and what one task reads.
 HEAD, STEP, BLOCK = 4_096, 64 << 10, 64 << 20
+#: Bytes that opening a file counts for when files are dealt to tasks.
+OPEN = 64 << 10
 #: Of a line that is too long so many bytes are kept.
 STUB = 1_024
 SCHEMA = "source_path string, source_offset long, line string, oversize boolean"
@@ -49,6 +51,13 @@ class Range(InputPartition):
     head_bytes: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads: a range of a large file, or those of many small ones."""
+
+    parts: list[Range]
+
+
 class TailSource(DataSource):
     """A source for ``spark.dataSource.register``; ``follow`` does that. Options: path, glob (default ``*.jsonl``),
     parserVersion (default 1), lineBytes and blockBytes."""
@@ -93,9 +102,10 @@ class TailReader(DataSourceStreamReader):
         self.seen = seen
         return {"parser": self.parser, "files": files}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        """Ranges of files dealt to tasks by their bytes: a task a file would be more than the driver can hold."""
         system, _ = fs.FileSystem.from_uri(self.folder)
-        out = []
+        out, held = [], self.block
         for path, now in sorted(end["files"].items()):
             before = start["files"].get(path)
             same = start["parser"] == end["parser"] and before is not None
@@ -105,25 +115,35 @@ class TailReader(DataSourceStreamReader):
             if same and before["end"] <= now["end"] and _head(system, path, before["end"]) == before["head"]:
                 first = before["end"]
             for a in range(first, now["end"], self.block):
-                out.append(Range(path, first, a, min(a + self.block, now["end"]), now["head"], now["end"]))
+                b = min(a + self.block, now["end"])
+                held += b - a + OPEN
+                if held > self.block:
+                    out.append(Ranges([]))
+                    held = b - a + OPEN
+                out[-1].parts.append(Range(path, first, a, b, now["head"], now["end"]))
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(self.folder)
+        rows, held = [], 0
+        for part in partition.parts if isinstance(partition, Ranges) else [partition]:
+            for row in self._rows(system, part):
+                rows.append(row)
+                held += len(row[2])
+                if len(rows) >= 4_096 or held >= 16 << 20:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, system: fs.FileSystem, partition: Range) -> Iterator[tuple]:
         # Another file in the place of the one that was planned holds nothing of this range.
         if _head(system, partition.path, partition.head_bytes) != partition.head:
             return
         # As Spark's own readers name files.
         name = f"file:{partition.path}" if isinstance(system, fs.LocalFileSystem) else f"{self.folder.split(':', 1)[0]}://{partition.path}"
-        rows, held = [], 0
         for at, line, oversize in _lines(system, partition, self.most):
-            rows.append((name, at, line.decode("utf-8", "replace").rstrip("\r"), oversize))
-            held += len(line)
-            if len(rows) >= 4_096 or held >= 16 << 20:
-                yield _batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield _batch(rows)
+            yield name, at, line.decode("utf-8", "replace").rstrip("\r"), oversize
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

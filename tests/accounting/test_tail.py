@@ -115,3 +115,12 @@ def test_totals_of_requests_equal_one_batch_read(spark, home):
         run(spark, home, sink="lines")
     total = lambda raw: transcripts.requests_of(raw)[0].groupBy("session").agg(F.sum("input_tokens"), F.sum("output_tokens"), F.count("*")).orderBy("session").collect()
     assert total(spark.read.parquet(str(home / "lines"))) == total(files.lines(spark, str(home / "in")))
+
+
+def test_many_small_files_are_few_tasks(home):
+    for k in range(300):
+        (home / f"in/{k}.jsonl").write_text(f"{k}\n")
+    reader = tail.TailReader({"path": str(home / "in")})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(parts) == 1
+    assert sorted(int(r["line"]) for p in parts for b in reader.read(p) for r in b.to_pylist()) == list(range(300))
