@@ -29,7 +29,7 @@ from costgrain.streaming.repairs import Repairs
 from costgrain.streaming.rescans import Rescans
 
 _TOK = ", ".join(TOKENS)
-#: State partitions of the streams here.
+#: State partitions that the streams here have at least.
 PARTITIONS = 4
 
 
@@ -37,6 +37,11 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def _stateful(spark: SparkSession) -> SparkSession:
+    """A session for streams with as many state partitions as there are cores."""
+    return hooks.stateful_session(spark, max(PARTITIONS, spark.sparkContext.defaultParallelism))
+
+
 def _ran(spark: SparkSession, changes: DataFrame, folder: str) -> DataFrame:
     """A stream run to its end into a table, and that table as ``spark`` reads it."""
     write = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
@@ -55,8 +60,8 @@ def hook_stream(spark, sf_dir):
     payload = F.struct(F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("p\t"), F.col("event_id").cast("string")).alias("prompt_id"))
     line = F.to_json(F.struct(F.lit(1).alias("version"), F.when(F.col("event_type") == "view", "UserPromptSubmit").otherwise("Stop").alias("kind"), at.alias("capturedAt"), payload.alias("payload")))
     for k in range(3):
-        e.where(F.col("event_id") % 3 == k).select(line.alias("value")).coalesce(4).write.text(f"{folder}/in/{k}")
-        own = hooks.stateful_session(spark, PARTITIONS)
+        e.where(F.col("event_id") % 3 == k).select(line.alias("value")).write.text(f"{folder}/in/{k}")
+        own = _stateful(spark)
         lines = own.readStream.format("text").option("recursiveFileLookup", True).load(f"{folder}/in").select(F.col("value").alias("line"))
         changes = _ran(spark, hooks.turns(hooks.envelopes(lines)[0], horizon=10**9), folder)
     number = lambda c: F.unix_timestamp(F.to_timestamp(c))
@@ -78,8 +83,8 @@ def covered_stream(spark, sf_dir):
     """Turns with details and counters as a stream of three batches."""
     folder, rows = _folder(spark), _full(t.observations(spark, sf_dir)).select(*COLUMNS)
     for k in range(3):
-        rows.where(F.col("source_offset") % 3 == k).coalesce(4).write.parquet(f"{folder}/in/{k}")
-        own = hooks.stateful_session(spark, PARTITIONS)
+        rows.where(F.col("source_offset") % 3 == k).write.parquet(f"{folder}/in/{k}")
+        own = _stateful(spark)
         stream = own.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(f"{folder}/in")
         changes = _ran(spark, turns.follow_turns(stream, source_kind(F.col("source"), F.col("source_subtype")) == "turn_counter"), folder)
     return turns.net(changes).select("what", "source_offset")
@@ -105,7 +110,7 @@ cents AS input_tokens, CASE event_type WHEN 'click' THEN n % 9 END AS cached_inp
 )
 def followed_streams(spark, sf_dir):
     """Event streams, a file a user, followed to the byte with their context."""
-    folder, own = _folder(spark), hooks.stateful_session(spark, PARTITIONS)
+    folder, own = _folder(spark), _stateful(spark)
     lines = _stream_lines(spark, sf_dir).where("line is not null").select(F.col("source_path").alias("u"), "source_offset", F.col("line").alias("value"))
     lines.repartition("u").sortWithinPartitions("u", "source_offset").drop("source_offset").write.partitionBy("u").text(f"{folder}/in")
     read = _ran(spark, context.follow_streams(tail.follow(own, f"{folder}/in", "*.txt")), folder)

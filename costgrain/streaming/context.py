@@ -51,10 +51,11 @@ class Context(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         rows = sorted(rows, key=lambda r: r["source_offset"])
-        session, turn, agent, parent, place = self.now.get() if self.now.exists() else (None, None, None, None, -1)
+        was = self.now.get()
+        session, turn, agent, parent, place = was or (None, None, None, None, -1)
         if rows[0]["source_offset"] <= place:
             self.bases.clear()
-            session = turn = agent = parent = None
+            session = turn = agent = parent = was = None
         bases: dict[tuple, list] = {}
         for r in rows:
             if r["_close"]:
@@ -69,7 +70,8 @@ class Context(StatefulProcessor):
             told |= {"session": session or r["session"], "turn_id": r["turn_id"] or turn, "agent_id": r["agent_id"] or agent, "parent_agent_id": r["parent_agent_id"] or parent, "parser_version": self.version}
             stream = (told["session"], told["turn_id"] or "", told["model"] or "", told["agent_id"] or "root")
             if stream not in bases:
-                bases[stream] = list(self.bases.getValue(stream)) if self.bases.containsKey(stream) else None
+                # A file that begins has no streams in state.
+                bases[stream] = list(self.bases.getValue(stream)) if was and self.bases.containsKey(stream) else None
             out, bases[stream], reset = counted(values, bases[stream], r["parser_version"] == "cumulative")
             told |= dict(zip(TOKENS, out, strict=True))
             yield _Out(*(told[c] for c in COLUMNS), reset)

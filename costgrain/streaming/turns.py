@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from costgrain.sources.observation import COLUMNS
 
 _ROW = ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
 _AT = {c: k for k, c in enumerate(COLUMNS)}
+#: Records that a turn's one value holds at most.
+FEW = 64
 CHANGE = f"what string, sign int, {_ROW}, details string"
 _Change = Row("what", "sign", *COLUMNS, "details")
 
@@ -35,41 +38,56 @@ def better(new: tuple, old: tuple) -> bool:
 
 class Covered(StatefulProcessor):
     """State of one turn: the best detail and the best counter of each identity, how many details and
-    their sum, the first counter, and the conflict that was told. It goes when nothing has come for ``ttl`` seconds."""
+    their sum, the first counter, and the conflict that was told. It goes when nothing has come for ``ttl`` seconds.
 
-    def __init__(self, ttl: int):
-        self.ttl = ttl
+    Each call of the state costs a message to the executor, so a turn is one value that is read and written once
+    a batch. The records of a turn with over ``few`` of them go to map states, each under its identity, so that a batch
+    reads and writes only those it has.
+    """
+
+    def __init__(self, ttl: int, few: int):
+        self.ttl, self.few = ttl, few
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         kept = f"rank int, measured boolean, path string, place long, {_ROW}"
         ms = 1_000 * self.ttl
+        sums = ", ".join(f"d_{t} long" for t in COMPARED)
+        self.turn = handle.getValueState("turn", f"n long, {sums}, first struct<{_ROW}>, told string, many boolean, kept array<struct<counter boolean, hash string, {kept}>>", ms)
         self.details = handle.getMapState("details", "hash string", kept, ms)
         self.counters = handle.getMapState("counters", "hash string", kept, ms)
-        self.sums = handle.getValueState("sums", "n long, " + ", ".join(f"d_{t} long" for t in COMPARED), ms)
-        self.first = handle.getValueState("first", _ROW, ms)
-        self.told = handle.getValueState("told", "conflict string", ms)
+        self.cells = self.standing = None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n, *sums = self.sums.get() if self.sums.exists() else (0, *[0] * len(COMPARED))
-        first = was_first = tuple(self.first.get()) if self.first.exists() else None
-        told = self.told.get()[0] if self.told.exists() else None
+        n, *sums, first, told, many, near = self.turn.get() or (0, *[0] * len(COMPARED), None, None, False, [])
+        first = was_first = tuple(first) if first is not None else None
+        best: dict[tuple[bool, str], tuple] = {(v[0], v[1]): tuple(v)[2:] for v in near}
+        new: set[tuple[bool, str]] = set()
         change: Counter = Counter()
         for r in rows:
-            cells = tuple(r[c] for c in COLUMNS)
-            stand = (r["_rank"], r["_measured"], r["source_path"] or "", r["source_offset"] or 0)
-            counter = r["_counter"]
+            if self.cells is None:
+                names = r.__fields__
+                self.cells, self.standing = (itemgetter(*map(names.index, x)) for x in (COLUMNS, ("_rank", "_measured", "source_path", "source_offset", "_counter", "_hash")))
+            row = tuple(r)
+            cells = self.cells(row)
+            rank, measured, path, place, counter, name = self.standing(row)
+            stand = (rank, measured, path or "", place or 0)
             if counter and (first is None or stand[2:] < self._place(first)):
                 first = cells
-            state, name = (self.counters if counter else self.details), (r["_hash"],)
-            old = tuple(state.getValue(name)) if state.containsKey(name) else None
+            old = best.get((counter, name))
+            if old is None and many:
+                state = self.counters if counter else self.details
+                old = tuple(state.getValue((name,))) if state.containsKey((name,)) else None
             if old is not None and not better(stand, old[:4]):
                 continue
-            state.updateValue(name, (*stand, *cells))
+            best[counter, name] = (*stand, *cells)
+            new.add((counter, name))
             if counter and n:
                 continue  # details cover it
             if not counter:
                 if n == 0:  # the first detail: what counters stood for goes
-                    change.subtract(("kept", *v[4:], None) for v in map(tuple, self.counters.values()))
+                    stood = {k[0]: tuple(v) for k, v in self.counters.iterator()} if many else {}
+                    stood |= {k: v for (is_counter, k), v in best.items() if is_counter}
+                    change.subtract(("kept", *v[4:], None) for v in stood.values())
                 n += old is None
                 sums = [s + (cells[_AT[t]] or 0) - ((old[4 + _AT[t]] or 0) if old else 0) for s, t in zip(sums, COMPARED, strict=True)]
             if old is not None:
@@ -82,13 +100,11 @@ class Covered(StatefulProcessor):
             change[("conflict", *was_first, told)] -= 1
         if conflict is not None:
             change[("conflict", *first, conflict)] += 1
-        self.sums.update((n, *sums))
-        if first is not None and first != was_first:
-            self.first.update(first)
-        if conflict is not None:
-            self.told.update((conflict,))
-        elif told is not None:
-            self.told.clear()
+        if many or len(best) > self.few:
+            for counter, name in new if many else best:
+                (self.counters if counter else self.details).updateValue((name,), best[counter, name])
+            many, best = True, {}
+        self.turn.update((n, *sums, first, conflict, many, [(*k, *v) for k, v in best.items()]))
         for row, sign in change.items():
             if sign:
                 yield _Change(row[0], sign, *row[1:])
@@ -101,7 +117,7 @@ class Covered(StatefulProcessor):
         pass
 
 
-def follow_turns(observations: DataFrame, is_counter: Column, ttl: int = 30 * 86_400) -> DataFrame:
+def follow_turns(observations: DataFrame, is_counter: Column, ttl: int = 30 * 86_400, few: int = FEW) -> DataFrame:
     """Signed changes (``CHANGE``) of what counts, from a stream of observations.
 
     ``what`` is ``kept`` for records and ``conflict`` for a turn whose first counter (the row) differs from the
@@ -111,7 +127,7 @@ def follow_turns(observations: DataFrame, is_counter: Column, ttl: int = 30 * 86
     standing = with_identity(observations.select(*COLUMNS)).withColumns({"_rank": F.coalesce(source_rank(F.col("source")), F.lit(-1)), "_measured": is_measured(), "_counter": F.coalesce(is_counter, F.lit(False)), "_hash": F.col("event_hash")})
     loose = standing.where("turn_id is null").select(F.lit("kept").alias("what"), F.lit(1).alias("sign"), *COLUMNS, F.lit(None).cast("string").alias("details"))
     turned = standing.where("turn_id is not null").select(*COLUMNS, "_rank", "_measured", "_counter", "_hash")
-    followed = turned.groupBy("session", "turn_id").transformWithState(Covered(ttl), CHANGE, "append", "ProcessingTime")
+    followed = turned.groupBy("session", "turn_id").transformWithState(Covered(ttl, few), CHANGE, "append", "ProcessingTime")
     return loose.unionByName(followed)
 
 

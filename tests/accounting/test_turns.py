@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from costgrain.operators.usage import COMPARED, settle_turns
@@ -64,3 +66,66 @@ def test_a_detail_retracts_the_counter_of_an_earlier_batch(spark, tmp_path):
     assert [r["source_offset"] for r in net.collect()] == [1]
     changes = spark.read.schema(turns.CHANGE).parquet(str(tmp_path / "out/rows")).orderBy("source_offset", "sign").collect()
     assert [(r["source_offset"], r["sign"]) for r in changes] == [(0, -1), (0, 1), (1, 1)]
+
+
+class Calls:
+    """A value or map state that counts how often it is called."""
+
+    def __init__(self):
+        self.n, self.value, self.map = 0, None, {}
+
+    def get(self):
+        self.n += 1
+        return self.value
+
+    def update(self, value):
+        self.n += 1
+        self.value = value
+
+    def containsKey(self, key):
+        self.n += 1
+        return key in self.map
+
+    def getValue(self, key):
+        self.n += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.n += 1
+        self.map[key] = value
+
+    def iterator(self):
+        self.n += 1
+        return iter(self.map.items())
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, schema, ttl):
+        return self.states.setdefault(name, Calls())
+
+    def getMapState(self, name, key, value, ttl):
+        return self.states.setdefault(name, Calls())
+
+
+def stood(handle, few, parts):
+    """What stands after parts of one turn, and how often state was called."""
+    made = turns.Covered(60, few)
+    made.init(handle)
+    total = Counter()
+    for part in parts:
+        told = [Row(*COLUMNS, "_rank", "_measured", "_counter", "_hash")(*r, 3, True, r[2] is not None, r[5] or "c") for r in part]
+        for c in made.handleInputRows(("s", "t"), iter(told), None):
+            total[tuple(c)[0], tuple(c)[2:]] += c.sign
+    return +total, sum(s.n for s in handle.states.values())
+
+
+def test_a_turn_of_few_records_is_read_and_written_once_a_batch():
+    mine = [(*r[:4], "s", r[5], "t", *r[7:]) for r in rows(7, 60)]
+    parts = [mine[:20], mine[20:40], mine[40:]]
+    few, calls = stood(Handle(), 64, parts)
+    assert calls == 2 * len(parts)
+    many, _ = stood(Handle(), 1, parts)
+    assert few == many and few
