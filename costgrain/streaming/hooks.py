@@ -11,8 +11,7 @@ import functools
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -110,11 +109,6 @@ _TURN = "name string, sequence long, started_at string, ended_at string, prompt_
 _EVENT = "at long, captured_at string, place long, kind string, prompt_id string, prompt_fingerprint string"
 
 
-def _plain(x):
-    """A cell of pandas as Python has it; missing ones as None."""
-    return None if x is None or x is pd.NA or x != x else x
-
-
 class Sessions(StatefulProcessor):
     """Turns of each session in the order of their time, however events are dealt to batches.
 
@@ -137,18 +131,20 @@ class Sessions(StatefulProcessor):
     def _known(self, name: str) -> bool:
         return self.names.containsKey((name,))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came = [Event(int(r[0]), r[1], int(r[2]), r[3], _plain(r[4]), _plain(r[5])) for b in rows for r in b[list(Event._fields)].itertuples(index=False)]
-        held = [Event(*e) for e in self.pending.get()] if self.pending.exists() else []
-        open_ = [Turn(*t) for t in self.open.get()] if self.open.exists() else []
-        count, revision, start, started, end, ended = self.rest.get() if self.rest.exists() else (0, 0, None, None, None, None)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        came = [Event(*(r[f] for f in Event._fields)) for r in rows]
+        rest = self.rest.get()
+        count, revision, start, started, end, ended = rest or (0, 0, None, None, None, None)
+        # Each look into the state costs a message: a new session has none, and one of which nothing is settled neither turns nor names.
+        held = [Event(*e) for e in self.pending.get()] if rest else []
+        open_ = [Turn(*t) for t in self.open.get()] if count else []
         first, ends = min(came), [e for e in came if e.kind == "SessionEnd"]
         before = (started, ended)
         if start is None or first.at < start:
             start, started = first.at, first.captured_at
         if ends and (end is None or max(ends).at >= end):
             end, ended = max(ends).at, max(ends).captured_at
-        known = functools.cache(self._known)
+        known = functools.cache(self._known) if count else lambda name: False
         order = lambda e: (*e[:4], e[4] or "", e[5] or "")
         was = fold(open_, count, known, sorted(held, key=order))[0]
         now = sorted(held + came, key=order)
@@ -162,27 +158,36 @@ class Sessions(StatefulProcessor):
         old = [e for e in now if e.at < line]
         if old:
             settled, stack, count, new = fold(open_, count, known, old)
-            self.open.put([tuple(settled[n]) for n in stack]) if stack else self.open.clear()
+            if stack:
+                self.open.put([tuple(settled[n]) for n in stack])
+            elif open_:
+                self.open.clear()
             for n in new:
                 self.names.updateValue((n,), (settled[n].sequence,))
         fresh = now[len(old) :]
-        self.pending.put([tuple(e) for e in fresh]) if fresh else self.pending.clear()
+        if not old:
+            self.pending.appendList([tuple(e) for e in came])
+        elif fresh:
+            self.pending.put([tuple(e) for e in fresh])
+        else:
+            self.pending.clear()
         self.rest.update((count, revision + 1, start, started, end, ended))
-        for t in list(self.handle.listTimers()):
+        for t in list(self.handle.listTimers()) if rest else []:
             self.handle.deleteTimer(t)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + 1000 * (self.idle if end is None else self.after_end))
-        yield pd.DataFrame([(*o, revision) for o in out], columns=_CHANGES)
+        for o in out:
+            yield _Change(*o, revision)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         for state in (self.pending, self.open, self.names, self.rest):
             state.clear()
-        yield pd.DataFrame(columns=_CHANGES)
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-_CHANGES = ["what", "session_id", "turn", "sequence", "started_at", "ended_at", "prompt_fingerprint", "gone", "revision"]
+_Change = Row("what", "session_id", "turn", "sequence", "started_at", "ended_at", "prompt_fingerprint", "gone", "revision")
 CHANGE = "what string, session_id string, turn string, sequence long, started_at string, ended_at string, prompt_fingerprint string, gone boolean, revision long"
 
 
@@ -197,7 +202,7 @@ def turns(events: DataFrame, horizon: int = 3_600, idle: int = 7 * 86_400, after
     place = F.col("source_offset") if "source_offset" in events.columns else F.lit(0)
     at = F.coalesce(F.unix_micros(F.try_to_timestamp("captured_at")), F.lit(0))
     flat = events.select("session_id", at.alias("at"), "captured_at", place.cast("long").alias("place"), "kind", F.col("payload.prompt_id").alias("prompt_id"), F.col("payload.prompt_fingerprint").alias("prompt_fingerprint"))
-    return flat.groupBy("session_id").transformWithStateInPandas(Sessions(horizon, idle, after_end), CHANGE, "append", "ProcessingTime")
+    return flat.groupBy("session_id").transformWithState(Sessions(horizon, idle, after_end), CHANGE, "append", "ProcessingTime")
 
 
 def current_turns(changes: DataFrame) -> DataFrame:

@@ -147,3 +147,18 @@ def test_an_event_without_a_session_goes_to_quarantine(spark):
     lines = [json.dumps({"version": 1, "kind": "Stop", "capturedAt": "z", "payload": p}) for p in ({"session_id": "s"}, {"session_id": " "}, {})]
     good, bad = hooks.envelopes(spark.createDataFrame([(x,) for x in lines], "line string"))
     assert [r["session_id"] for r in good.collect()] == ["s"] and [r["label"] for r in bad.collect()] == ["malformed"] * 2
+
+
+def test_a_session_of_which_nothing_is_settled_asks_for_no_names():
+    from unittest.mock import MagicMock
+
+    made = hooks.Sessions(10**9, 60, 60)
+    made.init(MagicMock(getListState=lambda *a: MagicMock()))
+    made.rest.get.return_value, made.pending.get.return_value = (0, 1, 0, "0", None, None), iter([(0, "0", 0, "UserPromptSubmit", "p0", None)])
+    came = [hooks.Event(k, str(k), 0, "Stop" if k == 3 else "UserPromptSubmit", f"p{k}", None)._asdict() for k in (1, 2, 3)]
+    made.handle.listTimers.return_value = iter(())
+    told = list(made.handleInputRows(("s",), iter(came), MagicMock(getCurrentProcessingTimeInMs=lambda: 0)))
+    assert sorted((c.turn, c.ended_at) for c in told) == [("p1", None), ("p2", "3")]
+    made.names.containsKey.assert_not_called()
+    made.open.get.assert_not_called()
+    assert len(made.pending.appendList.call_args[0][0]) == 3 and not made.pending.put.called
