@@ -162,3 +162,15 @@ def test_a_session_of_which_nothing_is_settled_asks_for_no_names():
     made.names.containsKey.assert_not_called()
     made.open.get.assert_not_called()
     assert len(made.pending.appendList.call_args[0][0]) == 3 and not made.pending.put.called
+
+
+def test_a_large_batch_is_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    from costgrain.streaming import ledger
+
+    monkeypatch.setattr(ledger, "ROWS", 10)
+    seen = []
+    monkeypatch.setattr(ledger.Ledger, "_ingest", lambda self, rows, batch, at: seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (5, 100):
+        ledger.Ledger(spark, str(tmp_path)).ingest(spark.range(n), 0)
+    assert seen == [int(was), 11] and spark.conf.get("spark.sql.shuffle.partitions") == was
