@@ -11,27 +11,26 @@ smoothed so that nothing is impossible.
 Texts are read once. The documents that come along in a task, up to
 ``SHARE_TOKENS`` tokens, make a share: one row with their tokens as numbers, and
 a row for each of its different words with the count. Counts are added up by
-word and sent back to the shares that hold the word. All else is array work on
-numbers: a round of exchange counts, in each share, the classes before and
-after each type, and only these counts are shuffled, packed by buckets of types. Nothing large is broadcast.
+word and sent back, packed, to the shares that hold the word. All else is array work on
+numbers: a round of exchange counts, in each share, the classes before and after
+each type where one has moved, and only these counts are shuffled, packed by buckets
+of types. Scores are worked out where the shares lie. Nothing large is broadcast.
 """
 
 from __future__ import annotations
 
 import os
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costgrain.llm.common import batch_of, forget, in_training, release, small, stored, table, text_bytes
+from costgrain.llm.common import batch_of, forget, in_training, release, small, stored, table
 
-#: The token that ends every text. No word is empty, so this is none of them.
-END = b""
 MODULUS, HELD_OUT = 7, 2
 #: Words that teach so often are types of their own; rarer ones share a type by their last letters.
 LEAST, ENDING = 20, 3
@@ -53,11 +52,6 @@ PARTS = 32
 _OWN = 2 * CLASSES
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """The words of a text with a-z for A-Z, then the end."""
-    return [*text.lower().split(), END]
-
-
 def _type(word: Column, count: Column) -> Column:
     """The type of a word by its count: a hash of the word itself, or of its ending where it is rare."""
     return F.when(count >= LEAST, F.xxhash64(F.lit(1), word)).otherwise(F.xxhash64(F.lit(0), F.right(word.cast("string"), F.lit(ENDING))))
@@ -68,17 +62,39 @@ _SHARES = pa.schema(
 )
 
 
-def _packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
-    """Whole numbers as compressed bytes; their count comes first. Places are below 2**32, counts ("<i8") may be below nought."""
-    raw = numbers.astype(kind).tobytes()
-    return len(numbers).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+def _packed(numbers: np.ndarray, kind: str = "<u4", gaps: bool = False) -> bytes:
+    """Whole numbers as compressed bytes, all lowest bytes first, then the next ones, as high ones are mostly alike; with
+    ``gaps`` as differences. Their count comes first. Places are below 2**32, counts ("<i8") may be below nought."""
+    if not len(numbers):
+        return b""
+    raw = (np.diff(numbers, prepend=0) if gaps else numbers).astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+    return (len(numbers) | gaps << 63).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(packed: bytes, kind: str = "<u4") -> np.ndarray:
     if not packed:
         return np.zeros(0, np.int64)
-    size = np.dtype(kind).itemsize * int.from_bytes(packed[:8], "little")
-    return np.frombuffer(pa.decompress(packed[8:], decompressed_size=size, codec="zstd", asbytes=True), kind).astype(np.int64)
+    head, size = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    many = head & ~(1 << 63)
+    raw = np.frombuffer(pa.decompress(packed[8:], decompressed_size=size * many, codec="zstd", asbytes=True), np.uint8)
+    out = np.ascontiguousarray(raw.reshape(size, many).T).view(kind).ravel().astype(np.int64)
+    return np.cumsum(out) if head >> 63 else out
+
+
+def _tokens(texts: pa.Array) -> pa.Array:
+    """The words of each text with a-z for A-Z, then the end; null is empty. The end is what splitting leaves after a last blank."""
+    own = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())  # ascii_lower gives wrong letters for a slice
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(own, "")))
+    nothing, blank = (pa.scalar(x, plain.type) for x in ("", " "))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(plain, nothing), plain, pc.binary_join_element_wise(plain, nothing, blank)))
+
+
+def _by_frequency(ids: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers below ``many`` in the order of how often they are in ``ids``, and ``ids`` as places there: small where common, which packs well."""
+    order = np.argsort(-np.bincount(ids, minlength=many), kind="stable")
+    place = np.empty(many, np.int64)
+    place[order] = np.arange(many)
+    return order, place[ids]
 
 
 def encoded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,95 +105,169 @@ def encoded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     k (number), word and n (how often it teaches there; 0 if only held-out texts have it).
     """
 
-    class Share:
-        def __init__(self):
-            self.at: defaultdict = defaultdict()
-            self.at.default_factory = self.at.__len__
-            self.docs, self.learn, self.ids, self.tokens = [], [], [], 0
-
-        def add(self, doc_id, learn: bool, text: bytes) -> None:
-            found = tokens(text)
-            self.ids.append(np.fromiter(map(self.at.__getitem__, found), np.uint32, len(found)))
-            self.docs.append(doc_id)
-            self.learn.append(learn)
-            self.tokens += len(found)
-
-        def rows(self) -> Iterator[pa.RecordBatch]:
-            sizes, ids, words = [len(x) for x in self.ids], np.concatenate(self.ids), list(self.at)
-            number = int.from_bytes(os.urandom(8), "little") >> 1  # what is written once keeps it
-            n = np.bincount(ids[np.repeat(self.learn, sizes)], minlength=len(words))
-            nothing = lambda many: (pa.nulls(many, f.type) for f in _SHARES)
-            own = dict(zip(_SHARES.names, nothing(1), strict=True))
-            own |= {"share": [number], "doc_ids": [self.docs], "learn": [self.learn], "sizes": [sizes], "ids": [_packed(ids)]}
+    def rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc_ids, learn, found = (pa.chunked_array(x).combine_chunks() for x in zip(*held, strict=True))
+        sizes, coded = found.value_lengths().to_numpy().astype(np.int64), found.flatten().dictionary_encode()
+        whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        ids, number = coded.indices.to_numpy(), int.from_bytes(os.urandom(8), "little") >> 1  # what is written once keeps it
+        order, ids = _by_frequency(ids, len(coded.dictionary))
+        words = coded.dictionary.take(pa.array(order)).cast(pa.large_binary()).cast(pa.binary())
+        n = np.bincount(ids[np.repeat(learn.to_numpy(zero_copy_only=False), sizes)], minlength=len(words))
+        nothing = lambda many: (pa.nulls(many, f.type) for f in _SHARES)
+        own = dict(zip(_SHARES.names, nothing(1), strict=True))
+        own |= {"share": [number], "doc_ids": whole(doc_ids), "learn": whole(learn), "sizes": [sizes], "ids": [_packed(ids)]}
+        yield batch_of(_SHARES, *own.values())
+        for a in range(0, len(words), 100_000):
+            some = words[a : a + 100_000]
+            own = dict(zip(_SHARES.names, nothing(len(some)), strict=True))
+            own |= {"share": np.full(len(some), number), "k": np.arange(a, a + len(some)), "word": some, "n": n[a : a + len(some)]}
             yield batch_of(_SHARES, *own.values())
-            for a in range(0, len(words), 100_000):
-                some = words[a : a + 100_000]
-                own = dict(zip(_SHARES.names, nothing(len(some)), strict=True))
-                own |= {"share": np.full(len(some), number), "k": np.arange(a, a + len(some)), "word": some, "n": n[a : a + len(some)]}
-                yield batch_of(_SHARES, *own.values())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share = Share()
-        for b in small(batches):
-            for doc_id, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2)), strict=True):
-                share.add(doc_id, learn, text)
-                if share.tokens >= SHARE_TOKENS:
-                    yield from share.rows()
-                    share = Share()
-        if share.docs:
-            yield from share.rows()
+        held, full = [], SHARE_TOKENS
+        for b in small(batches, 100):
+            found = _tokens(b.column(2))
+            ends, a = np.cumsum(found.value_lengths().to_numpy()), 0
+            while a < b.num_rows:  # up to the text that fills the share
+                before = ends[a - 1] if a else 0
+                z = min(int(np.searchsorted(ends, before + full)) + 1, b.num_rows)
+                held.append((b.column(0)[a:z], b.column(1)[a:z], found[a:z]))
+                a, full = z, full - int(ends[z - 1] - before)
+                if full <= 0:
+                    yield from rows(held)
+                    held, full = [], SHARE_TOKENS
+        if held:
+            yield from rows(held)
 
     plain = docs.select(F.col("doc_id").cast("long"), in_training(F.col("doc_id"), MODULUS, HELD_OUT).alias("learn"), F.col("text").cast("string"))
     both = stored(plain.mapInArrow(scan, "share long, doc_ids array<long>, learn array<boolean>, sizes array<long>, ids binary, k int, word binary, n long"))
-    return both.where("k is null").select("share", "doc_ids", "learn", "sizes", "ids"), both.where("k is not null").select("share", "k", "word", "n")
+    shares = both.where("k is null").select("share", "doc_ids", "learn", "sizes", "ids")
+    shares._stored_at = both._stored_at  # to forget both
+    return shares, both.where("k is not null").select("share", "k", "word", "n")
 
 
 def _flat(lists: pa.ChunkedArray) -> np.ndarray:
     return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
-def _by_number(right: pa.Table, column: str) -> np.ndarray:
-    """A column of a share's words in the order of their numbers."""
-    out = np.empty(right.num_rows, np.int64)
-    out[right.column("k").to_numpy()] = right.column(column).to_numpy()
-    return out
+#: Words of shares that are packed, or whose counts are added up, in one piece.
+_WORDS = 1_000_000
+
+
+def counted(vocabularies: DataFrame) -> DataFrame:
+    """(share, k, c, t, word) of the words of shares: c (how often the word teaches in all), its type, and the word
+    itself in one of its rows, null in the others; stored. Words are dealt by hash to as many tasks as keep each at about _WORDS rows."""
+    names = ["share", "k", "c", "t", "word"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := list(batches)):
+            return
+        all_ = pa.Table.from_batches(held)
+        coded = all_.column("word").combine_chunks().dictionary_encode()
+        at, n = coded.indices.to_numpy(), all_.column("n").to_numpy()
+        c = np.bincount(at, weights=n, minlength=len(coded.dictionary)).astype(np.int64)[at]  # exact below 2**53
+        again = np.ones(len(at), bool)
+        again[np.unique(at, return_index=True)[1]] = False
+        t = np.where(c >= LEAST, all_.column("own").to_numpy(), all_.column("rare").to_numpy())
+        once = pc.if_else(pa.array(again), pa.scalar(None, coded.dictionary.type), all_.column("word").combine_chunks())
+        out = pa.table([all_.column("share"), all_.column("k"), c, t, once], names)
+        yield from out.to_batches(max_chunksize=100_000)
+
+    spark = vocabularies.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vocabularies.count() // _WORDS))
+    own, rare = (_type(F.col("word"), F.lit(n)) for n in (LEAST, 0))
+    dealt = vocabularies.repartition(tasks, "word").select("share", "k", "n", "word", own.alias("own"), rare.alias("rare"))
+    return stored(dealt.mapInArrow(add, "share long, k int, c long, t long, word binary"))
+
+
+def _packed_words(placed: DataFrame) -> DataFrame:
+    """(share, k, c, t) with packed numbers: a task's words of a share in one row or a few."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            columns = (pa.chunked_array(x).to_numpy() for x in zip(*(b.columns for b in held), strict=True))
+            share, k, c, t = columns
+            order = np.lexsort((k, share))
+            share, k, c, t = share[order], k[order], c[order], t[order]
+            cuts = np.flatnonzero(np.append(True, share[1:] != share[:-1]))
+            parts = [slice(a, z) for a, z in zip(cuts, np.append(cuts[1:], len(share)), strict=True)]
+            return pa.RecordBatch.from_pydict(
+                {"share": share[cuts], "k": [_packed(k[p], gaps=True) for p in parts], "c": [_packed(c[p], "<i8") for p in parts], "t": [t[p].tobytes() for p in parts]}
+            )
+
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held, n = [*held, b], n + b.num_rows
+            if n >= _WORDS:
+                yield rows(held)
+                held, n = [], 0
+        if held:
+            yield rows(held)
+
+    return placed.select("share", "k", "c", "t").mapInArrow(pack, "share long, k binary, c binary, t binary")
+
+
+_LONGS = pa.list_(pa.int64())
+_TEXTS = pa.schema(
+    [("share", pa.int64()), ("types", _LONGS), ("seq", pa.binary()), ("starts", pa.binary()), ("extra", _LONGS), ("held", pa.binary()), ("doc_ids", _LONGS), ("learn", pa.list_(pa.bool_())), ("sizes", _LONGS), ("known", _LONGS), ("logs", pa.list_(pa.float64()))]
+)
+_TEXTS_SQL = "share long, types array<long>, seq binary, starts binary, extra array<long>, held binary, doc_ids array<long>, learn array<boolean>, sizes array<long>, known array<long>, logs array<double>"
 
 
 def sequences(shares: DataFrame, placed: DataFrame) -> DataFrame:
-    """(share, types, seq, starts): the different types of what teaches in a share, the
-    tokens as numbers of these, and the places where texts start; stored."""
+    """Shares with types in place of words, a row each; stored.
+
+    types are the different types of what teaches in a share, seq its tokens as numbers of these, and starts the
+    places where texts start; held are the tokens of the held-out texts, as numbers of types and then of extra, which has what
+    only they have. For each document: doc_ids, learn, sizes, known (tokens that teach) and logs (log10(c + 1) of its tokens added up).
+    """
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"share": pa.array([], pa.int64()), "types": pa.array([], pa.list_(pa.int64())), "seq": pa.array([], pa.binary()), "starts": pa.array([], pa.binary())})
+            return _TEXTS.empty_table()
         sizes, learn = _flat(left.column("sizes")), _flat(left.column("learn")).astype(bool)
-        ids = _unpacked(left.column("ids")[0].as_py())[np.repeat(learn, sizes)]
-        of_word = _by_number(right, "t")
-        used, number = np.zeros(len(of_word), bool), np.zeros(len(of_word), np.int64)
-        used[ids] = True
-        types, number[used] = np.unique(of_word[used], return_inverse=True)
-        seq = number[ids]
+        ids, teaches = _unpacked(left.column("ids")[0].as_py()), np.repeat(learn, sizes)
+        k = np.concatenate([_unpacked(x) for x in right.column("k").to_pylist()])
+        of_word, c = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
+        of_word[k] = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("t").to_pylist()])
+        c[k] = np.concatenate([_unpacked(x, "<i8") for x in right.column("c").to_pylist()])
+        first = np.cumsum(sizes) - sizes
+        added = lambda x: np.add.reduceat(x[ids], first)  # noqa: E731  # every text has a token
+        used = np.zeros(len(k), bool)
+        used[ids[teaches]] = True
+        types = np.unique(of_word[used])
+        extra = np.setdiff1d(of_word, types)
+        number = np.where(used, np.searchsorted(types, of_word), 0)
+        order, seq = _by_frequency(number[ids[teaches]], len(types))
+        types = types[order]
+        known_types = np.append(types, extra)
+        sorter = np.argsort(known_types)
+        held = sorter[np.searchsorted(known_types, of_word, sorter=sorter)][ids[~teaches]]
         starts = np.cumsum(sizes[learn]) - sizes[learn]
-        return pa.table({"share": left.column("share"), "types": pa.array([types], pa.list_(pa.int64())), "seq": [_packed(seq)], "starts": [_packed(starts)]})
+        own = {"types": [types], "seq": [_packed(seq)], "starts": [_packed(starts, gaps=True)], "extra": [extra], "held": [_packed(held)]}
+        own |= {c: left.column(c) for c in ("doc_ids", "learn", "sizes")}
+        return pa.table({"share": left.column("share")} | own | {"known": [added((c > 0).astype(np.int64))], "logs": [added(np.log10(c + 1.0))]})
+
+    met = shares.groupBy("share").cogroup(_packed_words(placed).groupBy("share"))
+    return stored(met.applyInArrow(one, _TEXTS_SQL))
 
-    met = shares.groupBy("share").cogroup(placed.groupBy("share"))
-    return stored(met.applyInArrow(one, "share long, types array<long>, seq binary, starts binary"))
+
+def _teaching(text: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of what teaches in a share, and whether a text starts there."""
+    seq = _unpacked(text.column("seq")[0].as_py())
+    start = np.zeros(len(seq), bool)
+    start[_unpacked(text.column("starts")[0].as_py())] = True
+    return seq, start
 
 
 def _scanned(texts: DataFrame, classes: DataFrame, many: int, schema: str, count) -> tuple[DataFrame, Callable[[], None]]:
-    """What ``count`` gives for each share from its tokens, whether a text starts there, and for each number the
-    type and, for every column of ``classes`` (t, then one or more), its class (-1: none yet); and what to call
-    once that is stored.
+    """What ``count`` gives for each share from its row, and for each number the type and, for every column of ``classes``
+    (t, then one or more), its class (-1: none yet); and what to call once that is stored.
 
     Up to FEW_TYPES types go to the tasks as arrays; more meet the shares by a join."""
     names = [c for c in classes.columns if c != "t"]
 
-    def told(left: pa.Table, kinds: np.ndarray, of: list[np.ndarray]) -> pa.Table:
-        seq = _unpacked(left.column("seq")[0].as_py())
-        start = np.zeros(len(seq), bool)
-        start[_unpacked(left.column("starts")[0].as_py())] = True
-        return count(seq, start, kinds, *of)
-
     if many <= FEW_TYPES:
         rows = classes.select("t", *names).toPandas().sort_values("t")
         known = texts.sparkSession.sparkContext.broadcast((rows["t"].to_numpy(np.int64), [rows[c].to_numpy(np.int32) for c in names]))
@@ -190,20 +280,17 @@ def _scanned(texts: DataFrame, classes: DataFrame, many: int, schema: str, count
                     kinds = _flat(one.column("types"))
                     at = np.minimum(np.searchsorted(t, kinds), max(0, len(t) - 1))
                     of = [np.where(t[at] == kinds, c[at], -1).astype(np.int32) if len(t) else np.full(len(kinds), -1, np.int32) for c in given]
-                    yield from told(one, kinds, of).to_batches(max_chunksize=100_000)
+                    yield from count(one, kinds, *of).to_batches(max_chunksize=100_000)
 
-        return texts.select("types", "seq", "starts").mapInArrow(scan, schema), known.unpersist
+        return texts.mapInArrow(scan, schema), known.unpersist
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            nothing = np.zeros(0, np.int64)
-            return count(nothing, nothing.astype(bool), nothing, *(nothing for _ in names))
         k = right.column("k").to_numpy()
         kinds, of = np.empty(len(k), np.int64), [np.empty(len(k), np.int64) for _ in names]
         kinds[k] = right.column("t").to_numpy()
         for c, name in zip(of, names, strict=True):
             c[k] = right.column(name).fill_null(-1).to_numpy()
-        return told(left, kinds, of)
+        return count(left, kinds, *of)
 
     inside = texts.select(F.col("share").alias("part"), F.posexplode("types").alias("k", "t"))
     met = inside.join(classes, "t", "left").select("part", "k", "t", *names)
@@ -216,7 +303,8 @@ _COUNTED = pa.schema([("t", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())
 def _head_pairs(texts: DataFrame, heads: DataFrame, many: int) -> np.ndarray:
     """How often each of a few types (t, c: its number) follows each other one."""
 
-    def count(seq, start, kinds, of) -> pa.Table:
+    def count(text, kinds, of) -> pa.Table:
+        seq, start = _teaching(text)
         c = of[seq]
         met = (c[:-1] >= 0) & (c[1:] >= 0) & ~start[1:]
         n = np.bincount(c[:-1][met] * many + c[1:][met], minlength=many * many)
@@ -224,8 +312,8 @@ def _head_pairs(texts: DataFrame, heads: DataFrame, many: int) -> np.ndarray:
         return pa.Table.from_batches([batch_of(_COUNTED, some // many, some % many, n[some])])
 
     out = np.zeros((many, many))
-    counted, done = _scanned(texts, heads, many, "t long, slot int, n long", count)
-    for a, b, n in counted.groupBy("t", "slot").agg(F.sum("n")).collect():  # the square of HEAD
+    pairs, done = _scanned(texts.select("share", "types", "seq", "starts"), heads, many, "t long, slot int, n long", count)
+    for a, b, n in pairs.groupBy("t", "slot").agg(F.sum("n")).collect():  # the square of HEAD
         out[a, b] = n
     done()
     return out
@@ -246,52 +334,58 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("types", pa.binary()), ("cells", p
 _PACKED_SQL = "bucket int, types binary, cells binary, n binary"
 
 
-#: Cells of a share that are counted at a time, so that memory doesn't grow with its types.
+#: Places that are sorted at a time when they are counted.
 _CELLS = 4_000_000
 
 
+def _summed(places: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different places in ascending order, and how often each is there with sign 1 less how often with -1, where that isn't nought."""
+    parts = []
+    for at, sign in places:
+        for a in range(0, len(at), _CELLS):
+            some, n = np.unique(at[a : a + _CELLS], return_counts=True)
+            parts.append((some, sign * n))
+    if len(parts) < 2:
+        return parts[0] if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    some, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(some, kind="stable")  # sorted runs, which it merges
+    some, n = some[order], n[order]
+    first = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
+    some, n = some[first], np.add.reduceat(n, first)
+    return some[n != 0], n[n != 0]
+
+
 def _counted(kinds: np.ndarray, buckets: int, width: int, seen: Callable[[np.ndarray], list[tuple]]) -> list[tuple]:
-    """A share's rows, one a bucket: its types, and the cells of them that ``seen`` counts, a block of cells at a time.
+    """A share's rows, one a bucket: its types, and the cells of them that ``seen`` counts.
 
     ``seen`` gets the place of every number in the order of buckets and gives parts (places, slots, sign) of what is counted.
     """
     dealt = (kinds & (buckets - 1)).astype(np.int64)
     order = np.argsort(dealt, kind="stable")
-    place = np.empty(len(kinds), np.int32)
-    place[order] = np.arange(len(kinds), dtype=np.int32)
-    parts = seen(place)
-    block = max(1, _CELLS // width)
-    cells, values = [], []
-    for a in range(0, len(kinds), block):
-        z = min(a + block, len(kinds))
-        n = np.zeros((z - a) * width, np.int64)
-        for at, slot, sign in parts:
-            here = (at >= a) & (at < z) if z - a < len(kinds) else slice(None)
-            found = np.bincount((at[here] - a) * np.int32(width) + (slot if isinstance(slot, int) else slot[here]), minlength=len(n))
-            n = n + found if sign > 0 else n - found
-        some = np.flatnonzero(n)
-        cells.append(some + a * width)
-        values.append(n[some])
-    if not cells:
+    small = len(kinds) * width < 1 << 31
+    place = np.empty(len(kinds), np.int32 if small else np.int64)
+    place[order] = np.arange(len(kinds))
+    some, n = _summed([(at * place.dtype.type(width) + slot, sign) for at, slot, sign in seen(place)])
+    if not len(some):
         return []
-    some, n = np.concatenate(cells), np.concatenate(values)
-    edges = np.searchsorted(dealt[order], np.arange(buckets + 1))
-    cuts, rows = np.searchsorted(some, edges * width), []
+    at = some // width
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    used, rank = at[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
+    edges = np.searchsorted(dealt[order[used]], np.arange(buckets + 1))
+    cuts, types, cells, rows = np.append(first, len(at))[edges], kinds[order[used]], rank * width + (some - at * width), []
     for k in np.flatnonzero(np.diff(cuts)):
-        here, mine = some[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]]
-        used, of = np.unique(here // width, return_inverse=True)
-        rows.append((k, kinds[order[used]].tobytes(), _packed(of * width + here % width), _packed(mine, "<i8")))
+        here = slice(cuts[k], cuts[k + 1])
+        rows.append((k, types[edges[k] : edges[k + 1]].tobytes(), _packed(cells[here] - edges[k] * width, gaps=True), _packed(n[here], "<i8")))
     return rows
 
 
-def _bigrams(seq: np.ndarray, start: np.ndarray, c: np.ndarray) -> list[tuple]:
-    """A share's part of the counts of class bigrams, under a bucket below 0."""
-    if not len(seq):
-        return []
-    known = np.where(start, CLASSES, np.append(-1, c[:-1]))
-    seen = (known >= 0) & (c >= 0)
-    pairs = np.bincount(known[seen] * CLASSES + c[seen], minlength=(CLASSES + 1) * CLASSES)
-    return [(-1 - int(seq.sum() % PARTS), b"", _packed(np.flatnonzero(pairs)), _packed(pairs[pairs > 0], "<i8"))]
+def _bigrams(part: int, parts: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple]:
+    """A share's part of the counts of class bigrams, under a bucket below 0: parts (class before, class, sign), of which those below 0 have none."""
+    out = np.zeros((CLASSES + 1) * CLASSES, np.int64)
+    for before, c, sign in parts:
+        seen = (before >= 0) & (c >= 0)
+        out += sign * np.bincount(before[seen] * CLASSES + c[seen], minlength=len(out))
+    return [(-1 - part % PARTS, b"", _packed(np.flatnonzero(out), gaps=True), _packed(out[out != 0], "<i8"))] if out.any() else []
 
 
 def _rows_of(rows: list[tuple]) -> pa.Table:
@@ -308,7 +402,7 @@ def _added(counted: DataFrame) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             some = np.flatnonzero(cells)
-            return batch_of(_PACKED, [bucket], [types.tobytes()], [_packed(some)], [_packed(cells[some], "<i8")])
+            return batch_of(_PACKED, [bucket], [types.tobytes()], [_packed(some, gaps=True)], [_packed(cells[some], "<i8")])
 
         for batch in batches:
             for b, t, at, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -318,18 +412,20 @@ def _added(counted: DataFrame) -> DataFrame:
                     bucket, types, cells = b, np.zeros(0, np.int64), np.zeros((CLASSES + 1) * CLASSES if b < 0 else 0, np.int64)
                 at, n, mine = _unpacked(at), _unpacked(n, "<i8"), np.frombuffer(t, np.int64)
                 if b >= 0:
-                    new = np.setdiff1d(mine, types)
-                    if len(new):  # the table grows to the bucket's types
-                        all_types = np.union1d(types, new)
+                    place = np.searchsorted(types, mine)
+                    if not len(types) or (types[np.minimum(place, len(types) - 1)] != mine).any():  # the table grows to the bucket's types
+                        all_types = np.union1d(types, mine)
                         grown = np.zeros((len(all_types), width), np.int64)
                         grown[np.searchsorted(all_types, types)] = cells.reshape(-1, width)
                         types, cells = all_types, grown.ravel()
-                    at = np.searchsorted(types, mine)[at // width] * width + at % width
+                        place = np.searchsorted(types, mine)
+                    mine_at = at // width
+                    at = (place[mine_at] - mine_at) * width + at
                 cells[at] += n  # a share names each cell once
         if bucket is not None:
             yield row()
 
-    return stored(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, _PACKED_SQL))
+    return stored(counted.repartition("bucket").sortWithinPartitions("bucket", F.desc(F.length("types"))).mapInArrow(add, _PACKED_SQL))  # the fullest row first: the table grows seldom
 
 
 def _contexts(texts: DataFrame, classes: DataFrame, many: int, buckets: int) -> DataFrame:
@@ -340,7 +436,8 @@ def _contexts(texts: DataFrame, classes: DataFrame, many: int, buckets: int) ->
     """
     width = _OWN + 1
 
-    def count(seq, start, kinds, of) -> pa.Table:
+    def count(text, kinds, of) -> pa.Table:
+        seq, start = _teaching(text)
         c = of[seq]
 
         def seen(place: np.ndarray) -> list[tuple]:
@@ -349,10 +446,10 @@ def _contexts(texts: DataFrame, classes: DataFrame, many: int, buckets: int) ->
             own, after, before = linked & (a == b), linked & (a != b) & (c[1:] >= 0), linked & (a != b) & (c[:-1] >= 0)
             return [(a[after], c[1:][after], 1), (b[before], CLASSES + c[:-1][before], 1), (a[own], _OWN, 1)]
 
-        return _rows_of(_counted(kinds, buckets, width, seen) + _bigrams(seq, start, c))
+        return _rows_of(_counted(kinds, buckets, width, seen) + _bigrams(len(seq), [(np.where(start, CLASSES, np.append(-1, c[:-1])), c, 1)] if len(seq) else []))
 
-    counted, done = _scanned(texts, classes, many, _PACKED_SQL, count)
-    out = _added(counted)
+    around, done = _scanned(texts.select("share", "types", "seq", "starts"), classes, many, _PACKED_SQL, count)
+    out = _added(around)
     done()
     release(texts.sparkSession)
     return out
@@ -361,26 +458,28 @@ def _contexts(texts: DataFrame, classes: DataFrame, many: int, buckets: int) ->
 def _moved_contexts(texts: DataFrame, counts: DataFrame, tried: DataFrame, many: int, buckets: int) -> DataFrame:
     """``counts`` after types have moved from class ``was`` to ``c`` (t, c, was): the same as ``_contexts`` of the new classes.
 
-    Shares send only what differs: for a type beside one that has moved, one less by its old class and one
-    more by its new one. The later the round, the fewer move, and the less is sent.
+    Shares count and send only what differs: for a type beside one that has moved, one less by its old class and one
+    more by its new one, and of class bigrams likewise. The later the round, the fewer move, and the less is counted and sent.
     """
     width = _OWN + 1
 
-    def count(seq, start, kinds, now, was) -> pa.Table:
-        moved = now != was
+    def count(text, kinds, now, was) -> pa.Table:
+        seq, start = _teaching(text)
+        moved = (now != was)[seq]
+        at = np.flatnonzero((moved[1:] | moved[:-1]) & ~start[1:])  # a pair of which one has moved begins here
+        x, y, first = seq[at], seq[at + 1], seq[moved & start]
 
         def seen(place: np.ndarray) -> list[tuple]:
-            p, other = place[seq], moved[seq]
-            linked = ~start[1:] & (p[:-1] != p[1:])
-            after, before = linked & other[1:], linked & other[:-1]
-            follows, leads = p[:-1][after], p[1:][before]
-            then, last = seq[1:][after], seq[:-1][before]
+            after, before = moved[at + 1] & (x != y), moved[at] & (x != y)
+            follows, leads, then, last = place[x[after]], place[y[before]], y[after], x[before]
             return [(follows, now[then], 1), (follows, was[then], -1), (leads, CLASSES + now[last], 1), (leads, CLASSES + was[last], -1)]
 
-        return _rows_of((_counted(kinds, buckets, width, seen) if moved.any() else []) + _bigrams(seq, start, now[seq]))
+        begun = np.full(len(first), CLASSES)
+        pairs = [(now[x], now[y], 1), (was[x], was[y], -1), (begun, now[first], 1), (begun, was[first], -1)]
+        return _rows_of(_counted(kinds, buckets, width, seen) + _bigrams(len(seq), pairs) if moved.any() else [])
 
-    changes, done = _scanned(texts, tried.select("t", "c", "was"), many, _PACKED_SQL, count)
-    out = _added(counts.where("bucket >= 0").unionByName(changes))
+    changes, done = _scanned(texts.select("share", "types", "seq", "starts"), tried.select("t", "c", "was"), many, _PACKED_SQL, count)
+    out = _added(counts.unionByName(changes))
     done()
     release(texts.sparkSession)
     return out
@@ -396,9 +495,9 @@ def best_moves(table: np.ndarray, row: np.ndarray, column: np.ndarray, own: np.n
     ``table`` counts class bigrams; ``row`` and ``column`` how often classes come after
     and before each type, ``own`` how often it follows itself. A home below 0: in no class yet.
     """
-    classes, out, gains = len(table), np.zeros(len(home), np.int64), np.zeros(len(home))
-    for at in range(0, len(home), 500):
-        here = slice(at, at + 500)
+    classes, out, gains, whole = len(table), np.zeros(len(home), np.int64), np.zeros(len(home)), _xlogx(table.astype(float))
+    for at in range(0, len(home), 64):  # whose tables stay in a processor's cache
+        here = slice(at, at + 64)
         h, o, many = home[here], own[here].astype(float), np.arange(len(home[here]))
         r, c, settled = row[here].astype(float), column[here].astype(float), h >= 0
         k, g = many[settled], h[settled]
@@ -408,9 +507,13 @@ def best_moves(table: np.ndarray, row: np.ndarray, column: np.ndarray, own: np.n
         rest[k, g] -= r[k]
         rest[k, :, g] -= c[k]
         rest[k, g, g] -= o[k]
-        before, d = _xlogx(rest), np.arange(classes)
-        after = _xlogx(rest + r[:, None, :]) - before
-        below = _xlogx(rest + c[:, :, None]) - before
+        before, d = np.repeat(whole[None], len(h), axis=0), np.arange(classes)
+        before[k, g], before[k, :, g] = _xlogx(rest[k, g]), _xlogx(rest[k, :, g])
+        after, below = np.zeros(rest.shape), np.zeros(rest.shape)  # nothing changes beside classes that don't come after or before
+        i, j = np.nonzero(r)
+        after[i, :, j] = _xlogx(rest[i, :, j] + r[i, j][:, None]) - before[i, :, j]
+        i, j = np.nonzero(c)
+        below[i, j] = _xlogx(rest[i, j] + c[i, j][:, None]) - before[i, j]
         value = after.sum(axis=2) - after[:, d, d] + below.sum(axis=1) - below[:, d, d]
         value += _xlogx(rest[:, d, d] + r + c + o[:, None]) - before[:, d, d]
         rows, columns = rest.sum(axis=2) + c, rest.sum(axis=1) + r
@@ -540,6 +643,7 @@ class ClassModel:
     """What scoring needs beside the counts of words; logarithms are to base 10."""
 
     classes: DataFrame | None  # (t, c): class of each type; stays with Spark
+    types: int  # how many these are
     spare: int  # class of words whose ending was never seen
     follow: np.ndarray  # log P(class | class before); last row: at the start
     weight: np.ndarray  # log of what a class's counts add up to, smoothed
@@ -563,35 +667,33 @@ class ClassModel:
 
 @dataclass(frozen=True)
 class Learned:
-    """A model, the counts of words (word, c) and what it was learnt from: shares, and their words (share, k, c, t)."""
+    """A model, the counts of words (word, c) and the texts as types."""
 
     model: ClassModel
     words: DataFrame
-    shares: DataFrame
-    placed: DataFrame
+    texts: DataFrame
 
 
 def learn(docs: DataFrame) -> Learned:
     """Count, cluster and estimate on the documents that teach; all tables are stored."""
     shares, vocabularies = encoded(docs)
-    words = stored(vocabularies.groupBy("word").agg(F.sum("n").alias("c")))
-    placed = stored(vocabularies.join(words, "word").select("share", "k", "c", _type(F.col("word"), F.col("c")).alias("t")))
-    seen_words = words.where("c > 0")
-    types = stored(seen_words.select(_type(F.col("word"), F.col("c")).alias("t"), "c").groupBy("t").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")))
+    placed = counted(vocabularies)
+    words = placed.where("word is not null").select("word", "c")
+    types = stored(placed.where("word is not null and c > 0").groupBy("t").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")))
     release(docs.sparkSession)
     texts = sequences(shares, placed)
+    forget(shares)
     release(docs.sparkSession)
     classes, pairs = cluster(texts, types)
-    forget(texts)
     seen, more = np.zeros(CLASSES), np.zeros(CLASSES)
     for c, n, kinds in types.join(classes, "t").groupBy("c").agg(F.sum("n"), F.sum("kinds")).collect():  # one row a class
         seen[c], more[c] = n, kinds
     # Add-one smoothing gives each class as much more as it has different words, here and in what follows what.
     mass = seen + more + 1e-9
     pairs = pairs * (mass / np.maximum(seen, 1)) + TRANSITION * CLASSES * mass / mass.sum()
-    model = ClassModel(classes, int(more.argmax()), np.log10(pairs / pairs.sum(axis=1, keepdims=True)), np.log10(seen + more + UNSEEN), int(seen.sum()), int(more.sum()))
+    model = ClassModel(classes, types.count(), int(more.argmax()), np.log10(pairs / pairs.sum(axis=1, keepdims=True)), np.log10(seen + more + UNSEEN), int(seen.sum()), int(more.sum()))
     release(docs.sparkSession)
-    return Learned(model, words, shares, placed)
+    return Learned(model, words, texts)
 
 
 _RESULT = pa.schema(
@@ -613,23 +715,23 @@ def score(docs: DataFrame) -> DataFrame:
     learned = learn(docs)
     model = learned.model
 
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _RESULT.empty_table()
-        counts, where = _by_number(right, "c").astype(float), _by_number(right, "class")
-        emit, base = model.emitted(where, counts)
-        ids, sizes, learn = _unpacked(left.column("ids")[0].as_py()), _flat(left.column("sizes")), _flat(left.column("learn")).astype(bool)
-        starts = np.cumsum(sizes) - sizes
-        c = where[ids]
-        before = np.append(CLASSES, c[:-1])
-        before[starts] = CLASSES
-        added = lambda x: np.add.reduceat(x, starts)  # noqa: E731  # every text has a token
-        columns = [left.column("doc_ids").combine_chunks().flatten(), ~learn, sizes, added((counts > 0)[ids].astype(np.int64)), np.full(len(sizes), model.total), added(base[ids]), added(emit[ids] + model.follow[before, c])]
+    def one(text: pa.Table, kinds: np.ndarray, where: np.ndarray) -> pa.Table:
+        where = np.where(where < 0, model.spare, where)
+        sizes, learn, known, logs = (_flat(text.column(c)) for c in ("sizes", "learn", "known", "logs"))
+        learn, scores = learn.astype(bool), np.empty(len(sizes))
+        for some, numbers in ((learn, "seq"), (~learn, "held")):
+            if some.any():
+                c = where[_unpacked(text.column(numbers)[0].as_py())]
+                starts = np.cumsum(sizes[some]) - sizes[some]
+                before = np.append(CLASSES, c[:-1])
+                before[starts] = CLASSES
+                scores[some] = np.add.reduceat(model.follow[before, c] - model.weight[c], starts)  # every text has a token
+        base = logs - sizes * np.log10(model.total + model.different + 1.0)
+        columns = [text.column("doc_ids").combine_chunks().flatten(), ~learn, sizes, known, np.full(len(sizes), model.total), base, logs + scores]
         return pa.Table.from_batches([batch_of(_RESULT, *columns)])
 
-    classes = _few(model.classes, model.different)  # no more types than words
-    placed = learned.placed.join(classes.toDF("t", "class"), "t", "left").select("share", "k", "c", F.coalesce("class", F.lit(model.spare)).alias("class"))
-    return learned.shares.groupBy("share").cogroup(placed.groupBy("share")).applyInArrow(one, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    whole = learned.texts.select("share", F.concat("types", "extra").alias("types"), "seq", "held", "doc_ids", "learn", "sizes", "known", "logs")
+    return _scanned(whole, model.classes, model.types, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", one)[0]
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from costgrain.llm import brown
 
@@ -209,3 +210,32 @@ def test_classes_meet_shares_by_a_join_as_by_arrays(spark, docs, monkeypatch):
         assert counts.select("bucket").distinct().count() == counts.count()
         found.append(sorted(x for r in counts.collect() for x in unpacked(r)))
     assert found[0] == found[1] and len(found[0]) > 100
+
+
+def test_tokens_are_those_of_plain_splitting_also_of_slices():
+    odd = ["The Cat", "", None, " \t\x0b a\x0cB\r\nc\x1c\x1d d e É\x85 ", " ", "İKK ÀB", "a\x00b \x00", "\n\n", "End "] * 30
+    for at in range(0, len(odd), 7):
+        some = pa.array(odd).slice(at, 7)
+        got = brown._tokens(some).cast(pa.list_(pa.large_binary())).to_pylist()
+        assert got == [[*(t or "").encode().lower().split(), b""] for t in some.to_pylist()]
+
+
+def test_numbers_that_rise_are_packed_as_gaps():
+    rising = np.cumsum(np.random.default_rng(3).integers(1, 9, 100_000))
+    assert brown._unpacked(brown._packed(rising, gaps=True)).tolist() == rising.tolist()
+    assert len(brown._packed(rising, gaps=True)) < 60_000 < len(brown._packed(rising)) and not brown._packed(rising[:0], gaps=True)
+
+
+def test_scoring_shuffles_nothing(spark, docs):
+    """Words meet the shares once, before the exchange; the scores are worked out where the shares lie."""
+    assert "Exchange" not in brown.score(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_round_in_which_nothing_moves_sends_nothing(spark, docs, monkeypatch):
+    texts = _texts(spark, docs, monkeypatch, 1_000)
+    classes = texts.selectExpr("explode(types) as t").distinct().selectExpr("t", "cast(pmod(t, 5) as int) as c", "cast(pmod(t, 5) as int) as was")
+    sent = []
+    monkeypatch.setattr(brown, "_added", lambda rows: sent.append(rows.count()) or rows)
+    before = brown._contexts(texts, classes.select("t", "c"), 10, 32)
+    brown._moved_contexts(texts, before.limit(0), classes, 10, 32)
+    assert sent[0] > 100 and sent[1] == 0
