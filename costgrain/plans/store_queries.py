@@ -7,7 +7,10 @@ stream or store take them in, and returns what it made of all of them: the twin
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +32,8 @@ from costgrain.streaming.repairs import Repairs
 from costgrain.streaming.rescans import Rescans
 
 _TOK = ", ".join(TOKENS)
-#: State partitions that the streams here have at least.
-PARTITIONS = 4
+#: State partitions that the streams here have at least, and folders that files of users are dealt to.
+PARTITIONS, FOLDERS = 4, 1_024
 
 
 def _folder(spark: SparkSession) -> str:
@@ -49,6 +52,37 @@ def _ran(spark: SparkSession, changes: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(changes.schema).parquet(f"{folder}/out")
 
 
+def _text_files(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: rows (folder, file, value), those of a file one after the other, written to a file each.
+
+    Spark's own writer tells the driver of each folder and has it move each to its place, so its memory grows with the
+    number of files; here a task moves its own. A file that is written again is replaced."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, below = fs.FileSystem.from_uri(root)
+        files, folder, name, out = 0, None, None, None
+        part = f"{uuid.uuid4().hex}.part"
+
+        def close() -> None:
+            if out:
+                out.close()
+                system.move(f"{below}/{folder}/{part}", f"{below}/{folder}/{name}.txt")
+
+        for batch in batches:
+            for where, file, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (where, file) != (folder, name):
+                    close()
+                    if where != folder:
+                        system.create_dir(f"{below}/{where}", recursive=True)
+                    folder, name, files = where, file, files + 1
+                    out = system.open_output_stream(f"{below}/{where}/{part}")
+                out.write(value.encode() + b"\n")
+        close()
+        yield pa.RecordBatch.from_pydict({"files": [files]})
+
+    return write
+
+
 # Streams.
 
 
@@ -98,8 +132,8 @@ def tail_stream(spark, sf_dir):
     line = F.to_json(F.struct("n", "kind"))
     for k, version in ((0, "1"), (1, "1")):
         e.where(F.col("n") % 2 == k).select(line.alias("value")).coalesce(2).write.text(f"{folder}/in/{k}")
-        out = _ran(spark, tail.follow(spark, f"{folder}/in", "*.txt", version, blockBytes=1 << 16), f"{folder}/a")
-    again = _ran(spark, tail.follow(spark, f"{folder}/in/1", "*.txt", "2"), f"{folder}/b")
+        out = _ran(spark, tail.follow(spark, f"{folder}/in", "*.txt", version, f"{folder}/a/read", blockBytes=1 << 16), f"{folder}/a")
+    again = _ran(spark, tail.follow(spark, f"{folder}/in/1", "*.txt", "2", f"{folder}/b/read"), f"{folder}/b")
     parsed = out.unionByName(again).select(F.from_json("line", "struct<n: bigint, kind: string>").alias("r")).select("r.*")
     return parsed.select("n", "kind", F.lit(1).alias("times"))
 
@@ -111,9 +145,11 @@ cents AS input_tokens, CASE event_type WHEN 'click' THEN n % 9 END AS cached_inp
 def followed_streams(spark, sf_dir):
     """Event streams, a file a user, followed to the byte with their context."""
     folder, own = _folder(spark), _stateful(spark)
-    lines = _stream_lines(spark, sf_dir).where("line is not null").select(F.col("source_path").alias("u"), "source_offset", F.col("line").alias("value"))
-    lines.repartition("u").sortWithinPartitions("u", "source_offset").drop("source_offset").write.partitionBy("u").text(f"{folder}/in")
-    read = _ran(spark, context.follow_streams(tail.follow(own, f"{folder}/in", "*.txt")), folder)
+    name = F.coalesce("source_path", F.lit("none"))
+    lines = _stream_lines(spark, sf_dir).where("line is not null").select((F.crc32(name.cast("binary")) % FOLDERS).cast("string").alias("folder"), name.alias("file"), "source_offset", F.col("line").alias("value"))
+    dealt = lines.repartition("folder").sortWithinPartitions("folder", "file", "source_offset").drop("source_offset")
+    dealt.mapInArrow(_text_files(f"{folder}/in"), "files long").agg(F.sum("files")).collect()
+    read = _ran(spark, context.follow_streams(tail.follow(own, f"{folder}/in", "*.txt", state=f"{folder}/read")), folder)
     return read.select("session", "request_id", "turn_id", "agent_id", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens")
 
 

@@ -1,9 +1,13 @@
+import hashlib
 import json
 import os
+import pickle
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
+from costgrain.plans import store_queries
 from costgrain.sources import files, transcripts
 from costgrain.streaming import tail
 
@@ -124,3 +128,80 @@ def test_many_small_files_are_few_tasks(home):
     parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
     assert len(parts) == 1
     assert sorted(int(r["line"]) for p in parts for b in reader.read(p) for r in b.to_pylist()) == list(range(300))
+
+
+def read(reader, start, end):
+    return sorted((os.path.basename(r["source_path"]), r["line"]) for p in reader.partitions(start, end) for b in reader.read(p) for r in b.to_pylist())
+
+
+def test_what_the_driver_holds_does_not_grow_with_files(home, monkeypatch):
+    """Neither what it sends (offsets, tasks) nor what it has in memory."""
+    monkeypatch.setattr(tail, "ROWS", 64, raising=False)
+    peaks = []
+    for n in (400, 4_000):
+        for k in range(n):
+            if k % 100 == 0:
+                os.makedirs(home / f"in/{k // 100}", exist_ok=True)
+            (home / f"in/{k // 100}/{k}.jsonl").write_text(f"{k}\n")
+        reader = tail.TailReader({"path": str(home / "in"), "blockBytes": str(8 << 20)})
+        tracemalloc.start()
+        end = reader.latestOffset()
+        parts = reader.partitions(reader.initialOffset(), end)
+        assert reader.latestOffset() == end and reader.partitions(end, end) == []
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(json.dumps(end)) < 500 and max(len(pickle.dumps(p)) for p in parts) < 500
+        assert [x[1] for x in read(reader, reader.initialOffset(), end)] == [str(k) for k in sorted(range(n), key=lambda k: f"{k}.jsonl")]
+    assert peaks[1] < peaks[0] + 200_000
+
+
+def test_files_are_found_again_in_whatever_order_their_names_stand(home):
+    names = ["a.jsonl", "a/b.jsonl", "a-b/c.jsonl", "a/0/d.jsonl", "a0.jsonl", "é/f.jsonl", "Z.jsonl"]
+    for k, name in enumerate(names):
+        (home / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        add(home, name, f"{k}\n")
+    reader = tail.TailReader({"path": str(home / "in"), "glob": "*"})
+    first = reader.latestOffset()
+    assert [x[1] for x in read(reader, reader.initialOffset(), first)] == sorted(map(str, range(7)), key=lambda k: os.path.basename(names[int(k)]))
+    for name in names[1::2]:
+        add(home, name, f"more {name}\n")
+    (home / "in/a/new.jsonl").write_text("new\n")
+    os.remove(home / "in/Z.jsonl")
+    assert [x[1] for x in read(reader, first, reader.latestOffset())] == sorted([*(f"more {n}" for n in names[1::2]), "new"], key=lambda x: os.path.basename(x.split()[-1]) if " " in x else "new.jsonl")
+
+
+def test_offsets_of_older_checkpoints_are_gone_on_from(home):
+    for name in ("a.jsonl", "b.jsonl"):
+        add(home, name, "one\n")
+    reader = tail.TailReader({"path": str(home / "in")})
+    old = {"parser": "1", "files": {str(home / "in" / name): {"end": 4, "head": hashlib.sha256(b"one\n").hexdigest()} for name in ("a.jsonl", "b.jsonl")}}
+    add(home, "b.jsonl", "two\n")
+    assert read(reader, old, reader.latestOffset()) == [("b.jsonl", "two")]
+    assert read(reader, reader.initialOffset(), old) == [("a.jsonl", "one"), ("b.jsonl", "one")]
+
+
+def test_a_folder_of_its_own_is_cleared_of_what_no_batch_needs(home, monkeypatch):
+    monkeypatch.setattr(tail, "KEPT", 2)
+    reader, start, offsets = tail.TailReader({"path": str(home / "in"), "state": str(home / "read")}), None, []
+    for k in range(5):
+        add(home, "a.jsonl", f"{k}\n")
+        offsets.append(reader.latestOffset())
+        assert read(reader, start or reader.initialOffset(), offsets[-1]) == [("a.jsonl", str(k))]
+        start = offsets[-1]
+        (home / "read/dead.part").touch()
+        (home / "read/dead.plan").touch()
+        reader.commit(start)
+    assert sorted(x.suffix for x in (home / "read").iterdir()) == [".manifest"] * 2 and not (home / "in" / tail.STATE).exists()
+    again = tail.TailReader({"path": str(home / "in"), "state": str(home / "read")})
+    assert read(again, offsets[3], offsets[4]) == [("a.jsonl", "4")]
+    assert again.latestOffset() == offsets[4]
+
+
+def test_users_files_are_written_by_tasks(spark, home):
+    rows = [(str(k % 3), f"f{k % 9}", k) for k in range(900)]
+    dealt = spark.createDataFrame(rows, "folder string, file string, n long").repartition("folder").sortWithinPartitions("folder", "file", "n")
+    write = store_queries._text_files(str(home / "files"))
+    for _ in range(2):  # a task that is tried again replaces what it wrote
+        assert dealt.select("folder", "file", F.col("n").cast("string").alias("value")).mapInArrow(write, "files long").agg(F.sum("files")).first()[0] == 9
+    got = {str(p.relative_to(home / "files")): p.read_text() for p in (home / "files").rglob("*") if p.is_file()}
+    assert got == {f"{k % 3}/f{k}.txt": "".join(f"{n}\n" for n in range(k, 900, 9)) for k in range(9)}
