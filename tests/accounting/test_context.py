@@ -1,6 +1,7 @@
 import json
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from costgrain.functions.vocabulary import TOKENS
@@ -57,6 +58,48 @@ def test_files_that_grow_give_what_whole_files_give(spark, tmp_path):
     assert a == b and len(a) > 20
 
 
+def test_streams_beyond_the_latest_keep_their_bases(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for part in range(3):
+        with open(tmp_path / "in/a.jsonl", "a") as out:
+            out.write(text_of(records(20 + part, 40)))
+        changes = run(spark, tmp_path, "out", lambda lines: turns.follow_turns(context.follow_streams(lines, near=1), counter()))
+    text = lambda df: sorted(str(tuple(r)) for r in df.select(*COLUMNS).collect())
+    assert text(turns.net(changes).where("what = 'kept'")) == text(transcripts.read_streams(spark, str(tmp_path / "in"))[0])
+
+
+class Counted:
+    """State in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.asked, self.value, self.entries = 0, None, {}
+
+    def __getattr__(self, name):
+        calls = {"get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "clear": self.entries.clear, "containsKey": self.entries.__contains__, "getValue": self.entries.get, "updateValue": self.entries.__setitem__}
+
+        def call(*args):
+            self.asked += 1
+            return calls[name](*args)
+
+        return call
+
+
+def test_a_batch_asks_the_state_of_a_file_twice(spark):
+    value, bases = Counted(), Counted()
+    processor = context.Context(60, "1")
+    processor.init(type("Handle", (), {"getValueState": lambda *a: value, "getMapState": lambda *a: bases}))
+    none = dict.fromkeys([*COLUMNS, "_close", "_end", "_session", "_turn", "_agent", "_parent"])
+    row = lambda k, n, v: none | {"source_offset": k, "_session": "s", "turn_id": f"t{n}", "parser_version": "cumulative", TOKENS[0]: v}
+    as_rows = lambda found: iter([Row(**r) for r in found])
+    counts = [list(processor.handleInputRows(("f",), as_rows([row(40 * b + n, n, 10 * b + n) for n in range(30)]), None)) for b in range(3)]
+    assert [r[TOKENS[0]] for r in counts[0]] == list(range(30)) and all(r[TOKENS[0]] == 10 for b in counts[1:] for r in b)
+    assert value.asked + bases.asked == 6
+    # With more streams than lie together each has its base still.
+    list(processor.handleInputRows(("f",), as_rows([row(200 + n, n, 50 + n) for n in range(30, 200)]), None))
+    later = list(processor.handleInputRows(("f",), as_rows([row(500 + n, n, 100 + n) for n in range(200)]), None))
+    assert [r[TOKENS[0]] for r in later] == [80] * 30 + [50] * 170 and len(value.value[5]) == context.NEAR
+
+
 def test_a_file_that_begins_anew_has_no_context(spark, tmp_path):
     (tmp_path / "in").mkdir()
     use = {"type": "usage", "model": "m", "usage": {"input_tokens": 5}}
